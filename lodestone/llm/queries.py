@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, langid, quality, shards, topk, toxicity
+from lodestone.llm import bpe, langid, near, quality, shards, topk, toxicity
 from lodestone.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -22,6 +22,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_copies(table(spark, sf_dir, "documents"))
+
+
 def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_host_quality": op6_host_quality,
     "op7_exact_topk": op7_exact_topk,
     "op9_interleaved_shards": op9_interleaved_shards,
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_jaccard": near.ORACLE_SQL,
     "op6_host_quality": quality.oracle_sql(),
     "op7_exact_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
