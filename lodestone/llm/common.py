@@ -84,3 +84,55 @@ def mix(x: np.ndarray) -> np.ndarray:
         x *= np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
     return x
+
+
+_IS_WHITE = np.zeros(256, bool)
+_IS_WHITE[list(WHITE)] = True
+_PRIME = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd constant modulo 2^64 and their inverses; kept for the sizes in use."""
+    if not _powers or len(_powers[0]) < m:
+        n = max(m, 1 << 16)
+        with np.errstate(over="ignore"):
+            _powers[:] = [np.multiply.accumulate(np.full(n, p, np.uint64)) for p in (_PRIME, pow(_PRIME, -1, 1 << 64))]
+    return _powers[0], _powers[1]
+
+
+def hash_words(parts: list[bytes], block: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (between ASCII white space) of all parts in a row, and the words of each part.
+
+    Computed from prefix sums over the bytes, in blocks that end between words."""
+    raw = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
+    inside = ~_IS_WHITE[raw]
+    edge = np.diff(inside.view(np.int8), prepend=np.int8(0))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    with np.errstate(over="ignore"):
+        while i < len(start):
+            j = max(i + 1, int(np.searchsorted(end, start[i] + block, "right")))
+            a, b = start[i], end[j - 1]
+            power, back = _power_tables(b - a + 1)
+            c = np.zeros(b - a + 1, np.uint64)
+            np.cumsum((raw[a:b].astype(np.uint64) + np.uint64(1)) * power[: b - a], out=c[1:])
+            out[i:j] = mix((c[end[i:j] - a] - c[start[i:j] - a]) * back[start[i:j] - a])
+            i = j
+    ends = np.cumsum([len(p) + 1 for p in parts])
+    return out, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def text_slices(texts, most: int = 2_000_000):
+    """Lists of (row, text) with about `most` characters each."""
+    now, n = [], 0
+    for i, t in enumerate(texts):
+        t = t.as_py() or ""
+        now.append((i, t))
+        n += len(t)
+        if n >= most:
+            yield now
+            now, n = [], 0
+    if now:
+        yield now
