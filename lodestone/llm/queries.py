@@ -8,12 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import bpe, langid, near, quality, shards, topk, toxicity
+from lodestone.llm import attribution, bpe, langid, lm, mixing, near, quality, shards, topk, toxicity
 from lodestone.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +30,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.section_counts(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
+
+
 def op6_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents"))
 
@@ -34,6 +42,10 @@ def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op9_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.assignment(table(spark, sf_dir, "documents"), 16)
 
@@ -43,11 +55,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_toxicity": op2_toxicity,
     "op3_language_id": op3_language_id,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_token_counts": op5_token_counts,
     "op6_host_quality": op6_host_quality,
     "op7_exact_topk": op7_exact_topk,
+    "op8_lm_scores": op8_lm_scores,
     "op9_interleaved_shards": op9_interleaved_shards,
     "op10_byte_bpe": op10_byte_bpe,
 }
