@@ -1,13 +1,49 @@
-"""Corpus preparation: toxicity, language, near copies, mixing, tokens."""
+"""Corpus preparation: toxicity, language, near copies, mixing to target weights, tokens.
+
+Each stage works on all rows that the one before kept. The first four return the columns of documents;
+the last returns the digests of tokens and of the text they decode to."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import queries as _q
+from lodestone.llm import bpe, langid, mixing, near, toxicity
 from lodestone.llm.common import materialise, table
+from lodestone.llm.queries import RANKS, public_tokenizers
+
+#: Share of the tokens that the mixture takes.
+SHARE = 0.5
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.with_a_language(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.sample(docs, SHARE)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(docs, RANKS, public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("language", keep_languages),
+    ("near_copies", drop_near_copies),
+    ("mixing", mix_sources),
+    ("tokens", encode),
+]
 
-STAGES: list = [("tokens", lambda spark, docs, sf_dir: _q.bpe.digests(docs, _q.RANKS, _q.public_tokenizers.PATTERN))]
+#: Models and iterated fits aren't SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
