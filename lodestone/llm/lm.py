@@ -23,8 +23,6 @@ texts of their own; without training texts N = V = 0, c = 0; no rows give no row
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -135,18 +133,25 @@ def count_ranges(training: DataFrame) -> tuple[DataFrame, int]:
 class Ranges:
     """Some ranges, ready for probing."""
 
-    def __init__(self, rows: list, n_ranges: int):
+    def __init__(self, sizes: list, n_ranges: int):
+        """sizes: rows with kind, at, bits and n of the ranges that will be put in, in any order."""
         self.n_ranges = n_ranges
-        uni, bi = ([r for r in rows if r["kind"] == k] for k in (0, 1))
-        uni.sort(key=lambda r: r["at"])
-        cat = lambda x, k: np.frombuffer(b"".join(x), k)
-        self.keys, self.counts = cat((r["keys"] for r in uni), np.uint64), cat((r["data"] for r in uni), np.int64)
+        self.place = {}
+        ends = [0, 0]
+        for r in sorted(sizes, key=lambda r: (r["kind"], r["at"])):
+            self.place[r["kind"], r["at"]] = ends[r["kind"]]
+            ends[r["kind"]] += r["bits"] // 8 if r["kind"] else r["n"]
         self.bits, self.offset = np.zeros(n_ranges, np.int64), np.zeros(n_ranges, np.int64)
-        at = 0
-        for r in bi:
-            self.bits[r["at"]], self.offset[r["at"]] = r["bits"], at
-            at += r["bits"]
-        self.data = cat((r["data"] for r in bi), np.uint8)
+        self.keys, self.counts, self.data = np.empty(ends[0], np.uint64), np.empty(ends[0], np.int64), np.empty(ends[1], np.uint8)
+
+    def put(self, r) -> None:
+        i = self.place[r["kind"], r["at"]]
+        if r["kind"]:
+            self.bits[r["at"]], self.offset[r["at"]] = r["bits"], 8 * i
+            self.data[i : i + r["bits"] // 8] = np.frombuffer(r["data"], np.uint8)
+        else:
+            self.keys[i : i + r["n"]] = np.frombuffer(r["keys"], np.uint64)
+            self.counts[i : i + r["n"]] = np.frombuffer(r["data"], np.int64)
 
     def unigrams(self, h: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -179,11 +184,6 @@ class Ranges:
         return alive[left]
 
 
-@lru_cache(1)
-def _ranges(shared_id: int, shared) -> Ranges:
-    return Ranges(*shared.value)
-
-
 def _fill(r: Ranges, tok: np.ndarray, pair: np.ndarray, c: np.ndarray, lv: np.ndarray) -> None:
     """Adds what these ranges know; what others know is 0 here."""
     keys, back = np.unique(tok, return_inverse=True)
@@ -216,8 +216,11 @@ def score_texts(docs: DataFrame, training: DataFrame, mu: float = MU, limit: int
     width = -(-n_ranges // passes)
 
     def shared(k: int):
-        rows = ranges.filter((F.col("at") >= k * width) & (F.col("at") < (k + 1) * width)).select("kind", "at", "bits", "keys", "data")
-        return spark.sparkContext.broadcast(([r.asDict() for r in rows.toLocalIterator()], n_ranges))
+        rows = ranges.filter((F.col("at") >= k * width) & (F.col("at") < (k + 1) * width))
+        r = Ranges(rows.select("kind", "at", "bits", "n").collect(), n_ranges)
+        for row in rows.select("kind", "at", "bits", "n", "keys", "data").toLocalIterator():  # one range after another
+            r.put(row)
+        return spark.sparkContext.broadcast(r)
 
     def rows_of(b, part):
         return pa.array([i for i, _ in part])
@@ -229,7 +232,7 @@ def score_texts(docs: DataFrame, training: DataFrame, mu: float = MU, limit: int
 
     def one_pass(s):
         def run(batches):
-            r = _ranges(id(s), s)
+            r = s.value
             for b in batches:
                 for part in text_slices(b["text"]):
                     tok, pair, size = tokens_of([t for _, t in part])
@@ -247,7 +250,7 @@ def score_texts(docs: DataFrame, training: DataFrame, mu: float = MU, limit: int
 
         def some(s, last):
             def run(batches):
-                r = _ranges(id(s), s)
+                r = s.value
                 for b in batches:
                     for part in text_slices(b["text"]):
                         tok, pair, size = tokens_of([t for _, t in part])
