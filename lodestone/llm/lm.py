@@ -34,7 +34,7 @@ MU = 300.0
 #: Text bytes of a range at least, bits of the filter for each insertion, probes for each membership test.
 RANGE_BYTES, BITS, PROBES = 16_000_000, 10, 4
 #: Bytes broadcast at once.
-LIMIT = 400_000_000
+LIMIT = 200_000_000
 END, BEGIN = np.uint64(0x0E0D), np.uint64(0xBE91)
 #: Counts that a level stands for: 1, 2, 3, 4, 6, 8, 12, ...
 VALUES = np.array([1] + [x for i in range(1, 62) for x in (1 << i, 3 << (i - 1))], np.int64)
@@ -120,7 +120,7 @@ def count_ranges(training: DataFrame) -> tuple[DataFrame, int]:
 
     def run(batches):
         for b in batches:
-            for part in text_slices(b["text"], 4_000_000):
+            for part in text_slices(b["text"]):
                 tok, pair, _ = tokens_of([t for _, t in part])
                 rows = [*_packed(0, tok, n_ranges), *_packed(1, pair, n_ranges)]
                 kind, at, keys, counts = zip(*rows, strict=True)
@@ -244,7 +244,9 @@ def score_texts(docs: DataFrame, training: DataFrame, mu: float = MU, limit: int
 
     x = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "held_out")
     if passes == 1:
-        out = x.mapInArrow(one_pass(shared(0)), OUT)
+        s = shared(0)
+        out = materialise(x.mapInArrow(one_pass(s), OUT))
+        s.destroy()  # workers let go of it with their next task
     else:
         x = x.withColumns({"c": F.lit(None).cast("binary"), "lv": F.lit(None).cast("binary")})
 
@@ -269,8 +271,9 @@ def score_texts(docs: DataFrame, training: DataFrame, mu: float = MU, limit: int
 
         for k in range(passes):
             last = k == passes - 1
-            x = x.mapInArrow(some(shared(k), last), OUT if last else "doc_id long, text string, held_out boolean, c binary, lv binary")
-            x = x if last else materialise(x)
+            s = shared(k)
+            x = materialise(x.mapInArrow(some(s, last), OUT if last else "doc_id long, text string, held_out boolean, c binary, lv binary"))
+            s.destroy()
         out = x
     return out.withColumn("train_tokens", F.lit(n).cast("long"))
 
