@@ -1,9 +1,13 @@
-"""The flagship query."""
+"""The flagship query: what each component depends on, with its degree profile."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodestone.operators import graph
+from lodestone.plans.registry import fixture
+
 
 def dependency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_suppkey", "l_partkey").distinct()
+    edges = fixture(spark, sf_dir, "imports")
+    return graph.direct(edges).join(graph.degrees(edges), "node")

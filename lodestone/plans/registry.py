@@ -1,10 +1,300 @@
-"""All registered queries of the library and the equivalent DuckDB SQL."""
+"""All registered queries of the library and the equivalent DuckDB SQL.
+
+`FIXTURES` derives repositories, files, jobs, questions and annotations from the given tables by SQL that both engines
+run; they are whole-table views, so every query's work grows with its tables."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.functions import scalars
+from lodestone.operators import chunking, graph, retrieval
+from lodestone.sources.tables import scan_filter, table
+from lodestone.streaming import jobs
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations", "labels", "pages")
+EXT = "case lang when 'en' then '.md' when 'fr' then '.json' when 'de' then '.py' else '.go' end"
+
+FIXTURES = {
+    "files": f"select source as repository_id, concat(source, '/', lang, '/', cast(doc_id as string), {EXT}) as path, text as content, n_chars as size, doc_id from {{documents}}",
+    "tree": "select r_name as repository_id, concat(r_name, '/', n_name, '/', cast(c_custkey as string), '.md') as path from {customer} join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey",
+    "imports": """select source, target, concat('edge:', source, '->imports->', target) as id from (
+        select concat('p/', cast(p_partkey as string)) as source, concat('p/', cast(cast(floor(p_partkey / 3) as bigint) as string)) as target from {part}
+        union select concat('p/', cast(cast(floor(p_partkey / 3) as bigint) as string)), concat('p/', cast(p_partkey as string)) from {part} where p_size = 1
+        union select concat('s/', cast(s_suppkey as string)), concat('p/', cast(s_suppkey + 1 as string)) from {supplier}) as x""",
+    "candidates": """select concat('customer:', cast(o_custkey as string)) as id, o_orderkey as ordinal, o_orderpriority as source,
+        case when o_orderstatus = 'F' then 'deterministic' else 'inferred' end as certainty, o_orderpriority as label from {orders}""",
+    "faulty_nodes": """select r_name as repository_id, concat('repository:', r_name) as id, 'repository' as type, 'deterministic' as certainty from {region} where r_regionkey <> 1
+        union all select r_name, concat('folder:', n_name), 'folder', 'deterministic' from {nation} join {region} on n_regionkey = r_regionkey
+        union all select r_name, concat('file:', cast(c_custkey as string)), 'file', case when c_mktsegment = 'BUILDING' then 'guessed' else 'inferred' end
+          from {customer} join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey
+        union all select r_name, concat('folder:', n_name), 'folder', 'inferred' from {nation} join {region} on n_regionkey = r_regionkey where r_regionkey = 2""",
+    "faulty_edges": """select r_name as repository_id, concat('c', cast(n_nationkey as string)) as id, concat('repository:', r_name) as source, concat('folder:', n_name) as target from {nation} join {region} on n_regionkey = r_regionkey
+        union all select r_name, concat('f', cast(c_custkey as string)), concat('folder:', n_name), concat('file:', cast(c_custkey as string))
+          from {customer} join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey where c_acctbal > 0
+        union all select 'EUROPE', concat('x', cast(s_suppkey as string)), concat('file:', cast(s_suppkey as string)), concat('file:none-', cast(s_suppkey as string)) from {supplier}""",
+    "jobs": """select user_id as job_id, event_id, ts, case event_type when 'signup' then 'cloning' when 'view' then 'parsing' when 'click' then 'embedding' when 'purchase' then 'complete' else 'failed' end as stage,
+        event_id % 4 as attempts from {events}""",
+    "questions": """select p_partkey as question_id, case when p_size < 10 then concat('Why does ', p_name, ' matter?') when p_size < 20 then concat('Is there a cycle near ', p_name, '?')
+        when p_size < 30 then concat('What is the path from ', p_name, ' to ', p_type, '?') when p_size < 35 then concat('What does ', p_name, ' depend on?')
+        when p_size < 40 then concat('Who imports ', p_name, ' indirectly?') else concat('Show ', p_name) end as text,
+        case when p_size < 20 then 'hybrid' else 'pure_graph' end as expected from {part}""",
+    "answers": """select conv_id, turn, concat(coalesce(text, ''), ' [src/', cast(conv_id as string), '.ts:', cast(turn + 1 as string), '-', cast(turn + 9 as string), '] and [lib/a b.py:3-4], [bad:x-1] [lib/a b.py:3-4]') as answer from {conversations}""",
+    "hosts": "select page_id, concat(' HTTPS://GitHub.com/Own-', cast(page_id as string), '/Repo.git ') as url, concat('clone https://user:', url, '@host.example/x now') as log from {pages}",
+}
+
+
+def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sql = FIXTURES[name]
+    return spark.sql(sql, **{t: table(spark, sf_dir, t) for t in set(re.findall(r"\{(\w+)\}", sql))})
+
+
+def _fixture_sql(name: str) -> str:
+    return re.sub(r"\{(\w+)\}", r"\1", FIXTURES[name])
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    """Registers a function as a query; in its SQL, {name} stands for a fixture."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = re.sub(r"\{(\w+)\}", lambda m: f"({_fixture_sql(m[1])})", sql)
+        return f
+
+    return add
+
+
+def both(name: str, sql: str) -> None:
+    """Registers SQL that both engines run; {name} stands for a fixture or a table."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        names = set(re.findall(r"\{(\w+)\}", sql))
+        return spark.sql(sql, **{n: fixture(spark, sf_dir, n) if n in FIXTURES else table(spark, sf_dir, n) for n in names})
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLE_SQL[name] = re.sub(r"\{(\w+)\}", lambda m: f"({_fixture_sql(m[1])})" if m[1] in FIXTURES else m[1], sql)
+
+
+# Containment and governance
+
+CONTAINED = """with recursive p as (select repository_id, string_split(path, '/') as p from {tree}),
+x as (select distinct repository_id, array_to_string(p[1:i], '/') as path, array_to_string(p[1:i - 1], '/') as up, p[i] as label, i, len(p) as n from (select *, unnest(range(1, len(p) + 1)) as i from p))"""
+
+
+@query(CONTAINED + " select repository_id, case when i = n then 'file:' else 'folder:' end || path as id, case when i = n then 'file' else 'folder' end as type, label from x")
+def containment_nodes(spark, sf_dir):
+    return graph.containment(fixture(spark, sf_dir, "tree"))[0]
+
+
+@query(CONTAINED + """ select repository_id, 'edge:' || source || '->contains->' || target as id, source, target from (select repository_id,
+  case when i = 1 then 'repository:' || repository_id else 'folder:' || up end as source, case when i = n then 'file:' else 'folder:' end || path as target from x)""")
+def containment_edges(spark, sf_dir):
+    return graph.containment(fixture(spark, sf_dir, "tree"))[1]
+
+
+@query("""select id, ordinal, source, certainty, label, verified from (select *, row_number() over (partition by id order by (certainty = 'deterministic') desc, ordinal) as r from {candidates}) as c
+  join (select id, count(distinct source) > 1 as verified from {candidates} group by id) as v using (id) where r = 1""")
+def govern_nodes(spark, sf_dir):
+    return graph.govern(fixture(spark, sf_dir, "candidates"), ["id"])
+
+
+VIOLATED = """with n as (select * from {faulty_nodes}), e as (select * from {faulty_edges}), v as (
+  select repository_id, 'missing_source' as invariant, id as subject from e where not exists (select 1 from n where n.repository_id = e.repository_id and n.id = e.source)
+  union all select repository_id, 'missing_target', id from e where not exists (select 1 from n where n.repository_id = e.repository_id and n.id = e.target)
+  union all select repository_id, 'duplicate_node', id from n group by repository_id, id having count(*) > 1
+  union all select repository_id, 'duplicate_edge', id from e group by repository_id, id having count(*) > 1
+  union all select repository_id, 'root_count', cast(count(*) filter (where type = 'repository') as varchar) from n group by repository_id having count(*) filter (where type = 'repository') <> 1
+  union all select repository_id, 'certainty', id from n where certainty not in ('deterministic', 'inferred'))"""
+
+
+@query(VIOLATED + " select * from v")
+def invariant_violations(spark, sf_dir):
+    return graph.violations(fixture(spark, sf_dir, "faulty_nodes"), fixture(spark, sf_dir, "faulty_edges"))
+
+
+@query(VIOLATED + " select repository_id, count(v.invariant) as n_violations, case when count(v.invariant) > 0 then 'failed' else 'ready' end as status from (select distinct repository_id from n) as r left join v using (repository_id) group by repository_id")
+def publish_status(spark, sf_dir):
+    nodes = fixture(spark, sf_dir, "faulty_nodes")
+    bad = graph.violations(nodes, fixture(spark, sf_dir, "faulty_edges")).groupBy("repository_id").agg(F.count("*").alias("n"))
+    x = nodes.select("repository_id").distinct().join(bad, "repository_id", "left")
+    n = F.coalesce("n", F.lit(0))
+    return x.select("repository_id", n.alias("n_violations"), F.when(n > 0, "failed").otherwise("ready").alias("status"))
+
+
+@query("""with recursive n as (select * from {faulty_nodes}), e as (select * from {faulty_edges}), b as (select repository_id, source as s, target as t from e union select repository_id, target, source from e),
+  r as (select repository_id, min(id) as id from n where type = 'repository' group by repository_id union select r.repository_id, b.t from r join b on b.repository_id = r.repository_id and b.s = r.id)
+  select distinct n.repository_id, n.id from n where n.repository_id in (select repository_id from n where type = 'repository') and not exists (select 1 from r where r.repository_id = n.repository_id and r.id = n.id)""")
+def orphan_nodes(spark, sf_dir):
+    return graph.orphans(fixture(spark, sf_dir, "faulty_nodes"), fixture(spark, sf_dir, "faulty_edges"))
+
+
+# Graph algorithms
+
+
+@query("select distinct source as node, target as other, 'outgoing' as direction from {imports} union select distinct target, source, 'incoming' from {imports}")
+def direct_deps(spark, sf_dir):
+    return graph.direct(fixture(spark, sf_dir, "imports"))
+
+
+@query("select node, sum(o)::bigint as fan_out, sum(i)::bigint as fan_in from (select source as node, 1 as o, 0 as i from {imports} union all select target, 0, 1 from {imports} where source <> target) group by node")
+def degree_profile(spark, sf_dir):
+    return graph.degrees(fixture(spark, sf_dir, "imports"))
+
+
+SEEDED = "with recursive e as (select source, target from {imports}), r as (select distinct source as seed, source as node from e where source like 's/%' union select r.seed, e.target from r join e on e.source = r.node)"
+
+
+@query(SEEDED + " select seed, node from r where seed <> node")
+def transitive_deps(spark, sf_dir):
+    e = fixture(spark, sf_dir, "imports")
+    return graph.reach(e.filter(F.col("source").startswith("s/")).select(F.col("source").alias("seed")), e).filter("seed <> node").select("seed", "node")
+
+
+@query("""with recursive e as (select source, target from {imports}), r as (select distinct source as seed, source as node, 0 as depth from e where source like 's/%'
+  union select r.seed, e.target, r.depth + 1 from r join e on e.source = r.node where r.depth < 60) select seed, node, min(depth)::int as depth from r group by seed, node""")
+def shortest_path_len(spark, sf_dir):
+    e = fixture(spark, sf_dir, "imports")
+    return graph.reach(e.filter(F.col("source").startswith("s/")).select(F.col("source").alias("seed")), e)
+
+
+@query("""with recursive e as (select source, target from {imports}), r as (select source as a, target as b from e union select r.a, e.target from r join e on e.source = r.b)
+  select min(y.b) as cycle_id, x.a as node from r as x join r as y on y.a = x.a join r as z on z.a = y.b and z.b = x.a where x.a = x.b group by x.a""")
+def import_cycles(spark, sf_dir):
+    return graph.cycles(fixture(spark, sf_dir, "imports"))
+
+
+# Files and chunks
+
+CHUNKED = """with f as (select path, string_split(content, chr(10)) as l from {files} where regexp_matches(content, '\\S')),
+c as (select path, s + 1 as start_line, least(s + 40, len(l)) as end_line, array_to_string(l[s + 1 : s + 40], chr(10)) as chunk from (select *, unnest(range(0, greatest(len(l) - 6, 0) + 1, 35)) as s from f))"""
+
+
+@query(CHUNKED + " select path, start_line::int as start_line, end_line::int as end_line, sha256(chunk) as content_hash, case when path like '%.md' then 'Markdown' when path like '%.json' then 'JSON' when path like '%.py' then 'Python' else 'Go' end as language from c where regexp_matches(chunk, '\\S')")
+def line_window_chunks(spark, sf_dir):
+    return chunking.enriched(chunking.line_windows(fixture(spark, sf_dir, "files"))).select("path", "start_line", "end_line", "content_hash", "language")
+
+
+@query("""with l as (select path, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as i from {files}),
+  r as (select path, i, length(line) > 80 as covered from l), g as (select path, i, i - row_number() over (partition by path order by i) as k from r where not covered)
+  select path, min(i)::int as gap_start, max(i)::int as gap_end from g group by path, k""")
+def coverage_gaps(spark, sf_dir):
+    lines = fixture(spark, sf_dir, "files").select("path", F.posexplode(F.split("content", "\n", -1)).alias("i", "line"))
+    ranges = lines.filter(F.length("line") > 80).select("path", (F.col("i") + 1).alias("start_line"), (F.col("i") + 1).alias("end_line"))
+    return chunking.coverage_gaps(ranges, lines.groupBy("path").agg((F.max("i") + 1).alias("n")))
+
+
+@query("""with b as (select repository_id, sha256(content) as content_hash, doc_id, row_number() over (partition by repository_id, sha256(content) order by doc_id) as r from {files})
+  select repository_id, content_hash, doc_id from b where r = 1 and not exists (select 1 from {files} as t where t.repository_id = b.repository_id and t.size < 500 and sha256(t.content) = b.content_hash)""")
+def idempotent_ingest(spark, sf_dir):
+    f = fixture(spark, sf_dir, "files").select("repository_id", F.sha2("content", 256).alias("content_hash"), "doc_id", "size")
+    held = f.filter("size < 500").select("repository_id", "content_hash").distinct()
+    return chunking.new_chunks(f.drop("size"), held, ["repository_id", "content_hash"], ["doc_id"])
+
+
+@query("select path, size from {files} where size <= 5000")
+def file_scan_filter(spark, sf_dir):
+    return scan_filter(fixture(spark, sf_dir, "files"), 5000).select("path", "size")
+
+
+both("oversized_repos", "select repository_id, count(*) as n_files, count(*) > 100 as rejected from {files} group by repository_id")
+
+# Retrieval, prompts and questions
+
+TOP = """with c as (select label as repository_id, vec_id as chunk_id, embedding as v from embeddings),
+q as (select repository_id, list(m order by i) as q from (select repository_id, i, avg(x) as m from (select repository_id, unnest(v)::double as x, generate_subscripts(v, 1) as i from c) group by 1, 2) group by 1),
+s as (select c.repository_id, chunk_id, round(list_dot_product(q, list_transform(v, lambda x: x::double)) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(list_transform(v, lambda x: x::double), list_transform(v, lambda x: x::double)))), 6) as score from c join q using (repository_id)),
+t as (select repository_id, repository_id as query_id, chunk_id, score, row_number() over (partition by repository_id order by score desc, chunk_id)::int as rank from s)"""
+
+
+def _chunks(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("label").alias("repository_id"), F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("v"))
+
+
+@query(TOP + " select * from t where rank <= 8")
+def vector_topk(spark, sf_dir):
+    c = _chunks(spark, sf_dir)
+    return retrieval.top_chunks(retrieval.centroids(c), c, 8)
+
+
+@query(TOP + " select repository_id, max(score) as top_score from t group by repository_id")
+def retrieval_top_score(spark, sf_dir):
+    return vector_topk(spark, sf_dir).groupBy("repository_id").agg(F.max("score").alias("top_score"))
+
+
+@query("""with c as (select conv_id, turn, row_number() over (partition by conv_id order by turn, text)::int as rank, role, text from conversations)
+  select conv_id, string_agg('--- Context ' || rank || ': turn:' || turn || ' - ' || coalesce(role, '') || ' ---' || chr(10) || coalesce(text, ''), chr(10) || chr(10) order by rank) as prompt from c group by conv_id""")
+def context_prompt(spark, sf_dir):
+    x = table(spark, sf_dir, "conversations")
+    w = retrieval.Window.partitionBy("conv_id").orderBy("turn", "text")
+    x = x.select("conv_id", F.row_number().over(w).alias("rank"), F.concat(F.lit("turn:"), F.col("turn").cast("string")).alias("location"), F.coalesce("role", F.lit("")).alias("label"), F.coalesce("text", F.lit("")).alias("content"))
+    return retrieval.context_prompt(x, "conv_id")
+
+
+CLASSED = """with c as (select *, lower(text) as t from {questions}), d as (select *, case when regexp_matches(t, '\\b(why|explain|how does)\\b') then 'hybrid' when regexp_matches(t, '\\b(cycle|cycles|circular|cyclic)\\b') then 'intelligence'
+  when regexp_matches(t, '\\bpath\\b.*\\bfrom\\b|\\bfrom\\b.*\\bto\\b.*\\bpath\\b') then 'path' when regexp_matches(t, '\\b(depend(s|ency|encies)?|imports?)\\b') then 'dep' else 'hybrid' end as k from c),
+  x as (select question_id, expected, case when k in ('path', 'dep') then 'pure_graph' else k end as category,
+  case when k = 'path' then 'path' when k = 'dep' then case when regexp_matches(t, '\\b(transitive(ly)?|all|indirect(ly)?|everything|entire)\\b') then 'transitive' else 'direct' end end as mode,
+  case when k = 'dep' then case when regexp_matches(t, 'what does .+ (imports?|depends? on)') then 'outgoing' when regexp_matches(t, '(what|who) (imports?|depends? on)') then 'incoming' end end as direction from d)"""
+
+
+def _classified(spark, sf_dir):
+    return fixture(spark, sf_dir, "questions").select("question_id", "expected", scalars.question_class(F.col("text")).alias("c")).select("question_id", "expected", "c.*")
+
+
+@query(CLASSED + " select question_id, category, mode, direction from x")
+def classify_questions(spark, sf_dir):
+    return _classified(spark, sf_dir).drop("expected")
+
+
+@query(CLASSED + " select expected, category as actual, count(*) as n from x group by 1, 2")
+def confusion_matrix(spark, sf_dir):
+    return _classified(spark, sf_dir).groupBy("expected", F.col("category").alias("actual")).agg(F.count("*").alias("n"))
+
+
+@query(CLASSED + " select expected, count(*) as total, count(*) filter (where expected = category) as correct, round(count(*) filter (where expected = category) / count(*), 6) as accuracy from x group by 1")
+def category_accuracy(spark, sf_dir):
+    hit = F.count_if(F.col("expected") == F.col("category"))
+    return _classified(spark, sf_dir).groupBy("expected").agg(F.count("*").alias("total"), hit.alias("correct"), F.round(hit / F.count("*"), 6).alias("accuracy"))
+
+
+@query("select conv_id, turn, array_to_string(['src/' || conv_id || '.ts:' || (turn + 1) || '-' || (turn + 9), 'lib/a b.py:3-4'], ',') as citations from {answers}")
+def citations(spark, sf_dir):
+    return fixture(spark, sf_dir, "answers").select("conv_id", "turn", F.array_join(scalars.citations(F.col("answer")), ",").alias("citations"))
+
+
+# Jobs, quotas and metrics
+
+both("latest_job", "select job_id, event_id, stage, ts from (select *, row_number() over (partition by job_id order by ts desc, event_id desc) as r from {jobs}) as x where r = 1")
+both("graph_history", "select job_id, event_id, row_number() over (partition by job_id order by ts desc, event_id desc) as version from {jobs} where stage = 'complete'")
+both("stale_jobs", """select job_id, event_id, stage, ts from (select *, row_number() over (partition by job_id order by ts desc, event_id desc) as r, max(ts) over () as now from {jobs}) as x
+  where r = 1 and stage <> 'complete' and attempts < 3 and ts < now - interval '10' minute order by ts, job_id limit 1000""")
+both("quota_windows", "select user_id, date_trunc('hour', ts) as hour, count(*) as n, count(*) > 2 as over_limit from {events} group by user_id, date_trunc('hour', ts)")
+both("latency_percentiles", "select stage, count(*) as n, min(value) as lo, max(value) as hi, round(percentile_cont(0.5) within group (order by value), 6) as median, round(percentile_cont(0.95) within group (order by value), 6) as p95 from (select event_type as stage, value from {events}) as x group by stage")
+both("token_stream_metrics", "select conv_id, count(*) as n_turns, sum(length(text)) as n_chars, min(turn) as first_turn, max(turn) as last_turn from {conversations} where role = 'assistant' group by conv_id")
+both("node_histogram", "select repository_id, type, count(*) as n from {faulty_nodes} group by repository_id, type")
+
+
+@query("select user_id, date_trunc('hour', ts) as hour, count(*) as n from events group by 1, 2")
+def stream_quota(spark, sf_dir):
+    return jobs.quota_stream(spark, sf_dir)
+
+
+@query("select page_id, 'https://github.com/own-' || page_id || '/repo' as url, regexp_replace(log, 'https://[^\\s/@]+@', 'https://[REDACTED]@', 'g') as log from {hosts}")
+def redact_credentials(spark, sf_dir):
+    return fixture(spark, sf_dir, "hosts").select("page_id", scalars.normal_url(F.col("url")).alias("url"), scalars.redacted_url(F.col("log")).alias("log"))
+
+
+@query("select c.conv_id, c.turn, c.role from conversations as c where c.conv_id not in (select distinct conv_id from conversations where role = 'system')")
+def purge_cascade(spark, sf_dir):
+    x = table(spark, sf_dir, "conversations")
+    return x.join(x.filter("role = 'system'").select("conv_id").distinct(), "conv_id", "left_anti").select("conv_id", "turn", "role")
