@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import materialise
 
 RANGES = 50_000
+#: Sources up to which the counts of sources and ranges are broadcast (some 10 MB); beyond, they are joined by shuffles.
+SOURCES = 100_000
 
 
 def _before(counts: DataFrame, by: list[str], order: str) -> DataFrame:
@@ -36,28 +38,31 @@ def interleave(docs: DataFrame, n_shards: int, seed: int = 17, least_range: int
         raise ValueError("n_shards must be positive")
     src = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("src")
     h = F.xxhash64(F.lit(seed), F.col("doc_id")).alias("h")
-    per_source = docs.select(src).groupBy("src").agg(F.count("*").alias("n_src"))
-    total = per_source.agg(F.sum("n_src")).first()[0] or 0
+    per_source = materialise(docs.select(src).groupBy("src").agg(F.count("*").alias("n_src")))
+    total, n_sources = per_source.agg(F.coalesce(F.sum("n_src"), F.lit(0)), F.count("*")).first()
+    small = F.broadcast if n_sources <= SOURCES else (lambda df: df)
     width = max(least_range, total // RANGES)
 
     def ranged(df: DataFrame) -> DataFrame:
         """Adds the range of the hash within its source: as many equal ranges as the source needs."""
         k = F.ceil(F.col("n_src") / width)
         u = F.shiftrightunsigned("h", 11).cast("double") * 2.0**-53
-        return df.join(per_source, "src").withColumn("range", F.floor(u * k))
+        return df.join(small(per_source), "src").withColumn("range", F.floor(u * k))
 
     starts = _before(ranged(docs.select(src, h)).groupBy("src", "range").agg(F.count("*").alias("n")), ["src"], "range").drop("n")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = ranged(docs.select("doc_id", src, h, (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))
     inner = Window.partitionBy("src", "range").orderBy("h", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("r", F.row_number().over(inner)).join(starts, ["src", "range"])
+    # dealt by both, as a source alone may be a third of all rows
+    ranked = rows.repartition("src", "range").withColumn("r", F.row_number().over(inner)).join(small(starts), ["src", "range"])
     rank = F.col("r") + F.col("before")
     ranked = ranked.select("doc_id", "src", "size", "text_crc32", ((2 * rank - 1) / (2 * F.col("n_src"))).alias("frac"))
     ranked = materialise(ranked.withColumn("range", F.floor(F.col("frac") * max(1, -(-total // width)))))
 
     starts = _before(ranked.groupBy("range").agg(F.count("*").alias("n")), [], "range").drop("n")
     inner = Window.partitionBy("range").orderBy("frac", "src")
-    place = ranked.withColumn("r", F.row_number().over(inner)).join(starts, "range").withColumn("at", (F.col("r") + F.col("before") - 1).cast("long"))
+    # `starts` has at most RANGES + 1 rows
+    place = ranked.withColumn("r", F.row_number().over(inner)).join(F.broadcast(starts), "range").withColumn("at", (F.col("r") + F.col("before") - 1).cast("long"))
     n = max(total, 1)
     placed = place.withColumn("shard", F.expr(f"cast(at * {n_shards}L div {n}L as int)"))
     return placed.select("doc_id", "src", "size", "text_crc32", "shard", F.expr(f"at - (shard * {n}L + {n_shards - 1}L) div {n_shards}L").alias("slot"))
