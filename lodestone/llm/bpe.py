@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with padded numpy matrices.
 
-A text is cut where a single space stands between two characters that are not white space. No match
-of the splitting pattern crosses such a place, so the parts can be encoded apart; their ids are
+A text is cut before a single space, and around a single line break, between two characters that are not
+white space. No match of the splitting pattern crosses such a place, so the parts can be encoded apart; their ids are
 remembered in a bounded cache. The parts that are new in a batch are split by the pattern, and the
 distinct pieces are merged together: pieces of similar length form one padded matrix of ids, and in
 each round every row merges its leftmost pair of least rank. Pairs are looked up in a hash table;
@@ -111,7 +111,7 @@ class Pairs:
 class Vocabulary:
     """Ranks of a file in tiktoken's form, with the tables for merging and decoding."""
 
-    def __init__(self, path: str, pattern: str, cache: int = 300_000):
+    def __init__(self, path: str, pattern: str, cache: int = 150_000):
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.split, self.most = splitter(pattern).findall, cache
@@ -207,13 +207,14 @@ class Vocabulary:
 
     def encode_batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's ids begin and end."""
-        if len(self.parts) > self.most:
-            self.parts.clear()
+        cut = [_parts(t) for t in texts]
+        met = {p for c in cut for p in c}
+        if len(self.parts) > self.most:  # only what this batch needs stays
+            self.parts = {p: self.parts[p] for p in met if p in self.parts}
         if len(self.pieces) > self.most:
             self.pieces.clear()
-        cut = [_parts(t) for t in texts]
         known = self.parts
-        new = {p for c in cut for p in c}.difference(known)
+        new = met.difference(known)
         if new:
             split = {p: [x.encode("utf-8", "surrogatepass") for x in self.split(p)] for p in new}
             self._learn_pieces({x for s in split.values() for x in s}.difference(self.pieces))
@@ -233,18 +234,19 @@ class Vocabulary:
         return self.blob[place]
 
 
-_GLUED = re.compile(r"\s | \s")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+_GLUED = re.compile(r"\s\s")
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)")
 
 
 def _parts(text: str | None) -> list[str]:
-    """Cuts before each single space between characters that aren't white space; the parts join to the text."""
+    """Cuts before single spaces and around single line breaks between characters that aren't white space.
+
+    The parts join to the text, and no match of the pattern crosses a cut."""
     if not text:
         return []
     if _GLUED.search(text) or text[0].isspace() or text[-1].isspace():
         return _CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + p for p in rest]]
+    return text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ").split("\x00") if "\x00" not in text else _CUT.split(text)
 
 
 @lru_cache(2)
