@@ -58,7 +58,7 @@ class WordHashes:
 
     The memory is bounded: beyond `most` words it starts anew."""
 
-    def __init__(self, most: int = 400_000, seed: int = 0):
+    def __init__(self, most: int = 200_000, seed: int = 0):
         self.most, self.seed, self.known = most, seed, {}
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
