@@ -19,6 +19,7 @@ import heapq
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -226,6 +227,10 @@ class Vocabulary:
         ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
         return np.frombuffer(b"".join(ids), np.int32), ends
 
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.parts, self.pieces = {}, {}
+
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of ids, in a row."""
         size = self.length[ids]
@@ -271,12 +276,15 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     """array<int> of the ids of a text column; no ids for null."""
 
     @F.arrow_udf(ArrayType(IntegerType(), False))
-    def ids(col: pa.Array) -> pa.Array:
-        v, out = vocabulary(path, pattern), []
-        for i, j in _column_slices(col):
-            values, ends = v.encode_batch(col.slice(i, j - i).to_pylist())
-            out.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values)))
-        return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+    def ids(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        v = vocabulary(path, pattern)
+        for col in cols:
+            out = []
+            for i, j in _column_slices(col):
+                values, ends = v.encode_batch(col.slice(i, j - i).to_pylist())
+                out.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values)))
+            yield pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+        v.forget()  # workers outlive their tasks, and what comes next needs the memory
 
     return ids(text)
 
