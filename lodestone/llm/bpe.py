@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType
 
+from lodestone.llm.common import small_batches
+
 #: A piece longer than this is merged alone.
 LONG = 1024
 NONE = np.iinfo(np.int32).max
@@ -317,6 +319,7 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
 
 def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids and the bytes they decode to, for each row with a doc_id and a text."""
+    small_batches(df.sparkSession)
     coded = df.select("doc_id", encode(F.col("text"), path, pattern).alias("ids"))
     return coded.select("doc_id", "ids", decode(F.col("ids"), path, pattern).alias("data"))
 

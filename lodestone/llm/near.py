@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WordHashes, materialise, mix
+from lodestone.llm.common import WordHashes, materialise, mix, small_batches
 
 #: Classes in a block, and the most needed classes (of some 16 bytes) that are broadcast to find their texts.
 BLOCK, BROADCAST_ROWS = 512, 2_000_000
@@ -194,6 +194,7 @@ def _components(edges: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """One row for each row of docs: doc_id, class_id (its group of near copies), copy_id (its class of equal
     sets), n_copies (rows of that class), n_links (other rows of similarity `threshold` or more), n_linked_classes."""
+    small_batches(docs.sparkSession)
     bands, rows = bands_for(threshold, recall)
     first = materialise(_prepared(docs, n, bands, rows))
     classes = first.filter(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from lodestone.llm.common import fold, materialise, uniform
+from lodestone.llm.common import fold, materialise, small_batches, uniform
 
 #: Rows of each class in the sample, and words in the lexicon.
 MOST, LEXICON = 8_000, 300
@@ -137,6 +137,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST, lexicon_size: int = LEXICON, trees: int = 20, depth: int = 3, seed: int = 5) -> Model:
     """Learns from the documents whose crc32(doc_id as text) mod 5 is not 0."""
+    small_batches(docs.sparkSession)
     y = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("__tox_y"))
     y = y.filter(F.col("__tox_y").isin(0, 1))
     n = {r["__tox_y"]: r["count"] for r in y.groupBy("__tox_y").count().collect()}
@@ -161,7 +162,9 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST, lexicon_size: in
     parts = [x.filter(~later), x.filter(later)]
     if any(len(p.select("__tox_y").distinct().head(2)) < 2 for p in parts):
         parts = [x, x]  # too few rows to keep some back
-    model = fit.fit(parts[0].coalesce(4).persist())
+    learned = parts[0].coalesce(4).persist()
+    model = fit.fit(learned)
+    learned.unpersist()
     p = model.transform(parts[1]).select("__tox_y", "__tox_w", vector_to_array("__tox_p").getItem(1).alias("__tox_raw_p"))
     iso = IsotonicRegression(featuresCol="__tox_raw_p", labelCol="__tox_y", weightCol="__tox_w", predictionCol="__tox_calibrated")
     return Model(lexicon, model, iso.fit(p), mean)
