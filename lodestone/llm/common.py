@@ -39,7 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Sets the most bytes of an Arrow batch (Spark's default is 64 MB): a batch of whole texts is held several
     times over, off the heap of the executor, in the buffers of its Python worker and as Python strings."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))

@@ -155,7 +155,7 @@ class Model:
         i = 0
         while i < len(order):
             j, n = i, 0
-            while j < len(order) and (n < 3_000_000):
+            while j < len(order) and n < 1_000_000:
                 n += len(texts[order[j]] or "")
                 j += 1
             rows = [(k, x) for k in order[i:j] if texts[k] and (x := _WORD.findall(texts[k].lower()))]
