@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from lodestone.sources.tables import shared_dir, table
 
 
+#: Event types and the stages of a job that they stand for.
+STAGES = {"signup": "cloning", "view": "parsing", "click": "embedding", "purchase": "complete", "error": "failed"}
+
+
 def quota_stream(spark: SparkSession, sf_dir: str, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(user_id, hour, n): events of each user in each window, by a stateful aggregation over a file stream."""
     kind = table(spark, sf_dir, "events").schema
@@ -28,3 +32,22 @@ def quota_stream(spark: SparkSession, sf_dir: str, length: str = "1 hour", late:
     q = counted.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(counted.schema).parquet(name)
+
+
+def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(job_id, event_id, stage): the latest stage of each job, ties to the larger event_id; the state is one row a job."""
+    kind = table(spark, sf_dir, "events").schema
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    name = f"{path}/out"
+    stage = F.lit("failed")
+    for k, v in STAGES.items():
+        stage = F.when(F.col("event_type") == k, v).otherwise(stage)
+    stream = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    latest = stream.groupBy(F.col("user_id").alias("job_id")).agg(F.max(F.struct("ts", "event_id", stage.alias("stage"))).alias("x")).select("job_id", "x.event_id", "x.stage")
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(name)
+
+    q = latest.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(latest.schema).parquet(name)
