@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import annotations, evaluation, graph, imports
+from lodestone.operators import annotations, evaluation, graph, imports, structure
 from lodestone.plans.registry import FIXTURES, both, fixture, query
 from lodestone.streaming import jobs
 
@@ -21,7 +21,8 @@ FIXTURES.update({
     "code": f"""select p_partkey, {_PATH} as path, case when p_partkey % 3 = 0
         then concat('import os, a', cast(p_size as string), '.b as c', chr(10), '# import gone', chr(10), 'from ..pkg.m import y', chr(10), 'def f(x):', chr(10), '    return x', chr(10))
         else concat('// import z from "./gone"', chr(10), 'import x from "./m', cast(p_partkey + 60 as string), '";', chr(10), '/* require("./gone") */', chr(10),
-          'import y from "../d', cast((p_partkey + 1) % 20 as string), '/m', cast(p_partkey + 1 as string), '";', chr(10), 'const q = require("@s/p', cast(p_size as string), '/sub");', chr(10), 'export * from "./none";', chr(10)) end as content from {{part}}""",
+          'import y from "../d', cast((p_partkey + 1) % 20 as string), '/m', cast(p_partkey + 1 as string), '";', chr(10), 'const q = require("@s/p', cast(p_size as string), '/sub");', chr(10), 'export * from "./none";', chr(10),
+          'export class C', cast(p_partkey as string), ' ', chr(123), chr(10), '  run(a) ', chr(123), chr(10), '    return "', chr(125), '";', chr(10), '  ', chr(125), chr(10), chr(125), chr(10), 'function g() ', chr(123), ' return 1; ', chr(125)) end as content from {{part}}""",
     "answered": f"""select o_custkey % 20 as batch, o_orderkey as ordinal, concat('src/o', cast(o_orderkey as string), '.ts') as path, case when o_orderkey % 31 = 0 then 429 when o_orderkey % 37 = 0 then 500 else 200 end as status,
         concat(case when o_orderkey % 4 = 0 then concat('```json', chr(10)) else '' end, chr(123), {_JSON}, case when o_orderkey % 6 = 0 then ',"httpMethod":"get","httpPath":"/o"' else ',"httpMethod":null' end,
           case when o_orderkey % 41 = 0 then '' else chr(125) end, case when o_orderkey % 4 = 0 then concat(chr(10), '```') else '' end) as answer from {{orders}}""",
@@ -59,6 +60,13 @@ def import_edges(spark, sf_dir):
     return imports.import_edges(specs.filter(~((F.col("ext") == ".py") & F.col("specifier").startswith("."))), x)
 
 
+@query("with k as (select p_partkey as p, " + _PATH.replace("string", "varchar") + """ as path from part),
+  t(py, kind, name, s, e) as (values (true, 'window', null, 1, 3), (true, 'function', 'f', 4, 5), (false, 'window', null, 1, 7), (false, 'method', '.run', 8, 10), (false, 'window', null, 11, 11), (false, 'function', 'g', 12, 12))
+  select path, kind, case when kind = 'method' then 'C' || p || name else name end as name, s::int as start_line, e::int as end_line from k join t on t.py = (p % 3 = 0)""")
+def structure_chunks(spark, sf_dir):
+    return structure.chunks(fixture(spark, sf_dir, "code")).drop("chunk")
+
+
 _OK = "o_orderkey % 29 <> 1 and o_orderkey % 41 <> 0"
 
 
@@ -149,3 +157,13 @@ FIXTURES["props"] = "select event_id, props from {events}"
   from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r from events) where r = 1""")
 def stream_job_state(spark, sf_dir):
     return jobs.job_state_stream(spark, sf_dir)
+
+
+@query("select distinct repository_id, sha256(content) as content_hash from {files}")
+def stream_ingest(spark, sf_dir):
+    return jobs.ingest_stream(spark, sf_dir)
+
+
+@query("select conv_id, count(*) as n_turns, sum(length(text))::bigint as n_chars, min(turn) as first_turn, max(turn) as last_turn from conversations where role = 'assistant' group by conv_id")
+def stream_tokens(spark, sf_dir):
+    return jobs.token_stream(spark, sf_dir)

@@ -9,45 +9,60 @@ from pyspark.sql import functions as F
 
 from lodestone.sources.tables import shared_dir, table
 
-
 #: Event types and the stages of a job that they stand for.
 STAGES = {"signup": "cloning", "view": "parsing", "click": "embedding", "purchase": "complete", "error": "failed"}
 
 
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The files of a table as a stream; a table is a file or a folder of files."""
+    whole = table(spark, sf_dir, name)
+    single = whole.select("_metadata.file_path").head()
+    if single is None or single[0].endswith(f"/{name}.parquet"):
+        return spark.readStream.schema(whole.schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(whole.schema).parquet(f"{sf_dir}/{name}.parquet")
+
+
+def finished(result: DataFrame, mode: str) -> DataFrame:
+    """Runs a stream to its end and rereads what it wrote: all of the last batch in complete mode, else every batch.
+
+    A batch that runs again after a failure overwrites its own folder, so no row comes twice."""
+    path = f"{shared_dir(result.sparkSession)}/stream-{uuid.uuid4().hex}"
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={0 if mode == 'complete' else number}")
+
+    q = result.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return result.sparkSession.read.schema(result.schema).parquet(f"{path}/out/batch=*")
+
+
 def quota_stream(spark: SparkSession, sf_dir: str, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(user_id, hour, n): events of each user in each window, by a stateful aggregation over a file stream."""
-    kind = table(spark, sf_dir, "events").schema
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    name = f"{path}/out"
-    stream = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     counted = (
-        stream.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+        read(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
         .groupBy(F.window("at", length).alias("w"), "user_id").agg(F.count("*").alias("n"))
         .select("user_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n")
     )
-
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(name)
-
-    q = counted.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(counted.schema).parquet(name)
+    return finished(counted, "complete")
 
 
 def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(job_id, event_id, stage): the latest stage of each job, ties to the larger event_id; the state is one row a job."""
-    kind = table(spark, sf_dir, "events").schema
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    name = f"{path}/out"
     stage = F.lit("failed")
     for k, v in STAGES.items():
         stage = F.when(F.col("event_type") == k, v).otherwise(stage)
-    stream = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    latest = stream.groupBy(F.col("user_id").alias("job_id")).agg(F.max(F.struct("ts", "event_id", stage.alias("stage"))).alias("x")).select("job_id", "x.event_id", "x.stage")
+    latest = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.max(F.struct("ts", "event_id", stage.alias("stage"))).alias("x"))
+    return finished(latest.select("job_id", "x.event_id", "x.stage"), "complete")
 
-    def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(name)
 
-    q = latest.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.schema(latest.schema).parquet(name)
+def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repository_id, content_hash): each distinct content of a repository once, as it first arrives; the state holds the keys."""
+    new = read(spark, sf_dir, "documents").select(F.col("source").alias("repository_id"), F.sha2("text", 256).alias("content_hash"))
+    return finished(new.dropDuplicates(["repository_id", "content_hash"]), "append")
+
+
+def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, n_turns, n_chars, first_turn, last_turn) of the assistant's turns; the state is one row a conversation."""
+    turns = read(spark, sf_dir, "conversations").filter("role = 'assistant'").groupBy("conv_id")
+    out = turns.agg(F.count("*").alias("n_turns"), F.sum(F.length("text").cast("long")).alias("n_chars"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
+    return finished(out, "complete")

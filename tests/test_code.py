@@ -1,6 +1,6 @@
 import json
 
-from lodestone.operators import annotations, evaluation, imports
+from lodestone.operators import annotations, chunking, evaluation, imports, structure
 from pyspark.sql import functions as F
 
 FLAGS = ("isRoute", *annotations.FLAGS)
@@ -46,3 +46,22 @@ def test_reports(spark):
     wanted = spark.createDataFrame([("o", "u"), ("o", "v"), ("o", "w"), ("p", "u")], "owner string, url string")
     plan = evaluation.import_plan(wanted, repos, spark.createDataFrame([(1,), (1,), (2,)], "repository_id int"))
     assert {(r["owner"], r["url"]): r["action"] for r in plan.collect()} == {("o", "u"): "reuse", ("o", "v"): "restart", ("o", "w"): "restart", ("p", "u"): "create"}
+
+
+def test_structure(spark):
+    py = "import os\n\n@deco\ndef f():\n    def inner():\n        pass\n\nclass A:\n    x = 1\n\n    def m(self):\n        return 1\n\nclass B:\n    y = 2\n"
+    js = "// class No {\nclass A extends B {\n  constructor(a) { this.s = '}'; }\n  async run() {\n    if (a) { b(); }\n  }\n}\nclass E {\n}\nfunction* g(a, b) {\n  return () => {};\n}\n"
+    assert structure.of_python(py) == [("function", "f", 3, 6), ("method", "A.m", 11, 12), ("class", "B", 14, 15)]
+    assert structure.of_script(js) == [("method", "A.constructor", 3, 3), ("method", "A.run", 4, 6), ("class", "E", 8, 9), ("function", "g", 10, 12)]
+    long = "\n".join(f"x{i} = {i}" for i in range(90))
+    rows = [("a.py", py), ("b.ts", js), ("c.js", "function x() {"), ("d.py", "def ("), ("e.py", long + "\ndef f():\n    pass"), ("f.md", long), ("g.py", None), ("h.ts", " \n")]
+    x = spark.createDataFrame(rows, "path string, content string")
+    got = structure.chunks(x)
+    by = {}
+    for r in got.collect():
+        by.setdefault(r["path"], []).append((r["kind"], r["start_line"], r["end_line"]))
+        assert r["chunk"] == "\n".join(dict(rows)[r["path"]].split("\n")[r["start_line"] - 1 : r["end_line"]])
+    assert by["c.js"] == [("window", 1, 1)] == by["d.py"] and "g.py" not in by and "h.ts" not in by
+    assert by["e.py"] == [("window", 1, 40), ("window", 41, 80), ("window", 81, 90), ("function", 91, 92)]
+    assert [r[1:] for r in by["f.md"]] == [(r["start_line"], r["end_line"]) for r in chunking.line_windows(x.filter("path = 'f.md'")).collect()]
+    assert structure.chunks(x.limit(0)).count() == 0
