@@ -78,6 +78,29 @@ def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
 
 
+def shortest_paths(seeds: DataFrame, edges: DataFrame) -> DataFrame:
+    """(seed, node, path): the nodes of a shortest path from each seed to each node that it reaches, both ends included.
+
+    Of several shortest paths the first in the order of the node names counts."""
+    e = stage(edges.select(F.col("source").alias("from"), "target").distinct())
+    front = stage(seeds.select("seed", F.col("seed").alias("node"), F.array("seed").alias("path")).distinct())
+    seen = front
+    for _ in range(MAX_ROUNDS):
+        new = front.join(e, front["node"] == e["from"]).groupBy("seed", F.col("target").alias("node")).agg(F.min("path").alias("path"))
+        new = new.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        front = stage(new.select("seed", "node", F.concat("path", F.array("node")).alias("path")))
+        if not front.limit(1).count():
+            return seen
+        seen = seen.unionByName(front)
+    raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
+
+
+def first_relations(edges: DataFrame, most: int = 8) -> DataFrame:
+    """direct() with a rank: the first relations of each node in each direction, in the order of the other's name."""
+    w = Window.partitionBy("node", "direction").orderBy("other")
+    return direct(edges).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+
+
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """The smallest label that reaches each node (node, label) along edges (a, b)."""
     for _ in range(MAX_ROUNDS):

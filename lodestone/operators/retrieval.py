@@ -32,3 +32,14 @@ def context_prompt(ranked: DataFrame, key: str = "question_id") -> DataFrame:
     block = F.concat(F.lit("--- Context "), F.col("rank").cast("string"), F.lit(": "), "location", F.lit(" - "), "label", F.lit(" ---\n"), "content")
     x = ranked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", block.alias("b")))).alias("x"))
     return x.select(key, F.array_join(F.transform("x", lambda e: e["b"]), "\n\n").alias("prompt"))
+
+
+def graph_prompt(questions: DataFrame, relations: DataFrame) -> DataFrame:
+    """(question_id, prompt): the text of each question, after the relations of its node if there are any.
+
+    questions: question_id, node, text; relations: node, direction, rank, other, a bounded number for each node."""
+    line = F.concat(F.lit("- "), "direction", F.lit(": "), "other")
+    facts = relations.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("direction", "rank", line.alias("l")))).alias("x"))
+    facts = facts.select("node", F.array_join(F.transform("x", lambda e: e["l"]), "\n").alias("facts"))
+    x = questions.join(facts, "node", "left")
+    return x.select("question_id", F.when(F.col("facts").isNull(), F.col("text")).otherwise(F.concat(F.lit("Graph facts:\n"), "facts", F.lit("\n\n"), "text")).alias("prompt"))

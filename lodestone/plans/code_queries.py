@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import annotations, evaluation, graph, imports, structure
-from lodestone.plans.registry import FIXTURES, both, fixture, query
+from lodestone.operators import annotations, evaluation, graph, imports, retrieval, structure
+from lodestone.plans.registry import FIXTURES, fixture, query
 from lodestone.streaming import jobs
 
 _EXT = "case p_partkey % 3 when 0 then '.py' when 1 then '.ts' else '.js' end"
@@ -133,8 +133,29 @@ def containment_depth(spark, sf_dir):
     return graph.reach(roots, edges).filter("depth > 0").select("node", "depth")
 
 
-both("first_relations", """select node, other, direction, rank from (select *, cast(row_number() over (partition by node, direction order by other) as int) as rank from (
-  select source as node, target as other, 'outgoing' as direction from {imports} union select target, source, 'incoming' from {imports}) as u) as x where rank <= 8""")
+_FIRST = """select node, other, direction, rank from (select *, (row_number() over (partition by node, direction order by other))::int as rank from (
+  select source as node, target as other, 'outgoing' as direction from {imports} union select target, source, 'incoming' from {imports}) as u) as x where rank <= 8"""
+
+
+@query(_FIRST)
+def first_relations(spark, sf_dir):
+    return graph.first_relations(fixture(spark, sf_dir, "imports"))
+
+
+@query("with f as (" + _FIRST + """), t as (select node, string_agg('- ' || direction || ': ' || other, chr(10) order by direction, rank) as facts from f group by node)
+  select question_id, case when facts is null then text else 'Graph facts:' || chr(10) || facts || chr(10) || chr(10) || text end as prompt from {questions} as q left join t on t.node = 'p/' || q.question_id""")
+def graph_prompts(spark, sf_dir):
+    q = fixture(spark, sf_dir, "questions").select("question_id", "text", F.concat(F.lit("p/"), F.col("question_id").cast("string")).alias("node"))
+    return retrieval.graph_prompt(q, graph.first_relations(fixture(spark, sf_dir, "imports")))
+
+
+@query("""with recursive e as (select distinct source, target from {imports}), r as (select distinct source as seed, source as node, [source] as path from e where source like 's/%'
+  union all select r.seed, e.target, list_append(r.path, e.target) from r join e on e.source = r.node where not list_contains(r.path, e.target)),
+  d as (select *, row_number() over (partition by seed, node order by len(path), path) as k from r) select seed, node, array_to_string(path, ' > ') as path from d where k = 1""")
+def shortest_paths(spark, sf_dir):
+    e = fixture(spark, sf_dir, "imports")
+    seeds = e.filter(F.col("source").startswith("s/")).select(F.col("source").alias("seed"))
+    return graph.shortest_paths(seeds, e).select("seed", "node", F.array_join("path", " > ").alias("path"))
 
 
 @query("select conv_id, turn, case when turn % 7 = 3 then null when turn % 7 = 6 then 'done' else 'token' end as kind, case when turn % 7 not in (3, 6) then 't' || turn end as token from conversations")

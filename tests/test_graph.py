@@ -3,7 +3,7 @@ import random
 import pytest
 
 from lodestone.functions import scalars
-from lodestone.operators import chunking, graph
+from lodestone.operators import chunking, graph, retrieval
 from pyspark.sql import functions as F
 
 
@@ -56,6 +56,20 @@ def test_random_graph(spark):
     assert found(graph.cycles(e)) == want
 
 
+def test_shortest_paths(spark):
+    e = edges(spark, [("A", "B"), ("B", "D"), ("A", "C"), ("C", "D"), ("D", "A"), ("D", "E"), ("X", "E")])
+    got = {(r["seed"], r["node"]): r["path"] for r in graph.shortest_paths(spark.createDataFrame([("A",), ("E",)], "seed string"), e).collect()}
+    assert got[("A", "D")] == ["A", "B", "D"] and got[("A", "E")] == ["A", "B", "D", "E"] and got[("A", "A")] == ["A"]
+    assert set(got) == {("A", x) for x in "ABCDE"} | {("E", "E")}
+
+
+def test_graph_prompt(spark):
+    r = graph.first_relations(edges(spark, [("A", x) for x in "BCD"] + [("A", "A")]), 2)
+    q = spark.createDataFrame([(1, "A", "why?"), (2, "Z", None), (3, "Z", "how?")], "question_id int, node string, text string")
+    got = {x["question_id"]: x["prompt"] for x in retrieval.graph_prompt(q, r).collect()}
+    assert got == {1: "Graph facts:\n- incoming: A\n- outgoing: A\n- outgoing: B\n\nwhy?", 2: None, 3: "how?"}
+
+
 def test_windows(spark):
     files = spark.createDataFrame([("a", "\n".join(map(str, range(100)))), ("b", "x"), ("c", " \n ")], "path string, content string")
     got = [(r["path"], r["start_line"], r["end_line"]) for r in chunking.line_windows(files).orderBy("path", "start_line").collect()]
