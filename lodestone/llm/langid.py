@@ -208,11 +208,13 @@ def train(docs: DataFrame, most: int = MOST, bits: int = BITS, seed: int = 3) ->
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "kind": pa.array([kind] * len(at), pa.int32()), "bucket": pa.array(at), "n": pa.array(a[at])})
 
     counts = materialise(sample.mapInArrow(counted, "lang string, kind int, bucket long, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")))
-    got = counts.toPandas()  # at most (2 * 2^bits + scripts) * languages rows
+    code = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")).cast("int") - 1
+    got = counts.select(code.alias("lang"), "kind", F.col("bucket").cast("int").alias("bucket"), "n").toArrow()  # at most (2 * 2^bits + scripts) * languages rows of 20 bytes
+    lang, kinds, bucket, n = (c.to_numpy() for c in got.columns)
     tables = []
     for kind, rows in ((0, 1 << bits), (1, 1 << bits), (2, len(_NAMES))):
-        a, g = np.zeros((rows, len(langs))), got[got["kind"] == kind]
-        a[g["bucket"].to_numpy(), g["lang"].map({k: i for i, k in enumerate(langs)}).to_numpy()] = g["n"]
+        a, here = np.zeros((rows, len(langs))), kinds == kind
+        a[bucket[here], lang[here]] = n[here]
         tables.append(a)
     return Model(langs, *tables, bits)
 
