@@ -14,19 +14,28 @@ TEXTS = ("httpMethod", "httpPath", "entityName")
 _KIND = "struct<" + ", ".join([f"{f}: boolean" for f in ("isRoute", *FLAGS)] + [f"{t}: string" for t in TEXTS]) + ">"
 
 
+def _whole(answer: Column) -> Column:
+    """An array of the answer's struct, empty unless all nine flags are booleans. Being tested inside a lambda, the
+    answer is parsed once and not once for each flag."""
+    bare = F.trim(F.regexp_replace(answer, r"^\s*```(?:json)?\s*|\s*```\s*$", ""))
+
+    def good(x: Column) -> Column:
+        ok = F.lit(True)
+        for f in ("isRoute", *FLAGS):
+            ok = ok & x[f].isNotNull()
+        return ok
+
+    return F.filter(F.array(F.from_json(bare, _KIND)), good)
+
+
 def parsed(answer: Column) -> Column:
     """The struct of an answer with or without a code fence; null unless all nine flags are booleans."""
-    bare = F.trim(F.regexp_replace(answer, r"^\s*```(?:json)?\s*|\s*```\s*$", ""))
-    x = F.from_json(bare, _KIND)
-    whole = F.lit(True)
-    for f in ("isRoute", *FLAGS):
-        whole = whole & x[f].isNotNull()
-    return F.when(whole, x)
+    return F.get(_whole(answer), F.lit(0))
 
 
 def nodes(answers: DataFrame) -> DataFrame:
     """(id, type, label, path) of answers (path, answer): one node for each flag, and a route if its method and path are known."""
-    x = answers.select("path", parsed(F.col("answer")).alias("a")).filter("a is not null")
+    x = answers.select("path", F.explode(_whole(F.col("answer"))).alias("a"))
     label = F.coalesce("a.entityName", "path")
     flagged = F.array_compact(F.array(*[F.when(F.col(f"a.{f}"), F.lit(t)) for f, t in FLAGS.items()]))
     plain = x.select("path", label.alias("label"), F.explode(flagged).alias("type")).select(F.concat("type", F.lit(":"), "path").alias("id"), "type", "label", "path")
