@@ -57,7 +57,30 @@ def citations(answer: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(answer, F.lit(r"\[([^\[\]:\n]+:\d+-\d+)\]"), F.lit(1)))
 
 
+#: Texts of errors that no repetition mends (fixed values).
+PERMANENT = ("repository not found", "invalid username or token", "authentication failed", "not found", "permission denied")
+
+
 def failure_class(message: Column) -> Column:
+    """permanent or retryable; a null message is retryable."""
     m = F.lower(message)
-    permanent = m.contains("not found") | m.contains("authentication") | m.contains("too large") | m.contains("too many files") | m.contains("invalid")
+    permanent = F.lit(False)
+    for text in PERMANENT:
+        permanent = permanent | m.contains(text)
     return F.when(permanent, "permanent").otherwise("retryable")
+
+
+#: Accepted addresses of repositories (fixed value).
+REPOSITORY = r"^https://github\.com/([\w.-]+)/([\w.-]+?)(\.git)?/?$"
+
+
+def repository_name(url: Column) -> Column:
+    """struct<owner, name> of an accepted address; null for any other text."""
+    u = F.trim(url)
+    part = lambda i: F.regexp_extract(u, REPOSITORY, i)
+    return F.when(u.rlike(REPOSITORY), F.struct(part(1).alias("owner"), part(2).alias("name")))
+
+
+def chars_per_second(chars: Column, ms: Column) -> Column:
+    """Rounded to whole characters; null unless ms is positive."""
+    return F.when(ms > 0, F.round(chars / ms * 1000).cast("long"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,3 +39,10 @@ def new_chunks(batch: DataFrame, target: DataFrame, keys: list[str], order: list
     """Idempotent ingest: the first row of each key that the target doesn't hold yet."""
     first = batch.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("r = 1").drop("r")
     return first.join(target.select(*keys), keys, "left_anti")
+
+
+def with_checkpoint(files: DataFrame, saved: DataFrame, keys: list[str], chunk: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The chunks of all files with `reused`: those saved for their keys if there are any, else chunked anew."""
+    held = saved.select(*keys).distinct()
+    old = saved.join(files.select(*keys).distinct(), keys, "left_semi").withColumn("reused", F.lit(True))
+    return old.unionByName(chunk(files.join(held, keys, "left_anti")).withColumn("reused", F.lit(False)))

@@ -113,6 +113,13 @@ def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
     raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
 
 
+def components(edges: DataFrame) -> DataFrame:
+    """(component, node) of the nodes of edges, whatever their direction; a component is named by its smallest node."""
+    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
+    both = stage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    return _spread(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), both).withColumnRenamed("label", "component")
+
+
 def cycles(edges: DataFrame) -> DataFrame:
     """(cycle_id, node): strongly connected components of several nodes or a self-loop; cycle_id is the smallest member.
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,3 +48,48 @@ def graph_prompt(questions: DataFrame, relations: DataFrame) -> DataFrame:
     facts = facts.select("node", F.array_join(F.transform("x", lambda e: e["l"]), "\n").alias("facts"))
     x = questions.join(facts, "node", "left")
     return x.select("question_id", F.when(F.col("facts").isNull(), F.col("text")).otherwise(F.concat(F.lit("Graph facts:\n"), "facts", F.lit("\n\n"), "text")).alias("prompt"))
+
+
+#: First lines of a prompt, with and without chunks; both are parameters of system_prompts.
+RULES = "Answer from the code below only. Cite every claim as [path:start-end], with paths and lines as they are shown. Say so if the code doesn't tell."
+REFUSAL = "No code was found for this question. Say so, suggest another wording, and don't answer from general knowledge."
+
+
+def embedded(texts: DataFrame, text: str = "content", dims: int = 64) -> DataFrame:
+    """texts with `v`: the counts of the words of each text in up to 256 hashed dimensions, scaled to length 1.
+
+    Words are runs of a-z and 0-9 in lower case; a null text or one without words gets an empty array. This is the offline
+    default of the embedding job; a model's vectors take its place as a column v of the same table."""
+    if not 1 <= dims <= 256:
+        raise ValueError("dims must lie between 1 and 256")
+
+    @F.arrow_udf("array<double>")
+    def vectors(col: pa.Array) -> pa.Array:
+        known: dict[str, int] = {}
+        out = []
+        for t in col:
+            words = re.findall("[a-z0-9]+", t.as_py() or "")
+            if len(known) > 200_000:
+                known.clear()
+            for w in set(words).difference(known):
+                known[w] = hashlib.md5(w.encode()).digest()[0] % dims
+            x = np.bincount([known[w] for w in words], minlength=dims) if words else np.zeros(0)
+            out.append(x / np.sqrt((x * x).sum()) if words else x)
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return texts.withColumn("v", vectors(F.lower(F.col(text))))
+
+
+def retrieved(questions: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
+    """top_chunks of the embedded questions (repository_id, query_id, text) and chunks (repository_id, chunk_id, content).
+
+    The search is exact; texts without words take no part."""
+    q = embedded(questions, "text").filter(F.size("v") > 0).select("repository_id", "query_id", F.col("v").alias("q"))
+    c = embedded(chunks).filter(F.size("v") > 0).select("repository_id", "chunk_id", "v")
+    return top_chunks(q, c, k)
+
+
+def system_prompts(questions: DataFrame, blocks: DataFrame, key: str = "question_id", rules: str = RULES, refusal: str = REFUSAL) -> DataFrame:
+    """(key, prompt): the rules and the ranked blocks of each question, or the refusal for one without blocks."""
+    x = questions.select(key).join(context_prompt(blocks, key).withColumnRenamed("prompt", "b"), key, "left")
+    return x.select(key, F.when(F.col("b").isNull(), refusal).otherwise(F.concat(F.lit(rules + "\n\n"), "b")).alias("prompt"))

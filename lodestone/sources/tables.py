@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 #: Extensions of source files that are kept, with their labels (fixed values).
 LANGUAGES = {
-    ".ts": "TypeScript", ".tsx": "TypeScript", ".js": "JavaScript", ".jsx": "JavaScript", ".py": "Python", ".go": "Go", ".java": "Java",
-    ".rb": "Ruby", ".rs": "Rust", ".c": "C", ".cpp": "C++", ".h": "C", ".cs": "C#", ".php": "PHP", ".md": "Markdown", ".json": "JSON",
+    ".js": "JavaScript", ".jsx": "JavaScript", ".mjs": "JavaScript", ".cjs": "JavaScript", ".ts": "TypeScript", ".tsx": "TypeScript", ".py": "Python",
+    ".go": "Go", ".rs": "Rust", ".java": "Java", ".rb": "Ruby", ".php": "PHP", ".c": "C", ".cpp": "C++", ".cs": "C#",
+    ".json": "JSON", ".yaml": "YAML", ".yml": "YAML", ".md": "Markdown",
 }
+#: Directories that hold no sources (fixed values); dotted ones are left out besides.
+IGNORED = ("node_modules", ".git", "dist", "build", ".next", "vendor", "__pycache__", ".venv", "venv", "target")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +40,7 @@ def stage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def scan_filter(files: DataFrame, most_bytes: int, ignored: tuple[str, ...] = ("node_modules", ".git", "dist", "build", "vendor")) -> DataFrame:
+def scan_filter(files: DataFrame, most_bytes: int, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """Files with a kept extension and size, outside ignored and dotted directories."""
     parts = F.split("path", "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)

@@ -66,3 +66,19 @@ def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").filter("role = 'assistant'").groupBy("conv_id")
     out = turns.agg(F.count("*").alias("n_turns"), F.sum(F.length("text").cast("long")).alias("n_chars"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
     return finished(out, "complete")
+
+
+def stale_job_stream(spark: SparkSession, sf_dir: str, minutes: int = 10, attempts: int = 3, most: int = 1000) -> DataFrame:
+    """(job_id, event_id, stage, ts): the jobs to claim, oldest first and `most` a sweep, from the latest state of each job.
+
+    A job is stale if it isn't complete, has attempts left and its last event is over `minutes` older than the newest of all. The
+    state of the stream is one row a job; the sweep reads what the stream wrote."""
+    stage = F.lit("failed")
+    for k, v in STAGES.items():
+        stage = F.when(F.col("event_type") == k, v).otherwise(stage)
+    state = F.struct("ts", "event_id", stage.alias("stage"), (F.col("event_id") % 4).alias("attempts"))
+    latest = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.max(state).alias("x"))
+    jobs = finished(latest.select("job_id", "x.*"), "complete")
+    now = jobs.agg(F.max("ts")).first()[0]
+    old = jobs.filter((F.col("stage") != "complete") & (F.col("attempts") < attempts) & (F.col("ts") < F.lit(now) - F.expr(f"interval {minutes} minutes")))
+    return old.select("job_id", "event_id", "stage", "ts").orderBy("ts", "job_id").limit(most)
