@@ -12,9 +12,11 @@
 4. Groups are the connected components of these edges, by minimum labels and pointer jumping.
 
 Defined cases: null texts and texts without a word have no n-grams; each such row is a class without
-links. Rows that repeat a doc_id are rows of their own that share a class if their texts do; a class is
-named by its smallest doc_id (null counts as the smallest). Texts shorter than n words are linked only
-if they are equal word for word. No rows give no rows; other columns aren't read.
+links. A class is its set of n-grams, whatever doc_ids its rows have: rows that repeat a doc_id, or have
+none, are rows of their own that share a class only if their texts do. A class is shown by its smallest
+doc_id (null if it has none) and a group by the smallest of its classes (null counts as the smallest), so
+different classes can be shown alike. Texts shorter than n words are linked only if they are equal word
+for word. No rows give no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import WordHashes, materialise, mix, small_batches
@@ -83,8 +85,12 @@ class Shingler:
         return out
 
 
+def _digest() -> Column:
+    return F.unhex(F.md5(F.col("text").cast("string"))).alias("digest")
+
+
 def _prepared(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, key (of the set of n-grams; null without one), bands."""
+    """doc_id, digest (of the text), key (of the set of n-grams; null without one), bands."""
 
     def run(batches):
         s = Shingler(n, bands, rows)
@@ -94,9 +100,9 @@ def _prepared(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                 g = s.grams(t.as_py())
                 keys.append(xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None)
                 out.append(s.signature(g).view(np.int64) if len(g) else None)
-            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"].cast(pa.int64()), b["digest"], pa.array(keys, pa.binary()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "digest", "key", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, digest binary, key binary, bands array<long>")
 
 
 def pair_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -119,9 +125,9 @@ def pair_counts(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _linked(t: dict, threshold: float) -> list[tuple[int, int, int, int]]:
+def _linked(t: dict, threshold: float) -> list[tuple[bytes, bytes, int, int]]:
     """(class, root, linked rows, linked classes) for the classes of one tile that have links in it."""
-    m = len(t["rep"])
+    m = len(t["key"])
     sets, sig, left = t["grams"], np.array(t["bands"], np.int64), np.array(t["left"])
     size, copies, band = np.array([len(s) for s in sets]), np.array(t["copies"], np.int64), t["band"]
     if m == 2:
@@ -144,28 +150,28 @@ def _linked(t: dict, threshold: float) -> list[tuple[int, int, int, int]]:
         if (new == root).all():
             break
         root = new
-    rep = t["rep"]
+    key = t["key"]
     weight = ok @ copies
-    return [(rep[i], rep[root[i]], int(weight[i]), int(ok[i].sum())) for i in has]
+    return [(key[i], key[root[i]], int(weight[i]), int(ok[i].sum())) for i in has]
 
 
 def _tiles(batches, threshold: float):
     """Gathers the rows of each tile from batches sorted by tile, and verifies one tile at a time."""
-    kind = pa.schema([("rep", pa.int64()), ("root", pa.int64()), ("n_rows", pa.int64()), ("n_classes", pa.int64())])
+    kind = pa.schema([("key", pa.binary()), ("root", pa.binary()), ("n_rows", pa.int64()), ("n_classes", pa.int64())])
     now, tile = None, {}
 
     def ended():
-        rows = _linked(tile, threshold) if tile and len(tile["rep"]) > 1 else []
+        rows = _linked(tile, threshold) if tile and len(tile["key"]) > 1 else []
         return pa.RecordBatch.from_pydict(dict(zip(kind.names, zip(*rows, strict=True) if rows else [[]] * 4, strict=True)), kind)
 
     for b in batches:
         for r in b.to_pylist():
-            key = (r["bucket"], r["lo"], r["hi"])
-            if key != now:
+            at = (r["bucket"], r["lo"], r["hi"])
+            if at != now:
                 if tile:
                     yield ended()
-                now, tile = key, {"rep": [], "grams": [], "bands": [], "copies": [], "left": [], "band": r["band"], "cross": r["lo"] != r["hi"]}
-            for k in ("rep", "bands", "copies"):
+                now, tile = at, {"key": [], "grams": [], "bands": [], "copies": [], "left": [], "band": r["band"], "cross": r["lo"] != r["hi"]}
+            for k in ("key", "bands", "copies"):
                 tile[k].append(r[k])
             tile["grams"].append(np.frombuffer(r["grams"], np.uint64))
             tile["left"].append(r["block"])
@@ -174,48 +180,47 @@ def _tiles(batches, threshold: float):
 
 
 def _components(edges: DataFrame) -> DataFrame:
-    """rep -> root (the smallest rep of its component), for edges (rep, root)."""
-    one = edges.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")).distinct()
+    """key -> root (the smallest key of its component), for edges (key, root)."""
+    one = edges.filter("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")).distinct()
     edges = materialise(one)
-    labels = edges.select(F.explode(F.array("a", "b")).alias("rep")).distinct().withColumn("root", F.col("rep"))
+    labels = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("root", F.col("key"))
     both = materialise(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     for _ in range(ROUNDS):
-        near = both.join(labels, both["b"] == labels["rep"]).groupBy("a").agg(F.min("root").alias("near"))
-        hop = labels.select(F.col("rep").alias("root"), F.col("root").alias("far"))
-        new = labels.join(near, labels["rep"] == near["a"]).join(hop, "root", "left")
-        new = materialise(new.select("rep", F.least("root", "near", "far").alias("new"), F.col("root")))
+        near = both.join(labels, both["b"] == labels["key"]).groupBy("a").agg(F.min("root").alias("near"))
+        hop = labels.select(F.col("key").alias("root"), F.col("root").alias("far"))
+        new = labels.join(near, labels["key"] == near["a"]).join(hop, "root", "left")
+        new = materialise(new.select("key", F.least("root", "near", "far").alias("new"), F.col("root")))
         changed = new.filter("new <> root").limit(1).count()
-        labels = new.select("rep", F.col("new").alias("root"))
+        labels = new.select("key", F.col("new").alias("root"))
         if not changed:
             return labels
     raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
 
 
-def near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id (its group of near copies), copy_id (its class of equal
-    sets), n_copies (rows of that class), n_links (other rows of similarity `threshold` or more), n_linked_classes."""
+def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """The rows of docs (_prepared), and the classes: key, root (key of the group), copies, copy_id, n_rows, n_classes."""
     small_batches(docs.sparkSession)
     bands, rows = bands_for(threshold, recall)
     first = materialise(_prepared(docs, n, bands, rows))
-    classes = first.filter(F.col("key").isNotNull()).groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
+    keyed = first.filter(F.col("key").isNotNull())
+    classes = keyed.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("copy_id"))
     # equal sets have equal signatures, so any row of the class will do
-    reps = first.filter(F.col("key").isNotNull()).join(classes, "key").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["key"])
-    reps = materialise(reps.select("key", "rep", "copies", "bands"))
-    every = reps.select(F.coalesce("rep", F.lit(-(2**63))).alias("rep"), F.posexplode("bands").alias("band", "h"))
+    reps = keyed.join(classes, "key").filter(F.col("doc_id").eqNullSafe(F.col("copy_id"))).dropDuplicates(["key"])
+    reps = materialise(reps.select("key", "copy_id", "digest", "copies", "bands"))
+    every = reps.select("key", F.posexplode("bands").alias("band", "h"))
     shared = every.groupBy("band", "h").agg(
-        F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("f"), F.bit_xor(F.xxhash64(F.lit(7), "rep")).alias("g")
+        F.count("*").alias("m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("f"), F.bit_xor(F.xxhash64(F.lit(7), "key")).alias("g")
     ).filter("m > 1")
     kept = shared.groupBy("m", "f", "g").agg(F.min(F.struct("band", "h")).alias("x")).select("m", "x.band", "x.h")
     members = materialise(every.join(kept, ["band", "h"]))
-    needed = members.select("rep").distinct()
+    needed = members.select("key").distinct()
+    wanted = reps.join(needed, "key", "left_semi")
     count = needed.count()
 
-    ids = reps.select(F.coalesce("rep", F.lit(-(2**63))).alias("rep"), F.col("rep").alias("doc_id"), "key", "copies", "bands")
-    wanted = ids.join(needed, "rep", "left_semi")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    narrow = needed.select(F.when(F.col("rep") != -(2**63), F.col("rep")).alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _digest(), F.col("text").cast("string").alias("text"))
+    narrow = wanted.select("copy_id", F.col("digest").alias("d"))
     narrow = F.broadcast(narrow) if count <= BROADCAST_ROWS else narrow
-    found = texts.join(narrow, texts["doc_id"].eqNullSafe(narrow["doc_id"]), "left_semi")
+    found = texts.join(narrow, (texts["digest"] == narrow["d"]) & texts["doc_id"].eqNullSafe(narrow["copy_id"]), "left_semi").select("text")
 
     def regram(batches):
         s = Shingler(n, bands, rows)
@@ -224,42 +229,57 @@ def near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: flo
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(g.tobytes()) for g in sets], pa.binary()), pa.array([g.tobytes() for g in sets], pa.binary())], names=["key", "grams"])
 
     sets = found.mapInArrow(regram, "key binary, grams binary").join(wanted, "key").dropDuplicates(["key"])
-    sets = materialise(sets.select("rep", "copies", "bands", "grams"))
+    sets = materialise(sets.select("key", "copies", "bands", "grams"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "rep"), F.col("blocks")).cast("int"))
+    dealt = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("rep", "band", "block", F.xxhash64("band", "h").alias("bucket"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    tiles = dealt.join(sets, "rep").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
-    links = materialise(tiles.mapInArrow(lambda b: _tiles(b, threshold), "rep long, root long, n_rows long, n_classes long"))
-    totals = links.groupBy("rep").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_classes").alias("n_classes"))
-    info = ids.select("rep", "key", "copies").join(totals, "rep", "left").join(_components(links.select("rep", "root")), "rep", "left")
-    name = lambda c: F.when(F.col(c) != -(2**63), F.col(c))
-    info = info.select("key", "copies", name("rep").alias("copy_id"), name("root").alias("root"), F.col("root").isNull().alias("alone"), F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.coalesce("n_classes", F.lit(0)).alias("n_classes"))
-    out = first.select("doc_id", "key").join(info, "key", "left")
+    dealt = dealt.select("key", "band", "block", F.xxhash64("band", "h").alias("bucket"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    tiles = dealt.join(sets, "key").repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+    links = materialise(tiles.mapInArrow(lambda b: _tiles(b, threshold), "key binary, root binary, n_rows long, n_classes long"))
+    totals = links.groupBy("key").agg(F.sum("n_rows").alias("n_rows"), F.sum("n_classes").alias("n_classes"))
+    info = reps.select("key", "copies", "copy_id").join(totals, "key", "left").join(_components(links.select("key", "root")), "key", "left")
+    return first, info.withColumn("root", F.coalesce("root", "key"))
+
+
+def near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """One row for each row of docs: doc_id, class_id (its group of near copies), copy_id (its class of equal
+    sets), n_copies (rows of that class), n_links (other rows of similarity `threshold` or more), n_linked_classes."""
+    first, info = _classes(docs, n, threshold, recall)
+    info = materialise(info)
+    names = info.groupBy("root").agg(F.min(F.struct(F.col("copy_id").isNotNull(), "copy_id"))["copy_id"].alias("class_id"))
+    out = first.select("doc_id", "key").join(info.join(names, "root"), "key", "left")
     none = F.col("copies").isNull()
     return out.select(
         "doc_id",
-        F.when(none, F.col("doc_id")).when(F.col("alone"), F.col("copy_id")).otherwise(F.col("root")).alias("class_id"),
+        F.when(none, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(none, F.col("doc_id")).otherwise(F.col("copy_id")).alias("copy_id"),
         F.coalesce(F.col("copies"), F.lit(1)).cast("long").alias("n_copies"),
-        F.coalesce(F.col("copies") - 1 + F.col("n_rows"), F.lit(0)).cast("long").alias("n_links"),
+        F.coalesce(F.col("copies") - 1 + F.coalesce("n_rows", F.lit(0)), F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("n_classes", F.lit(0)).cast("long").alias("n_linked_classes"),
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near copies: that of the smallest doc_id. Rows without n-grams stay,
-    and so do rows with a null doc_id (they can't be told apart)."""
-    groups = near_copies(docs.select("doc_id", "text"))
-    losers = groups.filter((F.col("doc_id") != F.col("class_id")) | F.col("class_id").isNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__near_id")).distinct()
-    kept = docs.join(losers, docs["doc_id"] == losers["__near_id"], "left_anti")
-    repeated = groups.groupBy("doc_id").count().filter("count > 1 and doc_id is not null")
-    if repeated.limit(1).count() == 0:
+    """docs with one row of each group of near copies: that of the smallest doc_id (null counts as the largest;
+    of several texts with that doc_id, the one of the smallest digest). Rows without n-grams stay.
+
+    A row is known by its doc_id and the digest of its text. Of rows equal in both, one stays."""
+    first, info = _classes(docs.select("doc_id", "text"), 5, 0.8, 0.9999)
+    rows = materialise(first.filter(F.col("key").isNotNull()).groupBy("key", "doc_id", "digest").count().join(info.select("key", "root"), "key"))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    best = rows.groupBy("root").agg(F.min(order).alias("best")).select("root", "best.doc_id", "best.digest")
+    best = rows.join(best.withColumnsRenamed({"root": "r", "doc_id": "i", "digest": "d"}), (F.col("root") == F.col("r")) & (F.col("digest") == F.col("d")) & F.col("doc_id").eqNullSafe(F.col("i")), "left")
+    best = materialise(best.select(F.col("doc_id").alias("__near_id"), F.col("digest").alias("__near_digest"), F.col("r").isNull().alias("lost"), "count"))
+    marks = best.columns[:2]
+    x = docs.withColumn("__near_text", _digest())
+    same = (F.col("__near_text") == F.col(marks[1])) & F.col("doc_id").cast("long").eqNullSafe(F.col(marks[0]))
+    single = best.filter("not lost and count > 1").select(*marks)
+    kept = x.join(best.filter("lost or count > 1").select(*marks), same, "left_anti").drop("__near_text")
+    if not single.limit(1).count():
         return kept
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    again = docs.join(repeated.select(F.col("doc_id").alias("__near_id")), F.col("doc_id") == F.col("__near_id"), "left_semi").join(losers, F.col("doc_id") == F.col("__near_id"), "left_anti")
-    single = again.withColumn("__near_r", F.row_number().over(w)).filter("__near_r = 1").drop("__near_r")
-    return kept.join(repeated.select(F.col("doc_id").alias("__near_id")), F.col("doc_id") == F.col("__near_id"), "left_anti").unionByName(single)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = x.join(single, same).groupBy(*marks).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("__near_row"))
+    return kept.unionByName(again.select("__near_row.*"))
 
 
 #: DuckDB's SQL for near_copies over documents: exact n-grams, a self-join on them, recursive components.

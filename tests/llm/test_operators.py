@@ -93,6 +93,22 @@ def test_near(spark, docs, none):
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9999
 
 
+def test_near_copies_of_rows_that_share_ids(spark):
+    text = lambda k, i=None: " ".join("new" if j == i else f"{k}{j}" for j in range(60))
+    # the ids 1 and 5 have several texts, a has near copies without an id, and the classes b and c have the same smallest id
+    data = [(1, text("a")), (2, text("a", 30)), (None, text("a", 31)), (1, text("b")), (1, text("c")), (3, text("c", 9)), (5, text("b", 20)), (5, text("d"))]
+    data += [(None, text("e")), (None, text("f")), (None, text("f", 5)), (1, None), (1, None), (7, text("g")), (7, text("g"))]
+    x = spark.createDataFrame([(d, t, i) for i, (d, t) in enumerate(data)], "doc_id long, text string, row long")
+    g = [frozenset(tuple(t.split()[i : i + 5]) for i in range(56)) if t else None for _, t in data]
+    alike = [[j for j in range(len(g)) if g[i] and g[j] and len(g[i] & g[j]) >= 0.8 * len(g[i] | g[j])] or [i] for i in range(len(g))]
+    want = Counter((data[i][0], len(a) - 1, sum(g[j] != g[i] for j in a)) for i, a in enumerate(alike))
+    assert Counter((r["doc_id"], r["n_links"], r["n_linked_classes"]) for r in near.near_copies(x).collect()) == want
+    kept = near.one_of_each(x).collect()
+    assert {len(a) for a in alike} == {1, 2, 3} and all(set(alike[j]) == set(a) for a in alike for j in a)
+    assert Counter(min(alike[r["row"]]) for r in kept) == Counter(min(a) for a in {tuple(a) for a in alike})
+    assert {r["row"] for r in kept} >= {0, 3, 4, 7, 8, 11, 12} and near.one_of_each(x).columns == x.columns
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(90, 8)).round(1)
