@@ -6,8 +6,9 @@ probability calibrated so that the expected tokens of the sample are the wanted
 raked / own tokens of the cell), where k makes up for the cells whose probability is 1. A row's chance
 is decided by a hash of its doc_id, so a lost task decides the same again.
 
-Topics are the nearest of `TOPICS` centroids of hashed word counts, fitted by k-means on a bounded
-sample of about `MOST` rows; all rows are then assigned. At most `SMALL` cells are raked on the driver; beyond that they stay distributed.
+Topics are the nearest of `TOPICS` centroids of hashed word counts, fitted by spherical k-means on all rows
+that have a word. Profiles and centres are whole numbers, so sums and products are exact and the fit is the
+same in every run, however the rows are partitioned. At most `SMALL` cells are raked on the driver; beyond that they stay distributed.
 
 Defined cases: a null source or language is a category of its own; null and empty texts have 0 words
 and weigh 1 token, like their end; rows that repeat a doc_id share its chance; no rows give no rows;
@@ -16,16 +17,18 @@ inputs keep all their columns (only names that start with __mix_ are taken).
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import hash_words, materialise, text_slices, uniform
 
-TOPICS, MOST, WIDTH = 8, 10_000, 64
+TOPICS, WIDTH, STEPS = 8, 64, 10
+#: The length of profiles and centres, whose numbers are rounded to whole ones.
+LENGTH = 1 << 14
 DIMS = ("source", "lang", "topic")
 #: The target of a category is its tokens to this power, scaled to all tokens.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
@@ -36,21 +39,28 @@ KEYS = [f"__mix_{d}" for d in DIMS]
 
 
 def _profiles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of hashed word counts (square roots, so frequent words don't outweigh all), and the words."""
+    """Vectors of `LENGTH` of hashed word counts (square roots, so frequent words don't outweigh all), and the words."""
     h, n = hash_words([t.lower().encode("utf-8", "surrogatepass") for t in texts])
     row = np.repeat(np.arange(len(texts)), n)
     x = np.bincount(row * WIDTH + (h >> np.uint64(58)).astype(np.int64), minlength=len(texts) * WIDTH).reshape(-1, WIDTH)
-    x = np.sqrt(x)
-    return x / np.maximum(1e-9, np.sqrt((x * x).sum(1, keepdims=True))), n
+    return np.rint(LENGTH * np.sqrt(x / np.maximum(1, n)[:, None])), n
+
+
+def _centre(total: np.ndarray) -> np.ndarray:
+    """The vector of `LENGTH` in the direction of a sum of profiles."""
+    total = [int(v) for v in total]
+    length = math.isqrt(sum(v * v for v in total))
+    return np.array([(2 * LENGTH * v + length) // (2 * length) for v in total], np.float64)
 
 
 def _topic_column(text: Column, centres: np.ndarray | None) -> Column:
-    """struct<topic, n_tokens>, or the profile itself as array<double> if there are no centres yet."""
+    """struct<topic, n_tokens>, or the profile itself as 16-bit numbers (null without a word) if there are no centres yet."""
     if centres is None:
 
-        @F.arrow_udf("array<double>")
+        @F.arrow_udf("binary")
         def profile(col: pa.Array) -> pa.Array:
-            return pa.array([v for part in text_slices(col) for v in _profiles([t for _, t in part])[0]], pa.list_(pa.float64()))
+            parts = (_profiles([t for _, t in part]) for part in text_slices(col))
+            return pa.array([v.tobytes() if k else None for x, n in parts for v, k in zip(x.astype("<i2"), n, strict=True)], pa.binary())
 
         return profile(text)
 
@@ -67,19 +77,69 @@ def _topic_column(text: Column, centres: np.ndarray | None) -> Column:
     return topic(text)
 
 
-def fit_topics(docs: DataFrame, most: int = MOST, topics: int = TOPICS, seed: int = 23) -> np.ndarray:
-    """Centres of topics from a sample of about `most` rows."""
-    n = docs.count()
-    if not n:
-        return np.empty((0, WIDTH))
+def _vectors(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), "<i2").reshape(-1, WIDTH).astype(np.float64)
+
+
+def _next_start(x: DataFrame, centres: np.ndarray) -> np.ndarray | None:
+    """A profile drawn with a chance that grows with its squared distance from the centres: that of the least
+    u / distance over all rows, the smaller profile on ties. None if no row is away from all centres."""
+
+    def least(batches):
+        best = None
+        for b in batches:
+            v, u = _vectors(b["v"]), b["u"].to_numpy()
+            far = 2.0 * (LENGTH * LENGTH - ((v @ centres.T).max(1) if len(centres) else 0)) + np.zeros(len(v))
+            far[(v[:, None] == centres).all(2).any(1)] = 0
+            ok = np.flatnonzero(far > 0)
+            if len(ok):
+                race = u[ok] / far[ok]
+                low = race.min()
+                best = min([(low, b["v"][int(i)].as_py()) for i in ok[race == low]] + ([best] if best else []))
+        if best:
+            yield pa.RecordBatch.from_pydict({"race": [best[0]], "v": [best[1]]}, pa.schema([("race", pa.float64()), ("v", pa.binary())]))
+
+    got = x.mapInArrow(least, "race double, v binary").agg(F.min(F.struct("race", "v"))["v"]).first()[0]
+    return None if got is None else np.frombuffer(got, "<i2").astype(np.float64)
+
+
+def _sums(x: DataFrame, centres: np.ndarray) -> np.ndarray:
+    """The sum of the profiles nearest to each centre, over all rows."""
+
+    def added(batches):
+        out = np.zeros(centres.shape, np.int64)
+        for b in batches:
+            v = _vectors(b["v"])
+            near = (v @ centres.T).argmax(1)
+            for k in range(len(centres)):
+                out[k] += v[near == k].sum(0).astype(np.int64)
+        i, j = np.nonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(out[i, j])], names=["i", "j", "s"])
+
+    out = np.zeros(centres.shape, object)
+    for i, j, total in x.mapInArrow(added, "i int, j int, s long").groupBy("i", "j").agg(F.sum(F.col("s").cast("decimal(38,0)"))).collect():
+        out[i, j] = int(total)
+    return out
+
+
+def fit_topics(docs: DataFrame, topics: int = TOPICS, seed: int = 23) -> np.ndarray:
+    """Centres of topics, from the profiles of all rows that have a word."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    sample = docs.filter((uniform(key, seed) < min(1.0, most / n)) & F.col("text").isNotNull()).select("text")
-    x = materialise(sample.select(_topic_column(F.col("text").cast("string"), None).alias("v")))
-    if not x.limit(1).count():
-        return np.empty((0, WIDTH))
-    model = KMeans(k=topics, seed=seed, maxIter=10, initSteps=2, featuresCol="f").fit(x.select(array_to_vector("v").alias("f")).coalesce(4).persist())
-    c = np.array(model.clusterCenters())
-    return c / np.maximum(1e-9, np.linalg.norm(c, axis=1, keepdims=True))
+    x = docs.select(_topic_column(F.col("text").cast("string"), None).alias("v"), key.alias("key"))
+    x = materialise(x.filter(F.col("v").isNotNull()))
+    centres = np.empty((0, WIDTH))
+    for k in range(topics):
+        drawn = x.select("v", uniform(F.concat("key", F.lit("\x01"), F.hex("v")), seed + k).alias("u"))
+        start = _next_start(drawn, centres)
+        if start is None:
+            break
+        centres = np.vstack([centres, start])
+    for _ in range(STEPS if len(centres) else 0):
+        new = np.array([_centre(t) if any(t) else c for t, c in zip(_sums(x.select("v"), centres), centres, strict=True)])
+        if (new == centres).all():
+            break
+        centres = new
+    return centres
 
 
 def with_cells(docs: DataFrame, centres: np.ndarray) -> DataFrame:

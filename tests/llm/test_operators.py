@@ -109,6 +109,22 @@ def test_near_copies_of_rows_that_share_ids(spark):
     assert {r["row"] for r in kept} >= {0, 3, 4, 7, 8, 11, 12} and near.one_of_each(x).columns == x.columns
 
 
+def test_topics_are_fitted_on_all_rows(spark):
+    rng = random.Random(5)
+    alphabets = ["abcd", "efgh", "ijkl"]
+    word = lambda a: "".join(rng.choices(a, k=2))
+    # one topic has 3 rows of 20,403, so a sample of 10,000 rows would have one or two of them or none
+    data = [(i, " ".join(word(alphabets[i % 2]) for _ in range(12))) for i in range(20_400)] + [(None, "zz zz zz zz zz zz")] * 3 + [(-1, None), (-2, " ")]
+    x = spark.createDataFrame(data, "doc_id long, text string")
+    first, again = mixing.fit_topics(x.repartition(3)), mixing.fit_topics(x.orderBy(F.rand(1)).repartition(7))
+    assert first.shape == (mixing.TOPICS, mixing.WIDTH) and (first == again).all()
+    v, n = mixing._profiles([t or "" for _, t in data])
+    sums = mixing._sums(spark.createDataFrame([(r.astype("<i2").tobytes(),) for r, k in zip(v, n, strict=True) if k], "v binary"), first)
+    near = (v @ first.T).argmax(1)
+    assert all(list(map(int, sums[k])) == v[(near == k) & (n > 0)].sum(0).astype(int).tolist() for k in range(len(first)))
+    assert len(mixing.fit_topics(x.filter("doc_id < 0"))) == 0 and len(mixing.fit_topics(x.filter("doc_id is null"))) == 1
+
+
 def test_topk(spark):
     rng = np.random.default_rng(1)
     v = rng.normal(size=(90, 8)).round(1)
