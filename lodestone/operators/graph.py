@@ -11,6 +11,8 @@ from lodestone.functions.scalars import canonical_path, edge_id
 from lodestone.sources.tables import stage
 
 MAX_ROUNDS = 200
+#: Rounds of a search between two stagings of all that it has found.
+FOLD = 16
 
 
 def containment(files: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -102,15 +104,14 @@ def first_relations(edges: DataFrame, most: int = 8) -> DataFrame:
 
 
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """The smallest label that reaches each node (node, label) along edges (a, b)."""
-    for _ in range(MAX_ROUNDS):
+    """The smallest label that reaches each node (node, label) along edges (a, b); labels only fall, so this ends."""
+    while True:
         best = edges.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("got"))
         new = stage(labels.join(best, "node", "left").select("node", F.least("label", F.coalesce("got", "label")).alias("new"), "label"))
         moved = new.filter("new <> label").limit(1).count()
         labels = new.select("node", F.col("new").alias("label"))
         if not moved:
             return labels
-    raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -124,39 +125,44 @@ def cycles(edges: DataFrame) -> DataFrame:
     """(cycle_id, node): strongly connected components of several nodes or a self-loop; cycle_id is the smallest member.
 
     Nodes without a way in or out are trimmed. Then the smallest label spreads forward; within a label the nodes that
-    reach its owner are a component. Found components leave, until none is left."""
+    reach its owner are a component. Found components leave, until none is left. Labels start with a hash, so a chain
+    of many components loses many in a round, whatever the order of their names. No search stops before its end."""
     loops = edges.filter("source = target").select(F.col("source").alias("node")).distinct()
     left = stage(edges.filter("source <> target").select(F.col("source").alias("a"), F.col("target").alias("b")).distinct())
     found: DataFrame | None = None
-    for _ in range(MAX_ROUNDS):
-        for _ in range(MAX_ROUNDS):  # trimming
-            n = left.count()
+    name = lambda c: F.concat(F.hex(F.xxhash64(c)), F.lit(":"), F.col(c).cast("string"))
+    while True:
+        n = left.count()
+        while n:  # trimming
             left = stage(left.join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi"))
-            if left.count() == n:
+            n, before = left.count(), n
+            if n == before:
                 break
         if not n:
             break
         nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        colour = _spread(nodes.withColumn("label", F.col("node")), left)
+        colour = _spread(nodes.withColumn("label", name("node")), left)
         inside = left.join(colour.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(colour.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").filter("x = y")
         inside = stage(inside.select("a", "b", F.col("x").alias("seed")))
-        front = stage(inside.select("seed").distinct().withColumn("node", F.col("seed")))
-        scc = front
-        for _ in range(MAX_ROUNDS):  # backwards from the owner of the label
+        front = stage(colour.filter(F.col("label") == name("node")).select(F.col("label").alias("seed"), "node"))
+        scc, rounds = front, 0
+        while True:  # backwards from the owner of the label
             new = inside.join(front.withColumnRenamed("node", "b"), ["b", "seed"]).select("seed", F.col("a").alias("node")).distinct()
             front = stage(new.join(scc, ["seed", "node"], "left_anti"))
             if not front.limit(1).count():
                 break
-            scc = scc.unionByName(front)
+            scc, rounds = scc.unionByName(front), rounds + 1
+            if rounds % FOLD == 0:
+                scc = stage(scc)
         scc = stage(scc)
-        found = scc if found is None else found.unionByName(scc)
+        found = scc if found is None else stage(found.unionByName(scc))
         gone = scc.select("node")
         left = stage(left.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti"))
-    alone = loops.select(F.col("node").alias("seed"), "node")
     if found is None:
-        return alone.withColumnRenamed("seed", "cycle_id")
-    found = found.join(found.groupBy("seed").count().filter("count > 1"), "seed", "left_semi")
-    return found.unionByName(alone.join(found, "node", "left_anti")).withColumnRenamed("seed", "cycle_id")
+        return loops.select(F.col("node").alias("cycle_id"), "node")
+    named = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("node").alias("cycle_id")).filter("n > 1")
+    found = found.join(named, "seed").select("cycle_id", "node")
+    return found.unionByName(loops.join(found, "node", "left_anti").select(F.col("node").alias("cycle_id"), "node"))
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:

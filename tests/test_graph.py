@@ -56,6 +56,17 @@ def test_random_graph(spark):
     assert found(graph.cycles(e)) == want
 
 
+def test_cycles_of_more_rounds_than_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(graph, "MAX_ROUNDS", 5)
+    monkeypatch.setattr(graph, "FOLD", 3)
+    # A reaches all of its cycle in one round, but only the last node leads back to it
+    wheel = [("A", f"v{i}") for i in range(12)] + [(f"v{i}", f"v{i + 1}") for i in range(11)] + [("v11", "A")]
+    assert found(graph.cycles(edges(spark, wheel))) == {"A": {"A"} | {f"v{i}" for i in range(12)}}
+    # a chain of components, named in the order in which one leads to the next
+    pairs = [(f"{i:02}{x}", f"{i:02}{y}") for i in range(9) for x, y in ("ab", "ba")] + [(f"{i:02}a", f"{i + 1:02}a") for i in range(8)]
+    assert found(graph.cycles(edges(spark, pairs))) == {f"{i:02}a": {f"{i:02}a", f"{i:02}b"} for i in range(9)}
+
+
 def test_shortest_paths(spark):
     e = edges(spark, [("A", "B"), ("B", "D"), ("A", "C"), ("C", "D"), ("D", "A"), ("D", "E"), ("X", "E")])
     got = {(r["seed"], r["node"]): r["path"] for r in graph.shortest_paths(spark.createDataFrame([("A",), ("E",)], "seed string"), e).collect()}
