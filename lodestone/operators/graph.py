@@ -52,6 +52,27 @@ def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out[0]
 
 
+def all_violations(nodes: DataFrame, edges: DataFrame, commits: DataFrame) -> DataFrame:
+    """(repository_id, invariant, subject) of all eight checks of a graph, for each repository of commits (repository_id, commit_sha).
+
+    Besides violations(): one row for each further occurrence of a duplicate id, certainties that are null or of edges,
+    blank commits, nodes that the root doesn't reach, edges without both ends, and repositories without a node."""
+    row = lambda df, name, subject: df.select("repository_id", F.lit(name).alias("invariant"), subject.cast("string").alias("subject"))
+    out = violations(nodes, edges).filter(F.col("invariant").isin("missing_source", "missing_target"))
+    out = out.unionByName(row(out.select("repository_id", "subject").distinct(), "orphan_edge", F.col("subject")))
+    for df, kind in ((nodes, "node"), (edges, "edge")):
+        extra = df.groupBy("repository_id", "id").count().filter("count > 1").withColumn("nth", F.explode(F.sequence(F.lit(2), F.col("count").cast("int"))))
+        unsure = df.filter(~F.coalesce(F.col("certainty").isin("deterministic", "inferred"), F.lit(False)))
+        out = out.unionByName(row(extra, f"duplicate_{kind}", F.col("id"))).unionByName(row(unsure, f"{kind}_certainty", F.col("id")))
+    every = commits.select("repository_id").unionByName(nodes.select("repository_id")).distinct()
+    roots = nodes.groupBy("repository_id").agg(F.count_if(F.col("type") == "repository").alias("n"))
+    roots = every.join(roots, "repository_id", "left").select("repository_id", F.coalesce("n", F.lit(0)).alias("n")).filter("n <> 1")
+    named = commits.filter(F.regexp_like("commit_sha", F.lit(r"\S"))).select("repository_id")
+    lost = nodes.join(orphans(nodes, edges), ["repository_id", "id"], "left_semi")
+    out = out.unionByName(row(roots, "root_count", F.col("n"))).unionByName(row(lost, "orphan_node", F.col("id")))
+    return out.unionByName(row(every.join(named, "repository_id", "left_anti"), "commit", F.lit(None)))
+
+
 def direct(edges: DataFrame) -> DataFrame:
     """(node, other, direction), distinct."""
     a = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), F.lit("outgoing").alias("direction"))

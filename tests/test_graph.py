@@ -67,6 +67,19 @@ def test_cycles_of_more_rounds_than_the_bound(spark, monkeypatch):
     assert found(graph.cycles(edges(spark, pairs))) == {f"{i:02}a": {f"{i:02}a", f"{i:02}b"} for i in range(9)}
 
 
+def test_all_violations(spark):
+    d = "deterministic"
+    nodes = [(r, r, "repository", d) for r in "abcde"] + [(r, f"{r}1", "file", "inferred") for r in "abcde"]
+    nodes += [("b", "b2", "file", d), ("c", "c1", "file", d), ("c", "c1", "file", None)]
+    edges = [(r, f"{r}>", r, f"{r}1", d) for r in "abce"] + [("d", "d>", "d", "d1", None), ("e", "e?", "e", "no", d)]
+    n = spark.createDataFrame(nodes, "repository_id string, id string, type string, certainty string")
+    e = spark.createDataFrame(edges, "repository_id string, id string, source string, target string, certainty string")
+    c = spark.createDataFrame([("a", "f00"), ("b", "f00"), ("c", "f00"), ("d", "f00"), ("e", " "), ("f", "f00")], "repository_id string, commit_sha string")
+    want = [("b", "orphan_node", "b2"), ("c", "duplicate_node", "c1"), ("c", "duplicate_node", "c1"), ("c", "node_certainty", "c1"), ("d", "edge_certainty", "d>")]
+    want += [("e", "commit", None), ("e", "missing_target", "e?"), ("e", "orphan_edge", "e?"), ("f", "root_count", "0")]
+    assert sorted(map(tuple, graph.all_violations(n, e, c).collect()), key=str) == sorted(want, key=str)
+
+
 def test_shortest_paths(spark):
     e = edges(spark, [("A", "B"), ("B", "D"), ("A", "C"), ("C", "D"), ("D", "A"), ("D", "E"), ("X", "E")])
     got = {(r["seed"], r["node"]): r["path"] for r in graph.shortest_paths(spark.createDataFrame([("A",), ("E",)], "seed string"), e).collect()}
