@@ -14,6 +14,7 @@ any); inputs keep all their columns, whatever their names (only names that start
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from typing import Any
 
@@ -40,7 +41,8 @@ LOOKS_LIKE = str.maketrans("013457@$!*", "oieastasi_")
 FEATURES = ("hits", "log_hits", "log_distinct", "worst", "near_you", "you", "capitals", "shouted", "exclaimed", "punctuation", "symbols", "obfuscated", "obfuscated_hits", "stretched")
 
 _WORD = re.compile(r"[^\W_]+")
-_MASKED = re.compile(r"[^\W\d_]+(?:[0-9@$!*]+[^\W\d_]+)+|[@$!013457]+[^\W\d_]{2,}[^\s]*")
+# each run is tried from its first character only and never given back, so a text is read in linear time
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0-9@$!*]++[^\W\d_]++)++|(?<![@$!013457])[@$!013457]++[^\W\d_]{2}\S*+")
 _STRETCH = re.compile(r"([^\W\d_])\1{3,}")
 _SHOUT = re.compile(r"\b[^\W\d_a-z]{3,}\b")
 
@@ -66,7 +68,11 @@ def features_of(text: str | None, lexicon: dict[str, float]) -> list[float]:
             j = np.searchsorted(persons, a - NEAR)
             near = int(((j < len(persons)) & (persons[np.minimum(j, len(persons) - 1)] <= a + NEAR)).sum())
     masked = _MASKED.findall(low) if any(c in low for c in "013457@$!*") else []
-    hidden = sum(1 for w in masked if any(_same(w.translate(LOOKS_LIKE).strip(".,;:?\"'()_"), x) for x in (lexicon if "*" in w else ())) or w.translate(LOOKS_LIKE).strip(".,;:?\"'()_") in lexicon) if masked else 0
+    hidden = 0
+    for w, times in Counter(masked).items():
+        plain = w.translate(LOOKS_LIKE).strip(".,;:?\"'()_")
+        if plain in lexicon or ("*" in w and any(_same(plain, x) for x in lexicon)):
+            hidden += times
     raw = text.encode("utf-8", "surrogatepass")
     count = lambda s: len(raw) - len(raw.translate(None, s))
     letters = sum(map(len, words)) or 1
