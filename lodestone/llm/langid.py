@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.bpe import _ranges
 from lodestone.llm.common import fold, materialise, mix, small_batches, uniform
 
 MOST, BITS, LONGEST = 4_000, 17, 4
@@ -38,7 +39,8 @@ SCRIPTS = (
 _NAMES = sorted({s for _, s in SCRIPTS})
 _STARTS = np.array([a for a, _ in SCRIPTS])
 _SCRIPT = np.array([_NAMES.index(s) for _, s in SCRIPTS])
-_WORD = re.compile(r"[^\W\d_]+")
+#: Runs of letters (Unicode category L); fractions, superscripts and other numbers aren't letters.
+_WORD = re.compile(f"[{_ranges('L')}]+")
 _P = np.uint64(0x100000001B3)
 _P_INV = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 
@@ -100,6 +102,9 @@ class Model:
     def __init__(self, langs: list[str], grams: np.ndarray, whole: np.ndarray, scripts: np.ndarray, bits: int):
         self.langs, self.bits = langs, bits
 
+        if not langs:
+            return
+
         def ratios(c: np.ndarray, a: float) -> np.ndarray:
             p = np.log((c + a) / (c.sum(0) + a * len(c)))
             return np.clip(p - p.mean(1, keepdims=True), -4, 4).astype(np.float32)
