@@ -70,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op4_ngram_jaccard": near.ORACLE_SQL,
     "op6_host_quality": quality.oracle_sql(),
+    "op9_interleaved_shards": shards.ORACLE_SQL,
     "op7_exact_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
