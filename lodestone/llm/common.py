@@ -39,6 +39,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lookup(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, most: int = 200_000, salts: int = 32) -> DataFrame:
+    """rows joined with `small`, a materialised table of one row for each value of the keys.
+
+    Up to `most` rows it is broadcast, so rows aren't shuffled. Beyond, both sides are shuffled by the keys and a
+    salt, a hash of `spread`, so a value that holds a third of all rows is dealt over `salts` tasks."""
+    if small.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(small), keys)
+    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    dealt = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return salted.join(dealt, [*keys, "__salt"]).drop("__salt")
+
+
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Sets the most bytes of an Arrow batch (Spark's default is 64 MB): a batch of whole texts is held several
     times over, off the heap of the executor, in the buffers of its Python worker and as Python strings."""

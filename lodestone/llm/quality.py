@@ -2,7 +2,8 @@
 
 Rules are counted for each whole text; their failures are aggregated by host (here `source`), the
 rates are shrunk with a beta prior fitted to all hosts by moments, and the verdicts of the hosts are
-joined back. A host fails if the shrunk rate of any rule is over `most`.
+joined back: broadcast while they are few, else by host and a salt, so a host of a third of all rows is
+dealt over many tasks. A host fails if the shrunk rate of any rule is over `most`.
 
 Defined cases: a null or empty text has no words, so it fails the base rule; a null host is a host of its
 own; rows are judged one by one, so repeated rows count as often as they occur; no rows give no rows;
@@ -11,15 +12,13 @@ columns beside doc_id, text and the host aren't read.
 
 from __future__ import annotations
 
-
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodestone.llm.common import WHITE, materialise
+from lodestone.llm.common import WHITE, lookup, materialise
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOLS = b"#*$%&|<>"
@@ -88,7 +87,7 @@ def count_columns(text: Column) -> Column:
 
 def host_rates(judged: DataFrame, rules: dict[str, str]) -> DataFrame:
     """host, n, and for each rule its shrunk failure rate `{rule}_rate`."""
-    hosts = judged.groupBy("host").agg(F.count("*").cast("double").alias("n"), *[F.sum(F.col(f"{r}_failed").cast("double")).alias(r) for r in rules])
+    hosts = materialise(judged.groupBy("host").agg(F.count("*").cast("double").alias("n"), *[F.sum(F.col(f"{r}_failed").cast("double")).alias(r) for r in rules]))
     prior = hosts.agg(F.sum("n").alias("all_n"), F.count("*").alias("hosts"), *[F.sum(r).alias(f"f_{r}") for r in rules], *[F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"q_{r}") for r in rules])
     out = hosts.join(F.broadcast(prior))  # one row
     for r in rules:
@@ -109,8 +108,8 @@ def verdicts(docs: DataFrame, host: str = "source", most: float = 0.5, rules: di
         judged = judged.withColumn(f"{r}_failed", F.expr(rule))
     judged = materialise(judged)
     rates = host_rates(judged, rules)
-    rates = rates.select("host", F.greatest(F.lit(0.0), *[f"{r}_rate" for r in rules]).alias("host_rate"))
-    out = judged.join(rates, "host")
+    rates = materialise(rates.select("host", F.greatest(F.lit(0.0), *[f"{r}_rate" for r in rules]).alias("host_rate")))
+    out = lookup(judged, rates, ["host"], F.col("doc_id"))
     return out.select("doc_id", *COUNTS[:5], F.col("base_failed"), (~F.col("base_failed") & (F.col("host_rate") <= most)).alias("kept"), F.round("host_rate", 6).alias("host_rate"))
 
 
