@@ -1,14 +1,15 @@
 """Mixing sources to target weights by iterative proportional fitting.
 
 Rows are counted into cells of source, language and topic; the cells' token weights are raked to target
-marginals (each category's tokens to a power, so small categories gain), and each row is taken with a
-probability calibrated so that the expected tokens of the sample are the wanted share: p = min(1, k *
+marginals (weights that the caller gives, or each category's tokens to a power, so small categories gain), and each
+row is taken with a probability calibrated so that the expected tokens of the sample are the wanted share: p = min(1, k *
 raked / own tokens of the cell), where k makes up for the cells whose probability is 1. A row's chance
 is decided by a hash of its doc_id, so a lost task decides the same again.
 
 Topics are the nearest of `TOPICS` centroids of hashed word counts, fitted by spherical k-means on all rows
 that have a word. Profiles and centres are whole numbers, so sums and products are exact and the fit is the
-same in every run, however the rows are partitioned. At most `SMALL` cells are raked on the driver; beyond that they stay distributed.
+same in every run, however the rows are partitioned. At most `SMALL` cells are raked on the driver and broadcast
+to the rows; beyond that they stay distributed and are joined by cell and salt.
 
 Defined cases: a null source or language is a category of its own; null and empty texts have 0 words
 and weigh 1 token, like their end; rows that repeat a doc_id share its chance; no rows give no rows;
@@ -18,13 +19,15 @@ inputs keep all their columns (only names that start with __mix_ are taken).
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import hash_words, materialise, text_slices, uniform
+from lodestone.llm.common import hash_words, lookup, materialise, text_slices, uniform
 
 TOPICS, WIDTH, STEPS = 8, 64, 10
 #: The length of profiles and centres, whose numbers are rounded to whole ones.
@@ -32,10 +35,13 @@ LENGTH = 1 << 14
 DIMS = ("source", "lang", "topic")
 #: The target of a category is its tokens to this power, scaled to all tokens.
 POWERS = {"source": 0.5, "lang": 0.7, "topic": 0.5}
-TOLERANCE, ROUNDS, INNER = 1e-6, 40, 4
+#: A sweep adjusts every dimension once; the last is reached only by targets that the cells can't meet or hardly can.
+TOLERANCE, SWEEPS = 1e-6, 160
 #: Cells that the driver takes (some 10 MB); more are raked on the executors.
 SMALL = 100_000
 KEYS = [f"__mix_{d}" for d in DIMS]
+#: A power, or weights by category (None: no category given).
+Goal = float | Mapping[str | None, float]
 
 
 def _profiles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -146,53 +152,92 @@ def with_cells(docs: DataFrame, centres: np.ndarray) -> DataFrame:
     """docs with KEYS and __mix_tokens."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     x = docs.withColumn("__mix_t", _topic_column(F.col("text").cast("string"), centres))
-    return x.withColumns({KEYS[0]: name("source"), KEYS[1]: name("lang"), KEYS[2]: F.col("__mix_t.topic").cast("string"), "__mix_tokens": F.col("__mix_t.n_tokens") + 1}).drop("__mix_t")
+    return x.withColumns({KEYS[0]: name("source"), KEYS[1]: name("lang"), KEYS[2]: F.concat(F.lit("="), F.col("__mix_t.topic").cast("string")), "__mix_tokens": F.col("__mix_t.n_tokens") + 1}).drop("__mix_t")
 
 
-def _rake_small(cells: DataFrame, keys: list[str], powers: list[float], tolerance: float) -> DataFrame:
+def _names(goal: Goal) -> dict[str, float]:
+    """A goal given by category, under the names that cells use."""
+    return {"" if c is None else f"={c}": float(w) for c, w in goal.items()}
+
+
+def _rake_small(cells: DataFrame, keys: list[str], goals: list[Goal], tolerance: float) -> tuple[DataFrame, float]:
     """The same in numpy, for at most `SMALL` cells."""
     x = cells.orderBy(*keys).toPandas()
     t = x["t"].to_numpy(np.float64)
-    w, codes, goals = t.copy(), [], []
-    for k, a in zip(keys, powers, strict=True):
+    w, codes, wanted = t.copy(), [], []
+    for k, a in zip(keys, goals, strict=True):
         code, names = x[k].factorize()
-        goal = np.bincount(code, t, len(names)) ** a
+        goal = np.array([_names(a).get(n, 0.0) for n in names]) if isinstance(a, Mapping) else np.bincount(code, t, len(names)) ** a
+        if not goal.sum() > 0:
+            raise ValueError(f"no category of {k} has a weight")
         codes.append(code)
-        goals.append(goal * (t.sum() / goal.sum()))
-    for _ in range(ROUNDS):
-        for _ in range(INNER):
-            for code, goal in zip(codes, goals, strict=True):
-                w *= (goal / np.bincount(code, w, len(goal)))[code]
-        if max(np.abs(np.bincount(c, w, len(g)) / g - 1).max() for c, g in zip(codes, goals, strict=True)) <= tolerance:
+        wanted.append(goal * (t.sum() / goal.sum()))
+    gap = 0.0
+    for _ in range(SWEEPS):
+        gap = 0.0
+        for code, goal in zip(codes, wanted, strict=True):
+            now = np.bincount(code, w, len(goal))
+            gap = max(gap, float(np.abs(now - goal).max(initial=0, where=goal == 0) / t.sum()), float(np.abs(now / np.where(goal > 0, goal, 1) - 1).max(initial=0, where=goal > 0)))
+            w *= np.divide(goal, now, out=np.zeros(len(goal)), where=now > 0)[code]
+        if gap <= tolerance:
             break
     x["w"] = w
-    return cells.sparkSession.createDataFrame(x)
-
-
-def _rake_large(cells: DataFrame, keys: list[str], powers: list[float], tolerance: float) -> DataFrame:
-    """The same with windows over distributed cells."""
-    out = cells.withColumn("w", F.col("t").cast("double"))
-    total = out.agg(F.sum("t")).first()[0] or 0
-    for k, a in zip(keys, powers, strict=True):
-        target = cells.groupBy(k).agg(F.pow(F.sum("t"), F.lit(a)).alias("x"))
-        scale = target.agg(F.sum("x")).first()[0]
-        out = out.join(target.select(k, (F.col("x") * float(total) / (scale or 1.0)).alias(f"goal_{k}")), k)
-    out = materialise(out)
-    for _ in range(ROUNDS):
-        for _ in range(INNER):
-            for k in keys:
-                out = out.withColumn("w", F.col("w") * F.col(f"goal_{k}") / F.sum("w").over(Window.partitionBy(k)))
-        out = materialise(out)
-        gap = F.max(F.abs(F.col("now") / F.col("goal") - 1))
-        if max(out.groupBy(k).agg(F.sum("w").alias("now"), F.first(f"goal_{k}").alias("goal")).agg(gap).first()[0] or 0.0 for k in keys) <= tolerance:
+    return cells.sparkSession.createDataFrame(x), gap
+
+
+def _rake_large(cells: DataFrame, keys: list[str], goals: list[Goal], tolerance: float) -> tuple[DataFrame, float]:
+    """The same over distributed cells: a weight is t times one factor for each key, and only the tables of factors change.
+
+    A step adds up the cells by one key, with partial sums before the shuffle, so no category is summed in one task."""
+    total = float(cells.agg(F.sum("t")).first()[0] or 0)
+    factors = {}
+    for k, a in zip(keys, goals, strict=True):
+        x = cells.groupBy(k).agg(F.pow(F.sum("t"), F.lit(1.0 if isinstance(a, Mapping) else a)).alias("x"))
+        if isinstance(a, Mapping):
+            given = cells.sparkSession.createDataFrame([*_names(a).items()], f"{k} string, given double")
+            x = x.join(given, k, "left").select(k, F.coalesce("given", F.lit(0.0)).alias("x"))
+        scale = x.agg(F.sum("x")).first()[0]
+        if cells.limit(1).count() and not (scale or 0) > 0:
+            raise ValueError(f"no category of {k} has a weight")
+        factors[k] = materialise(x.select(k, (F.col("x") * (total / (scale or 1.0))).alias("goal"), F.lit(1.0).alias("f")))
+
+    def weighted() -> DataFrame:
+        x = cells.withColumn("w", F.col("t").cast("double"))
+        for k in keys:
+            x = lookup(x, factors[k].select(k, F.col("f").alias("__mix_f")), [k], F.struct(*keys)).withColumn("w", F.col("w") * F.col("__mix_f")).drop("__mix_f")
+        return x
+
+    gap = 0.0
+    for _ in range(SWEEPS):
+        gap = 0.0
+        for k in keys:
+            now = weighted().groupBy(k).agg(F.sum("w").alias("now"))
+            off = F.when(F.col("goal") > 0, F.abs(F.col("now") / F.col("goal") - 1)).otherwise(F.col("now") / (total or 1.0))
+            ratio = F.when(F.col("now") > 0, F.col("goal") / F.col("now")).otherwise(0.0)
+            step = materialise(factors[k].join(now, k).select(k, "goal", (F.col("f") * ratio).alias("f"), off.alias("off")))
+            gap = max(gap, step.agg(F.max("off")).first()[0] or 0.0)
+            factors[k] = step.drop("off")
+        if gap <= tolerance:
             break
-    return out.select(*keys, "t", "w")
+    return weighted().select(*keys, "t", "w"), gap
 
 
-def rake(cells: DataFrame, keys: list[str], powers: list[float], tolerance: float = TOLERANCE, small: int = SMALL) -> DataFrame:
-    """cells (keys, t) with the raked weight w. Few cells are raked on the driver, more of them as windows."""
+def rake(cells: DataFrame, keys: list[str], goals: list[Goal], tolerance: float = TOLERANCE, small: int | None = None, strict: bool = False) -> tuple[DataFrame, float]:
+    """cells (keys, t; materialised) with the raked weight w, and the largest gap between a marginal and its target.
+
+    A goal is a power (the target of a category is its tokens to this power) or the weights of the categories; those that
+    are not named get none, those without cells are left out, and the rest is scaled to all tokens. The gap is relative to
+    the target (to all tokens where that is 0). Targets that the cells can't meet leave a gap over the tolerance: that is
+    an error if strict, else a warning. Few cells are raked on the driver, more of them distributed."""
+    small = SMALL if small is None else small
     n = cells.limit(small + 1).count()
-    return (_rake_small if 0 < n <= small else _rake_large)(cells, keys, powers, tolerance)
+    out, gap = (_rake_small if 0 < n <= small else _rake_large)(cells, keys, goals, tolerance)
+    if gap > tolerance:
+        said = f"raking stopped with a gap of {gap:.3g} after {SWEEPS} sweeps"
+        if strict:
+            raise RuntimeError(said)
+        warnings.warn(said, stacklevel=2)
+    return out, gap
 
 
 def calibrate(cells: DataFrame, share: float) -> float:
@@ -211,32 +256,36 @@ def calibrate(cells: DataFrame, share: float) -> float:
     return k
 
 
-def chances(docs: DataFrame, share: float, seed: int = 29) -> tuple[DataFrame, np.ndarray]:
-    """KEYS and each cell's raked weight, tokens and probability; and the centres of the topics."""
+def chances(docs: DataFrame, share: float, targets: Mapping[str, Goal] | None = None, strict: bool = False) -> tuple[DataFrame, np.ndarray, float]:
+    """KEYS and each cell's raked weight, tokens and probability; the centres of the topics; and the gap of the raking."""
     centres = fit_topics(docs)
     rows = with_cells(docs.select("doc_id", "text", "source", "lang"), centres)
     cells = materialise(rows.groupBy(*KEYS).agg(F.sum("__mix_tokens").alias("t")))
-    raked = rake(cells, KEYS, [POWERS[d] for d in DIMS])
+    raked, gap = rake(cells, KEYS, [{**POWERS, **(targets or {})}[d] for d in DIMS], strict=strict)
+    raked = materialise(raked)
     k = calibrate(raked, share)
-    return raked.select(*KEYS, F.col("t").alias("__mix_cell"), F.col("w").alias("__mix_w"), F.least(F.lit(1.0), F.lit(k) * F.col("w") / F.col("t")).alias("__mix_p")), centres
+    chance = F.least(F.lit(1.0), F.lit(k) * F.col("w") / F.col("t"))
+    return materialise(raked.select(*KEYS, F.col("t").alias("__mix_cell"), F.col("w").alias("__mix_w"), chance.alias("__mix_p"))), centres, gap
 
 
-def _joined(docs: DataFrame, share: float, seed: int) -> DataFrame:
-    cells, centres = chances(docs, share)
+def _joined(docs: DataFrame, share: float, seed: int, targets: Mapping[str, Goal] | None, strict: bool) -> tuple[DataFrame, float]:
+    cells, centres, gap = chances(docs, share, targets, strict)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    return with_cells(docs, centres).join(cells, KEYS).withColumn("__mix_u", uniform(key, seed))
+    return lookup(with_cells(docs, centres), cells, KEYS, key, SMALL).withColumn("__mix_u", uniform(key, seed)), gap
+
 
+def mixed(docs: DataFrame, share: float = 0.5, seed: int = 29, targets: Mapping[str, Goal] | None = None, strict: bool = False) -> DataFrame:
+    """The query's columns: the cell, tokens, weight, probability and decision of every row of docs, and the raking's gap.
 
-def mixed(docs: DataFrame, share: float = 0.5, seed: int = 29) -> DataFrame:
-    """The query's columns: the cell, tokens, weight, probability and decision of every row of docs."""
-    x = _joined(docs.select("doc_id", "text", "source", "lang"), share, seed)
+    targets: for `source`, `lang` or `topic` (as text) the weights of its categories, or a power; by default POWERS."""
+    x, gap = _joined(docs.select("doc_id", "text", "source", "lang"), share, seed, targets, strict)
     return x.select(
-        "doc_id", "source", "lang", F.col(KEYS[2]).cast("int").alias("topic"), F.col("__mix_tokens").alias("n_tokens"),
-        (F.col("__mix_w") / F.col("__mix_cell")).alias("weight"), F.col("__mix_p").alias("probability"), (F.col("__mix_u") < F.col("__mix_p")).alias("kept"),
+        "doc_id", "source", "lang", F.col(KEYS[2]).substr(2, 9).cast("int").alias("topic"), F.col("__mix_tokens").alias("n_tokens"),
+        (F.col("__mix_w") / F.col("__mix_cell")).alias("weight"), F.col("__mix_p").alias("probability"), (F.col("__mix_u") < F.col("__mix_p")).alias("kept"), F.lit(gap).alias("raking_gap"),
     )
 
 
-def sample(docs: DataFrame, share: float = 0.5, seed: int = 29) -> DataFrame:
+def sample(docs: DataFrame, share: float = 0.5, seed: int = 29, targets: Mapping[str, Goal] | None = None, strict: bool = False) -> DataFrame:
     """The rows of docs that the mixture takes, with all their columns."""
     kept = docs.columns
-    return _joined(docs, share, seed).filter(F.col("__mix_u") < F.col("__mix_p")).select(*[F.col(f"`{c}`") for c in kept])
+    return _joined(docs, share, seed, targets, strict)[0].filter(F.col("__mix_u") < F.col("__mix_p")).select(*[F.col(f"`{c}`") for c in kept])
