@@ -2,8 +2,10 @@
 
 Queries and candidates are dealt into blocks by a hash of their id. A tile is a block of queries with
 a block of candidates; its scores come from matrix products over bounded pieces, and each query keeps
-its best k of the tile. The lists are then merged in a tree, `FAN` lists at a time. Both block sizes
-are fixed, so a task's memory doesn't grow with the tables, and every query meets every candidate.
+its best k of the tile. The lists are then merged in a tree, `FAN` lists at a time. Every query meets every
+candidate. Blocks are as large as `BLOCK_BYTES` allow, since each candidate is copied once for each block of
+queries and each query once for each block of candidates; a task's memory doesn't grow with the tables. Few
+candidates are dealt into smaller blocks, so that all cores have a tile.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part, nor do empty
 vectors; only vectors of equal length have a score; components beyond the range of long are clamped
@@ -24,6 +26,8 @@ from lodestone.llm.common import materialise
 
 #: Lists merged at once.
 FAN = 16
+#: Bytes of the vectors of a block at most, and the rows below which a block isn't cut to make more tasks.
+BLOCK_BYTES, LEAST_ROWS = 16 << 20, 4_096
 #: Cells of a score matrix at once.
 CELLS = 4_000_000
 
@@ -77,12 +81,19 @@ def tile_best(queries: pa.Table, cands: pa.Table, k: int) -> pa.Table:
     return pa.table(dict(zip(("query_id", "vec_id", "score"), (pa.array(x, pa.int64()) for x in cols), strict=True)))
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, query_block: int = 8_192, cand_block: int = 8_192) -> DataFrame:
-    """query_id, rank, vec_id, score: the best k of all other vectors for each query."""
+def blocks(queries: int, candidates: int, dims: int, cores: int) -> tuple[int, int]:
+    """Numbers of blocks of queries and of candidates."""
+    most = max(1, BLOCK_BYTES // (8 * max(1, dims)))
+    by_cores = min(cores, -(-candidates // LEAST_ROWS))
+    return max(1, -(-queries // most)), max(1, -(-candidates // most), by_cores)
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, dealt: tuple[int, int] | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score: the best k of all other vectors for each query; dealt: numbers of blocks, else blocks()."""
     v = materialise(whole_vectors(vectors, scale).withColumn("d", F.size("v")))
     q = v.filter(is_query)
-    n, m = v.agg(F.count("*"), F.count_if(is_query)).first()
-    n_q, n_c = max(1, -(-m // query_block)), max(1, -(-n // cand_block))
+    n, m, dims = v.agg(F.count("*"), F.count_if(is_query), F.coalesce(F.max("d"), F.lit(1))).first()
+    n_q, n_c = dealt or blocks(m, n, dims, v.sparkSession.sparkContext.defaultParallelism)
     deal = lambda df, name, k: df.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int"))
     every = lambda df, name, k: df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
     q, c = every(deal(q, "qb", n_q), "cb", n_c), every(deal(v, "cb", n_c), "qb", n_q)
