@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from lodestone.llm.common import small_batches
 
@@ -262,18 +262,6 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(SparkFiles.get(path[6:]) if path.startswith("files:") else path, pattern)
 
 
-def slices(texts: list, most: int = 4_000_000):
-    """Ranges of rows with about `most` characters each."""
-    i = n = 0
-    for j, t in enumerate(texts):
-        n += len(t or "")
-        if n >= most:
-            yield i, j + 1
-            i, n = j + 1, 0
-    if i < len(texts):
-        yield i, len(texts)
-
-
 def encode(text: Column, path: str, pattern: str) -> Column:
     """array<int> of the ids of a text column; no ids for null."""
 
@@ -317,11 +305,30 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     return data(ids)
 
 
+def encode_and_decode(text: Column, path: str, pattern: str) -> Column:
+    """struct<ids, data>: the ids of a text column and the bytes that they decode to, in one worker for each task."""
+    kind = pa.struct([("ids", pa.list_(pa.int32())), ("data", pa.binary())])
+
+    @F.arrow_udf(StructType([StructField("ids", ArrayType(IntegerType(), False), False), StructField("data", BinaryType(), False)]))
+    def both(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        v = vocabulary(path, pattern)
+        for col in cols:
+            out = []
+            for i, j in _column_slices(col):
+                values, ends = v.encode_batch(col.slice(i, j - i).to_pylist())
+                data = [v.decode(values[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values))
+                out.append(pa.StructArray.from_arrays([ids, pa.array(data, pa.binary())], fields=list(kind)))
+            yield pa.concat_arrays(out) if out else pa.array([], kind)
+        v.forget()  # workers outlive their tasks, and what comes next needs the memory
+
+    return both(text)
+
+
 def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids and the bytes they decode to, for each row with a doc_id and a text."""
     small_batches(df.sparkSession)
-    coded = df.select("doc_id", encode(F.col("text"), path, pattern).alias("ids"))
-    return coded.select("doc_id", "ids", decode(F.col("ids"), path, pattern).alias("data"))
+    return df.select("doc_id", encode_and_decode(F.col("text"), path, pattern).alias("c")).select("doc_id", "c.ids", "c.data")
 
 
 def digests(df: DataFrame, path: str, pattern: str) -> DataFrame:
