@@ -136,9 +136,10 @@ def test_topk(spark):
     for i in range(0, 90, 20):
         best = sorted((-int(q[i] @ q[j]), j) for j in range(90) if j != i)[:5]
         want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(best)}
-    for block in (8192, 7):
-        got = topk.search(df, F.col("vec_id") % 20 == 0, 5, 64, block, block)
-        assert {tuple(r) for r in got.collect()} == want
+    twice = df.unionAll(df.filter("vec_id % 7 = 0"))  # rows that repeat a vec_id count once
+    for x, dealt in ((df, None), (twice, (3, 20))):
+        assert sorted(tuple(r) for r in topk.search(x, F.col("vec_id") % 20 == 0, 5, 64, dealt).collect()) == sorted(want)
+    assert topk.blocks(10**6, 2 * 10**7, 64, 8) == (31, 611) and topk.blocks(500, 10_000, 64, 8) == (1, 3) and topk.blocks(0, 0, 1, 8) == (1, 1)
     assert topk.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
@@ -227,17 +228,70 @@ def test_toxicity(spark, docs, none):
     assert toxicity.scored(none, y).count() == 0
 
 
-def test_mixing(docs, none):
-    got = mixing.mixed(docs, 0.5).collect()
+def plain_raking(cells, goals, sweeps):
+    """cells: {(category, ...): tokens}; goals: for each place of the key a power or weights."""
+    total = sum(cells.values())
+    w = {c: float(t) for c, t in cells.items()}
+    for _ in range(sweeps):
+        for d, g in enumerate(goals):
+            mass, now = Counter(), Counter()
+            for c, t in cells.items():
+                mass[c[d]] += t
+                now[c[d]] += w[c]
+            want = {k: g.get(k, 0.0) if isinstance(g, dict) else m**g for k, m in mass.items()}
+            scale = total / sum(want.values())
+            w = {c: v * want[c[d]] * scale / now[c[d]] if now[c[d]] else 0.0 for c, v in w.items()}
+    return w
+
+
+def test_raking(spark, monkeypatch):
+    plain = {("a", "x"): 5, ("a", "y"): 20, ("b", "x"): 70, ("b", "y"): 5, ("c", "y"): 9, (None, "x"): 11}
+    cells = spark.createDataFrame([("" if k is None else f"={k}", f"={v}", t) for (k, v), t in plain.items()], "k string, l string, t long")
+    given = {"a": 3.0, "b": 1.0, None: 2.0, "nowhere": 9.0}
+    for goals in ([0.5, 0.5], [given, 0.7], [given, {"x": 1, "y": 1}]):
+        want = plain_raking(plain, goals, 500)
+        for small in (mixing.SMALL, 0) if goals[1] == 0.7 else (mixing.SMALL,):
+            out, gap = mixing.rake(cells, ["k", "l"], goals, small=small)
+            got = {((r["k"] or "=")[1:] or None if r["k"] == "" else r["k"][1:], r["l"][1:]): r["w"] for r in out.collect()}
+            assert gap <= mixing.TOLERANCE and all(abs(got[c] - w) <= 1e-4 * max(1, w) for c, w in want.items())
+    # no cell joins a and y, so these weights can't be met: they aren't taken for met
+    apart = cells.filter("(k = '=a') = (l = '=x')")
+    monkeypatch.setattr(mixing, "SWEEPS", 6)
+    for small in (mixing.SMALL, 0):
+        with pytest.warns(UserWarning, match="gap"):
+            assert mixing.rake(apart, ["k", "l"], [{"a": 1, "b": 9}, {"x": 9, "y": 1}], small=small)[1] > 0.1
+    with pytest.raises(RuntimeError, match="gap"):
+        mixing.rake(apart, ["k", "l"], [{"a": 1, "b": 9}, {"x": 9, "y": 1}], strict=True)
+    with pytest.raises(ValueError, match="weight"):
+        mixing.rake(cells, ["k", "l"], [{"nowhere": 1}, 0.5])
+
+
+@pytest.mark.parametrize("targets", [None, {"source": {"s0": 1.0, "s1": 5.0, "s2": 1.0, None: 0.5}, "lang": 1.0}])
+@pytest.mark.filterwarnings("ignore:raking stopped")
+def test_mixing(docs, none, targets, monkeypatch):
+    monkeypatch.setattr(mixing, "SWEEPS", 2)
+    got = mixing.mixed(docs, 0.5, targets=targets).collect()
     assert len(got) == len(rows_of())
-    t = sum(r["n_tokens"] for r in got)
+    goals = [{**mixing.POWERS, **(targets or {})}[d] for d in mixing.DIMS]
+    cells = Counter()
+    for r in got:
+        cells[r["source"], r["lang"], r["topic"]] += r["n_tokens"]
+    want = plain_raking(cells, goals, 2)
+    t = sum(cells.values())
+    k = 1.0
+    for _ in range(200):  # the share of tokens grows with k
+        full = {c for c in cells if k * want[c] >= cells[c]}
+        k = (0.5 * t - sum(cells[c] for c in full)) / sum(want[c] for c in cells if c not in full)
     assert abs(sum(r["n_tokens"] * r["probability"] for r in got) / t - 0.5) < 1e-6
+    u = {r[0]: r[1] for r in docs.select("doc_id", mixing.uniform(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), 29)).collect()}
+    assert len(set(u.values())) > 40 and all(0 <= v < 1 for v in u.values())
+    for r in got:
+        c = r["source"], r["lang"], r["topic"]
+        assert abs(r["weight"] - want[c] / cells[c]) < 1e-6 * (1 + r["weight"]) and abs(r["probability"] - min(1, k * want[c] / cells[c])) < 1e-6
+        assert r["kept"] == (u[r["doc_id"]] < r["probability"]) and r["raking_gap"] > mixing.TOLERANCE  # two sweeps are too few here
     assert mixing.mixed(none).count() == 0
-    assert mixing.sample(docs).columns == docs.columns
-    cells = docs.sparkSession.createDataFrame([("a", "x", 5), ("a", "y", 20), ("b", "x", 70), ("b", "y", 5)], "k string, l string, t long")
-    w = {(r["k"], r["l"]): r["w"] for r in mixing.rake(cells, ["k", "l"], [0.5, 0.5]).collect()}
-    for dims, goal in ((0, {"a": 25**0.5, "b": 75**0.5}), (1, {"x": 75**0.5, "y": 25**0.5})):
-        for k, g in goal.items():
-            assert abs(sum(v for c, v in w.items() if c[dims] == k) / (100 * g / sum(goal.values())) - 1) < 1e-5
-    large = {(r["k"], r["l"]): r["w"] for r in mixing.rake(cells, ["k", "l"], [0.5, 0.5], small=0).collect()}
-    assert all(abs(large[k] / w[k] - 1) < 1e-9 for k in w)
+    kept = mixing.sample(docs, targets=targets)
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(r["doc_id"]) for r in got if r["kept"])
+    monkeypatch.setattr(mixing, "SMALL", 1)  # many cells: raked and joined apart from the driver
+    again = mixing.mixed(docs, 0.5, targets=targets).collect()
+    assert sorted((str(r["doc_id"]), round(r["probability"], 4)) for r in again) == sorted((str(r["doc_id"]), round(r["probability"], 4)) for r in got)
