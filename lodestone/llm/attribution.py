@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import Vocabulary, _column_slices, vocabulary
+from lodestone.llm.common import lean_workers
 
 COUNTS = "array<struct<section: int, start_char: bigint, end_char: bigint, n_tokens: bigint, n_crossing: bigint>>"
 
@@ -90,12 +91,14 @@ def counts_column(text: Column, path: str, pattern: str, spans: Column | None =
 
 def section_counts(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, section, start_char, end_char, n_tokens, n_crossing for each line of each row, and section -1."""
+    lean_workers(docs.sparkSession)
     x = docs.select("doc_id", F.explode(counts_column(F.col("text").cast("string"), path, pattern)).alias("c"))
     return x.select("doc_id", "c.*")
 
 
 def field_counts(df: DataFrame, fields: list[str], path: str, pattern: str, key: str = "doc_id") -> DataFrame:
     """key, field, n_tokens, n_crossing: tokens of the text that joins the fields with line breaks, by field."""
+    lean_workers(df.sparkSession)
     value = [F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]
     spans, at = [], F.lit(0).cast("long")
     for v in value:

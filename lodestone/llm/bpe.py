@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
-from lodestone.llm.common import small_batches
+from lodestone.llm.common import lean_workers
 
 #: A piece longer than this is merged alone.
 LONG = 1024
@@ -327,7 +327,7 @@ def encode_and_decode(text: Column, path: str, pattern: str) -> Column:
 
 def round_trip(df: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, ids and the bytes they decode to, for each row with a doc_id and a text."""
-    small_batches(df.sparkSession)
+    lean_workers(df.sparkSession)
     return df.select("doc_id", encode_and_decode(F.col("text"), path, pattern).alias("c")).select("doc_id", "c.ids", "c.data")
 
 

@@ -51,10 +51,22 @@ def lookup(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, m
     return salted.join(dealt, [*keys, "__salt"]).drop("__salt")
 
 
-def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
-    """Sets the most bytes of an Arrow batch (Spark's default is 64 MB): a batch of whole texts is held several
-    times over, off the heap of the executor, in the buffers of its Python worker and as Python strings."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+#: Settings of a session that runs these operators, and Spark's defaults, which they replace; what a user has set stays.
+WORKERS = {
+    # bytes of an Arrow batch: a batch of whole texts is held several times over, off the heap of the executor, in the
+    # buffers of its Python worker and as Python strings
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("4m", ("67108864b",)),
+    # Spark keeps a pool of Python workers for each environment, and this setting reaches only some kinds of Python
+    # stages: with it an executor holds twice as many workers as it has cores
+    "spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled": ("false", ("true",)),
+}
+
+
+def lean_workers(spark: SparkSession) -> None:
+    """Applies WORKERS. The settings stay, because the DataFrames that operators return run later."""
+    for key, (value, defaults) in WORKERS.items():
+        if spark.conf.get(key, defaults[0]) in defaults:
+            spark.conf.set(key, value)
 
 
 def crc_of(col: str) -> Column:

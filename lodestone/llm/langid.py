@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.bpe import _ranges
-from lodestone.llm.common import fold, materialise, mix, small_batches, uniform
+from lodestone.llm.common import fold, lean_workers, materialise, mix, uniform
 
 MOST, BITS, LONGEST = 4_000, 17, 4
 #: Nats that a change of language costs.
@@ -179,7 +179,7 @@ class Model:
 
 def train(docs: DataFrame, most: int = MOST, bits: int = BITS, seed: int = 3) -> Model:
     """Learns from documents with a language whose crc32(doc_id as text) mod 3 is not 1."""
-    small_batches(docs.sparkSession)
+    lean_workers(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("text").isNotNull() & (fold("doc_id", 3) != 1))
     n = {r["lang"]: r["count"] for r in known.groupBy(F.col("lang").cast("string").alias("lang")).count().collect()}
     langs = sorted(n)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import fold, hash_words, materialise, mix, text_slices
+from lodestone.llm.common import fold, hash_words, lean_workers, materialise, mix, text_slices
 
 MU = 300.0
 #: Text bytes of a range at least, bits of the filter for each insertion, probes for each membership test.
@@ -209,6 +209,7 @@ OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score do
 def score_texts(docs: DataFrame, training: DataFrame, mu: float = MU, limit: int = LIMIT) -> DataFrame:
     """doc_id, held_out and the scores of every row of docs (doc_id, text, held_out)."""
     spark = docs.sparkSession
+    lean_workers(spark)
     ranges, n_ranges = count_ranges(training)
     total = {r["kind"]: r for r in ranges.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum(F.octet_length("keys") + F.octet_length("data")).alias("bytes")).collect()}
     n, v, n_texts = (total[0]["total"], total[0]["n"], training.count()) if 0 in total else (0, 0, 0)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import hash_words, lookup, materialise, text_slices, uniform
+from lodestone.llm.common import hash_words, lean_workers, lookup, materialise, text_slices, uniform
 
 TOPICS, WIDTH, STEPS = 8, 64, 10
 #: The length of profiles and centres, whose numbers are rounded to whole ones.
@@ -258,6 +258,7 @@ def calibrate(cells: DataFrame, share: float) -> float:
 
 def chances(docs: DataFrame, share: float, targets: Mapping[str, Goal] | None = None, strict: bool = False) -> tuple[DataFrame, np.ndarray, float]:
     """KEYS and each cell's raked weight, tokens and probability; the centres of the topics; and the gap of the raking."""
+    lean_workers(docs.sparkSession)
     centres = fit_topics(docs)
     rows = with_cells(docs.select("doc_id", "text", "source", "lang"), centres)
     cells = materialise(rows.groupBy(*KEYS).agg(F.sum("__mix_tokens").alias("t")))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WordHashes, materialise, mix, small_batches
+from lodestone.llm.common import WordHashes, lean_workers, materialise, mix
 
 #: Classes in a block, and the most needed classes (of some 16 bytes) that are broadcast to find their texts.
 BLOCK, BROADCAST_ROWS = 512, 2_000_000
@@ -199,7 +199,7 @@ def _components(edges: DataFrame) -> DataFrame:
 
 def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
     """The rows of docs (_prepared), and the classes: key, root (key of the group), copies, copy_id, n_rows, n_classes."""
-    small_batches(docs.sparkSession)
+    lean_workers(docs.sparkSession)
     bands, rows = bands_for(threshold, recall)
     first = materialise(_prepared(docs, n, bands, rows))
     keyed = first.filter(F.col("key").isNotNull())

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from lodestone.llm.common import WHITE, lookup, materialise
+from lodestone.llm.common import WHITE, lean_workers, lookup, materialise
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
 SYMBOLS = b"#*$%&|<>"
@@ -102,6 +102,7 @@ def host_rates(judged: DataFrame, rules: dict[str, str]) -> DataFrame:
 def verdicts(docs: DataFrame, host: str = "source", most: float = 0.5, rules: dict[str, str] | None = None) -> DataFrame:
     """doc_id, the counts, base_failed, kept, the host and its highest shrunk rate, for every row of docs."""
     rules = rules or RULES
+    lean_workers(docs.sparkSession)
     key = F.coalesce(F.concat(F.lit("="), F.col(host).cast("string")), F.lit(""))
     judged = docs.select("doc_id", key.alias("host"), count_columns(F.col("text")).alias("c")).select("doc_id", "host", "c.*")
     for r, rule in rules.items():

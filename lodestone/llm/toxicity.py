@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from lodestone.llm.common import fold, materialise, small_batches, uniform
+from lodestone.llm.common import fold, lean_workers, materialise, uniform
 
 #: Rows of each class in the sample, and words in the lexicon.
 MOST, LEXICON = 8_000, 300
@@ -143,7 +143,7 @@ class Model:
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST, lexicon_size: int = LEXICON, trees: int = 20, depth: int = 3, seed: int = 5) -> Model:
     """Learns from the documents whose crc32(doc_id as text) mod 5 is not 0."""
-    small_batches(docs.sparkSession)
+    lean_workers(docs.sparkSession)
     y = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("__tox_y"))
     y = y.filter(F.col("__tox_y").isin(0, 1))
     n = {r["__tox_y"]: r["count"] for r in y.groupBy("__tox_y").count().collect()}
