@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import edge_id, node_id
+from lodestone.operators.imports import FILE
+
 #: Flags of an answer and the node types they stand for (fixed values); isRoute needs a method and a path.
 FLAGS = {
     "isService": "service", "isController": "controller", "isDbModel": "dbModel", "isCache": "cache", "isQueue": "queue", "isEvent": "event",
@@ -34,30 +37,40 @@ def parsed(answer: Column) -> Column:
 
 
 def nodes(answers: DataFrame) -> DataFrame:
-    """(id, type, label, path) of answers (path, answer): one node for each flag, and a route if its method and path are known."""
-    x = answers.select("path", F.explode(_whole(F.col("answer"))).alias("a"))
+    """(repository_id, id, type, label, path) of answers (repository_id, path, answer): one node for each flag, and a route if its
+    method and path are known. Several files can name the same route."""
+    x = answers.select(*FILE, F.explode(_whole(F.col("answer"))).alias("a"))
     label = F.coalesce("a.entityName", "path")
     flagged = F.array_compact(F.array(*[F.when(F.col(f"a.{f}"), F.lit(t)) for f, t in FLAGS.items()]))
-    plain = x.select("path", label.alias("label"), F.explode(flagged).alias("type")).select(F.concat("type", F.lit(":"), "path").alias("id"), "type", "label", "path")
-    method, way = F.upper("a.httpMethod"), F.col("a.httpPath")
-    routes = x.filter(F.col("a.isRoute") & (F.length("a.httpMethod") > 0) & (F.length("a.httpPath") > 0))
-    routes = routes.select(F.concat(F.lit("route:"), method, F.lit(":"), way).alias("id"), F.lit("route").alias("type"), F.concat_ws(" ", "a.httpMethod", way).alias("label"), "path")
+    plain = x.select(*FILE, label.alias("label"), F.explode(flagged).alias("type"))
+    plain = plain.select("repository_id", node_id(F.col("type"), F.array("path")).alias("id"), "type", "label", "path")
+    method, way = F.col("a.httpMethod"), F.col("a.httpPath")
+    routes = x.filter(F.col("a.isRoute") & (F.length(method) > 0) & (F.length(way) > 0))
+    kind = F.lit("route")
+    routes = routes.select("repository_id", node_id(kind, F.array(method, way)).alias("id"), kind.alias("type"), F.concat_ws(" ", method, way).alias("label"), "path")
     return plain.unionByName(routes)
 
 
+def edges(answers: DataFrame) -> DataFrame:
+    """(repository_id, id, source, target, type): a defines edge from each file to each of its nodes(); distinct."""
+    file, kind = node_id(F.lit("file"), F.array("path")), F.lit("defines")
+    x = nodes(answers).select("repository_id", file.alias("source"), F.col("id").alias("target")).distinct()
+    return x.select("repository_id", edge_id(F.col("source"), kind, F.col("target")).alias("id"), "source", "target", kind.alias("type"))
+
+
 def coverage(answers: DataFrame, key: str) -> DataFrame:
     """Per key: attempted, succeeded, quota_exhausted (status 429), failed otherwise, percent, and the first file over quota.
 
     answers: key, ordinal, path, status, answer. A file whose answer can't be parsed failed otherwise."""
     over, good = F.col("status") == 429, (F.col("status") == 200) & parsed(F.col("answer")).isNotNull()
-    x = answers.withColumns({"over": over, "good": good})
+    x = answers.select(key, "ordinal", "path", over.alias("__over"), good.alias("__good"))
     return x.groupBy(key).agg(
-        F.count("*").alias("attempted"), F.count_if("good").alias("succeeded"), F.count_if("over").alias("quota_exhausted"),
-        F.count_if(~F.col("good") & ~F.col("over")).alias("failed"), F.round(100 * F.count_if("good") / F.count("*"), 1).alias("percent"),
-        F.min_by("path", F.when(F.col("over"), F.col("ordinal"))).alias("first_over"),
+        F.count("*").alias("attempted"), F.count_if("__good").alias("succeeded"), F.count_if("__over").alias("quota_exhausted"),
+        F.count_if(~F.col("__good") & ~F.col("__over")).alias("failed"), F.round(100 * F.count_if("__good") / F.count("*"), 1).alias("percent"),
+        F.min_by("path", F.when(F.col("__over"), F.col("ordinal"))).alias("first_over"),
     )
 
 
 def prompts(files: DataFrame, most: int = 4000) -> DataFrame:
-    """(path, excerpt): the first characters of each file, as the request asks for."""
-    return files.select("path", F.substring("content", 1, most).alias("excerpt"))
+    """(repository_id, path, excerpt): the first characters of each file, as the request asks for."""
+    return files.select(*FILE, F.substring("content", 1, most).alias("excerpt"))

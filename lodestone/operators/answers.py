@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import question_class
 from lodestone.operators import graph
+from lodestone.operators.evaluation import entities
 from lodestone.sources.tables import stage
 
 #: Questions suggested for a node of each type, and for any other type (fixed values).
@@ -28,12 +29,12 @@ GRAM = 3
 
 
 def suggestions(nodes: DataFrame) -> DataFrame:
-    """(id, rank, question): the questions suggested for each node (id, type)."""
+    """(repository_id, id, rank, question): the questions suggested for each node (repository_id, id, type)."""
     texts = lambda t: F.array(*map(F.lit, t))
     listed = texts(SUGGESTIONS_ELSE)
     for kind, questions in SUGGESTIONS.items():
         listed = F.when(F.col("type") == kind, texts(questions)).otherwise(listed)
-    return nodes.select("id", F.posexplode(listed).alias("rank", "question"))
+    return nodes.select("repository_id", "id", F.posexplode(listed).alias("rank", "question"))
 
 
 def labelled(nodes: DataFrame) -> DataFrame:
@@ -63,112 +64,165 @@ def resolved_hints(hints: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def classified(questions: DataFrame) -> DataFrame:
-    """questions with category, mode and direction."""
-    return questions.withColumn("c", question_class(F.col("text"))).select(*questions.columns, "c.*")
+    """questions with category, mode and direction, which replace columns of these names."""
+    kept = [c for c in questions.columns if c not in ("category", "mode", "direction")]
+    return questions.withColumn("__class", question_class(F.col("text"))).select(*kept, "__class.*")
 
 
-def answer_rows(questions: DataFrame, edges: DataFrame, modes: tuple[str, ...] = ("direct", "transitive", "path")) -> DataFrame:
-    """(question_id, mode, position, node): what each dependency question of these modes finds, one row a node.
+QUESTION = ["repository_id", "question_id"]
 
-    questions: question_id, text, node, target. Each algorithm runs once, for the distinct nodes of all its questions. Positions
-    count along a path from 0; the nodes of other modes have none, since their number isn't bounded."""
-    x = stage(classified(questions).filter(F.col("mode").isin(*modes)).select("question_id", "mode", "direction", "node", "target"))
+
+def answer_rows(questions: DataFrame, edges: graph.Edges, modes: tuple[str, ...] = ("direct", "transitive", "path"), edge_type: str | None = None) -> DataFrame:
+    """(repository_id, question_id, mode, position, node): what each dependency question of these modes finds, one row a node.
+
+    questions: repository_id, question_id, text, node, target. Each algorithm runs once, for the distinct nodes of all its
+    questions; paths are searched for the asked pairs only. Positions count along a path from 0; the nodes of other modes
+    have none, since their number isn't bounded."""
+    edges = graph.prepared(edges, edge_type)
+    x = stage(classified(questions).filter(F.col("mode").isin(*modes)).select(*QUESTION, "mode", "direction", F.col("node").alias("seed"), "target"))
     none = F.lit(None).cast("int").alias("position")
-    out = x.limit(0).select("question_id", "mode", none, "node")
-    if "direct" in modes:
-        near = x.filter("mode = 'direct'").withColumnRenamed("direction", "way").join(graph.direct(edges), "node").filter("way is null or way = direction")
-        out = out.unionByName(near.select("question_id", "mode", none, F.col("other").alias("node")).distinct())
-    if "transitive" in modes:
-        asked = x.filter("mode = 'transitive'").select("question_id", "mode", "direction", F.col("node").alias("seed"))
-        back = edges.select(F.col("target").alias("source"), F.col("source").alias("target"))
-        for way, e in (("outgoing", edges), ("incoming", back)):
-            mine = asked.filter(F.col("direction") == way)
-            if mine.limit(1).count():
-                got = graph.reach(mine.select("seed"), e).filter("seed <> node")
-                out = out.unionByName(mine.join(got, "seed").select("question_id", "mode", none, "node"))
-        mine = asked.filter("direction is null")
-        if mine.limit(1).count():  # in both directions: the rest of the component
-            at = graph.components(edges)
-            got = mine.join(at.withColumnRenamed("node", "seed"), "seed").join(at, "component").filter("seed <> node")
-            out = out.unionByName(got.select("question_id", "mode", none, "node"))
-    if "path" in modes:
-        asked = x.filter("mode = 'path'").select("question_id", "mode", F.col("node").alias("seed"), F.col("target").alias("node"))
-        paths = asked.join(graph.shortest_paths(asked.select("seed"), edges), ["seed", "node"])
-        out = out.unionByName(paths.select("question_id", "mode", F.posexplode("path").alias("position", "node")))
+    out = x.limit(0).select(*QUESTION, "mode", none, F.col("seed").alias("node"))
+    asked = {(r["mode"], r["direction"]) for r in x.select("mode", "direction").distinct().collect()}  # at most nine
+    for mode, way in sorted(asked, key=str):
+        mine = x.filter((F.col("mode") == mode) & F.col("direction").eqNullSafe(way))
+        if mode == "path":
+            pairs = mine.select(*QUESTION, "mode", "seed", F.col("target").alias("node")).filter("node is not null")
+            found = pairs.join(graph.shortest_paths(pairs.select("repository_id", "seed", "node"), edges), ["repository_id", "seed", "node"])
+            out = out.unionByName(found.select(*QUESTION, "mode", F.posexplode("path").alias("position", "node")))
+        else:
+            got = graph.dependencies(edges, mine.select("repository_id", "seed"), way or "both", mode)
+            out = out.unionByName(mine.select(*QUESTION, "mode", "seed").join(got, ["repository_id", "seed"]).select(*QUESTION, "mode", none, "node"))
     return out
 
 
-def answer_summary(questions: DataFrame, edges: DataFrame) -> DataFrame:
-    """(question_id, category, algorithm, mode, found): how much the algorithm of each question finds; null for hybrid ones,
-    which get a prompt instead. Questions about cycles find the number of cycles of the graph, which are searched once."""
-    found = answer_rows(questions, edges).groupBy("question_id").agg(F.count("*").alias("n"))
-    n_cycles = graph.cycles(edges).agg(F.count_distinct("cycle_id")).first()[0]
+def answer_summary(questions: DataFrame, edges: graph.Edges, edge_type: str | None = None) -> DataFrame:
+    """(repository_id, question_id, category, algorithm, mode, found): how much the algorithm of each question finds; null for hybrid
+    ones, which get a prompt instead. Questions about cycles find the number of cycles of their repository, which are searched once."""
+    edges = graph.prepared(edges, edge_type)
+    found = answer_rows(questions, edges).groupBy(*QUESTION).agg(F.count("*").alias("n"))
+    n_cycles = graph.cycles(edges).groupBy("repository_id").agg(F.count_distinct("cycle_id").alias("c"))
     dependency, cycle = F.col("category") == "pure_graph", F.col("category") == "intelligence"
-    x = classified(questions).join(found, "question_id", "left")
+    x = classified(questions).join(found, QUESTION, "left").join(n_cycles, "repository_id", "left")
     return x.select(
-        "question_id", "category", F.when(dependency, "dependency-analysis").when(cycle, "cycle-detection").alias("algorithm"), "mode",
-        F.when(dependency, F.coalesce("n", F.lit(0))).when(cycle, F.lit(n_cycles)).cast("long").alias("found"),
+        *QUESTION, "category", F.when(dependency, "dependency-analysis").when(cycle, "cycle-detection").alias("algorithm"), "mode",
+        F.when(dependency, F.coalesce("n", F.lit(0))).when(cycle, F.coalesce("c", F.lit(0))).cast("long").alias("found"),
     )
 
 
-def path_texts(questions: DataFrame, edges: DataFrame, labels: DataFrame) -> DataFrame:
-    """(question_id, answer): the labels along the path that each path question asks for. labels: node, label; a node without
-    a label shows its id. A path has at most graph.MAX_ROUNDS nodes."""
-    asked = classified(questions).filter("mode = 'path'").select("question_id")
-    steps = answer_rows(questions, edges, ("path",)).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    texts = steps.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("position", "label"))).alias("x"))
-    texts = texts.select("question_id", F.array_join(F.transform("x", lambda s: s["label"]), " → ").alias("answer"))
-    return asked.join(texts, "question_id", "left").withColumn("answer", F.coalesce("answer", F.lit(NO_PATH)))
-
-
-def cycle_text(n: Column) -> Column:
-    """The first line of an answer about n cycles."""
-    some = F.concat(n.cast("string"), F.when(n == 1, " circular dependency found:").otherwise(" circular dependencies found:"))
+def cycle_text(n: Column, lines: Column) -> Column:
+    """The answer about n cycles: how many, and a line for each."""
+    some = F.concat(n.cast("string"), F.when(n == 1, " circular dependency found:\n").otherwise(" circular dependencies found:\n"), lines)
     return F.when(n == 0, "No circular dependencies found in this repository.").otherwise(some)
 
 
-def graph_facts(questions: DataFrame, edges: DataFrame) -> DataFrame:
-    """(question_id, fact, position, node): the neighbours of the node of each hybrid question and, if it has a target, the path there.
+def answer_texts(questions: DataFrame, edges: graph.Edges, labels: DataFrame, edge_type: str | None = None) -> DataFrame:
+    """(repository_id, question_id, answer): the text of the answer to each question about dependencies or cycles.
+
+    labels: repository_id, node, label; a node without a label shows its id. A path is joined by arrows, other nodes by commas in
+    the order of their ids, and each cycle is a line in the order of its ids; cycles come by their smallest node. A text is one
+    value, so an answer is as long as what it lists; answer_rows has the same as rows."""
+    x = classified(questions).filter("category in ('pure_graph', 'intelligence')")
+    shown = lambda df: df.join(labels, ["repository_id", "node"], "left").withColumn("label", F.coalesce("label", "node"))
+    edges = graph.prepared(edges, edge_type)
+    rows = shown(answer_rows(questions, edges)).groupBy(*QUESTION, "mode").agg(F.array_sort(F.collect_list(F.struct("position", "node", "label"))).alias("x"))
+    joined = F.transform("x", lambda s: s["label"])
+    rows = rows.select(*QUESTION, F.when(F.col("mode") == "path", F.array_join(joined, " → ")).otherwise(F.array_join(joined, ", ")).alias("found"))
+    lines = shown(graph.cycles(edges)).groupBy("repository_id", "cycle_id").agg(F.array_sort(F.collect_list(F.struct("node", "label"))).alias("x"))
+    lines = lines.select("repository_id", "cycle_id", F.array_join(joined, " → ").alias("line"))
+    lines = lines.groupBy("repository_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("cycle_id", "line"))).alias("x"))
+    lines = lines.select("repository_id", "n", F.array_join(F.transform("x", lambda s: s["line"]), "\n").alias("lines"))
+    x = x.join(rows, QUESTION, "left").join(lines, "repository_id", "left")
+    nothing = F.when(F.col("mode") == "path", NO_PATH).otherwise(NONE_FOUND)
+    cycles = cycle_text(F.coalesce("n", F.lit(0)), F.coalesce("lines", F.lit("")))
+    return x.select(*QUESTION, F.when(F.col("category") == "intelligence", cycles).otherwise(F.coalesce("found", nothing)).alias("answer"))
+
+
+def graph_facts(questions: DataFrame, edges: graph.Edges, edge_type: str | None = None) -> DataFrame:
+    """(repository_id, question_id, fact, position, node): the neighbours of the node of each hybrid question and, if it has a
+    target, the path there.
 
     Facts are neighbours and path; neighbours have no position. A question without a node, or whose node is unknown, has no facts."""
-    x = stage(classified(questions).filter("category = 'hybrid'").select("question_id", "node", "target"))
-    near = x.select("question_id", "node").join(graph.direct(edges), "node").select("question_id", F.lit("neighbours").alias("fact"), F.lit(None).cast("int").alias("position"), F.col("other").alias("node")).distinct()
-    asked = x.filter("target is not null").select("question_id", F.col("node").alias("seed"), F.col("target").alias("node"))
-    paths = asked.join(graph.shortest_paths(asked.select("seed"), edges), ["seed", "node"]).select("question_id", F.lit("path").alias("fact"), F.posexplode("path").alias("position", "node"))
-    return near.unionByName(paths)
-
-
-def evaluation_run(questions: DataFrame, repositories: DataFrame) -> DataFrame:
-    """questions (question_id, repository_id, text, expected) with actual: the category, or error if the repository isn't ready."""
-    ready = repositories.filter("status = 'ready'").select("repository_id").distinct().withColumn("ready", F.lit(True))
-    x = classified(questions).join(ready, "repository_id", "left")
-    return x.select("question_id", "repository_id", "expected", F.when(F.col("ready"), F.col("category")).otherwise("error").alias("actual"))
-
-
-def display_flags(nodes: DataFrame, edges: DataFrame, selected: str) -> DataFrame:
-    """(id, in_cycle, related, dimmed) of nodes (id) when one node is selected: it and its neighbours aren't dimmed."""
-    inside = graph.cycles(edges).select(F.col("node").alias("id")).distinct().withColumn("in_cycle", F.lit(True))
-    near = graph.direct(edges).filter(F.col("node") == selected).select(F.col("other").alias("id")).distinct().withColumn("related", F.lit(True))
-    x = nodes.select("id").distinct().join(inside, "id", "left").join(near, "id", "left")
+    edges = graph.prepared(edges, edge_type)
+    x = stage(classified(questions).filter("category = 'hybrid' and node is not null").select(*QUESTION, F.col("node").alias("seed"), "target"))
+    near = x.select(*QUESTION, "seed").join(graph.dependencies(edges, x), ["repository_id", "seed"])
+    near = near.select(*QUESTION, F.lit("neighbours").alias("fact"), F.lit(None).cast("int").alias("position"), "node")
+    asked = x.filter("target is not null").select(*QUESTION, "seed", F.col("target").alias("node"))
+    paths = asked.join(graph.shortest_paths(asked.select("repository_id", "seed", "node"), edges), ["repository_id", "seed", "node"])
+    return near.unionByName(paths.select(*QUESTION, F.lit("path").alias("fact"), F.posexplode("path").alias("position", "node")))
+
+
+def fact_lines(questions: DataFrame, facts: DataFrame) -> DataFrame:
+    """(repository_id, question_id, lines): what a prompt says of the graph for each hybrid question with a node: its neighbours and, if it
+    has a target, the path, or that there are none."""
+    x = classified(questions).filter("category = 'hybrid' and node is not null")
+    listed = facts.groupBy(*QUESTION, "fact").agg(F.array_sort(F.collect_list(F.struct("position", F.col("node").alias("name")))).alias("x"))
+    listed = listed.select(*QUESTION, "fact", F.array_join(F.transform("x", lambda s: s["name"]), ", ").alias("names"))
+    of = lambda fact: listed.filter(F.col("fact") == fact).select(*QUESTION, F.col("names").alias(fact))
+    x = x.join(of("neighbours"), QUESTION, "left").join(of("path"), QUESTION, "left")
+    said = lambda c: F.coalesce(c, F.lit("(none found)"))
+    first = F.concat(F.lit("Direct dependencies/dependents of "), "node", F.lit(": "), said("neighbours"))
+    second = F.concat(F.lit("Dependency path from "), "node", F.lit(" to "), "target", F.lit(": "), said("path"))
+    return x.select(*QUESTION, F.concat_ws("\n", first, F.when(F.col("target").isNotNull(), second)).alias("lines"))
+
+
+def evaluation_run(questions: DataFrame, repositories: DataFrame, nodes: DataFrame, edges: DataFrame, labels: DataFrame, hybrid: DataFrame) -> DataFrame:
+    """(repository_id, question_id, expected, actual, found, missing): every question resolved, answered and scored.
+
+    questions: repository_id, question_id, text, expected, hint, entities (array<string> or null); repositories: repository_id,
+    status; nodes: see labelled(); labels: see answer_texts(); hybrid: (repository_id, question_id, answer), what a model answered
+    to hybrid questions. The hint gives the node. A question of a repository that isn't ready, or a hybrid one without an
+    answer, is an error: its actual category is error, and all its entities are missing."""
+    ready = repositories.filter("status = 'ready'").select("repository_id").distinct()
+    asked = resolved_hints(questions.join(ready, "repository_id", "left_semi"), nodes).withColumnRenamed("id", "node").withColumn("target", F.lit(None).cast("string"))
+    asked = stage(asked.select(*QUESTION, "text", "node", "target"))
+    kinds = classified(asked).select(*QUESTION, "category")
+    told = hybrid.select(*QUESTION, "answer").join(kinds.filter("category = 'hybrid'"), QUESTION, "left_semi")
+    texts = answer_texts(asked, edges, labels).unionByName(told)
+    x = questions.join(kinds, QUESTION, "left").join(texts, QUESTION, "left")
+    x = x.withColumn("actual", F.when(F.col("answer").isNotNull(), F.col("category")).otherwise("error"))
+    names = F.coalesce("entities", F.array().cast("array<string>"))
+    found, missing = entities(F.coalesce("answer", F.lit("")), names)
+    return x.select(*QUESTION, "expected", "actual", found.alias("found"), missing.alias("missing"))
+
+
+def display_flags(nodes: DataFrame, edges: DataFrame, selected: DataFrame) -> DataFrame:
+    """(repository_id, id, in_cycle, related, dimmed) of nodes (repository_id, id) when a node of each repository (repository_id,
+    node) is selected: it and its neighbours aren't dimmed. Nothing is dimmed where nothing is selected."""
+    inside = graph.cycles(edges).select("repository_id", F.col("node").alias("id")).distinct().withColumn("in_cycle", F.lit(True))
+    one = selected.select("repository_id", F.col("node").alias("selected"))
+    near = graph.direct(edges).join(one.withColumnRenamed("selected", "node"), ["repository_id", "node"]).select("repository_id", F.col("other").alias("id")).distinct().withColumn("near", F.lit(True))
+    x = nodes.select("repository_id", "id").distinct().join(inside, ["repository_id", "id"], "left").join(near, ["repository_id", "id"], "left").join(F.broadcast(one) if one.count() < 100_000 else one, "repository_id", "left")
     off = F.lit(False)
-    related = F.coalesce("related", off) & (F.col("id") != selected)
-    return x.select("id", F.coalesce("in_cycle", off).alias("in_cycle"), related.alias("related"), (~related & (F.col("id") != selected)).alias("dimmed"))
+    other = F.coalesce(F.col("id") != F.col("selected"), off)
+    related = F.coalesce("near", off) & other
+    return x.select("repository_id", "id", F.coalesce("in_cycle", off).alias("in_cycle"), related.alias("related"), (other & ~related).alias("dimmed"))
 
 
 def hierarchy(nodes: DataFrame, edges: DataFrame, containers: tuple[str, ...] = ("repository", "folder")) -> DataFrame:
-    """(id, parent, container, is_root): the parent of each node, the nearest container above it, and whether it has no parent.
-
-    nodes: id, type; contains edges: ordinal, source, target. The last edge gives the parent. Nodes under one that is no
-    container belong to the nearest container above; pointers double, so a chain of n nodes takes about log2 n rounds.
-    Above a root without the type of a container the root itself counts as one."""
-    parents = edges.groupBy(F.col("target").alias("id")).agg(F.max_by("source", "ordinal").alias("parent"))
-    base = stage(nodes.select("id", F.col("type").isin(*containers).alias("holds")).distinct().join(parents, "id", "left"))
-    sure = base.select(F.col("id").alias("up"), (F.col("holds") | F.col("parent").isNull()).alias("fixed"), F.col("parent").alias("next"))
-    at = stage(base.select("id", F.col("parent").alias("up")).join(sure, "up", "left").select("id", "up", F.coalesce("fixed", F.lit(True)).alias("fixed")))
-    for _ in range(graph.MAX_ROUNDS):
-        if not at.filter("not fixed").limit(1).count():
-            return base.join(at.select("id", F.col("up").alias("container")), "id").select("id", "parent", "container", F.col("parent").isNull().alias("is_root"))
-        jump = at.select(F.col("id").alias("up"), F.col("up").alias("next"), F.col("fixed").alias("then"))
-        moved = at.join(jump, "up", "left")
-        at = stage(moved.select("id", F.when(~F.col("fixed"), F.col("next")).otherwise(F.col("up")).alias("up"), (F.col("fixed") | F.coalesce("then", F.lit(True))).alias("fixed")))
-    raise RuntimeError("the contains edges form a cycle")
+    """(repository_id, id, parent, container, role): the parent of each node, the nearest container above it, and what a node without
+    a parent is: hierarchy_root (the first by ordinal that has children) or standalone.
+
+    nodes: repository_id, id, type, ordinal; contains edges: repository_id, ordinal, source, target. The last edge gives the parent.
+    Nodes under one that is no container belong to the nearest container above; the hierarchy root always is one. Pointers
+    double, so a chain of n nodes takes about log2 n rounds; edges in a cycle are an error."""
+    key = ["repository_id", "id"]
+    parents = edges.groupBy("repository_id", F.col("target").alias("id")).agg(F.max_by("source", "ordinal").alias("parent"))
+    above = edges.select("repository_id", F.col("source").alias("id")).distinct().withColumn("has", F.lit(True))
+    all_nodes = nodes.select(*key, "type", "ordinal").groupBy(*key).agg(F.min_by("type", "ordinal").alias("type"), F.min("ordinal").alias("ordinal"))
+    x = stage(all_nodes.join(parents, key, "left").join(above, key, "left"))
+    first = x.filter("parent is null and has").groupBy("repository_id").agg(F.min_by("id", "ordinal").alias("root"))
+    role = F.when(F.col("id") == F.col("root"), "hierarchy_root").when(F.col("parent").isNull(), "standalone")
+    base = stage(x.join(first, "repository_id", "left").select(*key, "parent", (F.col("type").isin(*containers) | F.coalesce(F.col("id") == F.col("root"), F.lit(False))).alias("holds"), role.alias("role")))
+    # a pointer rests on a container, or on nothing above a root
+    sure = base.select("repository_id", F.col("id").alias("up"), F.col("holds").alias("fixed"))
+    at = base.select(*key, F.col("parent").alias("up")).join(sure, ["repository_id", "up"], "left")
+    at = stage(at.select(*key, "up", F.coalesce("fixed", F.lit(True)).alias("fixed")))
+    open_ = at.filter("not fixed").count()
+    while open_:
+        jump = at.select("repository_id", F.col("id").alias("up"), F.col("up").alias("next"), F.col("fixed").alias("then"))
+        moved = at.join(jump, ["repository_id", "up"], "left")
+        at = stage(moved.select(*key, F.when(~F.col("fixed"), F.col("next")).otherwise(F.col("up")).alias("up"), (F.col("fixed") | F.coalesce("then", F.lit(True))).alias("fixed")))
+        open_, before = at.filter("not fixed").count(), open_
+        if open_ == before:
+            raise ValueError("the contains edges form a cycle")
+    return base.join(at.select(*key, F.col("up").alias("container")), key).select(*key, "parent", "container", "role")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.scalars import normal_url
+
 
 def entities(answer: Column, expected: Column) -> tuple[Column, Column]:
     """The expected names that the answer contains, whatever the case, and those it doesn't."""
@@ -19,14 +23,38 @@ def report(results: DataFrame) -> DataFrame:
     return results.agg(F.count("*").alias("n"), F.coalesce(F.round(F.avg(F.col("correct").cast("int")), 6), F.lit(0.0)).alias("routing_accuracy"), F.coalesce(F.round(recall, 6), F.lit(0.0)).alias("entity_recall"))
 
 
+def by_category(results: DataFrame) -> DataFrame:
+    """(expected, total, correct, accuracy) of results (expected, actual)."""
+    hit = F.count_if(F.col("expected") == F.col("actual"))
+    return results.groupBy("expected").agg(F.count("*").alias("total"), hit.alias("correct"), F.round(hit / F.count("*"), 6).alias("accuracy"))
+
+
+def confusion(results: DataFrame) -> DataFrame:
+    """(expected, actual, n); error is an actual value like others."""
+    return results.groupBy("expected", "actual").agg(F.count("*").alias("n"))
+
+
 def import_plan(requests: DataFrame, repositories: DataFrame, jobs: DataFrame) -> DataFrame:
     """requests (owner, url) with repository_id and action: create, reuse (has a job, didn't fail) or restart.
 
-    repositories: repository_id, owner, url, status. jobs: repository_id."""
-    has = jobs.select("repository_id").distinct().withColumn("has_job", F.lit(True))
-    x = requests.join(repositories.join(has, "repository_id", "left"), ["owner", "url"], "left")
-    action = F.when(F.col("repository_id").isNull(), "create").when((F.col("status") != "failed") & F.col("has_job"), "reuse").otherwise("restart")
-    return x.select("owner", "url", "repository_id", action.alias("action"))
+    repositories: repository_id, owner, url, status. jobs: repository_id. Addresses meet in their normal form; of several
+    repositories of one owner and address the smallest repository_id counts."""
+    has = jobs.select("repository_id").distinct().withColumn("__has_job", F.lit(True))
+    known = repositories.select("owner", normal_url(F.col("url")).alias("__url"), "repository_id", "status").join(has, "repository_id", "left")
+    known = known.groupBy("owner", "__url").agg(F.min(F.struct("repository_id", "status", "__has_job")).alias("r"))
+    x = requests.withColumn("__url", normal_url(F.col("url"))).join(known, ["owner", "__url"], "left")
+    reuse = (F.col("r.status") != "failed") & F.col("r.__has_job")
+    action = F.when(F.col("r").isNull(), "create").when(reuse, "reuse").otherwise("restart")
+    return x.select("owner", "url", "r.repository_id", action.alias("action"))
+
+
+def stage_seconds(events: DataFrame, key: str = "job_id") -> DataFrame:
+    """(key, stage, seconds, share): time from each event to the next of its key, by stage, and its share of the key's time."""
+    nxt = F.lead("ts").over(Window.partitionBy(key).orderBy("ts", "event_id"))
+    spent = F.unix_micros(nxt.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
+    by = events.select(key, "stage", spent.alias("us")).filter("us is not null").groupBy(key, "stage").agg(F.sum("us").alias("us"))
+    total = F.sum("us").over(Window.partitionBy(key))  # a few stages
+    return by.select(key, "stage", F.round(F.col("us") / 1e6, 3).alias("seconds"), F.round(F.col("us") / F.nullif(total, F.lit(0)), 6).alias("share"))
 
 
 def stage_times(events: DataFrame, key: str = "job_id") -> DataFrame:
@@ -38,11 +66,31 @@ def stage_times(events: DataFrame, key: str = "job_id") -> DataFrame:
     return by.groupBy(key).agg(F.count("*").alias("n_stages"), F.round(F.sum("us") / 1e6, 3).alias("total_seconds"), longest.alias("bottleneck"))
 
 
-def sanitised(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes with an id, a type and a known certainty, and the edges whose two ends are among them."""
-    good = nodes.filter(F.col("id").isNotNull() & F.col("type").isNotNull() & F.col("certainty").isin("deterministic", "inferred"))
+def sanitised(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes with an id, a type, a label and a known certainty; edges with an id, a type and a known certainty whose two ends are
+    among them; and (repository_id, n_nodes, n_edges, n_contains, dropped_nodes, dropped_edges).
+
+    nodes: repository_id, id, type, label, certainty; edges: repository_id, id, source, target, type, certainty. Empty ids and types
+    are missing ones; an empty label is a label. The contains edges are the edges of that type."""
+    sure = F.coalesce(F.col("certainty").isin("deterministic", "inferred"), F.lit(False))
+    there = lambda *names: reduce(lambda a, b: a & b, [F.coalesce(F.length(c) > 0, F.lit(False)) for c in names])
+    good = nodes.filter(there("id", "type") & F.col("label").isNotNull() & sure)
     ids = good.select("repository_id", "id").distinct()
-    kept = edges
+    kept = edges.filter(there("id", "type", "source", "target") & sure)
     for end in ("source", "target"):
         kept = kept.join(ids.withColumnRenamed("id", end), ["repository_id", end], "left_semi")
-    return good, kept
+    one = lambda df, name, keep=F.lit(True): df.groupBy("repository_id").agg(F.count_if(keep).alias(name))
+    counts = one(nodes, "__nodes")
+    for df in (one(edges, "__edges"), one(good, "n_nodes"), one(kept, "n_edges"), one(kept, "n_contains", F.col("type") == "contains")):
+        counts = counts.join(df, "repository_id", "full")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return good, kept, counts.select("repository_id", *[zero(c).alias(c) for c in ("n_nodes", "n_edges", "n_contains")], (zero("__nodes") - zero("n_nodes")).alias("dropped_nodes"), (zero("__edges") - zero("n_edges")).alias("dropped_edges"))
+
+
+def write_report(path: str, results: DataFrame) -> DataFrame:
+    """Writes the report of results (question_id, expected, actual, found, missing) as JSON folders summary, categories, confusion
+    and results below path, and returns the summary."""
+    summary = report(results.withColumn("correct", F.col("expected").eqNullSafe(F.col("actual"))))
+    for name, df in (("summary", summary), ("categories", by_category(results)), ("confusion", confusion(results)), ("results", results)):
+        df.write.mode("overwrite").json(f"{path}/{name}")
+    return summary

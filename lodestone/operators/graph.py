@@ -1,157 +1,347 @@
-"""Knowledge-graph construction, governance and algorithms over node and edge tables."""
+"""Algorithms over edge tables (repository_id, source, target, and type where one is asked for).
+
+Nodes of different repositories never meet, even if their names are equal. `edge_type` restricts an algorithm to edges of
+that type. Searches run inside components: connected components are labelled first, and those of up to `LOCAL` edges are
+dealt to tasks, several small ones or a part of the seeds of one at a time, so a task's work is bounded. Larger components
+are searched by rounds of joins, one for each step away from the seeds; both ways give the same rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from lodestone.functions.scalars import canonical_path, edge_id
+from lodestone.operators import local
 from lodestone.sources.tables import stage
 
-MAX_ROUNDS = 200
+#: Edges of a component that a task takes at most, and rows of results for which a task is made.
+LOCAL, CELLS = 250_000, 1_000_000
 #: Rounds of a search between two stagings of all that it has found.
 FOLD = 16
+#: Between a repository and a node in the name of a node of all repositories.
+MARK = "\u0001"
 
 
-def containment(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Folder and file nodes, and contains edges from each parent, of files (repository_id, path)."""
-    x = files.select("repository_id", F.split(canonical_path(F.col("path")), "/").alias("p"))
-    x = x.select("repository_id", "p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("i"))
-    path = F.array_join(F.slice("p", 1, F.col("i")), "/")
-    kind = lambda i: F.when(i == F.size("p"), "file:").otherwise("folder:")
-    up = F.array_join(F.slice("p", 1, F.col("i") - 1), "/")
-    parent = F.when(F.col("i") == 1, F.concat(F.lit("repository:"), "repository_id")).otherwise(F.concat(F.lit("folder:"), up))
-    x = x.select("repository_id", F.concat(kind(F.col("i")), path).alias("id"), F.element_at("p", F.col("i")).alias("label"), parent.alias("parent")).distinct()
-    nodes = x.select("repository_id", "id", F.substring_index("id", ":", 1).alias("type"), "label").distinct()
-    edges = x.select("repository_id", edge_id(F.col("parent"), F.lit("contains"), F.col("id")).alias("id"), F.col("parent").alias("source"), F.col("id").alias("target"))
-    return nodes, edges
-
-
-def govern(candidates: DataFrame, keys: list[str]) -> DataFrame:
-    """One winner for each id: deterministic first, then the lowest ordinal; verified if several producers agree."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(F.col("certainty") == "deterministic"), "ordinal")
-    first = candidates.withColumn("r", F.row_number().over(w)).filter("r = 1").drop("r")
-    votes = candidates.groupBy(*keys).agg((F.count_distinct("source") > 1).alias("verified"))
-    return first.join(votes, keys)
-
-
-def violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(repository_id, invariant, subject) of missing endpoints, duplicate ids, roots and certainties."""
-    ids = nodes.select("repository_id", "id").distinct()
-    row = lambda df, name, subject: df.select("repository_id", F.lit(name).alias("invariant"), subject.alias("subject"))
-    missing = [row(edges.join(ids.withColumnRenamed("id", c), ["repository_id", c], "left_anti"), f"missing_{c}", F.col("id")) for c in ("source", "target")]
-    twice = row(nodes.groupBy("repository_id", "id").count().filter("count > 1"), "duplicate_node", F.col("id"))
-    twice_e = row(edges.groupBy("repository_id", "id").count().filter("count > 1"), "duplicate_edge", F.col("id"))
-    roots = nodes.groupBy("repository_id").agg(F.count_if(F.col("type") == "repository").alias("n")).filter("n <> 1")
-    unsure = row(nodes.filter(~F.col("certainty").isin("deterministic", "inferred")), "certainty", F.col("id"))
-    out = [*missing, twice, twice_e, row(roots, "root_count", F.col("n").cast("string")), unsure]
-    for x in out[1:]:
-        out[0] = out[0].unionByName(x)
-    return out[0]
-
-
-def all_violations(nodes: DataFrame, edges: DataFrame, commits: DataFrame) -> DataFrame:
-    """(repository_id, invariant, subject) of all eight checks of a graph, for each repository of commits (repository_id, commit_sha).
-
-    Besides violations(): one row for each further occurrence of a duplicate id, certainties that are null or of edges,
-    blank commits, nodes that the root doesn't reach, edges without both ends, and repositories without a node."""
-    row = lambda df, name, subject: df.select("repository_id", F.lit(name).alias("invariant"), subject.cast("string").alias("subject"))
-    out = violations(nodes, edges).filter(F.col("invariant").isin("missing_source", "missing_target"))
-    out = out.unionByName(row(out.select("repository_id", "subject").distinct(), "orphan_edge", F.col("subject")))
-    for df, kind in ((nodes, "node"), (edges, "edge")):
-        extra = df.groupBy("repository_id", "id").count().filter("count > 1").withColumn("nth", F.explode(F.sequence(F.lit(2), F.col("count").cast("int"))))
-        unsure = df.filter(~F.coalesce(F.col("certainty").isin("deterministic", "inferred"), F.lit(False)))
-        out = out.unionByName(row(extra, f"duplicate_{kind}", F.col("id"))).unionByName(row(unsure, f"{kind}_certainty", F.col("id")))
-    every = commits.select("repository_id").unionByName(nodes.select("repository_id")).distinct()
-    roots = nodes.groupBy("repository_id").agg(F.count_if(F.col("type") == "repository").alias("n"))
-    roots = every.join(roots, "repository_id", "left").select("repository_id", F.coalesce("n", F.lit(0)).alias("n")).filter("n <> 1")
-    named = commits.filter(F.regexp_like("commit_sha", F.lit(r"\S"))).select("repository_id")
-    lost = nodes.join(orphans(nodes, edges), ["repository_id", "id"], "left_semi")
-    out = out.unionByName(row(roots, "root_count", F.col("n"))).unionByName(row(lost, "orphan_node", F.col("id")))
-    return out.unionByName(row(every.join(named, "repository_id", "left_anti"), "commit", F.lit(None)))
-
-
-def direct(edges: DataFrame) -> DataFrame:
-    """(node, other, direction), distinct."""
-    a = edges.select(F.col("source").alias("node"), F.col("target").alias("other"), F.lit("outgoing").alias("direction"))
-    b = edges.select(F.col("target").alias("node"), F.col("source").alias("other"), F.lit("incoming").alias("direction"))
-    return a.unionByName(b).distinct()
+def of_type(edges: DataFrame, edge_type: str | None) -> DataFrame:
+    return edges if edge_type is None else edges.filter(F.col("type") == edge_type)
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """(node, fan_out, fan_in); a self-loop counts as outgoing only."""
-    a = edges.select(F.col("source").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"))
-    b = edges.filter("source <> target").select(F.col("target").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))
-    return a.unionAll(b).groupBy("node").agg(F.sum("o").alias("fan_out"), F.sum("i").alias("fan_in"))
+def _named(node: str) -> Column:
+    return F.concat(F.coalesce(F.col("repository_id").cast("string"), F.lit("")), F.lit(MARK), F.col(node))
 
 
-def reach(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(seed, node, depth): all nodes reached from each seed along edges, with the fewest steps; the seed has depth 0."""
-    e = stage(edges.select(F.col("source").alias("from"), "target").distinct())
-    front = stage(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct())
-    seen = front
-    for depth in range(1, MAX_ROUNDS + 1):
-        new = front.join(e, front["node"] == e["from"]).select("seed", F.col("target").alias("node")).distinct()
-        front = stage(new.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if not front.limit(1).count():
-            return seen
-        seen = seen.unionByName(front)
-    raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
+def _split(df: DataFrame, kind: DataType, nodes: list[str], rest: list = ()) -> DataFrame:
+    """repository_id and plain names instead of the names of all repositories; no name is null."""
+    plain = lambda c: F.expr(f"substr(`{c}`, locate('{MARK}', `{c}`) + 1)").alias(c)
+    return df.select(F.substring_index(nodes[0], MARK, 1).cast(kind).alias("repository_id"), *map(plain, nodes), *rest)
 
 
-def shortest_paths(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(seed, node, path): the nodes of a shortest path from each seed to each node that it reaches, both ends included.
+class Prepared:
+    """Edges of a type (None: of all types) with the components of their nodes, which several algorithms share.
 
-    Of several shortest paths the first in the order of the node names counts."""
-    e = stage(edges.select(F.col("source").alias("from"), "target").distinct())
-    front = stage(seeds.select("seed", F.col("seed").alias("node"), F.array("seed").alias("path")).distinct())
-    seen = front
-    for _ in range(MAX_ROUNDS):
-        new = front.join(e, front["node"] == e["from"]).groupBy("seed", F.col("target").alias("node")).agg(F.min("path").alias("path"))
-        new = new.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
-        front = stage(new.select("seed", "node", F.concat("path", F.array("node")).alias("path")))
-        if not front.limit(1).count():
-            return seen
-        seen = seen.unionByName(front)
-    raise RuntimeError(f"no end after {MAX_ROUNDS} rounds")
+    Every algorithm takes one in place of its edges. pairs: distinct edges (a, b) between names of all repositories, without
+    those that lack an end; labels: see _labels; inside: the pairs with their component; sizes: (component, n_edges, n_nodes)."""
 
+    def __init__(self, edges: DataFrame, edge_type: str | None = None):
+        self.edges, self.kind = of_type(edges, edge_type), edges.schema["repository_id"].dataType
 
-def first_relations(edges: DataFrame, most: int = 8) -> DataFrame:
-    """direct() with a rank: the first relations of each node in each direction, in the order of the other's name."""
-    w = Window.partitionBy("node", "direction").orderBy("other")
-    return direct(edges).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+    @cached_property
+    def pairs(self) -> DataFrame:
+        x = self.edges.select(_named("source").alias("a"), _named("target").alias("b"))
+        return stage(x.filter("a is not null and b is not null").distinct())
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return _labels(self.pairs)
+
+    @cached_property
+    def inside(self) -> DataFrame:
+        labels = self.labels.withColumnRenamed("node", "a")
+        return stage(self.pairs.join(labels, "a", "left").select("a", "b", F.coalesce("label", "a").alias("component")))
+
+    @cached_property
+    def sizes(self) -> DataFrame:
+        n_edges = self.inside.groupBy("component").agg(F.count("*").alias("n_edges"))
+        n_nodes = self.labels.groupBy(F.col("label").alias("component")).agg(F.count("*").alias("n_nodes"))
+        return stage(n_edges.join(n_nodes, "component", "left").select("component", "n_edges", F.coalesce("n_nodes", F.lit(1)).alias("n_nodes")))
+
+    def turned(self) -> Prepared:
+        """The same with each edge the other way."""
+        out = Prepared.__new__(Prepared)
+        swap = {"a": F.col("b"), "b": F.col("a")}
+        out.edges = self.edges.withColumns({"source": F.col("target"), "target": F.col("source")})
+        out.kind, out.labels, out.sizes = self.kind, self.labels, self.sizes
+        out.pairs, out.inside = self.pairs.withColumns(swap), self.inside.withColumns(swap)
+        return out
+
+
+Edges = DataFrame | Prepared
+
+
+def prepared(edges: Edges, edge_type: str | None = None) -> Prepared:
+    return edges if isinstance(edges, Prepared) else Prepared(edges, edge_type)
+
+
+def direct(edges: Edges, edge_type: str | None = None) -> DataFrame:
+    """(repository_id, node, other, direction), distinct."""
+    x = prepared(edges, edge_type).edges
+    a = x.select("repository_id", F.col("source").alias("node"), F.col("target").alias("other"), F.lit("outgoing").alias("direction"))
+    b = x.select("repository_id", F.col("target").alias("node"), F.col("source").alias("other"), F.lit("incoming").alias("direction"))
+    return a.unionByName(b).distinct()
 
 
-def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """The smallest label that reaches each node (node, label) along edges (a, b); labels only fall, so this ends."""
+def degrees(edges: Edges, edge_type: str | None = None) -> DataFrame:
+    """(repository_id, node, fan_out, fan_in); a self-loop counts as outgoing only."""
+    x = prepared(edges, edge_type).edges
+    a = x.select("repository_id", F.col("source").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i"))
+    b = x.filter("source <> target").select("repository_id", F.col("target").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))
+    return a.unionAll(b).groupBy("repository_id", "node").agg(F.sum("o").alias("fan_out"), F.sum("i").alias("fan_in"))
+
+
+def first_relations(edges: Edges, most: int = 8, edge_type: str | None = None) -> DataFrame:
+    """direct() with a rank: the first relations of each node in each direction, in the order of the other's name."""
+    w = Window.partitionBy("repository_id", "node", "direction").orderBy("other")
+    return direct(edges, edge_type).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+
+
+# Components
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each node of up to `LOCAL` edges at a time, an edge to the smallest node that they connect it with."""
+
+    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        names, (a, b) = local.numbered(*(t[c].combine_chunks() for c in ("a", "b")))
+        root = local.least_labels(len(names), a, b)
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        col = lambda i: names.take(pa.array(i)).cast(pa.string())
+        return pa.RecordBatch.from_arrays([col(moved), col(root[moved])], names=["a", "b"])
+
+    now, n = [], 0
+    for b in batches:
+        now.append(b)
+        n += b.num_rows
+        if n >= LOCAL:
+            yield done(now)
+            now, n = [], 0
+    if now:
+        yield done(now)
+
+
+def _labels(pairs: DataFrame) -> DataFrame:
+    """(node, label): the smallest node of its component, for each node of staged pairs (a, b) with an edge to another.
+
+    Tasks first reduce their edges to stars. If few are left, one task joins them; else labels spread over the stars, and
+    each node also takes the label of its label, so a chain of n nodes takes about log2 n rounds."""
+    stars = stage(pairs.filter("a <> b").select("a", "b").mapInArrow(_stars, "a string, b string"))
+    if stars.limit(LOCAL + 1).count() <= LOCAL:
+        one = stars.coalesce(1).mapInArrow(_stars, "a string, b string")
+        labels = stage(one.select(F.col("a").alias("node"), F.col("b").alias("label")))
+        return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+    both = stage(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label"))
     while True:
-        best = edges.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("got"))
-        new = stage(labels.join(best, "node", "left").select("node", F.least("label", F.coalesce("got", "label")).alias("new"), "label"))
-        moved = new.filter("new <> label").limit(1).count()
+        labels = stage(labels)
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        hop = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
+        new = stage(labels.join(near, "node").join(hop, "label").select("node", F.least("near", "far", "label").alias("new"), "label"))
         labels = new.select("node", F.col("new").alias("label"))
-        if not moved:
+        if new.filter("new <> label").isEmpty():
             return labels
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(component, node) of the nodes of edges, whatever their direction; a component is named by its smallest node."""
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
-    both = stage(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    return _spread(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")), both).withColumnRenamed("label", "component")
+def components(edges: Edges, edge_type: str | None = None) -> DataFrame:
+    """(repository_id, component, node) of the nodes of edges, whatever their direction; named by the smallest node."""
+    g = prepared(edges, edge_type)
+    nodes = g.pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    x = nodes.join(g.labels, "node", "left").select(F.coalesce("label", "node").alias("component"), "node")
+    return _split(x, g.kind, ["component", "node"])
+
+
+# Searches from seeds
+
+
+def _units(asked: DataFrame, graph: Prepared) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (g, kind, a, b) of the groups that tasks search: edges (kind 0) and what is asked (kind 1); and the edges and
+    the questions of the components that are too large for that. A group has some components, or one and some of its seeds.
+
+    asked: (a, b) seeds and targets, staged; the target is null for a search of everything."""
+    inside, sizes = graph.inside, graph.sizes
+    where = inside.select(F.explode(F.array("a", "b")).alias("a"), "component").distinct()
+    seeds = stage(asked.join(where, "a"))
+    # the rows that a component's searches give, or pass at least
+    work = F.greatest(F.col("n_edges"), F.col("n_seeds") * F.col("n_nodes"))
+    busy = seeds.select("component", "a").distinct().groupBy("component").agg(F.count("*").alias("n_seeds")).join(sizes, "component")
+    busy = stage(busy.withColumn("chunks", F.ceil(work / CELLS).cast("int")).withColumn("work", work))
+    total = busy.filter(F.col("n_edges") <= LOCAL).agg(F.sum(F.col("work") + F.col("chunks") * F.col("n_edges"))).first()[0] or 0
+    n = int(max(1, total // CELLS))
+    group = lambda chunk: F.pmod(F.xxhash64("component", chunk), F.lit(n)).alias("g")
+    fits = busy.filter(F.col("n_edges") <= LOCAL).select("component", "chunks")
+    dealt = fits.select("component", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")).select("component", group(F.col("chunk"))).distinct()
+    edges = inside.join(dealt, "component").select("g", F.lit(0).alias("kind"), "a", "b")
+    mine = seeds.join(fits, "component").withColumn("chunk", F.pmod(F.xxhash64("a"), F.col("chunks")).cast("int"))
+    mine = mine.select(group(F.col("chunk")), F.lit(1).alias("kind"), "a", "b")
+    large = busy.filter(F.col("n_edges") > LOCAL).select("component")
+    far = inside.join(large, "component", "left_semi").select("a", "b"), seeds.join(large, "component", "left_semi").select("a", "b")
+    return edges.unionByName(mine), *far
+
+
+def _tables(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Array, list[np.ndarray], list[tuple[int, int]]]:
+    """The names of a group, its edges as neighbours, and what is asked."""
+    t = pa.Table.from_batches(list(batches)).combine_chunks()
+    names, (a, b) = local.numbered(t["a"].combine_chunks(), t["b"].combine_chunks())
+    edge = t["kind"].to_numpy() == 0
+    return names, local.neighbours(len(names), a[edge], b[edge]), list(zip(a[~edge].tolist(), b[~edge].tolist(), strict=True))
+
+
+def _reach_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, to, asked = _tables(batches)
+    now: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def rows() -> pa.RecordBatch:
+        col = lambda i: names.take(pa.array(i)).cast(pa.string())
+        seed = np.repeat([s for s, _, _ in now], [len(x) for _, x, _ in now])
+        return pa.RecordBatch.from_arrays([col(seed), col(np.concatenate([x for _, x, _ in now])), pa.array(np.concatenate([d for _, _, d in now]), pa.int32())], names=["seed", "node", "depth"])
+
+    n = 0
+    for s in {s for s, _ in asked}:
+        now.append((s, *local.reached(to, s)))
+        n += len(now[-1][1])
+        if n >= 100_000:
+            yield rows()
+            now, n = [], 0
+    if now:
+        yield rows()
+
+
+def _paths_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, to, asked = _tables(batches)
+    kind = pa.schema([("seed", pa.string()), ("node", pa.string()), ("path", pa.list_(pa.string()))])
+    by: dict[int, set[int]] = {}
+    for s, t in asked:
+        by.setdefault(s, set()).add(t)
+    now, n = [], 0
+
+    def rows() -> pa.RecordBatch:
+        flat = names.take(pa.array(np.concatenate(now))).cast(pa.string())
+        ends = np.cumsum([0, *map(len, now)])
+        path = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+        return pa.RecordBatch.from_arrays([flat.take(pa.array(ends[:-1])), flat.take(pa.array(ends[1:] - 1)), path], schema=kind)
+
+    for s, targets in by.items():
+        for path in local.shortest(to, s, None if -1 in targets else targets):
+            now.append(np.array(path))
+            n += len(path)
+            if n >= 100_000:
+                yield rows()
+                now, n = [], 0
+    if now:
+        yield rows()
+
+
+def _reach_far(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(seed, node, depth) by rounds of joins."""
+    front = stage(asked.select(F.col("a").alias("seed"), F.col("a").alias("node"), F.lit(0).alias("depth")).distinct())
+    seen, depth = front, 0
+    while not front.isEmpty():
+        depth += 1
+        new = front.join(pairs.withColumnRenamed("a", "node"), "node").select("seed", F.col("b").alias("node")).distinct()
+        front = stage(new.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        seen = seen.unionByName(front)
+        seen = stage(seen) if depth % FOLD == 0 else seen
+    return seen
+
+
+def _paths_far(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(seed, node, path) by rounds of joins, until every seed has met its targets."""
+    asked = stage(asked.select(F.col("a").alias("seed"), F.col("b").alias("node")).distinct())
+    front = stage(asked.select("seed", F.col("seed").alias("node"), F.array("seed").alias("path")).distinct())
+    seen, rounds = front, 0
+    while True:
+        open_ = asked.join(seen.select("seed", "node"), ["seed", "node"], "left_anti").select("seed").distinct()
+        front = front.join(open_, "seed", "left_semi")
+        new = front.join(pairs.withColumnRenamed("a", "node"), "node").groupBy("seed", F.col("b").alias("node")).agg(F.min("path").alias("path"))
+        new = new.join(seen.select("seed", "node"), ["seed", "node"], "left_anti")
+        front = stage(new.select("seed", "node", F.concat("path", F.array("node")).alias("path")))
+        if front.isEmpty():
+            break
+        seen, rounds = seen.unionByName(front), rounds + 1
+        seen = stage(seen) if rounds % FOLD == 0 else seen
+    some = asked.filter("node is not null")
+    return seen.join(asked.filter("node is null").select("seed").distinct(), "seed", "left_semi").unionByName(seen.join(some, ["seed", "node"], "left_semi")).distinct()
+
+
+def _alone(asked: DataFrame, pairs: DataFrame) -> DataFrame:
+    """What is asked of seeds without an edge."""
+    return asked.join(pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct(), "a", "left_anti")
+
+
+def reach(seeds: DataFrame, edges: Edges, edge_type: str | None = None) -> DataFrame:
+    """(repository_id, seed, node, depth): all nodes reached from each seed (repository_id, seed) along edges, with the
+    fewest steps; the seed has depth 0, even on a cycle or without an edge."""
+    g = prepared(edges, edge_type)
+    asked = stage(seeds.select(_named("seed").alias("a"), F.lit(None).cast("string").alias("b")).filter("a is not null").distinct())
+    near, far, far_asked = _units(asked, g)
+    found = near.groupBy("g").applyInArrow(_reach_locally, "seed string, node string, depth int")
+    found = found.unionByName(_alone(asked, g.pairs).select(F.col("a").alias("seed"), F.col("a").alias("node"), F.lit(0).alias("depth")))
+    if not far_asked.isEmpty():
+        found = found.unionByName(_reach_far(far, far_asked))
+    return _split(found, g.kind, ["seed", "node"], ["depth"])
+
+
+def shortest_paths(asked: DataFrame, edges: Edges, edge_type: str | None = None) -> DataFrame:
+    """(repository_id, seed, node, path): the nodes of a shortest path, both ends included, for each row of asked
+    (repository_id, seed, node) whose node the seed reaches; a null node stands for all nodes. Of several shortest
+    paths the first in the order of the nodes counts. A node's path to itself is itself."""
+    g = prepared(edges, edge_type)
+    named = stage(asked.select(_named("seed").alias("a"), _named("node").alias("b")).filter("a is not null").distinct())
+    near, far, far_asked = _units(named, g)
+    found = near.groupBy("g").applyInArrow(_paths_locally, "seed string, node string, path array<string>")
+    single = _alone(named, g.pairs).filter("b is null or a = b").select(F.col("a").alias("seed"), F.col("a").alias("node"), F.array("a").alias("path")).distinct()
+    found = found.unionByName(single)
+    if not far_asked.isEmpty():
+        found = found.unionByName(_paths_far(far, far_asked))
+    plain = F.transform("path", lambda x: F.element_at(F.split(x, MARK, 2), 2)).alias("path")
+    return _split(found, g.kind, ["seed", "node"], [plain])
+
+
+# Cycles
+
+
+def _cycles_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    t = pa.Table.from_batches(list(batches)).combine_chunks()
+    names, (a, b) = local.numbered(t["a"].combine_chunks(), t["b"].combine_chunks())
+    root = local.cyclic(len(names), a, b)
+    some = np.flatnonzero(np.bincount(root, minlength=len(names))[root] > 1)
+    col = lambda i: names.take(pa.array(i)).cast(pa.string())
+    yield pa.RecordBatch.from_arrays([col(root[some]), col(some)], names=["cycle_id", "node"])
+
+
+def _spread(labels: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The smallest label that reaches each node (node, label) along pairs; labels only fall, so this ends."""
+    while True:
+        best = pairs.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("got"))
+        new = stage(labels.join(best, "node", "left").select("node", F.least("label", F.coalesce("got", "label")).alias("new"), "label"))
+        labels = new.select("node", F.col("new").alias("label"))
+        if new.filter("new <> label").isEmpty():
+            return labels
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(cycle_id, node): strongly connected components of several nodes or a self-loop; cycle_id is the smallest member.
+def _cycles_far(left: DataFrame) -> DataFrame:
+    """(cycle_id, node) of the strongly connected components of several nodes, by rounds of joins over pairs (a, b).
 
     Nodes without a way in or out are trimmed. Then the smallest label spreads forward; within a label the nodes that
     reach its owner are a component. Found components leave, until none is left. Labels start with a hash, so a chain
     of many components loses many in a round, whatever the order of their names. No search stops before its end."""
-    loops = edges.filter("source = target").select(F.col("source").alias("node")).distinct()
-    left = stage(edges.filter("source <> target").select(F.col("source").alias("a"), F.col("target").alias("b")).distinct())
     found: DataFrame | None = None
-    name = lambda c: F.concat(F.hex(F.xxhash64(c)), F.lit(":"), F.col(c).cast("string"))
+    name = lambda c: F.concat(F.hex(F.xxhash64(c)), F.lit(":"), F.col(c))
+    left = stage(left)
     while True:
         n = left.count()
         while n:  # trimming
@@ -170,43 +360,89 @@ def cycles(edges: DataFrame) -> DataFrame:
         while True:  # backwards from the owner of the label
             new = inside.join(front.withColumnRenamed("node", "b"), ["b", "seed"]).select("seed", F.col("a").alias("node")).distinct()
             front = stage(new.join(scc, ["seed", "node"], "left_anti"))
-            if not front.limit(1).count():
+            if front.isEmpty():
                 break
             scc, rounds = scc.unionByName(front), rounds + 1
-            if rounds % FOLD == 0:
-                scc = stage(scc)
+            scc = stage(scc) if rounds % FOLD == 0 else scc
         scc = stage(scc)
         found = scc if found is None else stage(found.unionByName(scc))
         gone = scc.select("node")
         left = stage(left.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti"))
     if found is None:
-        return loops.select(F.col("node").alias("cycle_id"), "node")
+        return left.select(F.col("a").alias("cycle_id"), F.col("b").alias("node"))
     named = found.groupBy("seed").agg(F.count("*").alias("n"), F.min("node").alias("cycle_id")).filter("n > 1")
-    found = found.join(named, "seed").select("cycle_id", "node")
-    return found.unionByName(loops.join(found, "node", "left_anti").select(F.col("node").alias("cycle_id"), "node"))
+    return found.join(named, "seed").select("cycle_id", "node")
+
+
+def cycles(edges: Edges, edge_type: str | None = None) -> DataFrame:
+    """(repository_id, cycle_id, node): strongly connected components of several nodes or a self-loop; cycle_id is the smallest member."""
+    g = prepared(edges, edge_type)
+    loops = g.pairs.filter("a = b").select(F.col("a").alias("cycle_id"), F.col("a").alias("node"))
+    total, most = g.sizes.agg(F.sum("n_edges"), F.max("n_edges")).first()
+    n = int(max(1, (total or 0) // max(1, LOCAL)))
+    ways = g.inside.filter("a <> b")
+    large = g.sizes.filter(F.col("n_edges") > LOCAL).select("component")
+    fits = ways.join(large, "component", "left_anti") if (most or 0) > LOCAL else ways
+    found = fits.select(F.pmod(F.xxhash64("component"), F.lit(n)).alias("g"), "a", "b").groupBy("g").applyInArrow(_cycles_locally, "cycle_id string, node string")
+    if (most or 0) > LOCAL:
+        found = found.unionByName(_cycles_far(ways.join(large, "component", "left_semi").select("a", "b")))
+    found = stage(found)
+    return _split(found.unionByName(loops.join(found, "node", "left_anti").select("cycle_id", "node")), g.kind, ["cycle_id", "node"])
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(repository_id, id): nodes that the root doesn't reach in either direction."""
-    key = lambda c: F.concat_ws("\u0001", "repository_id", c)
-    roots = nodes.filter(F.col("type") == "repository").groupBy("repository_id").agg(F.min("id").alias("id"))
-    both = edges.select(key("source").alias("source"), key("target").alias("target"))
-    both = both.unionByName(both.select(F.col("target").alias("source"), F.col("source").alias("target")))
-    seen = reach(roots.select(key("id").alias("seed")), both).select(F.col("node").alias("k"))
-    rooted = nodes.join(roots.select("repository_id"), "repository_id", "left_semi").withColumn("k", key("id"))
-    return rooted.join(seen, "k", "left_anti").select("repository_id", "id").distinct()
-
-
-#: name -> (nodes, edges) -> DataFrame
-ALGORITHMS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {
-    "cycle-detection": lambda nodes, edges: cycles(edges),
-    "dependency-analysis": lambda nodes, edges: direct(edges),
-    "degree-profile": lambda nodes, edges: degrees(edges),
-    "orphans": orphans,
+    """(repository_id, id): nodes that the root doesn't reach in either direction; a repository without a root has none.
+
+    Edges whose ends are no nodes connect as well. Of several roots the first by name counts."""
+    roots = nodes.filter(F.col("type") == "repository").groupBy("repository_id").agg(F.min("id").alias("root"))
+    at = components(edges)
+    rooted = nodes.join(roots, "repository_id").select("repository_id", "id", "root").distinct()
+    x = rooted.join(at.select("repository_id", F.col("node").alias("id"), "component"), ["repository_id", "id"], "left")
+    x = x.join(at.select("repository_id", F.col("node").alias("root"), F.col("component").alias("reached")), ["repository_id", "root"], "left")
+    return x.filter((F.col("id") != F.col("root")) & ~F.coalesce(F.col("component") == F.col("reached"), F.lit(False))).select("repository_id", "id")
+
+
+# Algorithms by name
+
+DIRECTIONS, MODES = ("outgoing", "incoming", "both"), ("direct", "transitive", "path")
+
+
+def dependencies(edges: Edges, seeds: DataFrame, direction: str = "both", mode: str = "direct", edge_type: str | None = None) -> DataFrame:
+    """(repository_id, seed, node): what each seed (repository_id, seed) depends on, is depended on by, or either; the seed itself
+    isn't among them, unless it is a direct neighbour of itself. For mode path see shortest_paths."""
+    if direction not in DIRECTIONS or mode not in MODES[:2]:
+        raise ValueError(f"direction must be one of {DIRECTIONS} and mode one of {MODES}")
+    seeds, g = seeds.select("repository_id", "seed").filter("seed is not null").distinct(), prepared(edges, edge_type)
+    if mode == "direct":
+        near = direct(g).withColumnRenamed("node", "seed").join(seeds, ["repository_id", "seed"])
+        near = near if direction == "both" else near.filter(F.col("direction") == direction)
+        return near.select("repository_id", "seed", F.col("other").alias("node")).distinct()
+    if direction == "both":  # the rest of the component
+        at = components(g)
+        mine = seeds.join(at.withColumnRenamed("node", "seed"), ["repository_id", "seed"])
+        return mine.join(at, ["repository_id", "component"]).filter("seed <> node").select("repository_id", "seed", "node")
+    return reach(seeds, g if direction == "outgoing" else g.turned()).filter("seed <> node").select("repository_id", "seed", "node")
+
+
+def _dependency_analysis(nodes: DataFrame, edges: DataFrame, params: DataFrame | None = None, mode: str = "direct", direction: str = "both", edge_type: str | None = None) -> DataFrame:
+    if params is None:
+        raise ValueError("dependency-analysis needs params: repository_id and seed, and node for mode path")
+    if mode == "path":
+        return shortest_paths(params, edges, edge_type)
+    return dependencies(edges, params, direction, mode, edge_type)
+
+
+#: name -> (nodes, edges, params, ...) -> DataFrame
+ALGORITHMS: dict[str, Callable[..., DataFrame]] = {
+    "cycle-detection": lambda nodes, edges, edge_type="imports": cycles(edges, edge_type),
+    "dependency-analysis": _dependency_analysis,
+    "degree-profile": lambda nodes, edges, edge_type=None: degrees(edges, edge_type),
+    "orphans": lambda nodes, edges: orphans(nodes, edges),
 }
 
 
-def run_algorithm(name: str, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def run_algorithm(name: str, nodes: DataFrame, edges: DataFrame, **params) -> DataFrame:
+    """Runs an algorithm by its name; an unknown name is an error that lists the names there are."""
     if name not in ALGORITHMS:
         raise KeyError(f"unknown algorithm {name!r}; there are {', '.join(sorted(ALGORITHMS))}")
-    return ALGORITHMS[name](nodes, edges)
+    return ALGORITHMS[name](nodes, edges, **params)

@@ -1,7 +1,7 @@
-"""Import specifiers of source files, their resolution to files and packages, and the edges that follow.
+"""Import specifiers of source files, their resolution to files and packages, and the nodes and edges that follow.
 
-Everything stays in columns: patterns find the specifiers, a fold over path parts normalises them, and one
-equi-join on the candidate paths resolves them, so no file meets all other files."""
+Files are told apart by repository_id and path. Everything stays in columns: patterns find the specifiers, a fold over path
+parts normalises them, and one equi-join on the candidate paths resolves them, so no file meets all other files."""
 
 from __future__ import annotations
 
@@ -12,10 +12,11 @@ from lodestone.functions.scalars import edge_id, package_name
 
 #: What may follow a relative specifier, in order of preference (fixed values).
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
-SCRIPTS = (".ts", ".tsx", ".js", ".jsx")
+SCRIPTS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
 _COMMENT = r"/\*[\s\S]*?\*/|(?m)^\s*//.*$"
 _SCRIPT = r"""(?:\bimport\s+(?:[^'"();]*?\bfrom\s+)?|(?<![\w.$])require\s*\(\s*)['"]([^'"\n]+)['"]"""
 _FROM, _IMPORT = r"(?m)^[ \t]*from[ \t]+([.\w]+)[ \t]+import\b", r"(?m)^[ \t]*import[ \t]+([^#\n;]+)"
+FILE = ["repository_id", "path"]
 
 
 def extension(path: Column) -> Column:
@@ -23,17 +24,17 @@ def extension(path: Column) -> Column:
 
 
 def specifiers(files: DataFrame) -> DataFrame:
-    """(path, ext, ordinal, specifier) of files (path, content); other languages and null contents give none.
+    """(repository_id, path, ext, ordinal, specifier) of files (repository_id, path, content); other languages and null contents give none.
 
     `from x import y` gives x and `import a, b as c` gives a and b. Text that looks like an import inside a longer
     string counts as one: the files are read by patterns, not parsed."""
-    x = files.select("path", extension(F.col("path")).alias("ext"), "content").filter(F.col("ext").isin(".py", *SCRIPTS))
+    x = files.select(*FILE, extension(F.col("path")).alias("ext"), "content").filter(F.col("ext").isin(".py", *SCRIPTS))
     listed = F.flatten(F.transform(F.regexp_extract_all("content", F.lit(_IMPORT), F.lit(1)), lambda s: F.split(s, ",")))
     listed = F.filter(F.transform(listed, lambda s: F.regexp_extract(s, r"^\s*([\w.]+)", 1)), lambda s: s != "")
     python = F.concat(listed, F.regexp_extract_all("content", F.lit(_FROM), F.lit(1)))
     script = F.regexp_extract_all(F.regexp_replace("content", _COMMENT, ""), F.lit(_SCRIPT), F.lit(1))
     found = F.when(F.col("ext") == ".py", python).otherwise(script)
-    return x.select("path", "ext", F.posexplode(found).alias("ordinal", "specifier"))
+    return x.select(*FILE, "ext", F.posexplode(found).alias("ordinal", "specifier"))
 
 
 def normal_path(path: Column) -> Column:
@@ -42,19 +43,41 @@ def normal_path(path: Column) -> Column:
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), add), "/")
 
 
+def _relative_base(ext: Column, spec: Column) -> Column:
+    """What follows the folder of a file: a script's specifier, or for Python the parents that the leading dots name and the module's path."""
+    dots = F.length(F.regexp_extract(spec, r"^(\.*)", 1))
+    module = F.concat(F.repeat(F.lit("../"), dots - 1), F.replace(F.regexp_extract(spec, r"^\.*(.*)$", 1), F.lit("."), F.lit("/")))
+    return F.when(ext == ".py", module).otherwise(spec)
+
+
 def resolved(specs: DataFrame, files: DataFrame) -> DataFrame:
-    """(path, specifier, target): the first candidate that is a file, for each relative specifier; the others drop out."""
+    """(repository_id, path, specifier, target): the first candidate that is a file of the same repository, for each relative
+    specifier; the others drop out. A Python package is the __init__.py of its folder."""
     folder = F.regexp_replace("path", r"[^/]*$", "")
-    relative = specs.filter(F.col("specifier").startswith(".")).select("path", "specifier").distinct()
-    base = normal_path(F.concat(folder, "specifier"))
-    tried = relative.select("path", "specifier", F.posexplode(F.transform(F.array(*map(F.lit, SUFFIXES)), lambda s: F.concat(base, s))).alias("choice", "target"))
-    known = tried.join(files.select(F.col("path").alias("target")).distinct(), "target")
-    return known.groupBy("path", "specifier").agg(F.min_by("target", "choice").alias("target"))
+    relative = specs.filter(F.col("specifier").startswith(".")).select(*FILE, "ext", "specifier").distinct()
+    base = normal_path(F.concat(folder, _relative_base(F.col("ext"), F.col("specifier"))))
+    scripts, python = F.array(*map(F.lit, SUFFIXES)), F.array(F.lit(".py"), F.lit("/__init__.py"))
+    tails = F.when(F.col("ext") == ".py", python).otherwise(scripts)
+    tried = relative.select(*FILE, "specifier", F.posexplode(F.transform(tails, lambda s: F.ltrim(F.concat(base, s), F.lit("/")))).alias("choice", "target"))
+    known = tried.join(files.select("repository_id", F.col("path").alias("target")).distinct(), ["repository_id", "target"])
+    return known.groupBy(*FILE, "specifier").agg(F.min_by("target", "choice").alias("target"))
 
 
-def import_edges(specs: DataFrame, files: DataFrame) -> DataFrame:
-    """(id, source, target): file to file for resolved relative specifiers, file to package for bare ones; distinct."""
-    inner = resolved(specs, files).select(F.concat(F.lit("file:"), "path").alias("source"), F.concat(F.lit("file:"), "target").alias("target"))
+def _packages(specs: DataFrame) -> DataFrame:
     bare = specs.filter(~F.col("specifier").startswith("."))
-    outer = bare.select(F.concat(F.lit("file:"), "path").alias("source"), F.concat(F.lit("package:"), package_name(F.col("specifier"), F.col("ext"))).alias("target"))
-    return inner.unionByName(outer).distinct().select(edge_id(F.col("source"), F.lit("imports"), F.col("target")).alias("id"), "source", "target")
+    return bare.select(*FILE, package_name(F.col("specifier"), F.col("ext")).alias("package"))
+
+
+def package_nodes(specs: DataFrame) -> DataFrame:
+    """(repository_id, id, type, label): one node for each package that a repository imports."""
+    x = _packages(specs).select("repository_id", "package").distinct()
+    return x.select("repository_id", F.concat(F.lit("package:"), "package").alias("id"), F.lit("package").alias("type"), F.col("package").alias("label"))
+
+
+def import_edges(specs: DataFrame, files: DataFrame) -> DataFrame:
+    """(repository_id, id, source, target, type): file to file for resolved relative specifiers, file to package for bare ones; distinct."""
+    file = lambda c: F.concat(F.lit("file:"), c)
+    inner = resolved(specs, files).select("repository_id", file(F.col("path")).alias("source"), file(F.col("target")).alias("target"))
+    outer = _packages(specs).select("repository_id", file(F.col("path")).alias("source"), F.concat(F.lit("package:"), "package").alias("target"))
+    x = inner.unionByName(outer).distinct()
+    return x.select("repository_id", edge_id(F.col("source"), F.lit("imports"), F.col("target")).alias("id"), "source", "target", F.lit("imports").alias("type"))

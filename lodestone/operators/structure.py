@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.imports import SCRIPTS, extension
+from lodestone.operators.imports import FILE, SCRIPTS, extension
 
 _KIND = pa.list_(pa.struct([("kind", pa.string()), ("name", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())]))
 _MASK = re.compile(r"""//[^\n]*|/\*[\s\S]*?\*/|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`""")
@@ -87,9 +87,9 @@ def declared(content: Column, ext: Column) -> Column:
 
 
 def chunks(files: DataFrame, window: int = 40, overlap: int = 5) -> DataFrame:
-    """(path, kind, name, start_line, end_line, chunk) of files (path, content); blank files and chunks give none."""
-    x = files.select("path", "content", extension(F.col("path")).alias("ext")).filter(F.col("content").rlike(r"\S"))
-    x = x.select("path", declared(F.col("content"), F.col("ext")).alias("found"), F.split("content", "\n", -1).alias("lines"))
+    """(repository_id, path, kind, name, start_line, end_line, chunk) of files (repository_id, path, content); blank files and chunks give none."""
+    x = files.select(*FILE, "content", extension(F.col("path")).alias("ext")).filter(F.col("content").rlike(r"\S"))
+    x = x.select(*FILE, declared(F.col("content"), F.col("ext")).alias("found"), F.split("content", "\n", -1).alias("lines"))
     n = F.size("lines")
     piece = lambda a, b: F.struct(F.lit("window").alias("kind"), F.lit(None).cast("string").alias("name"), a.alias("start_line"), b.alias("end_line"))
     none = F.array().cast("array<struct<kind: string, name: string, start_line: int, end_line: int>>")
@@ -98,6 +98,6 @@ def chunks(files: DataFrame, window: int = 40, overlap: int = 5) -> DataFrame:
     step = lambda acc, r: F.struct(F.greatest(acc["next"], r["end_line"] + 1).alias("next"), F.concat(acc["out"], gap(acc["next"], r["start_line"] - 1), F.array(r)).alias("out"))
     between = F.aggregate("found", start, step, lambda acc: F.concat(acc["out"], gap(acc["next"], n)))
     plain = F.transform(F.sequence(F.lit(0), F.greatest(n - overlap - 1, F.lit(0)), F.lit(max(1, window - overlap))), lambda s: piece(s + 1, F.least(s + window, n)))
-    x = x.select("path", "lines", F.explode(F.when(F.size("found") > 0, between).otherwise(plain)).alias("r"))
-    x = x.select("path", "r.*", F.array_join(F.slice("lines", F.col("r.start_line"), F.col("r.end_line") - F.col("r.start_line") + 1), "\n").alias("chunk"))
+    x = x.select(*FILE, "lines", F.explode(F.when(F.size("found") > 0, between).otherwise(plain)).alias("__range"))
+    x = x.select(*FILE, "__range.*", F.array_join(F.slice("lines", F.col("__range.start_line"), F.col("__range.end_line") - F.col("__range.start_line") + 1), "\n").alias("chunk"))
     return x.filter(F.col("chunk").rlike(r"\S"))

@@ -9,5 +9,5 @@ from lodestone.plans.registry import fixture
 
 
 def dependency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = fixture(spark, sf_dir, "imports")
-    return graph.direct(edges).join(graph.degrees(edges), "node")
+    edges = fixture(spark, sf_dir, "graph")
+    return graph.direct(edges).join(graph.degrees(edges), ["repository_id", "node"])

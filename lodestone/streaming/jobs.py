@@ -1,16 +1,27 @@
-"""Structured Streaming forms of the event jobs. Each runs over the files that are there and stops."""
+"""Structured Streaming forms of the event jobs. Each runs over the files that are there and stops.
+
+State is bounded: windows and keys leave it once the watermark, `late` behind the latest event, has passed them, and jobs once
+they are complete or have been silent too long. Rows that come later than that are dropped and counted by the query's progress."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
+from lodestone.operators import work
 from lodestone.sources.tables import shared_dir, table
 
 #: Event types and the stages of a job that they stand for.
 STAGES = {"signup": "cloning", "view": "parsing", "click": "embedding", "purchase": "complete", "error": "failed"}
+#: Event types and the kinds of requests that they stand for.
+KINDS = {"signup": "auth", "view": "chat", "click": "import", "purchase": "oauth"}
+LATE = "10 minutes"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,63 +33,136 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(whole.schema).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def finished(result: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream to its end and rereads what it wrote: all of the last batch in complete mode, else every batch.
+def named(column: str, names: dict[str, str]):
+    out = F.lit(None).cast("string")
+    for k, v in names.items():
+        out = F.when(F.col(column) == k, v).otherwise(out)
+    return out
+
+
+def _with_batch(df: DataFrame) -> StructType:
+    return StructType([*df.schema.fields, StructField("batch", LongType())])
+
+
+def finished(result: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream to its end and rereads what it wrote: every batch, or with keys the latest row of each key.
 
     A batch that runs again after a failure overwrites its own folder, so no row comes twice."""
     path = f"{shared_dir(result.sparkSession)}/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/out/batch={0 if mode == 'complete' else number}")
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
     q = result.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return result.sparkSession.read.schema(result.schema).parquet(f"{path}/out/batch=*")
+    out = result.sparkSession.read.schema(_with_batch(result)).option("basePath", f"{path}/out").parquet(f"{path}/out")
+    if keys:
+        rest = [c for c in result.columns if c not in keys]
+        out = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__last")).select(*keys, "__last.*")
+    return out.select(*result.columns)
+
+
+def quota_stream(spark: SparkSession, sf_dir: str, late: str = LATE) -> DataFrame:
+    """(key, kind, window_start, n, n_over): see work.quota_windows; the state is one row for each key, kind and open window."""
+    x = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), named("event_type", KINDS).alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
+    counts = []
+    for kind, (most, length) in work.LIMITS.items():
+        mine = x.filter(F.col("kind") == kind).withWatermark("ts", late).groupBy("key", "kind", F.window("ts", length).alias("w")).agg(F.count("*").alias("n"))
+        counts.append(mine.select("key", "kind", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n", F.greatest(F.col("n") - most, F.lit(0)).alias("n_over")))
+    done = [finished(c, "update", ["key", "kind", "window_start"]) for c in counts]
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+JOB = "job_id long, event_id long, stage string, ts timestamp, attempts int, failure string, claimed_ms long"
+_STATE = "event_id long, stage string, ts timestamp, attempts int, failure string, claims int"
+
+
+def _follow(silence_ms: int, attempts: int):
+    """Keeps the latest event of a job; a timer fires once the watermark is `silence_ms` past it, and claims the job."""
+
+    def run(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        now = state.get if state.exists else None
+        if state.hasTimedOut:
+            event_id, stage, ts, tried, failure, claims = now
+            out.append((key[0], event_id, stage, ts, tried + 1, failure, state.getCurrentWatermarkMs()))
+            if tried + 1 < attempts:
+                state.update((event_id, stage, ts, tried + 1, failure, claims + 1))
+                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + silence_ms)
+            else:
+                state.remove()
+        else:
+            for df in rows:
+                for r in df.itertuples(index=False):
+                    if now is None or (r.ts, r.event_id) > (pd.Timestamp(now[2]), now[0]):
+                        now = (int(r.event_id), r.stage, r.ts, int(r.attempts), r.failure, 0)
+            event_id, stage, ts, tried, failure, _ = now
+            out.append((key[0], event_id, stage, ts, tried, failure, -1))  # not a claim
+            waits = (stage in work.UNDER_WAY or (stage == work.FAILED and failure == "retryable")) and tried < attempts
+            if waits:
+                state.update(now)
+                state.setTimeoutTimestamp(max(int(pd.Timestamp(ts).timestamp() * 1000) + silence_ms, state.getCurrentWatermarkMs() + 1))
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame(out, columns=["job_id", "event_id", "stage", "ts", "attempts", "failure", "claimed_ms"])
+
+    return run
+
+
+def _jobs(spark: SparkSession, sf_dir: str, minutes: int, attempts: int, late: str) -> DataFrame:
+    failure = F.when(F.col("event_id") % 3 == 0, "permanent").otherwise("retryable")
+    x = read(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), "event_id", named("event_type", STAGES).alias("stage"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 4).cast("int").alias("attempts"), failure.alias("failure"))
+    keyed = x.withWatermark("ts", late).groupBy("job_id")
+    return keyed.applyInPandasWithState(_follow(minutes * 60_000, attempts), JOB, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
 
+def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(job_id, event_id, stage): the latest stage of each job, ties to the larger event_id. The state holds the jobs under way and
+    those that may be tried again; a complete job leaves it, and what comes of it later begins anew, as do its results here."""
+    states = finished(_jobs(spark, sf_dir, 10, 3, LATE), "update").filter("claimed_ms < 0")
+    return work.latest(states, "job_id").select("job_id", "event_id", "stage")
 
-def quota_stream(spark: SparkSession, sf_dir: str, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(user_id, hour, n): events of each user in each window, by a stateful aggregation over a file stream."""
-    counted = (
-        read(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-        .groupBy(F.window("at", length).alias("w"), "user_id").agg(F.count("*").alias("n"))
-        .select("user_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "n")
-    )
-    return finished(counted, "complete")
 
+def stale_job_stream(spark: SparkSession, sf_dir: str, minutes: int = 10, attempts: int = 3) -> DataFrame:
+    """(job_id, event_id, stage, ts): the jobs that the timers of the stream claimed, each with the event it was last heard of.
 
-def job_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(job_id, event_id, stage): the latest stage of each job, ties to the larger event_id; the state is one row a job."""
-    stage = F.lit("failed")
-    for k, v in STAGES.items():
-        stage = F.when(F.col("event_type") == k, v).otherwise(stage)
-    latest = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.max(F.struct("ts", "event_id", stage.alias("stage"))).alias("x"))
-    return finished(latest.select("job_id", "x.event_id", "x.stage"), "complete")
+    A timer claims a job that is under way, or failed for a reason that may pass, and has attempts left, once the watermark is
+    `minutes` past its last event. A claim counts as an attempt and sets the next timer; an event of the job, such as a
+    heartbeat, sets it back. A job that uses up its attempts leaves the state."""
+    claims = finished(_jobs(spark, sf_dir, minutes, attempts, LATE), "update").filter("claimed_ms >= 0")
+    return claims.select("job_id", "event_id", "stage", F.col("ts").cast("timestamp_ntz").alias("ts")).distinct()
 
 
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repository_id, content_hash): each distinct content of a repository once, as it first arrives; the state holds the keys."""
+    """(repository_id, content_hash): each distinct content of a repository once. Each batch is compared with what earlier batches
+    wrote, as an idempotent append does, so the stream itself keeps no state."""
+    from lodestone.operators.chunking import new_chunks
+
+    key = ["repository_id", "content_hash"]
     new = read(spark, sf_dir, "documents").select(F.col("source").alias("repository_id"), F.sha2("text", 256).alias("content_hash"))
-    return finished(new.dropDuplicates(["repository_id", "content_hash"]), "append")
-
-
-def token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(conv_id, n_turns, n_chars, first_turn, last_turn) of the assistant's turns; the state is one row a conversation."""
-    turns = read(spark, sf_dir, "conversations").filter("role = 'assistant'").groupBy("conv_id")
-    out = turns.agg(F.count("*").alias("n_turns"), F.sum(F.length("text").cast("long")).alias("n_chars"), F.min("turn").alias("first_turn"), F.max("turn").alias("last_turn"))
-    return finished(out, "complete")
-
-
-def stale_job_stream(spark: SparkSession, sf_dir: str, minutes: int = 10, attempts: int = 3, most: int = 1000) -> DataFrame:
-    """(job_id, event_id, stage, ts): the jobs to claim, oldest first and `most` a sweep, from the latest state of each job.
-
-    A job is stale if it isn't complete, has attempts left and its last event is over `minutes` older than the newest of all. The
-    state of the stream is one row a job; the sweep reads what the stream wrote."""
-    stage = F.lit("failed")
-    for k, v in STAGES.items():
-        stage = F.when(F.col("event_type") == k, v).otherwise(stage)
-    state = F.struct("ts", "event_id", stage.alias("stage"), (F.col("event_id") % 4).alias("attempts"))
-    latest = read(spark, sf_dir, "events").groupBy(F.col("user_id").alias("job_id")).agg(F.max(state).alias("x"))
-    jobs = finished(latest.select("job_id", "x.*"), "complete")
-    now = jobs.agg(F.max("ts")).first()[0]
-    old = jobs.filter((F.col("stage") != "complete") & (F.col("attempts") < attempts) & (F.col("ts") < F.lit(now) - F.expr(f"interval {minutes} minutes")))
-    return old.select("job_id", "event_id", "stage", "ts").orderBy("ts", "job_id").limit(most)
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    empty = spark.createDataFrame([], new.schema)
+
+    def put(batch: DataFrame, number: int) -> None:
+        held = spark.read.schema(_with_batch(new)).option("basePath", f"{path}/out").parquet(f"{path}/out").filter(F.col("batch") < number) if number else empty
+        new_chunks(batch.withColumn("__one", F.lit(1)), held, key, ["__one"]).drop("__one").write.mode("overwrite").parquet(f"{path}/out/batch={number}")
+
+    q = new.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(_with_batch(new)).option("basePath", f"{path}/out").parquet(f"{path}/out").select(*key)
+
+
+def token_stream(spark: SparkSession, sf_dir: str, late: str = LATE, gap: str = "30 minutes") -> DataFrame:
+    """(answer_id, session_start, n_tokens, n_chars, state): the token events of each answer, which is closed by a done or error
+    event, or by a gap without events; the state holds the open sessions.
+
+    The events of a user stand for those of an answer: signup for done, error for error, all others for tokens."""
+    x = read(spark, sf_dir, "events").select(F.col("user_id").alias("answer_id"), "event_type", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
+    kind = F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "signup", 1).otherwise(0)
+    token = kind == 0
+    s = x.groupBy("answer_id", F.session_window("ts", gap).alias("w")).agg(F.count_if(token).alias("n_tokens"), F.sum(F.when(token, F.length("event_type")).otherwise(0)).cast("long").alias("n_chars"), F.max(kind).alias("s"))
+    state = F.when(F.col("s") == 2, "error").when(F.col("s") == 1, "done").otherwise("open")
+    return finished(s.select("answer_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n_tokens", "n_chars", state.alias("state")), "append")

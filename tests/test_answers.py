@@ -1,35 +1,64 @@
 import pytest
 from lodestone.functions import scalars
-from lodestone.operators import answers, chunking, graph, retrieval
+from lodestone.operators import answers, chunking, evaluation, retrieval
 from pyspark.sql import functions as F
 
-EDGES = [("a", "b"), ("b", "c"), ("c", "d"), ("a", "d"), ("x", "y")]
+EDGES = [("r", "a", "b"), ("r", "b", "c"), ("r", "c", "d"), ("r", "a", "d"), ("r", "x", "y"), ("s", "a", "z"), ("s", "z", "a"), ("s", "z", "z")]
+KIND = "repository_id string, source string, target string"
 
 
 @pytest.fixture(scope="module")
 def edges(spark):
-    return spark.createDataFrame(EDGES, "source string, target string")
+    return spark.createDataFrame(EDGES, KIND)
 
 
 def test_answers(spark, edges):
     rows = [
-        (1, "What does it depend on?", "a", None), (2, "What imports it?", "d", None), (3, "its dependencies", "b", None), (4, "all its dependencies", "c", None), (5, "who imports it indirectly", "d", None),
-        (6, "path from here to there", "b", "d"), (7, "path from here to there", "d", "a"), (8, "path from here to there", "d", "d"), (9, "what does it import", "none", None), (10, "is there a cycle", None, None), (11, "why", "b", "d"), (12, None, "a", "b"),
+        ("r", 1, "What does it depend on?", "a", None), ("r", 2, "What imports it?", "d", None), ("r", 3, "its dependencies", "b", None), ("r", 4, "all its dependencies", "c", None), ("r", 5, "who imports it indirectly", "d", None),
+        ("r", 6, "path from here to there", "b", "d"), ("r", 7, "path from here to there", "d", "a"), ("r", 8, "path from here to there", "d", "d"), ("r", 9, "what does it import", "none", None), ("r", 10, "is there a cycle", None, None), ("r", 11, "why", "b", "d"), ("r", 12, None, "a", "b"),
+        ("s", 13, "What does it depend on?", "a", None), ("s", 14, "cycles?", None, None), ("t", 15, "What does it depend on?", "a", None), ("s", 16, "why", "b", "d"), ("s", 17, "why", None, None),
     ]
-    q = spark.createDataFrame(rows, "question_id int, text string, node string, target string")
+    q = spark.createDataFrame(rows, "repository_id string, question_id int, text string, node string, target string")
     got = {}
     for r in answers.answer_rows(q, edges).orderBy("question_id", "position", "node").collect():
         got.setdefault(r["question_id"], []).append(r["node"])
-    assert got == {1: ["b", "d"], 2: ["a", "c"], 3: ["a", "c"], 4: ["a", "b", "d"], 5: ["a", "b", "c"], 6: ["b", "c", "d"], 8: ["d"]}
+    assert got == {1: ["b", "d"], 2: ["a", "c"], 3: ["a", "c"], 4: ["a", "b", "d"], 5: ["a", "b", "c"], 6: ["b", "c", "d"], 8: ["d"], 13: ["z"]}
     s = {r["question_id"]: (r["category"], r["algorithm"], r["found"]) for r in answers.answer_summary(q, edges).collect()}
-    assert s[7] == ("pure_graph", "dependency-analysis", 0) and s[10] == ("intelligence", "cycle-detection", 0) and s[11] == s[12] == ("hybrid", None, None)
-    names = spark.createDataFrame([("b", "Bee")], "node string, label string")
-    assert {r[0]: r[1] for r in answers.path_texts(q, edges, names).collect()} == {6: "Bee → c → d", 7: answers.NO_PATH, 8: "d"}
-    facts = {(r["question_id"], r["fact"], r["position"], r["node"]) for r in answers.graph_facts(q, edges).collect()}
-    assert facts == {(11, "neighbours", None, "a"), (11, "neighbours", None, "c"), (11, "path", 0, "b"), (11, "path", 1, "c"), (11, "path", 2, "d"), (12, "neighbours", None, "b"), (12, "neighbours", None, "d"), (12, "path", 0, "a"), (12, "path", 1, "b")}
+    assert s[7] == ("pure_graph", "dependency-analysis", 0) and s[10] == ("intelligence", "cycle-detection", 0) and s[14] == ("intelligence", "cycle-detection", 1) and s[11] == s[12] == ("hybrid", None, None) and s[15][2] == 0
+    names = spark.createDataFrame([("r", "b", "Bee"), ("s", "a", "Ay"), ("r", "d", "Dee")], "repository_id string, node string, label string")
+    texts = {r["question_id"]: r["answer"] for r in answers.answer_texts(q, edges, names).collect()}
+    assert texts[6] == "Bee → c → Dee" and texts[7] == answers.NO_PATH and texts[8] == "Dee" and texts[1] == "Bee, Dee" and texts[9] == texts[15] == answers.NONE_FOUND
+    assert texts[10] == "No circular dependencies found in this repository." and texts[14] == "1 circular dependency found:\nAy → z" and 11 not in texts and 12 not in texts
+    two = spark.range(1).select(answers.cycle_text(F.lit(2), F.lit("x\ny")).alias("t")).first()["t"]
+    assert two == "2 circular dependencies found:\nx\ny"
+    facts = answers.graph_facts(q, edges)
+    assert {(r["question_id"], r["fact"], r["position"], r["node"]) for r in facts.collect()} == {(11, "neighbours", None, "a"), (11, "neighbours", None, "c"), (11, "path", 0, "b"), (11, "path", 1, "c"), (11, "path", 2, "d"), (12, "neighbours", None, "b"), (12, "neighbours", None, "d"), (12, "path", 0, "a"), (12, "path", 1, "b")}
+    lines = {r["question_id"]: r["lines"] for r in answers.fact_lines(q, facts).collect()}
+    assert lines[11] == "Direct dependencies/dependents of b: a, c\nDependency path from b to d: b, c, d" and lines[16] == "Direct dependencies/dependents of b: (none found)\nDependency path from b to d: (none found)" and 17 not in lines
+    key = ["repository_id", "question_id"]
+    blocks = spark.createDataFrame([("r", 11, 1, "a.ts:1-2", "function", "x")], "repository_id string, question_id int, rank int, location string, label string, content string")
+    prompts = {r["question_id"]: r["prompt"] for r in retrieval.hybrid_prompts(q.filter("question_id in (11, 16, 17)"), blocks, answers.fact_lines(q, facts), key, "<", ">").collect()}
+    plain = {r["question_id"]: r["prompt"] for r in retrieval.system_prompts(q.filter("question_id in (11, 16, 17)"), blocks, key).collect()}
+    assert prompts[11] == f"<\n{lines[11]}\n\n>\n\n{plain[11]}" and prompts[17] == plain[17] == retrieval.REFUSAL and prompts[16].endswith(retrieval.REFUSAL)
     assert answers.answer_rows(q.limit(0), edges).count() == 0 and answers.answer_rows(q, edges.limit(0)).select("question_id").distinct().count() == 1
 
 
+def test_evaluation_run(spark, edges, tmp_path):
+    kind = "question_id int, repository_id string, text string, expected string, hint string, entities array<string>"
+    rows = [(1, "r", "what does it import", "pure_graph", "A.ts", ["b.ts", "zz"]), (2, "r", "why", "hybrid", None, ["One"]), (3, "r", "why", "hybrid", "a", ["one"]), (4, "t", "cycle?", "intelligence", None, ["x"]), (5, "s", "cycles", "hybrid", None, None), (6, "r", "what does it import", "pure_graph", "nowhere", None)]
+    q = spark.createDataFrame(rows, kind)
+    states = spark.createDataFrame([("r", "ready"), ("s", "ready"), ("t", "failed")], "repository_id string, status string")
+    nodes = spark.createDataFrame([(r, i, "file", n, f"{n}.ts") for r in "rs" for i, n in enumerate("abcdz")], "repository_id string, ordinal int, type string, id string, label string")
+    labels = nodes.select("repository_id", F.col("id").alias("node"), "label")
+    told = spark.createDataFrame([("r", 2, "that is one"), ("r", 1, "not a hybrid question")], "repository_id string, question_id int, answer string")
+    run = answers.evaluation_run(q, states, nodes, edges, labels, told)
+    got = {r["question_id"]: (r["actual"], r["found"], r["missing"]) for r in run.collect()}
+    assert got == {1: ("pure_graph", ["b.ts"], ["zz"]), 2: ("hybrid", ["One"], []), 3: ("error", [], ["one"]), 4: ("error", [], ["x"]), 5: ("intelligence", [], []), 6: ("pure_graph", [], [])}
+    summary = evaluation.write_report(str(tmp_path / "report"), run).first()
+    assert (summary["n"], summary["routing_accuracy"], summary["entity_recall"]) == (6, 0.5, 0.375)
+    assert spark.read.json(str(tmp_path / "report" / "confusion")).filter("actual = 'error'").count() == 2
+
+
 def test_hints(spark):
     nodes = [("r", 0, "repository", "root", "Top"), ("r", 1, "file", "f1", "User.ts"), ("r", 2, "file", "f2", "user.ts"), ("r", 3, "file", "f3", "User.ts"), ("s", 0, "file", "g", "user.ts")]
     n = spark.createDataFrame(nodes, "repository_id string, ordinal int, type string, id string, label string")
@@ -41,13 +70,21 @@ def test_hints(spark):
 def test_hierarchy_and_flags(spark, edges):
     nodes = [("r", "repository"), ("d", "folder"), ("f", "file"), ("c", "class"), ("m", "method"), ("n", "method"), ("p", "package"), ("odd", "thing"), ("leaf", "file")]
     inside = [(1, "r", "d"), (2, "r", "f"), (3, "d", "f"), (4, "f", "c"), (5, "c", "m"), (6, "m", "n"), (7, "odd", "leaf")]
-    x = answers.hierarchy(spark.createDataFrame(nodes, "id string, type string"), spark.createDataFrame(inside, "ordinal int, source string, target string"))
-    got = {r["id"]: (r["parent"], r["container"], r["is_root"]) for r in x.collect()}
-    assert got == {"r": (None, None, True), "p": (None, None, True), "odd": (None, None, True), "d": ("r", "r", False), "f": ("d", "d", False), "c": ("f", "d", False), "m": ("c", "d", False), "n": ("m", "d", False), "leaf": ("odd", "odd", False)}
-    e = edges.unionByName(spark.createDataFrame([("d", "c")], edges.schema))
-    flags = {r["id"]: r[1:] for r in answers.display_flags(e.select(F.explode(F.array("source", "target")).alias("id")), e, "b").collect()}
-    assert flags["c"] == (True, True, False) and flags["d"] == (True, False, True) and flags["b"] == (False, False, False) and flags["a"] == (False, True, False)
-    assert {(r["node"], r["component"]) for r in graph.components(edges).collect()} == {(n, "a") for n in "abcd"} | {("x", "x"), ("y", "x")}
+    n = spark.createDataFrame([(g, i, a, b) for g in "xy" for i, (a, b) in enumerate(nodes)], "repository_id string, ordinal int, id string, type string")
+    e = spark.createDataFrame([(g, *x) for g in "xy" for x in inside if g == "x" or x[0] not in (1, 2)], "repository_id string, ordinal int, source string, target string")
+    got = {(r["repository_id"], r["id"]): (r["parent"], r["container"], r["role"]) for r in answers.hierarchy(n, e).collect()}
+    one = {"r": (None, None, "hierarchy_root"), "p": (None, None, "standalone"), "odd": (None, None, "standalone"), "d": ("r", "r", None), "f": ("d", "d", None), "c": ("f", "d", None), "m": ("c", "d", None), "n": ("m", "d", None), "leaf": ("odd", None, None)}
+    assert {k[1]: v for k, v in got.items() if k[0] == "x"} == one
+    assert got["y", "r"] == (None, None, "standalone") and got["y", "d"] == (None, None, "hierarchy_root") and got["y", "n"] == ("m", "d", None)
+    with pytest.raises(ValueError, match="cycle"):
+        answers.hierarchy(n, e.filter("ordinal > 3").unionByName(e.filter("ordinal = 6").withColumns({"ordinal": F.lit(9), "source": F.lit("n"), "target": F.lit("c")})))
+    # the only container of a repository, whatever its type
+    odd = answers.hierarchy(n.filter("id in ('odd', 'leaf')"), e.filter("source = 'odd'")).filter("id = 'leaf'").first()
+    assert odd["container"] == "odd"
+    x = edges.unionByName(spark.createDataFrame([("r", "d", "c")], KIND))
+    chosen = spark.createDataFrame([("r", "b")], "repository_id string, node string")
+    flags = {(r["repository_id"], r["id"]): tuple(r)[2:] for r in answers.display_flags(x.select("repository_id", F.explode(F.array("source", "target")).alias("id")), x, chosen).collect()}
+    assert flags["r", "c"] == (True, True, False) and flags["r", "d"] == (True, False, True) and flags["r", "b"] == (False, False, False) and flags["r", "a"] == (False, True, False) and flags["s", "a"] == (True, False, False)
 
 
 def test_retrieval(spark):
@@ -57,6 +94,16 @@ def test_retrieval(spark):
     assert v[3] == v[4] == [] and abs(sum(x * x for x in v[2]) - 1) < 1e-12 and v[1] == v[5]
     got = [tuple(r) for r in retrieval.retrieved(q, c).orderBy("rank").collect()]
     assert [(r[1], r[2], r[4]) for r in got] == [(1, 1, 1), (1, 2, 2)] and got[0][3] == 1.0
+    many = spark.createDataFrame([("r", i, "red fox" if i % 2 else f"red fox w{i}") for i in range(40)], c.schema)
+    old, retrieval.TILE = retrieval.TILE, 7
+    try:
+        tiles = [tuple(r)[1:] for r in retrieval.retrieved(q.filter("query_id = 1"), many, 5).orderBy("rank").collect()]
+    finally:
+        retrieval.TILE = old
+    assert tiles == [(1, 2 * i + 1, 1.0, i + 1) for i in range(5)]
+    model = lambda: lambda texts: [[len(t), 1.0] for t in texts]
+    v = {r["chunk_id"]: r["v"] for r in retrieval.embedded_by(c, model).collect()}
+    assert v[3] == [] and abs(v[1][0] - 7 / 50**0.5) < 1e-9
     blocks = spark.createDataFrame([(1, 1, "a.ts:1-2", "function", "x")], "question_id int, rank int, location string, label string, content string")
     p = {r[0]: r[1] for r in retrieval.system_prompts(q.withColumnRenamed("query_id", "question_id"), blocks, refusal="no", rules="yes").collect()}
     assert p == {1: "yes\n\n--- Context 1: a.ts:1-2 - function ---\nx", 2: "no", 3: "no"}

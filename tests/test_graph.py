@@ -1,119 +1,163 @@
 import random
 
 import pytest
-
-from lodestone.functions import scalars
-from lodestone.operators import chunking, graph, retrieval
+from lodestone.operators import graph, retrieval
 from pyspark.sql import functions as F
 
+KIND = "repository_id string, source string, target string, type string"
+
 
-def edges(spark, pairs):
-    return spark.createDataFrame([(a, b, f"{a}>{b}") for a, b in pairs], "source string, target string, id string")
+def edges(spark, pairs, repository="r", kind="imports"):
+    return spark.createDataFrame([(repository, a, b, kind) for a, b in pairs], KIND)
 
 
 def found(df):
     out = {}
     for r in df.collect():
-        out.setdefault(r["cycle_id"], set()).add(r["node"])
+        out.setdefault((r["repository_id"], r["cycle_id"]), set()).add(r["node"])
     return out
 
 
-@pytest.mark.parametrize(
-    "pairs,want",
-    [
-        ([("A", "B"), ("B", "C")], {}),
-        ([("A", "B"), ("B", "A")], {"A": {"A", "B"}}),
-        ([("A", "A")], {"A": {"A"}}),
-        ([("A", "B"), ("B", "A"), ("X", "Y"), ("Y", "Z"), ("Z", "X"), ("B", "X")], {"A": {"A", "B"}, "X": {"X", "Y", "Z"}}),
-    ],
-)
-def test_cycles(spark, pairs, want):
-    assert found(graph.cycles(edges(spark, pairs))) == want
+def in_r(want):
+    return {("r", k): v for k, v in want.items()}
 
 
-def test_random_graph(spark):
-    rng = random.Random(4)
-    pairs = {(f"n{rng.randrange(25):02}", f"n{rng.randrange(25):02}") for _ in range(40)}
-    nodes = {x for p in pairs for x in p}
-    after = {n: {b for a, b in pairs if a == n} for n in nodes}
-
-    def closure(n):
-        seen, todo = set(), [n]
-        while todo:
-            for m in after[todo.pop()] - seen:
-                seen.add(m)
-                todo.append(m)
-        return seen
-
-    to = {n: closure(n) for n in nodes}
-    e = edges(spark, pairs)
-    got = graph.reach(spark.createDataFrame([(n,) for n in nodes], "seed string"), e).filter("depth > 0")
-    assert {(r["seed"], r["node"]) for r in got.collect()} == {(n, m) for n in nodes for m in to[n] if m != n}
-    want = {}
-    for n in nodes:
-        if n in to[n]:
-            want.setdefault(min(m for m in nodes if m == n or (m in to[n] and n in to[m])), set()).add(n)
-    assert found(graph.cycles(e)) == want
-
-
-def test_cycles_of_more_rounds_than_the_bound(spark, monkeypatch):
-    monkeypatch.setattr(graph, "MAX_ROUNDS", 5)
-    monkeypatch.setattr(graph, "FOLD", 3, raising=False)
-    # A reaches all of its cycle in one round, but only the last node leads back to it
-    wheel = [("A", f"v{i}") for i in range(12)] + [(f"v{i}", f"v{i + 1}") for i in range(11)] + [("v11", "A")]
-    assert found(graph.cycles(edges(spark, wheel))) == {"A": {"A"} | {f"v{i}" for i in range(12)}}
-    # a chain of components, named in the order in which one leads to the next
-    pairs = [(f"{i:02}{x}", f"{i:02}{y}") for i in range(9) for x, y in ("ab", "ba")] + [(f"{i:02}a", f"{i + 1:02}a") for i in range(8)]
-    assert found(graph.cycles(edges(spark, pairs))) == {f"{i:02}a": {f"{i:02}a", f"{i:02}b"} for i in range(9)}
+@pytest.fixture(params=["in tasks", "by rounds"])
+def way(request, monkeypatch):
+    """Components are searched in tasks, or by rounds of joins as large ones are."""
+    if request.param == "by rounds":
+        monkeypatch.setattr(graph, "LOCAL", 0)
+        monkeypatch.setattr(graph, "FOLD", 3)
+    return request.param
 
 
-def test_all_violations(spark):
-    d = "deterministic"
-    nodes = [(r, r, "repository", d) for r in "abcde"] + [(r, f"{r}1", "file", "inferred") for r in "abcde"]
-    nodes += [("b", "b2", "file", d), ("c", "c1", "file", d), ("c", "c1", "file", None)]
-    edges = [(r, f"{r}>", r, f"{r}1", d) for r in "abce"] + [("d", "d>", "d", "d1", None), ("e", "e?", "e", "no", d)]
-    n = spark.createDataFrame(nodes, "repository_id string, id string, type string, certainty string")
-    e = spark.createDataFrame(edges, "repository_id string, id string, source string, target string, certainty string")
-    c = spark.createDataFrame([("a", "f00"), ("b", "f00"), ("c", "f00"), ("d", "f00"), ("e", " "), ("f", "f00")], "repository_id string, commit_sha string")
-    want = [("b", "orphan_node", "b2"), ("c", "duplicate_node", "c1"), ("c", "duplicate_node", "c1"), ("c", "node_certainty", "c1"), ("d", "edge_certainty", "d>")]
-    want += [("e", "commit", None), ("e", "missing_target", "e?"), ("e", "orphan_edge", "e?"), ("f", "root_count", "0")]
-    assert sorted(map(tuple, graph.all_violations(n, e, c).collect()), key=str) == sorted(want, key=str)
+CASES = [
+    ([("A", "B"), ("B", "C")], {}),
+    ([("A", "B"), ("B", "A")], {"A": {"A", "B"}}),
+    ([("A", "A")], {"A": {"A"}}),
+    ([("A", "B"), ("B", "A"), ("X", "Y"), ("Y", "Z"), ("Z", "X"), ("B", "X")], {"A": {"A", "B"}, "X": {"X", "Y", "Z"}}),
+    ([], {}),
+]
 
 
-def test_shortest_paths(spark):
-    e = edges(spark, [("A", "B"), ("B", "D"), ("A", "C"), ("C", "D"), ("D", "A"), ("D", "E"), ("X", "E")])
-    got = {(r["seed"], r["node"]): r["path"] for r in graph.shortest_paths(spark.createDataFrame([("A",), ("E",)], "seed string"), e).collect()}
-    assert got[("A", "D")] == ["A", "B", "D"] and got[("A", "E")] == ["A", "B", "D", "E"] and got[("A", "A")] == ["A"]
-    assert set(got) == {("A", x) for x in "ABCDE"} | {("E", "E")}
+@pytest.mark.parametrize("pairs,want", CASES)
+def test_cycles(spark, pairs, want):
+    assert found(graph.cycles(edges(spark, pairs))) == in_r(want)
 
 
-def test_graph_prompt(spark):
-    r = graph.first_relations(edges(spark, [("A", x) for x in "BCD"] + [("A", "A")]), 2)
-    q = spark.createDataFrame([(1, "A", "why?"), (2, "Z", None), (3, "Z", "how?")], "question_id int, node string, text string")
-    got = {x["question_id"]: x["prompt"] for x in retrieval.graph_prompt(q, r).collect()}
-    assert got == {1: "Graph facts:\n- incoming: A\n- outgoing: A\n- outgoing: B\n\nwhy?", 2: None, 3: "how?"}
+def closure(after, n):
+    seen, todo = set(), [n]
+    while todo:
+        for m in after.get(todo.pop(), set()) - seen:
+            seen.add(m)
+            todo.append(m)
+    return seen
 
 
-def test_windows(spark):
-    files = spark.createDataFrame([("a", "\n".join(map(str, range(100)))), ("b", "x"), ("c", " \n ")], "path string, content string")
-    got = [(r["path"], r["start_line"], r["end_line"]) for r in chunking.line_windows(files).orderBy("path", "start_line").collect()]
-    assert got == [("a", 1, 40), ("a", 36, 75), ("a", 71, 100), ("b", 1, 1)]
+def test_random_graphs_of_two_repositories_with_equal_names(spark, way):
+    rng = random.Random(4)
+    pairs = {r: {(f"n{rng.randrange(25):02}", f"n{rng.randrange(25):02}") for _ in range(k)} for r, k in (("r", 40), ("s", 25))}
+    e = edges(spark, pairs["r"]).unionByName(edges(spark, pairs["s"], "s")).unionByName(edges(spark, [("n00", f"n{i:02}") for i in range(25)], "s", "contains"))
+    seeds = [(r, n) for r in pairs for n in sorted({x for p in pairs[r] for x in p} | {"alone"})]
+    got = graph.reach(spark.createDataFrame(seeds, "repository_id string, seed string"), e, "imports").collect()
+    paths = graph.shortest_paths(spark.createDataFrame([(*s, None) for s in seeds], "repository_id string, seed string, node string"), e, "imports").collect()
+    asked = [(r, s, f"n{rng.randrange(25):02}") for r, s in seeds] + [("r", "alone", "alone"), ("r", "n00", "nowhere")]
+    some = graph.shortest_paths(spark.createDataFrame(asked, "repository_id string, seed string, node string"), e, "imports").collect()
+    want_reach, want_paths, want_cycles = set(), {}, {}
+    for r in pairs:
+        after = {}
+        for a, b in pairs[r]:
+            after.setdefault(a, set()).add(b)
+        for _, seed in [x for x in seeds if x[0] == r]:
+            best, front = {seed: (seed,)}, [(seed,)]
+            while front:
+                new = {}
+                for p in front:
+                    for m in after.get(p[-1], ()):
+                        if m not in best:
+                            new[m] = min(new.get(m, (*p, m)), (*p, m))
+                best |= new
+                front = [*new.values()]
+            want_reach |= {(r, seed, n, len(p) - 1) for n, p in best.items()}
+            want_paths |= {(r, seed, n): list(p) for n, p in best.items()}
+        to = {n: closure(after, n) for n in {x for p in pairs[r] for x in p}}
+        for n in to:
+            if n in to[n]:
+                want_cycles.setdefault((r, min(m for m in to if m == n or (m in to[n] and n in to[m]))), set()).add(n)
+    assert len(got) == len(want_reach) and {tuple(x) for x in got} == want_reach
+    assert len(paths) == len(want_paths) and {(x[0], x[1], x[2]): x[3] for x in paths} == want_paths
+    assert {(x[0], x[1], x[2]): x[3] for x in some} == {k: want_paths[k] for k in set(asked) if k in want_paths}
+    assert found(graph.cycles(e, "imports")) == want_cycles
+
+
+def test_components(spark, way):
+    rng = random.Random(7)
+    pairs = [(f"n{rng.randrange(60):02}", f"n{rng.randrange(60):02}") for _ in range(45)]
+    names = {x: x for p in pairs for x in p}
+    for _ in names:
+        for a, b in pairs:
+            names[a] = names[b] = min(names[a], names[b])
+    got = graph.components(edges(spark, pairs).unionByName(edges(spark, [("n00", "n01")], "s"))).collect()
+    assert {(r["repository_id"], r["node"], r["component"]) for r in got} == {("r", n, c) for n, c in names.items()} | {("s", "n00", "n00"), ("s", "n01", "n00")}
+    assert len(got) == len(names) + 2
+
+
+def test_a_chain_of_2000_nodes(spark):
+    chain = edges(spark, [(f"{i:04}", f"{i + 1:04}") for i in range(1999)])
+    seed = spark.createDataFrame([("r", "0000")], "repository_id string, seed string")
+    got = graph.reach(seed, chain)
+    assert got.count() == 2000 and got.agg(F.max("depth")).first()[0] == 1999
+    path = graph.shortest_paths(seed.withColumn("node", F.lit("1999")), chain).first()["path"]
+    assert len(path) == 2000 and path[:2] == ["0000", "0001"]
+    assert graph.components(chain).select("component").distinct().count() == 1
+    ring = chain.unionByName(edges(spark, [("1999", "0000")]))
+    assert {k: len(v) for k, v in found(graph.cycles(ring)).items()} == {("r", "0000"): 2000} and graph.cycles(chain).count() == 0
+
+
+def test_long_components_by_rounds(spark, monkeypatch):
+    monkeypatch.setattr(graph, "LOCAL", 0)
+    chain = edges(spark, [(f"{i * 37 % 300:03}", f"{(i + 1) * 37 % 300:03}") for i in range(299)])
+    assert graph.components(chain).select("component").distinct().count() == 1
+    monkeypatch.setattr(graph, "FOLD", 3)
+    # A reaches all of its cycle in one round, but only the last node leads back to it
+    wheel = [("A", f"v{i}") for i in range(12)] + [(f"v{i}", f"v{i + 1}") for i in range(11)] + [("v11", "A")]
+    assert found(graph.cycles(edges(spark, wheel))) == in_r({"A": {"A"} | {f"v{i}" for i in range(12)}})
+    # a chain of components, named in the order in which one leads to the next
+    pairs = [(f"{i:02}{x}", f"{i:02}{y}") for i in range(5) for x, y in ("ab", "ba")] + [(f"{i:02}a", f"{i + 1:02}a") for i in range(4)]
+    assert found(graph.cycles(edges(spark, pairs))) == in_r({f"{i:02}a": {f"{i:02}a", f"{i:02}b"} for i in range(5)})
 
 
-def test_scalars(spark):
-    x = spark.createDataFrame([("https://github.com/A/B.git/", "see [a/b.ts:1-2] and [a/b.ts:1-2] [c:d:1-2]")], "u string, a string")
-    r = x.select(scalars.normal_url(F.col("u")).alias("u"), scalars.citations(F.col("a")).alias("c")).first()
-    assert r["u"] == "https://github.com/a/b.git" and r["c"] == ["a/b.ts:1-2"]
+def test_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CELLS", 40)  # the seeds of one component go to several tasks
+    pairs = [(f"a{i:02}", f"a{i + 1:02}") for i in range(30)] + [(f"b{i}", f"b{i + 1}") for i in range(5)]
+    e = edges(spark, pairs)
+    seeds = e.select("repository_id", F.col("source").alias("seed")).distinct()
+    got = graph.reach(seeds, e).collect()
+    assert len(got) == sum(31 - i for i in range(30)) + sum(6 - i for i in range(5)) == len({tuple(r) for r in got})
+
+
+def test_dependencies_and_algorithms_by_name(spark):
+    e = edges(spark, [("A", "B"), ("B", "C"), ("C", "A"), ("D", "D")]).unionByName(edges(spark, [("A", "Z")], "r", "contains")).unionByName(edges(spark, [("A", "X")], "s"))
+    seeds = spark.createDataFrame([("r", "A"), ("r", "D"), ("r", None), ("r", "none")], "repository_id string, seed string")
+    run = lambda **p: {(r["seed"], r["node"]) for r in graph.run_algorithm("dependency-analysis", None, e, params=seeds, **p).collect()}
+    assert run(edge_type="imports") == {("A", "B"), ("A", "C"), ("D", "D")} and run(direction="outgoing") == {("A", "B"), ("A", "Z"), ("D", "D")}
+    assert run(direction="incoming", edge_type="imports") == {("A", "C"), ("D", "D")}
+    assert run(mode="transitive", direction="outgoing", edge_type="imports") == {("A", "B"), ("A", "C")} == run(mode="transitive", direction="incoming")
+    assert run(mode="transitive") == {("A", "B"), ("A", "C"), ("A", "Z")}
+    pair = spark.createDataFrame([("r", "A", "C"), ("s", "A", "C"), ("r", "C", "C")], "repository_id string, seed string, node string")
+    assert {(r[0], r[1], tuple(r[3])) for r in graph.run_algorithm("dependency-analysis", None, e, params=pair, mode="path").collect()} == {("r", "A", ("A", "B", "C")), ("r", "C", ("C",))}
+    assert found(graph.run_algorithm("cycle-detection", None, e)) == in_r({"A": {"A", "B", "C"}, "D": {"D"}})
+    assert {(r["repository_id"], r["node"], r["fan_out"], r["fan_in"]) for r in graph.run_algorithm("degree-profile", None, e).collect()} >= {("r", "A", 2, 1), ("s", "A", 1, 0), ("r", "D", 1, 0)}
     with pytest.raises(KeyError, match="cycle-detection"):
         graph.run_algorithm("none", None, None)
+    with pytest.raises(ValueError, match="params"):
+        graph.run_algorithm("dependency-analysis", None, e)
+    with pytest.raises(ValueError, match="direction"):
+        graph.run_algorithm("dependency-analysis", None, e, params=seeds, direction="up")
 
 
-def test_every_query_on_the_smallest_tables(spark):
-    import os
-
-    from lodestone.plans import registry
-
-    if not os.path.isdir("/root/testdata/sf0.001"):
-        pytest.skip("no tables")
-    for name in ("containment_nodes", "publish_status", "line_window_chunks", "classify_questions", "vector_topk", "stream_quota"):
-        assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+def test_graph_prompt(spark):
+    r = graph.first_relations(edges(spark, [("A", x) for x in "BCD"] + [("A", "A")]), 2)
+    q = spark.createDataFrame([("r", 1, "A", "why?"), ("r", 2, "Z", None), ("r", 3, "Z", "how?"), ("s", 4, "A", "x")], "repository_id string, question_id int, node string, text string")
+    got = {x["question_id"]: x["prompt"] for x in retrieval.graph_prompt(q, r).collect()}
+    assert got == {1: "Graph facts:\n- incoming: A\n- outgoing: A\n- outgoing: B\n\nwhy?", 2: None, 3: "how?", 4: "x"}
