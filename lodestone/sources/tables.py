@@ -33,13 +33,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Folders that this process has staged, for release().
+_STAGED: list[str] = []
+
+
 def stage(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and rereads it, which cuts its lineage."""
+    """Writes df as a table in the shared folder and rereads it: computed once, lineage cut, and any executor can read it
+    again after another was lost. The table stays until release(), because DataFrames that are returned still read it."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Removes all tables that this process has staged, once their results are written elsewhere; returns how many there were."""
+    paths, _STAGED[:] = _STAGED[:], []
+    for path in paths:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(paths)
+
+
 def scan_filter(files: DataFrame, most_bytes: int, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """Files with a kept extension and size, outside ignored and dotted directories."""
     parts = F.split("path", "/")

@@ -5,6 +5,7 @@ import pytest
 from lodestone.functions import scalars
 from lodestone.operators import chunking, repositories, work
 from lodestone.sources import trees
+from lodestone.sources.tables import release, stage
 from lodestone.streaming import jobs
 from pyspark.sql import functions as F
 
@@ -98,6 +99,13 @@ def test_scalars(spark):
     assert tuple(event("event: error\ndata: {}")) == ("error", scalars.INTERRUPTED) and event("event: token\ndata: {") is None and event('data: {"token":5}') is None and event("event: done") is None and event(None) is None
 
 
+def test_staged_tables_are_removed(spark):
+    x = stage(spark.range(5))
+    folder = x.inputFiles()[0].removeprefix("file:").rpartition("/")[0]
+    assert x.count() == 5 and os.path.isdir(folder)
+    assert release(spark) > 0 and not os.path.exists(folder) and release(spark) == 0
+
+
 def test_repositories(spark):
     r = spark.createDataFrame([(1, "o", "https://github.com/a/b", "ready", 1), (2, "o", "x", "parsing", 2), (3, "p", "https://github.com/a/b", "failed", 3)], "repository_id int, owner string, url string, status string, created_at int")
     assert [(x["repository_id"], x["in_progress"], x["place"]) for x in repositories.listing(r).orderBy("repository_id").collect()] == [(1, False, 2), (2, True, 1), (3, False, 1)]
