@@ -28,6 +28,11 @@ def enriched(chunks: DataFrame) -> DataFrame:
     return chunks.withColumns({"content_hash": F.sha2("chunk", 256), "language": language_label(ext)})
 
 
+def numbered(chunks: DataFrame) -> DataFrame:
+    """chunks (repository_id, path, start_line, end_line, ...) with place: their number within the file, by start and end."""
+    return chunks.withColumn("place", F.row_number().over(Window.partitionBy(*FILE).orderBy("start_line", "end_line")))
+
+
 def coverage_gaps(ranges: DataFrame, files: DataFrame) -> DataFrame:
     """(repository_id, path, gap_start, gap_end): the lines of each file that no range covers; gaps of blank lines alone are left out.
 

@@ -22,6 +22,15 @@ def listing(repositories: DataFrame) -> DataFrame:
     return repositories.withColumns({"in_progress": in_progress(F.col("status")), "place": F.row_number().over(w)})
 
 
+def found(rows: DataFrame, **keys) -> DataFrame:
+    """The rows with these values, such as repository_id=7 or owner="o", url=...; a filter, so a scan of a table that is laid out by
+    the keys reads only their part. None finds rows without a value."""
+    out = rows
+    for name, value in keys.items():
+        out = out.filter(F.col(name).eqNullSafe(F.lit(value)))
+    return out
+
+
 def by_owner(repositories: DataFrame, owners: DataFrame) -> DataFrame:
     """The repositories of some owners (owner)."""
     return repositories.join(owners.select("owner").distinct(), "owner", "left_semi")

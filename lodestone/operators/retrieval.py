@@ -80,6 +80,12 @@ def top_chunks(queries: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("repository_id", "query_id", "chunk_id", "score", "rank")
 
 
+def top_scores(queries: DataFrame, ranked: DataFrame) -> DataFrame:
+    """(repository_id, query_id, top_score): the highest score of each query, null for one that found nothing."""
+    best = ranked.groupBy("repository_id", "query_id").agg(F.max("score").alias("top_score"))
+    return queries.select("repository_id", "query_id").join(best, ["repository_id", "query_id"], "left")
+
+
 def centroids(chunks: DataFrame) -> DataFrame:
     """The mean vector of each repository."""
     x = chunks.select("repository_id", F.posexplode("v").alias("i", "x")).groupBy("repository_id", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))

@@ -239,6 +239,11 @@ def line_window_chunks(spark, sf_dir):
     return chunking.enriched(chunking.line_windows(fixture(spark, sf_dir, "files"))).select("repository_id", "path", "start_line", "end_line", "content_hash", "language")
 
 
+@query(CHUNKED + " select repository_id, path, start_line::int as start_line, row_number() over (partition by repository_id, path order by start_line)::int as place from c where regexp_matches(chunk, '\\S')")
+def chunk_order(spark, sf_dir):
+    return chunking.numbered(chunking.line_windows(fixture(spark, sf_dir, "files"))).select("repository_id", "path", "start_line", "place")
+
+
 @query("""with l as (select repository_id, path, unnest(string_split(content, chr(10))) as line, generate_subscripts(string_split(content, chr(10)), 1) as i from {files}),
   r as (select repository_id, path, line, i, length(line) > 80 as covered from l), g as (select *, i - row_number() over (partition by repository_id, path order by i) as k from r where not covered)
   select repository_id, path, min(i)::int as gap_start, max(i)::int as gap_end from g group by repository_id, path, k having bool_or(regexp_matches(line, '\\S'))""")
@@ -287,9 +292,13 @@ def vector_topk(spark, sf_dir):
     return retrieval.top_chunks(retrieval.centroids(c), c, 8)
 
 
-@query(TOP + " select repository_id, max(score) as top_score from t group by repository_id")
+@query(TOP + " select r.repository_id, max(score) as top_score from (select label as repository_id from embeddings union select label + 100 from embeddings) as r left join t on t.repository_id = r.repository_id group by r.repository_id")
 def retrieval_top_score(spark, sf_dir):
-    return vector_topk(spark, sf_dir).groupBy("repository_id").agg(F.max("score").alias("top_score"))
+    c = _chunks(spark, sf_dir)
+    q = retrieval.centroids(c)
+    # queries of repositories without chunks find nothing
+    more = q.unionByName(q.withColumns({"repository_id": F.col("repository_id") + 100, "query_id": F.col("query_id") + 100}))
+    return retrieval.top_scores(more, retrieval.top_chunks(more, c, 8)).select("repository_id", "top_score")
 
 
 @query("""with c as (select conv_id, turn, row_number() over (partition by conv_id order by turn, text)::int as rank, role, text from conversations)
@@ -317,6 +326,13 @@ def classify_questions(spark, sf_dir):
     return _classified(spark, sf_dir).drop("expected")
 
 
+@query(CLASSED + " select question_id, case when question_id % 5 = 0 then 'error' when question_id % 7 = 0 then null else category end as actual, question_id % 5 <> 0 and question_id % 7 <> 0 as is_valid from x")
+def valid_categories(spark, sf_dir):
+    k = F.col("question_id")
+    x = _classified(spark, sf_dir).select("question_id", F.when(k % 5 == 0, "error").when(k % 7 == 0, None).otherwise(F.col("category")).alias("actual"))
+    return x.withColumn("is_valid", scalars.is_category(F.col("actual")))
+
+
 @query(CLASSED + " select expected, category as actual, count(*) as n from x group by 1, 2")
 def confusion_matrix(spark, sf_dir):
     return evaluation.confusion(_classified(spark, sf_dir).withColumnRenamed("category", "actual"))

@@ -111,6 +111,7 @@ def test_repositories(spark):
     assert [(x["repository_id"], x["in_progress"], x["place"]) for x in repositories.listing(r).orderBy("repository_id").collect()] == [(1, False, 2), (2, True, 1), (3, False, 1)]
     q = spark.createDataFrame([("o", " HTTPS://github.com/A/B.git"), ("p", "https://github.com/a/b"), ("o", "x")], "owner string, url string")
     assert {(x["owner"], x["url"][:2]): x["found"] for x in repositories.owned(q, r).collect()} == {("o", " H"): True, ("p", "ht"): False, ("o", "x"): False}
+    assert repositories.found(r, owner="o", status="ready").count() == 1 and repositories.found(r, repository_id=9).count() == 0 and repositories.found(r, owner=None).count() == 0
     assert repositories.by_owner(r, q.filter("owner = 'p'")).count() == 1
 
 
