@@ -37,12 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
 _STAGED: list[str] = []
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and rereads it: computed once, lineage cut, and any executor can read it
-    again after another was lost. The table stays until release(), because DataFrames that are returned still read it."""
+    again after another was lost. The table is laid out by the columns `by`, so a filter on them reads only its part.
+    It stays until release(), because DataFrames that are returned still read it."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     _STAGED.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
