@@ -2,41 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Word separators of the contracts: space and U+0009 to U+000D, which is what bytes.split() uses.
-WHITE = b" \t\n\x0b\x0c\r"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
+from lodestone.sources.tables import stage as materialise
+from lodestone.sources.tables import table
 
-    Only a local master may fall back to a temporary folder of this machine."""
-    if path := spark.conf.get("spark.checkpoint.dir", None):
-        return path
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+__all__ = ["WHITE", "WordHashes", "crc_of", "fold", "hash_words", "lean_workers", "lookup", "materialise", "mix", "table", "text_slices", "uniform"]
 
-
-def materialise(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes df as a table in the shared folder and rereads it: computed once, lineage cut, and any
-    executor can read it again after another was lost."""
-    path = f"{shared_dir(df.sparkSession)}/lodestone-{uuid.uuid4().hex}"
-    df.write.parquet(path, partitionBy=partition_by)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Word separators of the contracts: space and U+0009 to U+000D, which is what bytes.split() uses.
+WHITE = b" \t\n\x0b\x0c\r"
 
 
 def lookup(rows: DataFrame, small: DataFrame, keys: list[str], spread: Column, most: int = 200_000, salts: int = 32) -> DataFrame:
