@@ -7,8 +7,12 @@ pairs (bigram, 1) to (bigram, level) are inserted. The number of ranges grows wi
 range's size doesn't.
 
 Scoring: the ranges are broadcast; the level of a bigram is found by repeated membership probes, until
-one fails. Beyond `LIMIT` bytes the ranges are broadcast in several passes, each of which fills
-in the counts of its own ranges in a column that holds a row's counts so far; the results are the same.
+one fails. Beyond `LIMIT` bytes the ranges are broadcast in several passes. Then the texts are dealt into parts of
+about `PART` bytes, and the distinct hashes of each part are written once, laid out by the pass that knows them; a pass
+reads its own hashes and writes their counts and levels, and at the end each part is scored with all of them. So texts
+are read twice and hashes once, however many passes there are; the results are the same. A filter has about 10
+bits for each level of each bigram, so LIMIT bytes serve some tens of millions of distinct bigrams a pass, and the disk
+of an executor must hold one pass.
 
 Model: P(w | v) = (c~(v w) + MU * P1(w)) / (c(v) + MU), with P1 the smoothed unigram of the base score, c~ the
 quantised count (never over the true one, but for the filter's false positives of about 1 %), so the
@@ -23,6 +27,8 @@ texts of their own; without training texts N = V = 0, c = 0; no rows give no row
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,8 +39,8 @@ from lodestone.llm.common import fold, hash_words, lean_workers, materialise, mi
 MU = 300.0
 #: Text bytes of a range at least, bits of the filter for each insertion, probes for each membership test.
 RANGE_BYTES, BITS, PROBES = 16_000_000, 10, 4
-#: Bytes broadcast at once.
-LIMIT = 200_000_000
+#: Bytes broadcast at once, and text bytes of a part where that takes several passes.
+LIMIT, PART = 200_000_000, 4_000_000
 END, BEGIN = np.uint64(0x0E0D), np.uint64(0xBE91)
 #: Counts that a level stands for: 1, 2, 3, 4, 6, 8, 12, ...
 VALUES = np.array([1] + [x for i in range(1, 62) for x in (1 << i, 3 << (i - 1))], np.int64)
@@ -249,36 +255,66 @@ def score_texts(docs: DataFrame, training: DataFrame, mu: float = MU, limit: int
         out = materialise(x.mapInArrow(one_pass(s), OUT))
         s.destroy()  # workers let go of it with their next task
     else:
-        x = x.withColumns({"c": F.lit(None).cast("binary"), "lv": F.lit(None).cast("binary")})
-
-        def some(s, last):
-            def run(batches):
-                r = s.value
-                for b in batches:
-                    for part in text_slices(b["text"]):
-                        tok, pair, size = tokens_of([t for _, t in part])
-                        at = rows_of(b, part)
-                        old = [b[k].take(at) for k in ("c", "lv")]
-                        c, lv = (np.frombuffer(b"".join(o.to_pylist()), k).copy() if o.null_count == 0 else np.zeros(len(tok), k) for o, k in zip(old, (np.int64, np.uint8), strict=True))
-                        _fill(r, tok, pair, c, lv)
-                        if last:
-                            yield finished(b, part, c, lv, size)
-                        else:
-                            cut = np.cumsum(size)[:-1]
-                            pack = lambda a: pa.array([y.tobytes() for y in np.split(a, cut)], pa.binary())  # noqa: E731, B023
-                            yield pa.RecordBatch.from_arrays([b["doc_id"].take(at), b["text"].take(at), b["held_out"].take(at), pack(c), pack(lv)], names=["doc_id", "text", "held_out", "c", "lv"])
-
-            return run
-
-        for k in range(passes):
-            last = k == passes - 1
-            s = shared(k)
-            x = materialise(x.mapInArrow(some(s, last), OUT if last else "doc_id long, text string, held_out boolean, c binary, lv binary"))
-            s.destroy()
-        out = x
+        out = _in_passes(x, shared, passes, width, n_ranges, lambda c, lv, size: _finish(c, lv, size, n, v, n_texts, mu))
     return out.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
+def _in_passes(x: DataFrame, shared: Callable, passes: int, width: int, n_ranges: int, finish: Callable) -> DataFrame:
+    """score_texts with the ranges of one pass after another; shared(k) broadcasts those of a pass."""
+    size = x.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # parts are drawn, so that no text or doc_id makes one large; the table fixes the draw
+    x = materialise(x.withColumn("part", F.floor(F.rand(11) * max(1, size // PART)).cast("int")))
+
+    def distinct(texts: list[str]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Distinct hashes and their places in the texts, of tokens and of bigrams."""
+        tok, pair, sizes = tokens_of(texts)
+        return [np.unique(h, return_inverse=True) for h in (tok, pair)], sizes
+
+    def met(key: tuple, t: pa.Table) -> pa.Table:
+        rows = []
+        for kind, (h, _) in enumerate(distinct([y or "" for y in t["text"].to_pylist()])[0]):
+            owner = range_of(h, n_ranges) // width  # ascending with the hash
+            cut = np.flatnonzero(np.diff(owner, prepend=-1))
+            rows += [(key[0].as_py(), kind, int(owner[i]), h[i:j].tobytes()) for i, j in zip(cut, [*cut[1:], len(h)], strict=True)]
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["part", "kind", "pass", "hashes"])
+
+    wanted = x.select("part", "text").groupBy("part").applyInArrow(met, "part int, kind int, pass int, hashes binary")
+    wanted = materialise(wanted, by=["pass"])
+
+    def probed(s):
+        def run(batches):
+            r = s.value
+            for b in batches:
+                values = []
+                for kind, h in zip(b["kind"].to_pylist(), b["hashes"].to_pylist(), strict=True):
+                    h = np.frombuffer(h, np.uint64)
+                    values.append((r.levels(h).astype(np.int64) if kind else r.unigrams(h)).tobytes())
+                yield pa.RecordBatch.from_arrays([b["part"], b["kind"], b["pass"], pa.array(values, pa.binary())], names=["part", "kind", "pass", "n"])
+
+        return run
+
+    known = None
+    for k in range(passes):
+        s = shared(k)
+        got = materialise(wanted.filter(F.col("pass") == k).select("part", "kind", "pass", "hashes").mapInArrow(probed(s), "part int, kind int, pass int, n binary"))
+        s.destroy()
+        known = got if known is None else known.unionByName(got)
+
+    def scored_part(docs: pa.Table, counts: pa.Table) -> pa.Table:
+        found, sizes = distinct([y or "" for y in docs["text"].to_pylist()])
+        per = []
+        for kind, (h, back) in enumerate(found):
+            mine = sorted((p, n) for q, p, n in zip(counts["kind"].to_pylist(), counts["pass"].to_pylist(), counts["n"].to_pylist(), strict=True) if q == kind)
+            n = np.frombuffer(b"".join(n for _, n in mine), np.int64)
+            per.append(n[back])
+        cols = finish(per[0], per[1].astype(np.uint8), sizes)
+        return pa.table([docs["doc_id"], docs["held_out"], *(pa.array(c) for c in cols)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return materialise(x.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(scored_part, OUT))
+
+
 def scored(docs: DataFrame) -> DataFrame:
     """The query's columns."""
     x = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), (fold("doc_id", 5) == 1).alias("held_out"))
