@@ -132,7 +132,7 @@ def fit_topics(docs: DataFrame, topics: int = TOPICS, seed: int = 23) -> np.ndar
     """Centres of topics, from the profiles of all rows that have a word."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     x = docs.select(_topic_column(F.col("text").cast("string"), None).alias("v"), key.alias("key"))
-    x = materialise(x.filter(F.col("v").isNotNull()))
+    x = materialise(x).filter(F.col("v").isNotNull())  # a filter below the table would have the profiles computed twice
     centres = np.empty((0, WIDTH))
     for k in range(topics):
         drawn = x.select("v", uniform(F.concat("key", F.lit("\x01"), F.hex("v")), seed + k).alias("u"))
@@ -152,7 +152,9 @@ def with_cells(docs: DataFrame, centres: np.ndarray) -> DataFrame:
     """docs with KEYS and __mix_tokens."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
     x = docs.withColumn("__mix_t", _topic_column(F.col("text").cast("string"), centres))
-    return x.withColumns({KEYS[0]: name("source"), KEYS[1]: name("lang"), KEYS[2]: F.concat(F.lit("="), F.col("__mix_t.topic").cast("string")), "__mix_tokens": F.col("__mix_t.n_tokens") + 1}).drop("__mix_t")
+    # never null, or a join by it would filter nulls first and so have the topics computed twice
+    topic = F.concat(F.lit("="), F.coalesce(F.col("__mix_t.topic").cast("string"), F.lit("")))
+    return x.withColumns({KEYS[0]: name("source"), KEYS[1]: name("lang"), KEYS[2]: topic, "__mix_tokens": F.col("__mix_t.n_tokens") + 1}).drop("__mix_t")
 
 
 def _names(goal: Goal) -> dict[str, float]:
