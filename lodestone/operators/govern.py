@@ -149,7 +149,7 @@ def publish(repositories: DataFrame, held: DataFrame, nodes: DataFrame, edges: D
     asked = stage(repositories.select(*keys).distinct().join(held.select(*keys).distinct().withColumn("old", F.lit(True)), keys, "left"))
     new = asked.filter("old is null").select(*keys)
     only = lambda df: df.join(new.select("repository_id"), "repository_id", "left_semi")
-    n, e = only(nodes), only(edges)
+    n, e = stage(only(nodes)), stage(only(edges))  # read several times
     found_n, found_e = stage(identified(with_roots(n, new), False)), stage(identified(e, True))
     no_name = rejected(n, e).select("repository_id", F.lit("identity").alias("invariant"), F.concat_ws(" ", "kind", F.col("ordinal").cast("string")).alias("subject"))
     bad = stage(violations(found_n, found_e, new).unionByName(no_name).join(new, "repository_id"))

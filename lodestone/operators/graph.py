@@ -19,8 +19,8 @@ from pyspark.sql.types import DataType
 from lodestone.operators import local
 from lodestone.sources.tables import stage
 
-#: Edges of a component that a task takes at most, and rows of results for which a task is made.
-LOCAL, CELLS = 250_000, 1_000_000
+#: Edges of a component that a task takes at most, rows of results for which a task is made, and edges of stars that one task joins.
+LOCAL, CELLS, STARS = 250_000, 1_000_000, 1_000_000
 #: Rounds of a search between two stagings of all that it has found.
 FOLD = 16
 #: Between a repository and a node in the name of a node of all repositories.
@@ -113,7 +113,7 @@ def first_relations(edges: Edges, most: int = 8, edge_type: str | None = None) -
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each node of up to `LOCAL` edges at a time, an edge to the smallest node that they connect it with."""
+    """For each node of up to `STARS` edges at a time, an edge to the smallest node that they connect it with."""
 
     def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks()
@@ -127,7 +127,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         now.append(b)
         n += b.num_rows
-        if n >= LOCAL:
+        if n >= max(LOCAL, STARS):
             yield done(now)
             now, n = [], 0
     if now:
@@ -140,7 +140,7 @@ def _labels(pairs: DataFrame) -> DataFrame:
     Tasks first reduce their edges to stars. If few are left, one task joins them; else labels spread over the stars, and
     each node also takes the label of its label, so a chain of n nodes takes about log2 n rounds."""
     stars = stage(pairs.filter("a <> b").select("a", "b").mapInArrow(_stars, "a string, b string"))
-    if stars.limit(LOCAL + 1).count() <= LOCAL:
+    if stars.limit(STARS + 1).count() <= STARS:
         one = stars.coalesce(1).mapInArrow(_stars, "a string, b string")
         labels = stage(one.select(F.col("a").alias("node"), F.col("b").alias("label")))
         return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())

@@ -36,15 +36,17 @@ def _best(key: tuple, t: pa.Table, k: int) -> pa.Table:
     out: list[list] = [[], [], []]
     if ids[0].num_rows and ids[1].num_rows:
         q, c = (x["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(x.num_rows, -1) for x in (ids[0], ids[1]))
-        by_id = ids[1]["id"].combine_chunks()
+        q_ids, by_id = (ids[i]["id"].combine_chunks() for i in (0, 1))
         order = np.asarray(pa.compute.sort_indices(by_id))
         for i in range(0, len(q), 256):
             s = np.round(q[i : i + 256] @ c.T, 6)[:, order]
-            top = np.argsort(-s, axis=1, kind="stable")[:, :k]  # ties to the smaller id
-            r = np.repeat(np.arange(len(s)), top.shape[1])
-            out[0].append(ids[0]["id"].combine_chunks().take(pa.array(i + r)))
-            out[1].append(by_id.take(pa.array(order[top.ravel()])))
-            out[2].append(s[r, top.ravel()])
+            m = min(k, s.shape[1])
+            edge = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m, None]
+            over, level = s > edge, s == edge
+            r, j = np.nonzero(over | (level & (np.cumsum(level, 1) <= m - over.sum(1, keepdims=True))))  # ties to the smaller id
+            out[0].append(q_ids.take(pa.array(i + r)))
+            out[1].append(by_id.take(pa.array(order[j])))
+            out[2].append(s[r, j])
     join = lambda x, kind: pa.concat_arrays(x) if x else pa.array([], kind)
     score = np.concatenate(out[2]) if out[2] else np.empty(0)
     n = len(score)
@@ -60,9 +62,9 @@ def top_chunks(queries: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
     parts of at most `QUERIES`; a tile's scores are matrix products, and only its best k for each query are shuffled again, so a
     repository of a third of all chunks is dealt over many tasks."""
     key = ["repository_id"]
-    q = queries.select(*key, F.col("query_id").alias("id"), _unit("q").alias("v")).filter("v is not null").withColumn("d", F.size("v"))
-    c = chunks.select(*key, F.col("chunk_id").alias("id"), _unit("v").alias("v")).filter("v is not null").withColumn("d", F.size("v"))
-    q, c = stage(q), stage(c)
+    # filtered after they are staged, or the filter would have vectors computed twice
+    q = stage(queries.select(*key, F.col("query_id").alias("id"), _unit("q").alias("v"))).filter("v is not null").withColumn("d", F.size("v"))
+    c = stage(chunks.select(*key, F.col("chunk_id").alias("id"), _unit("v").alias("v"))).filter("v is not null").withColumn("d", F.size("v"))
     # how many tiles and parts each repository needs
     deals = c.groupBy(*key).agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).join(q.groupBy(*key).agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")), key)
     deals = stage(deals)
@@ -178,9 +180,8 @@ def retrieved(questions: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame:
     """top_chunks of the embedded questions (repository_id, query_id, text) and chunks (repository_id, chunk_id, content).
 
     The search is exact; texts without words take no part."""
-    q = embedded(questions, "text").filter(F.size("v") > 0).select("repository_id", "query_id", F.col("v").alias("q"))
-    c = embedded(chunks).filter(F.size("v") > 0).select("repository_id", "chunk_id", "v")
-    return top_chunks(q, c, k)
+    q = embedded(questions, "text").select("repository_id", "query_id", F.col("v").alias("q"))
+    return top_chunks(q, embedded(chunks).select("repository_id", "chunk_id", "v"), k)
 
 
 def system_prompts(questions: DataFrame, blocks: DataFrame, key: Key = "question_id", rules: str = RULES, refusal: str = REFUSAL) -> DataFrame:

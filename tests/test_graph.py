@@ -27,6 +27,7 @@ def way(request, monkeypatch):
     """Components are searched in tasks, or by rounds of joins as large ones are."""
     if request.param == "by rounds":
         monkeypatch.setattr(graph, "LOCAL", 0)
+        monkeypatch.setattr(graph, "STARS", 0)
         monkeypatch.setattr(graph, "FOLD", 3)
     return request.param
 
@@ -116,6 +117,7 @@ def test_a_chain_of_2000_nodes(spark):
 
 def test_long_components_by_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "LOCAL", 0)
+    monkeypatch.setattr(graph, "STARS", 0)
     chain = edges(spark, [(f"{i * 37 % 300:03}", f"{(i + 1) * 37 % 300:03}") for i in range(299)])
     assert graph.components(chain).select("component").distinct().count() == 1
     monkeypatch.setattr(graph, "FOLD", 3)
