@@ -45,7 +45,7 @@ class Prepared:
     """Edges of a type (None: of all types) with the components of their nodes, which several algorithms share.
 
     Every algorithm takes one in place of its edges. pairs: distinct edges (a, b) between names of all repositories, without
-    those that lack an end; labels: see _labels; inside: the pairs with their component; sizes: (component, n_edges, n_nodes)."""
+    those that lack an end; labels: see labels_of; inside: the pairs with their component; sizes: (component, n_edges, n_nodes)."""
 
     def __init__(self, edges: DataFrame, edge_type: str | None = None):
         self.edges, self.kind = of_type(edges, edge_type), edges.schema["repository_id"].dataType
@@ -57,7 +57,7 @@ class Prepared:
 
     @cached_property
     def labels(self) -> DataFrame:
-        return _labels(self.pairs)
+        return labels_of(self.pairs)
 
     @cached_property
     def inside(self) -> DataFrame:
@@ -134,7 +134,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(now)
 
 
-def _labels(pairs: DataFrame) -> DataFrame:
+def labels_of(pairs: DataFrame) -> DataFrame:
     """(node, label): the smallest node of its component, for each node of staged pairs (a, b) with an edge to another.
 
     Tasks first reduce their edges to stars. If few are left, one task joins them; else labels spread over the stars, and
