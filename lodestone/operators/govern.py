@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import canonical_path, edge_id, node_id
 from lodestone.operators import graph
-from lodestone.sources.tables import stage
+from lodestone.sources.tables import stage, written
 
 CERTAINTIES = ("deterministic", "inferred")
 #: The producer and the label of a root that the engine adds (fixed value).
@@ -165,18 +165,10 @@ def publish(repositories: DataFrame, held: DataFrame, nodes: DataFrame, edges: D
     return versions, found_n.join(ready, "repository_id"), found_e.join(ready, "repository_id"), reasons
 
 
+#: Tables of the append-only store.
 TABLES = ("graph_versions", "graph_nodes", "graph_edges", "graph_violations")
 
 
-def published(spark: SparkSession, path: str, name: str, schema) -> DataFrame:
-    """A table of the append-only store at `path`; empty with the given schema while nothing is published."""
-    folder = f"{path}/{name}"
-    fs = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(folder)
-
-
 def publish_to(path: str, repositories: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """publish() against what the store at `path` holds, and appends the results to it; returns the versions.
 
@@ -184,7 +176,7 @@ def publish_to(path: str, repositories: DataFrame, nodes: DataFrame, edges: Data
     the rows of published commits. One writer at a time."""
     spark = repositories.sparkSession
     keys = repositories.select("repository_id", "commit_sha").schema
-    parts = publish(repositories, published(spark, path, TABLES[0], keys), nodes, edges)
+    parts = publish(repositories, written(spark, f"{path}/{TABLES[0]}", keys), nodes, edges)
     new = parts[0].filter("status <> 'already_exists'").withColumn("created_at", F.current_timestamp())
     for name, df in zip(TABLES[::-1], (parts[3], parts[2], parts[1], new), strict=True):
         df.write.mode("append").parquet(f"{path}/{name}")

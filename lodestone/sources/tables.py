@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Extensions of source files that are kept, with their labels (fixed values).
 LANGUAGES = {
@@ -33,6 +34,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def written(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The table at a path; empty while nothing has been written there."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("basePath", path).parquet(path)
+
+
 #: Folders that this process has staged, for release().
 _STAGED: list[str] = []
 

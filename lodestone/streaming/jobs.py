@@ -15,7 +15,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.operators import work
-from lodestone.sources.tables import shared_dir, table
+from lodestone.operators.chunking import new_chunks
+from lodestone.sources.tables import shared_dir, table, written
 
 #: Event types and the stages of a job that they stand for.
 STAGES = {"signup": "cloning", "view": "parsing", "click": "embedding", "purchase": "complete", "error": "failed"}
@@ -55,7 +56,7 @@ def finished(result: DataFrame, mode: str, keys: list[str] | None = None) -> Dat
 
     q = result.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    out = result.sparkSession.read.schema(_with_batch(result)).option("basePath", f"{path}/out").parquet(f"{path}/out")
+    out = written(result.sparkSession, f"{path}/out", _with_batch(result))
     if keys:
         rest = [c for c in result.columns if c not in keys]
         out = out.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__last")).select(*keys, "__last.*")
@@ -139,20 +140,17 @@ def stale_job_stream(spark: SparkSession, sf_dir: str, minutes: int = 10, attemp
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(repository_id, content_hash): each distinct content of a repository once. Each batch is compared with what earlier batches
     wrote, as an idempotent append does, so the stream itself keeps no state."""
-    from lodestone.operators.chunking import new_chunks
-
     key = ["repository_id", "content_hash"]
     new = read(spark, sf_dir, "documents").select(F.col("source").alias("repository_id"), F.sha2("text", 256).alias("content_hash"))
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    empty = spark.createDataFrame([], new.schema)
 
     def put(batch: DataFrame, number: int) -> None:
-        held = spark.read.schema(_with_batch(new)).option("basePath", f"{path}/out").parquet(f"{path}/out").filter(F.col("batch") < number) if number else empty
+        held = written(spark, f"{path}/out", _with_batch(new)).filter(F.col("batch") < number)
         new_chunks(batch.withColumn("__one", F.lit(1)), held, key, ["__one"]).drop("__one").write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
     q = new.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(_with_batch(new)).option("basePath", f"{path}/out").parquet(f"{path}/out").select(*key)
+    return written(spark, f"{path}/out", _with_batch(new)).select(*key)
 
 
 def token_stream(spark: SparkSession, sf_dir: str, late: str = LATE, gap: str = "30 minutes") -> DataFrame:

@@ -133,3 +133,10 @@ def test_streams(spark, arrivals):
     assert states == {1: "parsing", 2: "parsing", 3: "complete", 4: "failed", 5: "failed", 6: "cloning"}
     quota = {(r["key"], r["kind"]): r["n"] for r in jobs.quota_stream(spark, arrivals).collect()}
     assert quota == {(1, "chat"): 1, (2, "chat"): 2, (3, "oauth"): 1, (6, "auth"): 1}
+
+
+def test_streams_of_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    for run in (jobs.stale_job_stream, jobs.job_state_stream, jobs.quota_stream, jobs.token_stream, jobs.ingest_stream):
+        assert run(spark, str(tmp_path)).collect() == []
