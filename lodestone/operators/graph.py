@@ -1,6 +1,6 @@
 """Algorithms over edge tables (repository_id, source, target, and type where one is asked for).
 
-Nodes of different repositories never meet, even if their names are equal. `edge_type` restricts an algorithm to edges of
+Nodes of different repositories never meet, even if their names are equal; a null repository counts as an empty name. `edge_type` restricts an algorithm to edges of
 that type. Searches run inside components: connected components are labelled first, and those of up to `LOCAL` edges are
 dealt to tasks, several small ones or a part of the seeds of one at a time, so a task's work is bounded. Larger components
 are searched by rounds of joins, one for each step away from the seeds; both ways give the same rows."""
@@ -112,14 +112,15 @@ def first_relations(edges: Edges, most: int = 8, edge_type: str | None = None) -
 # Components
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each node of up to `STARS` edges at a time, an edge to the smallest node that they connect it with."""
+def _stars(batches: Iterator[pa.RecordBatch], roots: bool = False) -> Iterator[pa.RecordBatch]:
+    """For each node of up to `STARS` edges at a time, an edge to the smallest node that they connect it with; that node is
+    left out itself, unless roots are wanted as well."""
 
     def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts).combine_chunks()
         names, (a, b) = local.numbered(*(t[c].combine_chunks() for c in ("a", "b")))
         root = local.least_labels(len(names), a, b)
-        moved = np.flatnonzero(root != np.arange(len(names)))
+        moved = np.arange(len(names)) if roots else np.flatnonzero(root != np.arange(len(names)))
         col = lambda i: names.take(pa.array(i)).cast(pa.string())
         return pa.RecordBatch.from_arrays([col(moved), col(root[moved])], names=["a", "b"])
 
@@ -141,9 +142,8 @@ def labels_of(pairs: DataFrame) -> DataFrame:
     each node also takes the label of its label, so a chain of n nodes takes about log2 n rounds."""
     stars = stage(pairs.filter("a <> b").select("a", "b").mapInArrow(_stars, "a string, b string"))
     if stars.limit(STARS + 1).count() <= STARS:
-        one = stars.coalesce(1).mapInArrow(_stars, "a string, b string")
-        labels = stage(one.select(F.col("a").alias("node"), F.col("b").alias("label")))
-        return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
+        one = stars.coalesce(1).mapInArrow(lambda b: _stars(b, True), "a string, b string")
+        return stage(one.select(F.col("a").alias("node"), F.col("b").alias("label")))
     both = stage(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label"))
     while True:
