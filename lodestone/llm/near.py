@@ -9,7 +9,8 @@
    sets. A bucket of more than `BLOCK` classes is dealt into blocks, and each pair of blocks is a task of
    its own. A pair counts in the first band that it shares, so no pair counts twice. A task returns for
    each class how many rows it is linked to and one edge to its group, never the pairs.
-4. Groups are the connected components of these edges, by minimum labels and pointer jumping.
+4. Groups are the connected components of these edges: tasks reduce them to stars, so the hub of a large group isn't
+   joined with all its members, and the stars are joined by one task up to a million, by labels and pointer jumping beyond.
 
 Defined cases: null texts and texts without a word have no n-grams; each such row is a class without
 links. A class is its set of n-grams, whatever doc_ids its rows have: rows that repeat a doc_id, or have
@@ -30,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import WordHashes, lean_workers, materialise, mix
+from lodestone.operators.graph import labels_of
 
 #: Classes in a block, and the most needed classes (of some 16 bytes) that are broadcast to find their texts.
 BLOCK, BROADCAST_ROWS = 512, 2_000_000
@@ -180,19 +182,9 @@ def _tiles(batches, threshold: float):
 
 def _components(edges: DataFrame) -> DataFrame:
     """key -> root (the smallest key of its component), for edges (key, root)."""
-    one = edges.filter("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")).distinct()
-    edges = materialise(one)
-    labels = edges.select(F.explode(F.array("a", "b")).alias("key")).distinct().withColumn("root", F.col("key"))
-    both = materialise(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    while True:  # labels only fall, so this ends; a chain of n classes takes about log2 n rounds
-        near = both.join(labels, both["b"] == labels["key"]).groupBy("a").agg(F.min("root").alias("near"))
-        hop = labels.select(F.col("key").alias("root"), F.col("root").alias("far"))
-        new = labels.join(near, labels["key"] == near["a"]).join(hop, "root", "left")
-        new = materialise(new.select("key", F.least("root", "near", "far").alias("new"), F.col("root")))
-        changed = new.filter("new <> root").limit(1).count()
-        labels = new.select("key", F.col("new").alias("root"))
-        if not changed:
-            return labels
+    pairs = materialise(edges.filter("key <> root").select(F.hex("key").alias("a"), F.hex("root").alias("b")).distinct())
+    labels = labels_of(pairs)
+    return labels.select(F.unhex("node").alias("key"), F.unhex("label").alias("root"))
 
 
 def _classes(docs: DataFrame, n: int, threshold: float, recall: float) -> tuple[DataFrame, DataFrame]:
