@@ -39,8 +39,22 @@ SCRIPTS = (
 _NAMES = sorted({s for _, s in SCRIPTS})
 _STARTS = np.array([a for a, _ in SCRIPTS])
 _SCRIPT = np.array([_NAMES.index(s) for _, s in SCRIPTS])
-#: Runs of letters (Unicode category L); fractions, superscripts and other numbers aren't letters.
-_WORD = re.compile(f"[{_ranges('L')}]+")
+_LETTERS = _ranges("L")
+#: Runs of letters (Unicode category L; fractions, superscripts and other numbers aren't letters) in texts of ASCII, of two-byte and of
+#: any characters: `re` tests the ranges beyond two bytes one by one, for each character that is no letter.
+_ASCII, _WORD = re.compile("[a-zA-Z]+"), re.compile(f"[{_LETTERS}]+")
+_SHORT = re.compile("[" + "".join(r for r in re.findall(r"\\U.{8}-\\U.{8}", _LETTERS) if int(r[2:10], 16) <= 0xFFFF) + "]+")
+
+
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text in lower case."""
+    low = text.lower()
+    if low.isascii():
+        return _ASCII.findall(low)
+    short = len(low.encode("utf-16-le", "surrogatepass")) == 2 * len(low)
+    return (_SHORT if short else _WORD).findall(low)
+
+
 _P = np.uint64(0x100000001B3)
 _P_INV = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 
@@ -163,7 +177,7 @@ class Model:
             while j < len(order) and n < 1_000_000:
                 n += len(texts[order[j]] or "")
                 j += 1
-            rows = [(k, x) for k in order[i:j] if texts[k] and (x := _WORD.findall(texts[k].lower()))]
+            rows = [(k, x) for k in order[i:j] if texts[k] and (x := words_of(texts[k]))]
             rows.sort(key=lambda r: -len(r[1]))
             for (k, words), path in zip(rows, self.label([x for _, x in rows]), strict=True):
                 weight = np.bincount(path, np.fromiter(map(len, words), np.int64, len(words)), len(self.langs))
@@ -195,7 +209,7 @@ def train(docs: DataFrame, most: int = MOST, bits: int = BITS, seed: int = 3) ->
         for b in batches:
             by: dict[str, list[list[str]]] = {}
             for lang, text in zip(b["lang"], b["text"], strict=True):
-                by.setdefault(str(lang.as_py()), []).append(_WORD.findall(text.as_py().lower()))
+                by.setdefault(str(lang.as_py()), []).append(words_of(text.as_py()))
             for lang, lists in by.items():
                 index, w = _distinct(lists)
                 if not w.n:
