@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+import unicodedata
 
 import numpy as np
 import pytest
@@ -59,6 +60,23 @@ def test_long_runs_take_linear_time(text):
     assert time.perf_counter() - start < 3
 
 
+def test_words_are_runs_of_letters():
+    rng = random.Random(2)
+    for chars in ("ab C1_.", "aé ß½²Ⅷ漢ñ _İ", "a𐐨𠀀 😀é𝟘"):
+        for _ in range(300):
+            t = "".join(rng.choices(chars, k=rng.randint(0, 12)))
+            want, now = [], ""
+            for c in t.lower() + " ":
+                if unicodedata.category(c)[0] == "L":
+                    now += c
+                elif now:
+                    want.append(now)
+                    now = ""
+            assert langid.words_of(t) == want
+    every = "".join(chr(i) + " " for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    assert "".join(langid.words_of(every)) == "".join(c for c in every.lower() if unicodedata.category(c)[0] == "L")
+
+
 def test_texts_without_a_letter_have_no_language(spark):
     kind = "doc_id long, text string, lang string"
     rows = [(i, "the river and the field", "en") for i in range(20)] + [(100 + i, t, "en") for i, t in enumerate(["½ ² ① Ⅷ", "1 2 3", "#!?", "٣", "", None, "_"])] + [(200, "²river", "fr")]
