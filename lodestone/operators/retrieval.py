@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +37,7 @@ def _best(key: tuple, t: pa.Table, k: int) -> pa.Table:
     if ids[0].num_rows and ids[1].num_rows:
         q, c = (x["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(x.num_rows, -1) for x in (ids[0], ids[1]))
         q_ids, by_id = (ids[i]["id"].combine_chunks() for i in (0, 1))
-        order = np.asarray(pa.compute.sort_indices(by_id))
+        order = np.asarray(pc.sort_indices(by_id))
         for i in range(0, len(q), 256):
             s = np.round(q[i : i + 256] @ c.T, 6)[:, order]
             m = min(k, s.shape[1])
