@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import align, attribution, bpe, langid, lm, mixing, near, pieces, quality, shards, topk, toxicity
+from lodestone.llm import align, attribution, bpe, langid, lm, mixing, near, pieces, quality, shards, topk, toxicity, trie
 from lodestone.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -60,6 +60,10 @@ def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), PIECES)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.reported(table(spark, sf_dir, "documents"), BYTE_LEVEL, public_tokenizers.PATTERN, PIECES)
 
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_interleaved_shards": op9_interleaved_shards,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_pieces": op11_pieces,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_alignment": op13_alignment,
 }
 
@@ -83,6 +88,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_ngram_jaccard": near.ORACLE_SQL,
     "op6_host_quality": quality.oracle_sql(),
     "op9_interleaved_shards": shards.ORACLE_SQL,
+    "op12_prefix_trie": trie.ORACLE_SQL,
     "op7_exact_topk": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as v from embeddings
   where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
