@@ -1,21 +1,22 @@
 """Import specifiers of source files, their resolution to files and packages, and the nodes and edges that follow.
 
-Files are told apart by repository_id and path. Everything stays in columns: patterns find the specifiers, a fold over path
-parts normalises them, and one equi-join on the candidate paths resolves them, so no file meets all other files."""
+Files are told apart by repository_id and path. A lexer in tasks finds the specifiers, a fold over path parts normalises them,
+and one equi-join on the candidate paths resolves them, so no file meets all other files."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import edge_id, package_name
+from lodestone.operators import lexer
 
 #: What may follow a relative specifier, in order of preference (fixed values).
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
 SCRIPTS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs")
-_COMMENT = r"/\*[\s\S]*?\*/|(?m)^\s*//.*$"
-_SCRIPT = r"""(?:\bimport\s+(?:[^'"();]*?\bfrom\s+)?|(?<![\w.$])require\s*\(\s*)['"]([^'"\n]+)['"]"""
-_FROM, _IMPORT = r"(?m)^[ \t]*from[ \t]+([.\w]+)[ \t]+import\b", r"(?m)^[ \t]*import[ \t]+([^#\n;]+)"
+#: Scripts that may hold markup.
+MARKUP = (".tsx", ".js", ".jsx", ".mjs", ".cjs")
 FILE = ["repository_id", "path"]
 
 
@@ -26,15 +27,19 @@ def extension(path: Column) -> Column:
 def specifiers(files: DataFrame) -> DataFrame:
     """(repository_id, path, ext, ordinal, specifier) of files (repository_id, path, content); other languages and null contents give none.
 
-    `from x import y` gives x and `import a, b as c` gives a and b. Text that looks like an import inside a longer
-    string counts as one: the files are read by patterns, not parsed."""
+    They come in the order of the file, from a lexer that knows strings, comments, templates, regular expressions and markup, so text inside those
+    is no import. `from x import y` gives x and `import a, b as c` gives a and b."""
+
+    @F.arrow_udf("array<string>")
+    def found(texts: pa.Array, kinds: pa.Array) -> pa.Array:
+        out = []
+        for t, e in zip(texts, kinds, strict=True):
+            text, ext = t.as_py() or "", e.as_py()
+            out.append(lexer.python_imports(text) if ext == ".py" else lexer.script_imports(text, ext in MARKUP))
+        return pa.array(out, pa.list_(pa.string()))
+
     x = files.select(*FILE, extension(F.col("path")).alias("ext"), "content").filter(F.col("ext").isin(".py", *SCRIPTS))
-    listed = F.flatten(F.transform(F.regexp_extract_all("content", F.lit(_IMPORT), F.lit(1)), lambda s: F.split(s, ",")))
-    listed = F.filter(F.transform(listed, lambda s: F.regexp_extract(s, r"^\s*([\w.]+)", 1)), lambda s: s != "")
-    python = F.concat(listed, F.regexp_extract_all("content", F.lit(_FROM), F.lit(1)))
-    script = F.regexp_extract_all(F.regexp_replace("content", _COMMENT, ""), F.lit(_SCRIPT), F.lit(1))
-    found = F.when(F.col("ext") == ".py", python).otherwise(script)
-    return x.select(*FILE, "ext", F.posexplode(found).alias("ordinal", "specifier"))
+    return x.select(*FILE, "ext", F.posexplode(found("content", "ext")).alias("ordinal", "specifier"))
 
 
 def normal_path(path: Column) -> Column:
