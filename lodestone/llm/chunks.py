@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from lodestone.llm.bpe import Pairs
 
 #: Chunks and bytes of chunks that a worker remembers.
-MOST, MOST_BYTES = 500_000, 16_000_000
+MOST, MOST_BYTES = 300_000, 12_000_000
 #: Bytes of text that are laid in a row.
 SLICE = 4_000_000
 #: Runs of more symbols are merged one by one, with a heap.
