@@ -76,12 +76,19 @@ def save_checkpoint(path: str, chunks: DataFrame, keys: list[str]) -> None:
     chunks.write.mode("append").partitionBy(*keys).parquet(path)
 
 
-def drop_checkpoint(path: str, done: DataFrame, keys: list[str]) -> None:
-    """Removes from a checkpoint folder the chunks of finished imports: their partitions are overwritten with nothing but what stays.
+def drop_checkpoint(path: str, done: DataFrame, keys: list[str]) -> int:
+    """Removes from a checkpoint folder the chunks of finished imports, and returns how many partitions went. The rest of the folder isn't read.
 
-    done: the keys of finished imports, whose number is that of imports under way. The rest of the folder isn't read."""
+    done: the keys of finished imports, whose number is that of imports under way. Their partitions are those that Spark's own writer
+    names, so keys of any kind are found: with / or :, empty or null (which Spark lays in one partition)."""
     spark = done.sparkSession
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    for row in done.select(*keys).distinct().toLocalIterator():
-        folder = fs_path("/".join([path, *(f"{k}={row[k]}" for k in keys)]))
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    jvm = spark._jvm
+    named = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
+    removed = 0
+    for row in done.select(*[F.col(k).cast("string").alias(k) for k in keys]).distinct().toLocalIterator():
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        for k in keys:
+            folder = jvm.org.apache.hadoop.fs.Path(folder, named(k, row[k]))
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        removed += bool(fs.exists(folder) and fs.delete(folder, True))
+    return removed

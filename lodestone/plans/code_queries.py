@@ -237,10 +237,13 @@ def stream_ingest(spark, sf_dir):
     return jobs.ingest_stream(spark, sf_dir)
 
 
-@query("""with e as (select user_id, event_type, ts, case when ts - lag(ts) over w < interval '30 minutes' then 0 else 1 end as opens from events window w as (partition by user_id order by ts, event_id)),
-  s as (select *, sum(opens) over (partition by user_id order by ts rows unbounded preceding) as k from e)
-  select user_id as answer_id, min(ts) as session_start, count(*) filter (where event_type not in ('error', 'signup')) as n_tokens, coalesce(sum(length(event_type)) filter (where event_type not in ('error', 'signup')), 0)::bigint as n_chars,
-    case max(case event_type when 'error' then 2 when 'signup' then 1 else 0 end) when 2 then 'error' when 1 then 'done' else 'open' end as state from s
-  group by user_id, k having max(ts) + interval '30 minutes' <= (select max(ts) from events) - interval '10 minutes'""")
+# an answer ends with its first done or error event, or before a pause; those are given out that the watermark has passed
+@query("""with e as (select user_id, event_id, event_type, epoch_us(ts) as us, case when lag(event_type) over w in ('error', 'signup') then 1 when epoch_us(ts) - lag(epoch_us(ts)) over w < 1800000000 then 0 else 1 end as opens
+    from events window w as (partition by user_id order by ts, event_id)),
+  s as (select *, sum(opens) over (partition by user_id order by us, event_id rows unbounded preceding) as k from e),
+  w as (select (max(epoch_us(ts)) // 1000 - 600000) * 1000 as mark from events),
+  a as (select user_id, min(us) as start, max(us) as last, count(*) filter (where event_type not in ('error', 'signup')) as n_tokens, coalesce(string_agg(event_type, '' order by event_id) filter (where event_type not in ('error', 'signup')), '') as text,
+    case max(case event_type when 'error' then 2 when 'signup' then 1 else 0 end) when 2 then 'error' when 1 then 'done' else 'open' end as state from s group by user_id, k)
+  select user_id as answer_id, make_timestamp(start) as session_start, n_tokens, length(text) as n_chars, state, text from a, w where last + case when state = 'open' then 1800000000 else 0 end <= mark""")
 def stream_tokens(spark, sf_dir):
     return jobs.token_stream(spark, sf_dir)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,29 +44,54 @@ def written(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).option("basePath", path).parquet(path)
 
 
-#: Folders that this process has staged, for release().
-_STAGED: list[str] = []
+#: Folders that this process has staged, for release(): the session's application, the scope that was open, and the path.
+_STAGED: list[tuple[str, int, str]] = []
+_SCOPES: list[int] = []
 
 
 def stage(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Writes df as a table in the shared folder and rereads it: computed once, lineage cut, and any executor can read it
     again after another was lost. The table is laid out by the columns `by`, so a filter on them reads only its part.
-    It stays until release(), because DataFrames that are returned still read it."""
+    It stays until release() or the end of its scope(), because DataFrames that are returned still read it."""
     path = f"{shared_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    _STAGED.append(path)
+    _STAGED.append((df.sparkSession.sparkContext.applicationId, _SCOPES[-1] if _SCOPES else 0, path))
     df.write.parquet(path, partitionBy=by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Removes all tables that this process has staged, once their results are written elsewhere; returns how many there were."""
-    paths, _STAGED[:] = _STAGED[:], []
+def _remove(spark: SparkSession, paths: list[str]) -> int:
     for path in paths:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return len(paths)
 
 
+def release(spark: SparkSession) -> int:
+    """Removes the tables that this application has staged outside scopes that are still open, once their results are written elsewhere; returns
+    how many there were."""
+    app = spark.sparkContext.applicationId
+    gone = [p for a, s, p in _STAGED if a == app and s not in _SCOPES]
+    _STAGED[:] = [x for x in _STAGED if x[2] not in gone]
+    return _remove(spark, gone)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at its end, and no others: results that are read outside it live on. Write results that read them before it ends.
+
+        with scope(spark):
+            operator(...).write.parquet(path)"""
+    mine = uuid.uuid4().int
+    _SCOPES.append(mine)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(mine)
+        gone = [p for _, s, p in _STAGED if s == mine]
+        _STAGED[:] = [x for x in _STAGED if x[1] != mine]
+        _remove(spark, gone)
+
+
 def scan_filter(files: DataFrame, most_bytes: int, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """Files with a kept extension and size, outside ignored and dotted directories."""
     parts = F.split("path", "/")

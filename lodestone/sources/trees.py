@@ -56,9 +56,9 @@ def scan(spark: SparkSession, roots: dict[str, str], most_bytes: int, ignored: t
             start, held, texts = 0, 0, []
             for i, (root, path, size) in enumerate(zip(b["root"].to_pylist(), b["path"].to_pylist(), b["size"].to_pylist(), strict=True)):
                 try:
-                    with open(f"{root}/{path}", encoding="utf-8", newline="") as f:
-                        texts.append(f.read())
-                except (OSError, UnicodeDecodeError):
+                    with open(f"{root}/{path}", "rb") as f:
+                        texts.append(f.read().decode("utf-8", "replace"))
+                except OSError:
                     texts.append(None)
                 held += size
                 if held >= BATCH or i == b.num_rows - 1:

@@ -7,11 +7,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.operators import work
@@ -45,7 +48,20 @@ def _with_batch(df: DataFrame) -> StructType:
     return StructType([*df.schema.fields, StructField("batch", LongType())])
 
 
-def finished(result: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Holds settings of the session while a query starts, which keeps them."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def finished(result: DataFrame, mode: str, keys: list[str] | None = None, conf: dict[str, str] | None = None) -> DataFrame:
     """Runs a stream to its end and rereads what it wrote: every batch, or with keys the latest row of each key.
 
     A batch that runs again after a failure overwrites its own folder, so no row comes twice."""
@@ -54,7 +70,8 @@ def finished(result: DataFrame, mode: str, keys: list[str] | None = None) -> Dat
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={number}")
 
-    q = result.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    with settings(result.sparkSession, conf or {}):
+        q = result.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
     out = written(result.sparkSession, f"{path}/out", _with_batch(result))
     if keys:
@@ -153,14 +170,93 @@ def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(spark, f"{path}/out", _with_batch(new)).select(*key)
 
 
-def token_stream(spark: SparkSession, sf_dir: str, late: str = LATE, gap: str = "30 minutes") -> DataFrame:
-    """(answer_id, session_start, n_tokens, n_chars, state): the token events of each answer, which is closed by a done or error
-    event, or by a gap without events; the state holds the open sessions.
+_EVENT = "seq long, at long, kind int, text string"
+ANSWER = "answer_id long, session_start timestamp_ntz, n_tokens long, n_chars long, state string, text string"
+TOKEN, DONE, ERROR = 0, 1, 2
+
+
+class AnswerProcessor(StatefulProcessor):
+    """Assembles answers from their events (answer_id, seq, at in microseconds, kind, text).
+
+    Events wait in a list until the watermark has passed them, so their order is that of their times, then seq, however they arrive. Those that it
+    has passed go to the open answer: its tokens are another list, and its bounds a value. A done or error event closes it, as does a
+    pause of `gap_ms` without events; what follows opens the next. Timers fire for the first event that waits and for the end of the pause."""
+
+    def __init__(self, gap_ms: int):
+        self.gap = gap_ms * 1000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _EVENT)
+        self.tokens = handle.getListState("tokens", "seq long, text string")
+        self.open = handle.getValueState("open", "start long, last long")
+
+    def _timers(self, waiting: list[tuple], watermark: int) -> None:
+        """One timer: for the earliest of what may happen next."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        times = [min(e[1] for e in waiting) // 1000 + 1] if waiting else []
+        if self.open.exists():
+            times.append((self.open.get()[1] + self.gap) // 1000 + 1)
+        if times:
+            self.handle.registerTimer(max(min(times), watermark + 1))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:  # noqa: N802, N803
+        self.waiting.appendList([(r.seq, r.at, r.kind, r.text) for r in rows])
+        return self._passed(key, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        return self._passed(key, timerValues.getCurrentWatermarkInMs())
+
+    def _passed(self, key: tuple, watermark: int) -> Iterator[Row]:
+        now = watermark * 1000
+        waiting = [tuple(e) for e in self.waiting.get()]
+        due = sorted((e for e in waiting if e[1] <= now), key=lambda e: (e[1], e[0]))
+        waiting = [e for e in waiting if e[1] > now]
+        out = []
+        for seq, at, kind, text in due:
+            if self.open.exists() and at - self.open.get()[1] >= self.gap:
+                out.append(self._close(key, "open"))
+            start = self.open.get()[0] if self.open.exists() else at
+            self.open.update((start, at))
+            if kind == TOKEN:
+                self.tokens.appendValue((seq, text))
+            else:
+                out.append(self._close(key, "error" if kind == ERROR else "done"))
+        if self.open.exists() and self.open.get()[1] + self.gap <= now:
+            out.append(self._close(key, "open"))
+        if due:
+            if waiting:
+                self.waiting.put(waiting)
+            else:
+                self.waiting.clear()
+        self._timers(waiting, watermark)
+        return iter(out)
+
+    def _close(self, key: tuple, state: str) -> Row:
+        start = datetime(1970, 1, 1) + timedelta(microseconds=self.open.get()[0])
+        texts = [t for _, t in sorted(tuple(t) for t in self.tokens.get())]
+        self.open.clear()
+        self.tokens.clear()
+        return Row(answer_id=key[0], session_start=start, n_tokens=len(texts), n_chars=sum(map(len, texts)), state=state, text="".join(texts))
+
+    def close(self) -> None:
+        pass
+
+
+#: transformWithState keeps its state in this store.
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
+
+def answers_of(events: DataFrame, late: str = LATE, gap_minutes: int = 30) -> DataFrame:
+    """ANSWER of a stream of (answer_id, seq, kind, text, ts): each answer once it is closed by a done or error event (kind 1 or 2), or by a gap
+    without events; tokens (kind 0) that come after that are those of a new answer. The text is joined in the order of seq."""
+    x = events.withWatermark("ts", late).select("answer_id", "seq", F.unix_micros("ts").alias("at"), "kind", F.coalesce("text", F.lit("")).alias("text"), "ts")
+    return x.groupBy("answer_id").transformWithState(AnswerProcessor(gap_minutes * 60_000), ANSWER, "append", "eventTime")
+
 
-    The events of a user stand for those of an answer: signup for done, error for error, all others for tokens."""
-    x = read(spark, sf_dir, "events").select(F.col("user_id").alias("answer_id"), "event_type", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", late)
-    kind = F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "signup", 1).otherwise(0)
-    token = kind == 0
-    s = x.groupBy("answer_id", F.session_window("ts", gap).alias("w")).agg(F.count_if(token).alias("n_tokens"), F.sum(F.when(token, F.length("event_type")).otherwise(0)).cast("long").alias("n_chars"), F.max(kind).alias("s"))
-    state = F.when(F.col("s") == 2, "error").when(F.col("s") == 1, "done").otherwise("open")
-    return finished(s.select("answer_id", F.col("w.start").cast("timestamp_ntz").alias("session_start"), "n_tokens", "n_chars", state.alias("state")), "append")
+def token_stream(spark: SparkSession, sf_dir: str, late: str = LATE, gap_minutes: int = 30) -> DataFrame:
+    """ANSWER of the events of users, which stand for those of an answer: signup for done, error for error, all others for tokens, whose text is their type."""
+    kind = F.when(F.col("event_type") == "error", ERROR).when(F.col("event_type") == "signup", DONE).otherwise(TOKEN)
+    x = read(spark, sf_dir, "events").select(F.col("user_id").alias("answer_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_type").alias("text"), F.col("ts").cast("timestamp").alias("ts"))
+    return finished(answers_of(x, late, gap_minutes), "append", conf=ROCKS)

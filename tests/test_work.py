@@ -1,11 +1,12 @@
 import datetime as dt
 import os
+import time
 
 import pytest
 from lodestone.functions import scalars
 from lodestone.operators import chunking, repositories, work
 from lodestone.sources import trees
-from lodestone.sources.tables import release, stage
+from lodestone.sources.tables import release, scope, stage
 from lodestone.streaming import jobs
 from pyspark.sql import functions as F
 
@@ -57,8 +58,8 @@ def test_trees(spark, tmp_path):
     os.symlink(tmp_path / "src", tmp_path / "link")
     got = trees.scan(spark, {"r": str(tmp_path), "s": str(tmp_path / "src")}, 100)
     mine = {r["path"]: (r["ext"], r["size"], r["content"]) for r in got.filter("repository_id = 'r'").collect()}
-    assert mine == {"src/__init__.py": (".py", 7, "x = 1\r\n"), "src/_a.PY": (".py", 2, "é"), ".eslintrc.json": (".json", 2, "{}"), "src/bad.ts": (".ts", 3, None), "empty.go": (".go", 0, "")}
-    assert trees.readable(got).count() == 6 and {tuple(r) for r in trees.accepted(got, 3).collect()} == {("r", 5, True), ("s", 3, False)}
+    assert mine == {"src/__init__.py": (".py", 7, "x = 1\r\n"), "src/_a.PY": (".py", 2, "é"), ".eslintrc.json": (".json", 2, "{}"), "src/bad.ts": (".ts", 3, "\ufffd" * 3), "empty.go": (".go", 0, "")}
+    assert trees.readable(got).count() == 8 and {tuple(r) for r in trees.accepted(got, 3).collect()} == {("r", 5, True), ("s", 3, False)}
     (tmp_path / "q.json").write_text('{"question_id": "1", "repository_id": "r", "text": "why", "expected": "hybrid", "entities": ["a"]}\n')
     q = trees.questions(spark, str(tmp_path / "q.json")).first()
     assert q["entities"] == ["a"] and q["hint"] is None
@@ -82,6 +83,17 @@ def test_chunks(spark, tmp_path):
     assert {r["repository_id"] for r in spark.read.parquet(path).collect()} == {"s"}
 
 
+def test_checkpoints_of_any_key_are_dropped(spark, tmp_path):
+    keys, path = ["repository_id", "commit_sha"], str(tmp_path / "saved")
+    rows = [("own/repo", "c", "1"), ("r:2", "c", "2"), (None, "c", "3"), ("", "c", "4"), ("a=b %20", "c", "5"), ("stays", "c", "6"), ("own/repo", "other", "7"), ("é#?", None, "8")]
+    chunks = spark.createDataFrame(rows, "repository_id string, commit_sha string, chunk string")
+    chunking.save_checkpoint(path, chunks, keys)
+    left = lambda: {r["chunk"] for r in spark.read.parquet(path).collect()}
+    assert chunking.drop_checkpoint(path, chunks.filter("chunk in ('1', '2', '5', '8')"), keys) == 4 and left() == {"3", "4", "6", "7"}
+    assert chunking.drop_checkpoint(path, chunks.filter("chunk = '3'"), keys) == 1 and left() == {"6", "7"}  # null and empty keys share a partition
+    assert chunking.drop_checkpoint(path, spark.createDataFrame([("never", "c")], "repository_id string, commit_sha string"), keys) == 0 and left() == {"6", "7"}
+
+
 def test_scalars(spark):
     one = lambda f, *values: spark.createDataFrame([values], ", ".join(f"c{i} string" for i in range(len(values)))).select(f(*[F.col(f"c{i}") for i in range(len(values))])).first()[0]
     kind = lambda t: tuple(one(scalars.question_class, t))
@@ -106,6 +118,22 @@ def test_staged_tables_are_removed(spark):
     assert release(spark) > 0 and not os.path.exists(folder) and release(spark) == 0
 
 
+def test_scopes_remove_only_their_own(spark):
+    before = stage(spark.range(3))
+    with scope(spark):
+        inner = stage(spark.range(4))
+        folder = inner.inputFiles()[0].removeprefix("file:").rpartition("/")[0]
+        with scope(spark):
+            deeper = stage(spark.range(5)).inputFiles()[0].removeprefix("file:")
+        assert not os.path.exists(deeper) and inner.count() == 4
+        after = stage(spark.range(6))
+        release(spark)  # leaves what open scopes have staged
+        assert after.count() == 6
+    assert not os.path.exists(folder)
+    with pytest.raises(Exception, match="exist"):  # removed by release()
+        spark.read.parquet(before.inputFiles()[0].rpartition("/")[0]).count()
+
+
 def test_repositories(spark):
     r = spark.createDataFrame([(1, "o", "https://github.com/a/b", "ready", 1), (2, "o", "x", "parsing", 2), (3, "p", "https://github.com/a/b", "failed", 3)], "repository_id int, owner string, url string, status string, created_at int")
     assert [(x["repository_id"], x["in_progress"], x["place"]) for x in repositories.listing(r).orderBy("repository_id").collect()] == [(1, False, 2), (2, True, 1), (3, False, 1)]
@@ -135,6 +163,27 @@ def test_streams(spark, arrivals):
     assert quota == {(1, "chat"): 1, (2, "chat"): 2, (3, "oauth"): 1, (6, "auth"): 1}
 
 
+def test_answers_close_by_events(spark, tmp_path):
+    """Events come late, out of order, after the end, and in several batches; the text follows their numbers."""
+    kind = "answer_id long, seq long, kind int, text string, ts timestamp"
+    batches = [
+        [(1, 2, 0, "b", at(1)), (1, 1, 0, "a", at(0)), (2, 1, 0, "x", at(0)), (3, 1, 2, None, at(2))],
+        [(1, 4, 1, None, at(3)), (1, 3, 0, None, at(2)), (2, 2, 0, "y", at(40)), (1, 5, 0, "n", at(4))],
+        [(1, 6, 2, "failed", at(6)), (2, 3, 0, "z", at(41)), (4, 1, 0, "q", at(50)), (1, 0, 0, "late", at(5))],
+        [(9, 1, 0, "far", at(120))],
+    ]
+    path = str(tmp_path / "in")
+    for rows in batches:
+        time.sleep(1.1)  # files are read in the order of their times
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = jobs.finished(jobs.answers_of(stream, "40 minutes"), "append", conf=jobs.ROCKS)
+    got = {(r["answer_id"], r["session_start"].minute, r["n_tokens"], r["state"], r["text"]) for r in out.collect()}
+    # the token after done is that of a new answer; the pause of answer 2 parts it; the others aren't over when the stream ends
+    assert got == {(1, 0, 3, "done", "ab"), (1, 4, 2, "error", "laten"), (2, 0, 1, "open", "x"), (2, 40, 2, "open", "yz"), (3, 2, 0, "error", ""), (4, 50, 1, "open", "q")}
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")  # the session is as before
+
+
 def test_streams_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
     spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
