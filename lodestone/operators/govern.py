@@ -8,12 +8,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lodestone.functions.scalars import canonical_path, edge_id, node_id
 from lodestone.operators import graph
-from lodestone.sources.tables import stage, written
+from lodestone.sources import commits
+from lodestone.sources.tables import stage
 
 CERTAINTIES = ("deterministic", "inferred")
 #: The producer and the label of a root that the engine adds (fixed value).
@@ -169,18 +171,46 @@ def publish(repositories: DataFrame, held: DataFrame, nodes: DataFrame, edges: D
 TABLES = ("graph_versions", "graph_nodes", "graph_edges", "graph_violations")
 
 
-def publish_to(path: str, repositories: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+VERSION = "repository_id string, commit_sha string, status string, n_nodes long, n_edges long, n_violations long, created_at timestamp"
+
+
+def published(spark: SparkSession, path: str, name: str = TABLES[0], schema: str | StructType | None = None) -> DataFrame:
+    """A table of the store at `path`: the rows that its log of commits names. schema: that of the rows; by default that of the versions, or of
+    what is there."""
+    entries = commits.log(spark, path)
+    if schema is None and name != TABLES[0] and entries:
+        schema = spark.read.parquet(f"{path}/{name}/commit={entries[0]['commit']}").schema
+    if not isinstance(schema, StructType):
+        schema = StructType.fromDDL(schema or VERSION)
+    return commits.rows(spark, path, name, schema, entries)
+
+
+def publish_to(path: str, repositories: DataFrame, nodes: DataFrame, edges: DataFrame, tries: int = 20) -> DataFrame:
     """publish() against what the store at `path` holds, and appends the results to it; returns the versions.
 
-    The versions are appended last, so a run that fails before leaves no commit that counts as published; readers take
-    the rows of published commits. One writer at a time."""
+    Any number of writers may run at once. Each adds its rows as one commit of the log, so readers see all of them or none. A writer that finds its
+    place in the log taken looks at what was added there: if that has none of its commits, it takes the next place, else it drops its
+    rows and begins anew, and what another has published is already_exists."""
     spark = repositories.sparkSession
-    keys = repositories.select("repository_id", "commit_sha").schema
-    parts = publish(repositories, written(spark, f"{path}/{TABLES[0]}", keys), nodes, edges)
-    new = parts[0].filter("status <> 'already_exists'").withColumn("created_at", F.current_timestamp())
-    for name, df in zip(TABLES[::-1], (parts[3], parts[2], parts[1], new), strict=True):
-        df.write.mode("append").parquet(f"{path}/{name}")
-    return parts[0]
+    keys = ["repository_id", "commit_sha"]
+    for _ in range(tries):
+        seen = commits.log(spark, path)
+        version = seen[-1]["version"] if seen else 0
+        parts = publish(repositories, commits.rows(spark, path, TABLES[0], StructType.fromDDL(VERSION), seen), nodes, edges)
+        new = parts[0].filter("status <> 'already_exists'").withColumn("created_at", F.current_timestamp())
+        if new.isEmpty():
+            return parts[0]
+        mine = commits.write(spark, path, dict(zip(TABLES, (new, *parts[1:]), strict=True)))
+        for _ in range(tries):
+            if commits.add(spark, path, version + 1, {"commit": mine, "tables": list(TABLES)}):
+                return parts[0]
+            later = commits.log(spark, path, version)
+            version = later[-1]["version"]
+            theirs = commits.rows(spark, path, TABLES[0], StructType.fromDDL(VERSION), later)
+            if not new.join(theirs.select(*keys), keys, "left_semi").isEmpty():
+                break
+        commits.discard(spark, path, list(TABLES), mine)
+    raise RuntimeError(f"the log at {path} was always taken")
 
 
 def latest_ready(versions: DataFrame) -> DataFrame:

@@ -201,23 +201,14 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Array, list[np.ndarra
 
 
 def _reach_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names, to, asked = _tables(batches)
-    now: list[tuple[int, np.ndarray, np.ndarray]] = []
-
-    def rows() -> pa.RecordBatch:
-        col = lambda i: names.take(pa.array(i)).cast(pa.string())
-        seed = np.repeat([s for s, _, _ in now], [len(x) for _, x, _ in now])
-        return pa.RecordBatch.from_arrays([col(seed), col(np.concatenate([x for _, x, _ in now])), pa.array(np.concatenate([d for _, _, d in now]), pa.int32())], names=["seed", "node", "depth"])
-
-    n = 0
-    for s in {s for s, _ in asked}:
-        now.append((s, *local.reached(to, s)))
-        n += len(now[-1][1])
-        if n >= 100_000:
-            yield rows()
-            now, n = [], 0
-    if now:
-        yield rows()
+    t = pa.Table.from_batches(list(batches)).combine_chunks()
+    names, (a, b) = local.numbered(t["a"].combine_chunks(), t["b"].combine_chunks())
+    names, edge = names.cast(pa.string()), t["kind"].to_numpy() == 0
+    found = local.reached(*local.rows_of(len(names), a[edge], b[edge]), np.unique(a[~edge]))
+    for seed, node, depth in found:
+        for i in range(0, len(seed), 100_000):
+            k = slice(i, i + 100_000)
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(seed[k])), names.take(pa.array(node[k])), pa.array(depth[k], pa.int32())], names=["seed", "node", "depth"])
 
 
 def _paths_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

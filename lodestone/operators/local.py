@@ -39,6 +39,12 @@ def neighbours(n: int, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
     return np.split(pairs % n, np.searchsorted(pairs // n, np.arange(1, n))) if n else []
 
 
+def rows_of(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct targets of all nodes in a row, in order, and where those of each begin, and the end."""
+    pairs = np.unique(a * n + b) if len(a) else np.empty(0, np.int64)
+    return pairs % max(n, 1), np.searchsorted(pairs // max(n, 1), np.arange(n + 1))
+
+
 def cyclic(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest node of each node's strongly connected component (Tarjan's algorithm without recursion)."""
     to = [x.tolist() for x in neighbours(n, a, b)]
@@ -72,16 +78,37 @@ def cyclic(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def reached(to: list[np.ndarray], seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """All nodes that a seed reaches, itself included, and the fewest steps there."""
-    seen, front, out, depth = {seed}, np.array([seed]), [np.array([seed])], [np.zeros(1, np.int64)]
-    while len(front):
-        new = np.unique(np.concatenate([to[x] for x in front]))
-        front = np.array([x for x in new.tolist() if x not in seen], np.int64)
-        seen.update(front.tolist())
-        out.append(front)
-        depth.append(np.full(len(front), len(depth)))
-    return np.concatenate(out), np.concatenate(depth)
+#: Seeds that are searched together, a bit of each node's set for each.
+TOGETHER = 512
+
+
+def reached(flat: np.ndarray, start: np.ndarray, seeds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(seed, node, depth) of all nodes that distinct seeds reach, themselves included, with the fewest steps; see rows_of.
+
+    Many seeds go together, so they share each step over an edge: a node's set has a bit for each of them, and a step unites the sets
+    of those that an edge leads from and keeps what is new."""
+    for k in range(0, len(seeds), TOGETHER):
+        part = seeds[k : k + TOGETHER]
+        words = -(-len(part) // 64)
+        seen = np.zeros((len(start) - 1, words), np.uint64)
+        bit = np.arange(len(part))
+        seen[part, bit // 64] = np.uint64(1) << (bit % 64).astype(np.uint64)
+        front, new, depth = part, seen[part], 0
+        while len(front):
+            on = np.unpackbits(np.ascontiguousarray(new).view(np.uint8), axis=1, bitorder="little")
+            i, j = np.nonzero(on)
+            yield part[j], front[i], np.full(len(i), depth)
+            size = start[front + 1] - start[front]
+            ends = np.cumsum(size)
+            to = flat[np.repeat(start[front] - (ends - size), size) + np.arange(int(ends[-1]))]
+            order = np.argsort(to, kind="stable")
+            nodes, first = np.unique(to[order], return_index=True)
+            if not len(nodes):
+                break
+            met = np.bitwise_or.reduceat(np.repeat(new, size, axis=0)[order], first, axis=0) & ~seen[nodes]
+            some = met.any(1)
+            front, new, depth = nodes[some], met[some], depth + 1
+            seen[front] |= new
 
 
 def shortest(to: list[np.ndarray], seed: int, wanted: set[int] | None) -> Iterator[list[int]]:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import chars_per_second, citations
+from lodestone.sources.tables import stage
 
 #: Stages of a job under way, of one that failed, and the progress of each (fixed values).
 UNDER_WAY, FAILED = ("cloning", "parsing", "embedding"), "failed"
@@ -68,7 +70,12 @@ def with_windows(requests: DataFrame) -> DataFrame:
 
 def quota_windows(requests: DataFrame) -> DataFrame:
     """(key, kind, window_start, n, n_over): the requests of each key, kind and window, and how many of them are over the limit."""
-    x = with_windows(requests).groupBy("key", "kind", "window_start").agg(F.count("*").alias("n"), F.max("limit").alias("limit"))
+    return quota_sums(requests.withColumn("n", F.lit(1)))
+
+
+def quota_sums(steps: DataFrame) -> DataFrame:
+    """The same of counts n (key, kind, ts, n) that no window parts."""
+    x = with_windows(steps).groupBy("key", "kind", "window_start").agg(F.sum("n").cast("long").alias("n"), F.max("limit").alias("limit"))
     return x.select("key", "kind", "window_start", "n", F.greatest(F.col("n") - F.col("limit"), F.lit(0)).alias("n_over"))
 
 
@@ -78,10 +85,68 @@ def over_limit(requests: DataFrame) -> DataFrame:
     return with_windows(requests).withColumn("over_limit", F.row_number().over(w) > F.col("limit"))
 
 
+#: Ranges that the values of a key are counted in at once, values of a key that one task sorts, and fewer keys than this have more.
+RANGES, SORTED, LARGE = 2048, 100_000, 50_000
+
+
+def quantiles(rows: DataFrame, key: str, value: str, at: list[float]) -> DataFrame:
+    """(key, n, lo, hi, q0, q1, ...): exact quantiles of a value, with linear interpolation between neighbours, as Spark's percentile gives them.
+
+    The values of a key with up to `SORTED` of them, or 1 / `LARGE` of all rows, are sorted in a task. Those of a larger key, of which there are
+    fewer than `LARGE`, are never together: they are counted in equal ranges between the key's extremes, and the ranges that hold a wanted
+    place are counted anew in finer ones, until each holds few values, which are sorted, or a single one. Null values don't
+    count in quantiles; a key with none has null ones; null keys are a key. NaN counts as the largest value."""
+    v = stage(rows.select(F.col(key).alias("__k"), F.col(value).cast("double").alias("__v")))
+    ends = stage(v.groupBy("__k").agg(F.count("__v").alias("__m"), F.count("*").alias("n"), F.min("__v").alias("lo"), F.max("__v").alias("hi")))
+    most = max(SORTED, (ends.agg(F.sum("__m")).first()[0] or 0) // LARGE)
+    large = ends.filter(F.col("__m") > most).select(F.col("__k").alias("__j"), "__m", "lo", "hi")
+    same = F.col("__k").eqNullSafe(F.col("__j"))
+    q = [F.percentile("__v", p).alias(f"q{i}") for i, p in enumerate(at)]
+    done = v.join(F.broadcast(large.select("__j")), same, "left_anti").groupBy("__k").agg(*q)
+    if not large.isEmpty():
+        done = done.unionByName(_refined(v, large, at, most))
+    done = done.withColumnRenamed("__k", "__j")
+    return ends.join(done, same).select(F.col("__k").alias(key), "n", "lo", "hi", *[f"q{i}" for i in range(len(at))])
+
+
+def _refined(v: DataFrame, large: DataFrame, at: list[float], most: int) -> DataFrame:
+    """(__k, q0, q1, ...) of the large keys (__j, __m, lo, hi); v: staged values (__k, __v)."""
+    # the two places around each quantile, each in an open range: values from lo to hi, `below` of them before it, `held` in it
+    place = lambda p: F.array(F.floor((F.col("__m") - 1) * F.lit(p)), F.ceil((F.col("__m") - 1) * F.lit(p)))
+    places = F.array_distinct(F.flatten(F.array(*map(place, at))))
+    ranges = stage(large.select("__j", "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("__m").alias("held"), F.explode(places).alias("place")))
+    found = []
+    inside = F.col("__k").eqNullSafe(F.col("__j")) & F.col("__v").between(F.col("lo"), F.col("hi"))
+    while not ranges.isEmpty():
+        found.append(ranges.filter("lo = hi").select("__j", "place", F.col("lo").alias("x")))
+        few = ranges.filter((F.col("lo") < F.col("hi")) & (F.col("held") <= most))
+        mine = v.join(F.broadcast(few.groupBy("__j", "lo", "hi", "below").agg(F.collect_set("place").alias("places"))), inside)  # a few ranges of each large key
+        rank = (F.row_number().over(Window.partitionBy("__j", "below").orderBy("__v")) - 1 + F.col("below")).alias("place")
+        sorted_ = mine.select("__j", "places", F.col("__v").alias("x"), rank)
+        found.append(sorted_.filter(F.array_contains("places", F.col("place"))).select("__j", "place", "x"))
+        wide = ranges.filter((F.col("lo") < F.col("hi")) & (F.col("held") > most)).groupBy("__j", "lo", "hi", "below").agg(F.collect_set("place").alias("places"))
+        step = F.col("hi") / RANGES - F.col("lo") / RANGES
+        r = F.least(F.greatest(F.floor((F.col("__v") - F.col("lo")) / step), F.lit(0)), F.lit(RANGES - 1))
+        # the extremes are ranges of their own, so each round has fewer values between them, infinite ones too
+        r = F.when(F.col("__v") == F.col("hi"), RANGES).when(F.col("__v") == F.col("lo"), -1).otherwise(r)
+        counted = v.join(F.broadcast(wide), inside).select("__j", "below", "places", r.alias("r"), "__v")
+        counted = counted.groupBy("__j", "below", "r").agg(F.count("*").alias("held"), F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.first("places").alias("places"))
+        before = F.col("below") + F.sum("held").over(Window.partitionBy("__j", "below").orderBy("r")) - F.col("held")  # RANGES + 2 rows at most
+        counted = counted.withColumn("below", before).withColumn("place", F.explode("places"))
+        ranges = stage(counted.filter((F.col("place") >= F.col("below")) & (F.col("place") < F.col("below") + F.col("held"))).select("__j", "lo", "hi", "below", "held", "place"))
+    values = reduce(DataFrame.unionByName, found).groupBy("__j").agg(F.map_from_entries(F.collect_set(F.struct("place", "x"))).alias("x"))
+    spot = lambda p: (F.col("__m") - 1) * F.lit(p)
+    a, b = (lambda p: F.element_at("x", F.floor(spot(p)))), (lambda p: F.element_at("x", F.ceil(spot(p))))
+    q = [F.when(a(p) == b(p), a(p)).otherwise((F.ceil(spot(p)) - spot(p)) * a(p) + (spot(p) - F.floor(spot(p))) * b(p)).alias(f"q{i}") for i, p in enumerate(at)]
+    both = large.withColumnRenamed("__j", "__k").join(values, F.col("__k").eqNullSafe(F.col("__j")))
+    return both.select("__k", *q)
+
+
 def latency(rows: DataFrame, key: str, value: str) -> DataFrame:
     """(key, n, lo, hi, median, p95) of a value."""
-    p = lambda q: F.round(F.percentile(value, q), 6)
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"), p(0.5).alias("median"), p(0.95).alias("p95"))
+    kind = rows.schema[value].dataType
+    x = quantiles(rows, key, value, [0.5, 0.95])
+    return x.select(key, "n", F.col("lo").cast(kind).alias("lo"), F.col("hi").cast(kind).alias("hi"), F.round("q0", 6).alias("median"), F.round("q1", 6).alias("p95"))
 
 
 def assembled(events: DataFrame) -> DataFrame:

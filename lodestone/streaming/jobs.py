@@ -18,7 +18,6 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulP
 from pyspark.sql.types import LongType, StructField, StructType
 
 from lodestone.operators import work
-from lodestone.operators.chunking import new_chunks
 from lodestone.sources.tables import shared_dir, table, written
 
 #: Event types and the stages of a job that they stand for.
@@ -80,18 +79,17 @@ def finished(result: DataFrame, mode: str, keys: list[str] | None = None, conf:
     return out.select(*result.columns)
 
 
+#: The window of the quota stream's state, of which every window of a limit is made.
+QUOTA_STEP = "15 minutes"
+
+
 def quota_stream(spark: SparkSession, sf_dir: str, late: str = LATE) -> DataFrame:
-    """(key, kind, window_start, n, n_over): see work.quota_windows; the state is one row for each key, kind and open window."""
+    """(key, kind, window_start, n, n_over): see work.quota_windows. One scan serves all kinds: the stream counts by the step that all windows
+    are made of, so its state is one row for each key, kind and open step; the steps of a window are added where they are read."""
     x = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), named("event_type", KINDS).alias("kind"), F.col("ts").cast("timestamp").alias("ts"))
-    counts = []
-    for kind, (most, length) in work.LIMITS.items():
-        mine = x.filter(F.col("kind") == kind).withWatermark("ts", late).groupBy("key", "kind", F.window("ts", length).alias("w")).agg(F.count("*").alias("n"))
-        counts.append(mine.select("key", "kind", F.col("w.start").cast("timestamp_ntz").alias("window_start"), "n", F.greatest(F.col("n") - most, F.lit(0)).alias("n_over")))
-    done = [finished(c, "update", ["key", "kind", "window_start"]) for c in counts]
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    steps = x.filter(F.col("kind").isin(*work.LIMITS)).withWatermark("ts", late).groupBy("key", "kind", F.window("ts", QUOTA_STEP).alias("w")).agg(F.count("*").alias("n"))
+    done = finished(steps.select("key", "kind", F.col("w.start").alias("ts"), "n"), "update", ["key", "kind", "ts"])
+    return work.quota_sums(done)
 
 
 JOB = "job_id long, event_id long, stage string, ts timestamp, attempts int, failure string, claimed_ms long"
@@ -154,20 +152,26 @@ def stale_job_stream(spark: SparkSession, sf_dir: str, minutes: int = 10, attemp
     return claims.select("job_id", "event_id", "stage", F.col("ts").cast("timestamp_ntz").alias("ts")).distinct()
 
 
+#: Keeps keyed state in a store that reads only the keys of a batch, and writes only what a batch changes.
+KEYED = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def first_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A stream's first row of each key, which its state holds for good; run it with the settings KEYED.
+
+    Keys are hash-partitioned over the stores of executors, on disk; a batch looks up its own keys, so its work doesn't grow with what came
+    before. Null keys are keys like others."""
+    return rows.dropDuplicates(keys)
+
+
 def ingest_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(repository_id, content_hash): each distinct content of a repository once. Each batch is compared with what earlier batches
-    wrote, as an idempotent append does, so the stream itself keeps no state."""
+    """(repository_id, content_hash): each distinct content of a repository once, whichever batch it comes in first."""
     key = ["repository_id", "content_hash"]
     new = read(spark, sf_dir, "documents").select(F.col("source").alias("repository_id"), F.sha2("text", 256).alias("content_hash"))
-    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-
-    def put(batch: DataFrame, number: int) -> None:
-        held = written(spark, f"{path}/out", _with_batch(new)).filter(F.col("batch") < number)
-        new_chunks(batch.withColumn("__one", F.lit(1)), held, key, ["__one"]).drop("__one").write.mode("overwrite").parquet(f"{path}/out/batch={number}")
-
-    q = new.writeStream.foreachBatch(put).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return written(spark, f"{path}/out", _with_batch(new)).select(*key)
+    return finished(first_of_each(new, key), "append", conf=KEYED)
 
 
 _EVENT = "seq long, at long, kind int, text string"
@@ -244,10 +248,6 @@ class AnswerProcessor(StatefulProcessor):
         pass
 
 
-#: transformWithState keeps its state in this store.
-ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-
-
 def answers_of(events: DataFrame, late: str = LATE, gap_minutes: int = 30) -> DataFrame:
     """ANSWER of a stream of (answer_id, seq, kind, text, ts): each answer once it is closed by a done or error event (kind 1 or 2), or by a gap
     without events; tokens (kind 0) that come after that are those of a new answer. The text is joined in the order of seq."""
@@ -259,4 +259,4 @@ def token_stream(spark: SparkSession, sf_dir: str, late: str = LATE, gap_minutes
     """ANSWER of the events of users, which stand for those of an answer: signup for done, error for error, all others for tokens, whose text is their type."""
     kind = F.when(F.col("event_type") == "error", ERROR).when(F.col("event_type") == "signup", DONE).otherwise(TOKEN)
     x = read(spark, sf_dir, "events").select(F.col("user_id").alias("answer_id"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_type").alias("text"), F.col("ts").cast("timestamp").alias("ts"))
-    return finished(answers_of(x, late, gap_minutes), "append", conf=ROCKS)
+    return finished(answers_of(x, late, gap_minutes), "append", conf=KEYED)

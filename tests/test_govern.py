@@ -1,6 +1,9 @@
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from lodestone.functions import scalars
 from lodestone.operators import evaluation, govern
+from lodestone.sources import commits
 from pyspark.sql import functions as F
 
 NODE = "repository_id string, ordinal long, type string, parts array<string>, label string, producer string, certainty string"
@@ -45,12 +48,37 @@ def test_publish(spark, tmp_path):
     first = {r["repository_id"]: r["status"] for r in govern.publish_to(path, asked, nodes, edges).collect()}
     second = {r["repository_id"]: r["status"] for r in govern.publish_to(path, asked.unionByName(spark.createDataFrame([("r", "c2")], asked.schema)).filter("repository_id <> 'r' or commit_sha = 'c2'"), nodes, edges).collect()}
     assert first["r"] == second["r"] == "ready" and first["old"] == "failed" and set(v for k, v in second.items() if k != "r") == {"already_exists"}
-    held = spark.read.parquet(f"{path}/graph_versions")
-    assert held.count() == 7 and spark.read.parquet(f"{path}/graph_nodes").filter("repository_id = 'r'").count() == 6
+    held = govern.published(spark, path)
+    assert held.count() == 7 and govern.published(spark, path, "graph_nodes").filter("repository_id = 'r'").count() == 6
     states = {r["repository_id"]: (r["status"], r["commit_sha"]) for r in govern.graph_of(asked, held).collect()}
     assert states["r"] == ("ready", "c2") and states["bad"] == ("not_generated", None)
 
 
+def test_several_publishers(spark, tmp_path, monkeypatch):
+    """Writers that meet leave one version of each commit; those of other commits all count; a run that fails is never seen."""
+    nodes, edges = candidates(spark)
+    ask = lambda *rows: spark.createDataFrame(list(rows), "repository_id string, commit_sha string")
+    path = str(tmp_path / "store")
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda rows: {tuple(r)[:3] for r in govern.publish_to(path, ask(*rows), nodes, edges).collect()}, [[("r", "c1")], [("r", "c1")], [("empty", "c1"), ("r", "c1")], [("other", "c9")]]))
+    versions = [(r["repository_id"], r["commit_sha"]) for r in govern.published(spark, path).collect()]
+    assert sorted(versions) == [("empty", "c1"), ("other", "c9"), ("r", "c1")]
+    assert sorted(s for one in got for r, c, s in one if r == "r") == ["already_exists", "already_exists", "ready"]
+    assert govern.published(spark, path, "graph_nodes").filter("repository_id = 'r'").count() == 3 and [e["version"] for e in commits.log(spark, path)] == [1, 2, 3]
+
+    def fails(*_):
+        raise OSError("no more")
+
+    monkeypatch.setattr(commits, "add", fails)
+    with pytest.raises(OSError, match="no more"):
+        govern.publish_to(path, ask(("r", "c2")), nodes, edges)
+    monkeypatch.undo()
+    assert govern.published(spark, path).filter("commit_sha = 'c2'").count() == 0 and govern.published(spark, path, "graph_nodes").filter("repository_id = 'r'").count() == 3
+    assert {r["status"] for r in govern.publish_to(path, ask(("r", "c2")), nodes, edges).collect()} == {"ready"} and govern.published(spark, path).count() == 4
+    assert not commits.add(spark, path, 2, {}) and len(commits.log(spark, path)) == 4 and len(commits.log(spark, path, 3)) == 1
+    assert govern.published(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_tiers_and_identities(spark):
     nodes, _ = candidates(spark)
     a, b = nodes.filter("certainty = 'inferred'"), nodes.filter("certainty = 'inferred'").withColumns({"ordinal": F.lit(0), "label": F.lit("later")}).drop("producer")

@@ -2,6 +2,7 @@ import datetime as dt
 import os
 import time
 
+import numpy as np
 import pytest
 from lodestone.functions import scalars
 from lodestone.operators import chunking, repositories, work
@@ -177,13 +178,49 @@ def test_answers_close_by_events(spark, tmp_path):
         time.sleep(1.1)  # files are read in the order of their times
         spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
-    out = jobs.finished(jobs.answers_of(stream, "40 minutes"), "append", conf=jobs.ROCKS)
+    out = jobs.finished(jobs.answers_of(stream, "40 minutes"), "append", conf=jobs.KEYED)
     got = {(r["answer_id"], r["session_start"].minute, r["n_tokens"], r["state"], r["text"]) for r in out.collect()}
     # the token after done is that of a new answer; the pause of answer 2 parts it; the others aren't over when the stream ends
     assert got == {(1, 0, 3, "done", "ab"), (1, 4, 2, "error", "laten"), (2, 0, 1, "open", "x"), (2, 40, 2, "open", "yz"), (3, 2, 0, "error", ""), (4, 50, 1, "open", "q")}
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")  # the session is as before
 
 
+def test_ingest_finds_duplicates_of_old_batches(spark, tmp_path):
+    path, kind = str(tmp_path / "in"), "repository_id string, content_hash string"
+    batches = [[("r", f"h{i}") for i in range(50)], [("r", "h3"), ("s", "h3"), ("r", None), ("r", "h60"), ("r", "h60")], [("r", None), ("r", "h0")], [("s", "h3"), ("t", "h1")]]
+    for rows in batches:
+        time.sleep(1.1)
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(path)
+    x = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(path)
+    changed = []
+    with jobs.settings(spark, jobs.KEYED):
+        q = jobs.first_of_each(x, ["repository_id", "content_hash"]).writeStream.foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{tmp_path}/out/{n}")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    changed = [s["numRowsUpdated"] for p in q.recentProgress for s in p["stateOperators"]]
+    new = [{tuple(r) for r in spark.read.schema(kind).parquet(f"{tmp_path}/out/{n}").collect()} for n in range(4)]
+    assert len(new[0]) == 50 and new[1:] == [{("s", "h3"), ("r", None), ("r", "h60")}, set(), {("t", "h1")}]
+    assert changed[:4] == [50, 3, 0, 1]  # a batch writes only what is new, whatever came before
+
+
+def test_quantiles(spark, monkeypatch):
+    """Whole keys in a task and refined ranges give what numpy gives; one key has most rows."""
+    rng = np.random.default_rng(3)
+    values = {"hot": rng.normal(size=3000), "ties": rng.integers(0, 3, 700).astype(float), "one": np.array([7.0]), "two": np.array([1.0, 2.0]), "wide": np.array([-1e300, 0.0, 1e-300, 5.0, 1e300] * 30), "inf": np.array([-np.inf] * 40 + [1.0, 2.0, 3.0] * 20 + [np.inf] * 10), "flat": np.full(500, 2.5)}
+    rows = [(k, float(x)) for k, v in values.items() for x in v] + [(None, 1.0), (None, 4.0), ("null", None), ("hot", None)]
+    x = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    at = [0.0, 0.5, 0.95, 1.0]
+    want = {r["k"]: tuple(r)[1:] for r in x.groupBy("k").agg(F.count("*"), F.min("v"), F.max("v"), *[F.percentile("v", q) for q in at]).collect()}
+    for most, ranges in ((100_000, 2048), (20, 4), (1, 3)):
+        monkeypatch.setattr(work, "SORTED", most)
+        monkeypatch.setattr(work, "RANGES", ranges)
+        got = {r["k"]: tuple(r)[1:] for r in work.quantiles(x, "k", "v", at).collect()}
+        assert got.keys() == want.keys()
+        for k, row in want.items():
+            assert all(a == b or abs(a - b) < 1e-12 * max(1, abs(b)) for a, b in zip(got[k], row, strict=True)), (k, got[k], row)
+    assert work.quantiles(x.limit(0), "k", "v", at).count() == 0
+    assert np.isclose(want["hot"][4], np.quantile(values["hot"], 0.5))
+
+
 def test_streams_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
     spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
