@@ -24,8 +24,8 @@ SUGGESTIONS = {
 SUGGESTIONS_ELSE = ["Explain this component.", "What does this depend on?", "What depends on this?"]
 #: Texts of answers (fixed values).
 NO_PATH, NONE_FOUND = "No path exists between these components.", "None found."
-#: Characters of a hint that find its candidates.
-GRAM = 3
+#: Characters of the pieces that hints are looked up by, and what bounds the entries of one that aren't split.
+GRAM, FREQUENT = 3, 10_000
 
 
 def suggestions(nodes: DataFrame) -> DataFrame:
@@ -46,19 +46,39 @@ def labelled(nodes: DataFrame) -> DataFrame:
     return all_nodes.groupBy("repository_id", "label").agg(F.min("ordinal").alias("position"), F.max_by("id", "ordinal").alias("id"))
 
 
+def _pieces(text: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text; none if it is shorter."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n))))
+
+
 def resolved_hints(hints: DataFrame, nodes: DataFrame) -> DataFrame:
     """hints (repository_id, question_id, hint) with the id of the first label that contains the hint, whatever the case.
 
-    A hint meets only labels of its repository that hold its first characters, by an equi-join on the pieces of up to
-    GRAM characters that the labels hold; so no hint meets all labels. An empty hint takes the first label; a null
-    hint and one that no label contains get a null id."""
-    low = F.lower("label")
-    pieces = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - (n - 1), F.lit(1))), lambda i: F.substring(low, i, F.lit(n)))
-    parts = F.array_distinct(F.concat(F.array(F.lit("")), *[pieces(n) for n in range(1, GRAM + 1)]))
+    Labels are listed under their pieces of GRAM characters, and under shorter ones only as far as there are such hints. A hint is looked up by
+    that piece of its own which the fewest labels of its repository hold, so hints that begin alike meet few labels, and a hint with a piece that
+    no label holds meets none. Pieces with more than 1 / FREQUENT of all entries, of which there are fewer than FREQUENT, have their lists split. An empty
+    hint takes the first label; a null hint and one that no label contains get a null id."""
+    key, low = ["repository_id", "piece"], F.lower("label")
+    wanted = stage(hints.select("repository_id", F.lower("hint").alias("low_hint")).filter("low_hint is not null").distinct())
+    size = F.least(F.length("low_hint"), F.lit(GRAM))
+    lengths = sorted(r[0] for r in wanted.select(size).distinct().collect())  # GRAM + 1 at most
+    parts = F.concat(F.array().cast("array<string>"), *[_pieces(low, n) if n else F.array(F.lit("")) for n in lengths])
     names = labelled(nodes)
-    by_piece = names.select("repository_id", low.alias("low"), "position", "id", F.explode(parts).alias("piece"))
-    wanted = hints.select("repository_id", F.lower("hint").alias("low_hint")).filter("low_hint is not null").distinct()
-    met = wanted.withColumn("piece", F.substring("low_hint", 1, GRAM)).join(by_piece, ["repository_id", "piece"]).filter(F.col("low").contains(F.col("low_hint")))
+    listed = stage(names.select("repository_id", low.alias("low"), "position", "id", F.explode(parts).alias("piece")))
+    counts = stage(listed.groupBy(*key).agg(F.count("*").alias("n")))
+    own = F.lit(None).cast("array<string>")
+    for n in lengths:
+        own = F.when(size == n, _pieces(F.col("low_hint"), n) if n else F.array(F.lit(""))).otherwise(own)
+    # a hint that has a piece without a list is in no label, so all its pieces must be there
+    asked = wanted.withColumn("own", own).select("repository_id", "low_hint", F.size("own").alias("n_own"), F.explode("own").alias("piece")).join(counts, key)
+    rarest = asked.groupBy("repository_id", "low_hint", "n_own").agg(F.min(F.struct("n", "piece")).alias("r"), F.count("*").alias("met")).filter("met = n_own")
+    rarest = stage(rarest.select("repository_id", "low_hint", "r.piece", "r.n"))
+    each = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // FREQUENT)
+    split = F.broadcast(rarest.filter(F.col("n") > each).select(*key, F.ceil(F.col("n") / each).cast("int").alias("blocks")).distinct())
+    block = lambda df, spread: df.join(split, key, "left").withColumn("block", spread(F.coalesce("blocks", F.lit(1))))
+    entries = block(listed, lambda n: F.pmod(F.xxhash64("low", "id"), n).cast("int"))
+    dealt = block(rarest, lambda n: F.explode(F.sequence(F.lit(0), n - 1)))
+    met = dealt.select(*key, "block", "low_hint").join(entries.select(*key, "block", "low", "position", "id"), [*key, "block"]).filter(F.col("low").contains(F.col("low_hint")))
     first = met.groupBy("repository_id", "low_hint").agg(F.min_by("id", F.struct("position", "low", "id")).alias("id"))
     return hints.withColumn("low_hint", F.lower("hint")).join(first, ["repository_id", "low_hint"], "left").drop("low_hint")
 

@@ -1,3 +1,4 @@
+import random
 import pytest
 from lodestone.functions import scalars
 from lodestone.operators import answers, chunking, evaluation, retrieval
@@ -59,6 +60,27 @@ def test_evaluation_run(spark, edges, tmp_path):
     assert spark.read.json(str(tmp_path / "report" / "confusion")).filter("actual = 'error'").count() == 2
 
 
+def test_hints_by_their_rarest_piece(spark, monkeypatch):
+    """Against plain code: hints that begin alike, short ones, and lists that are split."""
+    rng = random.Random(6)
+    labels = [f"src/{''.join(rng.choices('abc/', k=rng.randint(1, 8)))}.TS" for _ in range(300)] + ["x", "", "É"]
+    nodes = [(f"r{i % 2}", f"n{i}", i, t, "file") for i, t in enumerate(labels)]
+    wanted = [f"src/{''.join(rng.choices('abc', k=rng.randint(0, 4)))}" for _ in range(60)] + ["s", "sr", ".t", "", "é", "zzz", "src/zq", "x", None, "TS"]
+    hints = spark.createDataFrame([(f"r{i % 3}", i, h) for i, h in enumerate(wanted)], "repository_id string, question_id int, hint string")
+    n = spark.createDataFrame(nodes, "repository_id string, id string, ordinal int, label string, type string")
+    want = {}
+    for i, h in enumerate(wanted):
+        names = {}
+        for r, node, _, label, _ in nodes:  # a label keeps its first place and takes its last id
+            if r == f"r{i % 3}":
+                names[label] = node
+        want[i] = next((node for label, node in names.items() if h is not None and h.lower() in label.lower()), None)
+    for frequent in (10_000, 3):
+        monkeypatch.setattr(answers, "FREQUENT", frequent)
+        assert {r["question_id"]: r["id"] for r in answers.resolved_hints(hints, n).collect()} == want
+    assert answers.resolved_hints(hints.limit(0), n).count() == 0 and answers.resolved_hints(hints, n.limit(0)).filter("id is not null").count() == 0
+
+
 def test_hints(spark):
     nodes = [("r", 0, "repository", "root", "Top"), ("r", 1, "file", "f1", "User.ts"), ("r", 2, "file", "f2", "user.ts"), ("r", 3, "file", "f3", "User.ts"), ("s", 0, "file", "g", "user.ts")]
     n = spark.createDataFrame(nodes, "repository_id string, ordinal int, type string, id string, label string")

@@ -66,6 +66,22 @@ def test_trees(spark, tmp_path):
     assert q["entities"] == ["a"] and q["hint"] is None
 
 
+def test_large_trees_are_listed_by_many_tasks(spark, tmp_path, monkeypatch):
+    want = set()
+    for i in range(40):
+        for j in range(5):
+            path = f"d{i % 4}/e{i}/" + ("deep/" * (i % 3)) + f"f{j}.py"
+            (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+            (tmp_path / path).write_text(f"{i} {j}")
+            want.add(path)
+    monkeypatch.setattr(trees, "LISTED", 10)
+    tasks = trees.listing(spark, {"r": str(tmp_path)}).select("path", F.input_file_name().alias("f"))
+    assert {r["path"] for r in tasks.collect()} == want and tasks.select("f").distinct().count() > 3  # staged by the tasks that listed them
+    uri = trees.scan(spark, {"r": f"file://{tmp_path}", "none": str(tmp_path / "d0" / "e0")}, 100)
+    assert {r["path"] for r in uri.filter("repository_id = 'r'").collect()} == want and uri.filter("repository_id = 'r' and path = 'd1/e1/deep/f3.py'").first()["content"] == "1 3"
+    assert uri.filter("repository_id = 'none'").count() == 5
+
+
 def test_chunks(spark, tmp_path):
     lines = "\n".join(map(str, range(100)))
     files = spark.createDataFrame([("r", "a", lines, 1), ("r", "b", "x", 2), ("r", "c", " \n ", 3), ("r", "d", None, 4), ("s", "a", "x\n\n \ny\nz", 5)], "repository_id string, path string, content string, n int")
