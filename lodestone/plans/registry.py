@@ -6,6 +6,7 @@ run; they are whole-table views, so every query's work grows with its tables."""
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalars
-from lodestone.operators import chunking, evaluation, govern, graph, retrieval, work
+from lodestone.operators import chunking, evaluation, govern, graph, retrieval, vectors, work
 from lodestone.sources import trees
-from lodestone.sources.tables import scan_filter, table
+from lodestone.sources.tables import scan_filter, shared_dir, table
 from lodestone.streaming import jobs
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "conversations", "labels", "pages")
@@ -292,6 +293,15 @@ def vector_topk(spark, sf_dir):
     return retrieval.top_chunks(retrieval.centroids(c), c, 8)
 
 
+# with every cell probed the index is exact
+@query(TOP + " select * from t where rank <= 8")
+def index_topk(spark, sf_dir):
+    c = _chunks(spark, sf_dir)
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    vectors.build(c, path)
+    return vectors.search(retrieval.centroids(c), path, 8, vectors.CELLS)
+
+
 @query(TOP + " select r.repository_id, max(score) as top_score from (select label as repository_id from embeddings union select label + 100 from embeddings) as r left join t on t.repository_id = r.repository_id group by r.repository_id")
 def retrieval_top_score(spark, sf_dir):
     c = _chunks(spark, sf_dir)
