@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
-from lodestone.llm import attribution, lm, mixing, quality, shards
+from lodestone.llm import attribution, common, lm, mixing, quality, shards
 from pyspark.sql import functions as F
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -129,6 +129,19 @@ def test_host_rules_equal_plain_ones(spark):
     assert Counter((r["doc_id"], r["base_failed"], r["kept"], r["host_rate"]) for r in got) == want and 0 < sum(r["kept"] for r in got) < len(got)
 
 
+def test_hosts_that_stand_out_fail(spark, monkeypatch):
+    """A host far above the prior fails below the bar; a small one with the same rate, and one as far above a tiny mean, don't."""
+    good, bad = " ".join(f"w{i}" for i in range(60)), "x"
+    shares = [(f"h{i}", 0.05, 200) for i in range(20)] + [("odd", 0.35, 300), ("few", 0.34, 3)]
+    rows = [(i, bad if k < round(share * n) else good, h) for i, (h, share, n, k) in enumerate((h, s, n, k) for h, s, n in shares for k in range(n))]
+    x = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for most in (200_000, 3):  # hosts are broadcast, or joined by host and salt
+        monkeypatch.setattr(common.lookup, "__defaults__", (most, 32))
+        kept = {r["host"]: r["n"] for r in quality.verdicts(x).filter("kept").join(x.withColumnRenamed("source", "host"), "doc_id").groupBy("host").agg(F.count("*").alias("n")).collect()}
+        assert "odd" not in kept and kept["few"] == 2 and kept["h3"] == 190
+    assert quality.verdicts(x, least=0.5).filter("kept").count() == 20 * 190 + 195 + 2
+
+
 KIND = "doc_id long, text string, lang string, source string, n_chars long"
 
 
