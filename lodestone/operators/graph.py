@@ -1,6 +1,6 @@
 """Algorithms over edge tables (repository_id, source, target, and type where one is asked for).
 
-Nodes of different repositories never meet, even if their names are equal; a null repository counts as an empty name. `edge_type` restricts an algorithm to edges of
+Nodes of different repositories never meet, even if their names are equal; the null repository is one of its own. `edge_type` restricts an algorithm to edges of
 that type. Searches run inside components: connected components are labelled first, and those of up to `LOCAL` edges are
 dealt to tasks, several small ones or a part of the seeds of one at a time, so a task's work is bounded. Larger components
 are searched by rounds of joins, one for each step away from the seeds; both ways give the same rows."""
@@ -25,6 +25,8 @@ LOCAL, CELLS, STARS = 250_000, 1_000_000, 1_000_000
 FOLD = 16
 #: Between a repository and a node in the name of a node of all repositories.
 MARK = "\u0001"
+#: Stands for the null repository in such a name.
+NO_REPOSITORY = "\u0002"
 
 
 def of_type(edges: DataFrame, edge_type: str | None) -> DataFrame:
@@ -32,13 +34,13 @@ def of_type(edges: DataFrame, edge_type: str | None) -> DataFrame:
 
 
 def _named(node: str) -> Column:
-    return F.concat(F.coalesce(F.col("repository_id").cast("string"), F.lit("")), F.lit(MARK), F.col(node))
+    return F.concat(F.coalesce(F.col("repository_id").cast("string"), F.lit(NO_REPOSITORY)), F.lit(MARK), F.col(node))
 
 
 def _split(df: DataFrame, kind: DataType, nodes: list[str], rest: list = ()) -> DataFrame:
     """repository_id and plain names instead of the names of all repositories; no name is null."""
     plain = lambda c: F.expr(f"substr(`{c}`, locate('{MARK}', `{c}`) + 1)").alias(c)
-    return df.select(F.substring_index(nodes[0], MARK, 1).cast(kind).alias("repository_id"), *map(plain, nodes), *rest)
+    return df.select(F.nullif(F.substring_index(nodes[0], MARK, 1), F.lit(NO_REPOSITORY)).cast(kind).alias("repository_id"), *map(plain, nodes), *rest)
 
 
 class Prepared:

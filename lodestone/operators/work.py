@@ -168,6 +168,16 @@ def assembled(events: DataFrame) -> DataFrame:
     return x.withColumns({"n_chars": n, "chars_per_second": chars_per_second(n, F.col("streaming_ms")), "n_citations": F.size(citations(F.col("text")))})
 
 
+def turn_metrics(events: DataFrame) -> DataFrame:
+    """(answer_id, retrieval_ms, first_token_ms, streaming_ms, n_chars, chars_per_second, n_citations) of chat turns.
+
+    events: as of assembled(), with the kinds asked and retrieved besides, between which the context was looked up; null without one of the two."""
+    at = lambda kind: F.min(F.when(F.col("kind") == kind, F.unix_micros(F.col("ts").cast("timestamp"))))
+    asked = events.groupBy("answer_id").agg(F.floor((at("retrieved") - at("asked")) / 1000).cast("long").alias("retrieval_ms"))
+    x = assembled(events.filter(~F.col("kind").isin("asked", "retrieved"))).join(asked, "answer_id")
+    return x.select("answer_id", "retrieval_ms", "first_token_ms", "streaming_ms", "n_chars", "chars_per_second", "n_citations")
+
+
 #: Tables that hang on a repository and the column that names their parent, children first (fixed order).
 CASCADE = (("messages", "conv_id", "chats"), ("chats", "repository_id", None), ("jobs", "repository_id", None), ("chunks", "repository_id", None), ("checkpoints", "repository_id", None), ("graphs", "repository_id", None), ("repositories", "repository_id", None))
 

@@ -66,6 +66,9 @@ FIXTURES = {
     "token_events": """select user_id as answer_id, event_id as seq, ts, case when n = 1 then 'start' when back = 1 and user_id % 5 = 0 then 'error' when back = 1 and user_id % 3 = 0 then 'done' else 'token' end as kind,
         case when n > 1 and not (back = 1 and (user_id % 5 = 0 or user_id % 3 = 0)) then concat(event_type, ' ') else cast(null as string) end as text from (
         select *, row_number() over (partition by user_id order by event_id) as n, row_number() over (partition by user_id order by event_id desc) as back from {events}) as e""",
+    # chat turns: looked up before they start, for some answers without an end to it; some tokens cite
+    "turn_events": """select answer_id, seq, ts, kind, case when kind = 'token' and seq % 4 = 0 then concat(text, '[src/a', cast(seq % 8 as string), '.ts:1-2] [bad:x] ') else text end as text from {token_events}
+        union all select answer_id, seq, ts - interval '1' second * (answer_id % 7), 'asked', null from {token_events} where kind = 'start' union all select answer_id, seq, ts, 'retrieved', null from {token_events} where kind = 'start' and answer_id % 4 > 0""",
     "questions": """select p_partkey as question_id, case when p_size < 10 then concat('Why does ', p_name, ' matter?') when p_size < 20 then concat('Is there a cycle near ', p_name, '?')
         when p_size < 30 then concat('What is the path from ', p_name, ' to ', p_type, '?') when p_size < 35 then concat('What does ', p_name, ' depend on?')
         when p_size < 40 then concat('Who imports ', p_name, ' indirectly?') when p_size < 43 then concat(chr(201), 'why imports', chr(233), '?') when p_size < 46 then concat(chr(233), 'imports all ', p_name) else concat('Show ', p_name) end as text,

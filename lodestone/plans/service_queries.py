@@ -74,10 +74,13 @@ def unexpired_rows(spark, sf_dir):
     return work.unexpired(j, j.agg(F.max("ts").alias("now")), 2)
 
 
-@query("""with x as (select answer_id, coalesce(string_agg(text, '' order by seq) filter (where kind = 'token'), '') as text, floor((epoch_us(max(ts) filter (where kind <> 'start')) - epoch_us(min(ts) filter (where kind = 'token'))) / 1000)::bigint as ms from {token_events} group by answer_id)
-  select answer_id, length(text)::bigint as n_chars, case when ms > 0 then cast(round(length(text) * 1000 / ms) as bigint) end as chars_per_second, 0 as n_citations from x""")
+@query("""with e as (select answer_id, seq, ts, kind, case when kind = 'token' and seq % 4 = 0 then text || '[src/a' || (seq % 8) || '.ts:1-2] [bad:x] ' else text end as text from {token_events}),
+  x as (select answer_id, coalesce(string_agg(text, '' order by seq) filter (where kind = 'token'), '') as text, count(distinct seq % 8) filter (where kind = 'token' and seq % 4 = 0) as n_citations,
+    floor((epoch_us(min(ts) filter (where kind = 'token')) - epoch_us(min(ts) filter (where kind = 'start'))) / 1000)::bigint as first_token_ms, floor((epoch_us(max(ts) filter (where kind <> 'start')) - epoch_us(min(ts) filter (where kind = 'token'))) / 1000)::bigint as ms,
+    case when answer_id % 4 > 0 and count(*) filter (where kind = 'start') > 0 then answer_id % 7 * 1000 end as retrieval_ms from e group by answer_id)
+  select answer_id, retrieval_ms, first_token_ms, ms as streaming_ms, length(text)::bigint as n_chars, case when ms > 0 then cast(round(length(text) * 1000 / ms) as bigint) end as chars_per_second, n_citations from x""")
 def chat_turn_metrics(spark, sf_dir):
-    return work.assembled(fixture(spark, sf_dir, "token_events")).select("answer_id", "n_chars", "chars_per_second", "n_citations")
+    return work.turn_metrics(fixture(spark, sf_dir, "turn_events"))
 
 
 @query("select c_custkey, lower(c_mktsegment) || '@' || c_custkey || '.org' as email from customer")

@@ -1,7 +1,8 @@
+import numpy as np
 import random
 
 import pytest
-from lodestone.operators import graph, retrieval
+from lodestone.operators import graph, local, retrieval
 from pyspark.sql import functions as F
 
 KIND = "repository_id string, source string, target string, type string"
@@ -163,3 +164,31 @@ def test_graph_prompt(spark):
     q = spark.createDataFrame([("r", 1, "A", "why?"), ("r", 2, "Z", None), ("r", 3, "Z", "how?"), ("s", 4, "A", "x")], "repository_id string, question_id int, node string, text string")
     got = {x["question_id"]: x["prompt"] for x in retrieval.graph_prompt(q, r).collect()}
     assert got == {1: "Graph facts:\n- incoming: A\n- outgoing: A\n- outgoing: B\n\nwhy?", 2: None, 3: "how?", 4: "x"}
+
+
+def test_null_and_empty_repositories_are_two(spark):
+    e = spark.createDataFrame([(None, "a", "q", "imports"), ("", "a", "w", "imports"), ("", "w", "a", "imports")], "repository_id string, source string, target string, type string")
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    assert rows(graph.components(e)) == {(None, "a", "a"), (None, "a", "q"), ("", "a", "a"), ("", "a", "w")}
+    assert rows(graph.reach(e.select("repository_id", F.col("source").alias("seed")).distinct(), e)) == {(None, "a", "a", 0), (None, "a", "q", 1), ("", "a", "a", 0), ("", "a", "w", 1), ("", "w", "w", 0), ("", "w", "a", 1)}
+
+
+def test_seeds_searched_together_reach_what_each_reaches(monkeypatch):
+    """More seeds than go together, against a search from each."""
+    rng = np.random.default_rng(2)
+    n = 300
+    for edges in (150, 700, 3000):
+        a, b = rng.integers(0, n, edges), rng.integers(0, n, edges)
+        to = {i: set(b[a == i].tolist()) for i in range(n)}
+        want = set()
+        for s in range(n):
+            depth, front, seen = 0, {s}, set()
+            while front:
+                want |= {(s, x, depth) for x in front}
+                seen |= front
+                front, depth = set().union(*(to[x] for x in front)) - seen, depth + 1
+        for many in (1, 70, 512):
+            monkeypatch.setattr(local, "TOGETHER", many)
+            got = [t for part in local.reached(*local.rows_of(n, a, b), np.arange(n)) for t in zip(*(x.tolist() for x in part), strict=True)]
+            assert len(got) == len(want) and set(got) == want
+    assert list(local.reached(*local.rows_of(2, np.array([], int), np.array([], int)), np.array([], int))) == []

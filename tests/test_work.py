@@ -66,6 +66,12 @@ def test_trees(spark, tmp_path):
     assert q["entities"] == ["a"] and q["hint"] is None
 
 
+def test_turn_metrics(spark):
+    rows = [(1, 0, at(0), "asked", None), (1, 0, at(0, 4), "retrieved", None), (1, 1, at(0, 5), "start", None), (1, 2, at(0, 6), "token", "see [a.ts:1-2] [a.ts:1-2] [b:3-4]"), (1, 3, at(0, 8), "done", None), (2, 0, at(0), "asked", None), (2, 1, at(1), "token", "x")]
+    x = spark.createDataFrame(rows, "answer_id int, seq int, ts timestamp_ntz, kind string, text string")
+    assert {tuple(r) for r in work.turn_metrics(x).collect()} == {(1, 4000, 1000, 2000, 33, 17, 2), (2, None, None, 0, 1, None, 0)}
+
+
 def test_large_trees_are_listed_by_many_tasks(spark, tmp_path, monkeypatch):
     want = set()
     for i in range(40):
