@@ -36,7 +36,7 @@ from lodestone.llm.pieces import MARK, pieces
 #: Fewer pairs than this are broadcast.
 HEAVY = 200_000
 #: Bytes of text that are aligned together.
-BATCH = 2_000_000
+BATCH = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
