@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 from lodestone.functions.scalars import canonical_path, edge_id, node_id
 from lodestone.operators import graph
 from lodestone.sources import commits
-from lodestone.sources.tables import stage
+from lodestone.sources.tables import few, stage
 
 CERTAINTIES = ("deterministic", "inferred")
 #: The producer and the label of a root that the engine adds (fixed value).
@@ -149,7 +149,7 @@ def publish(repositories: DataFrame, held: DataFrame, nodes: DataFrame, edges: D
     or with a candidate that has no identity, is failed and has no nodes and edges."""
     keys = ["repository_id", "commit_sha"]
     asked = stage(repositories.select(*keys).distinct().join(held.select(*keys).distinct().withColumn("old", F.lit(True)), keys, "left"))
-    new = asked.filter("old is null").select(*keys)
+    new = few(asked.filter("old is null").select(*keys))  # a row for each repository
     only = lambda df: df.join(new.select("repository_id"), "repository_id", "left_semi")
     n, e = stage(only(nodes)), stage(only(edges))  # read several times
     found_n, found_e = stage(identified(with_roots(n, new), False)), stage(identified(e, True))
@@ -162,7 +162,7 @@ def publish(repositories: DataFrame, held: DataFrame, nodes: DataFrame, edges: D
     versions = x.select(*keys, status.alias("status"), "n", "e", "v")
     kept = lambda c: F.when(F.col("status") == "ready", zero(F.col(c))).otherwise(F.lit(0))
     versions = stage(versions.select(*keys, "status", kept("n").alias("n_nodes"), kept("e").alias("n_edges"), F.when(F.col("status") == "failed", zero(F.col("v"))).otherwise(0).alias("n_violations")))
-    ready = versions.filter("status = 'ready'").select(*keys)
+    ready = few(versions.filter("status = 'ready'").select(*keys))
     reasons = bad.select(*keys, "invariant", "subject", message(F.col("invariant"), F.col("subject")).alias("message"))
     return versions, found_n.join(ready, "repository_id"), found_e.join(ready, "repository_id"), reasons
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
 from lodestone.operators import local
-from lodestone.sources.tables import stage
+from lodestone.sources.tables import few, stage
 
 #: Edges of a component that a task takes at most, rows of results for which a task is made, and edges of stars that one task joins.
 LOCAL, CELLS, STARS = 250_000, 1_000_000, 1_000_000
@@ -387,12 +387,13 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(repository_id, id): nodes that the root doesn't reach in either direction; a repository without a root has none.
 
     Edges whose ends are no nodes connect as well. Of several roots the first by name counts."""
-    roots = nodes.filter(F.col("type") == "repository").groupBy("repository_id").agg(F.min("id").alias("root"))
-    at = components(edges)
+    roots = few(stage(nodes.filter(F.col("type") == "repository").groupBy("repository_id").agg(F.min("id").alias("root"))))
     rooted = nodes.join(roots, "repository_id").select("repository_id", "id", "root").distinct()
-    x = rooted.join(at.select("repository_id", F.col("node").alias("id"), "component"), ["repository_id", "id"], "left")
-    x = x.join(at.select("repository_id", F.col("node").alias("root"), F.col("component").alias("reached")), ["repository_id", "root"], "left")
-    return x.filter((F.col("id") != F.col("root")) & ~F.coalesce(F.col("component") == F.col("reached"), F.lit(False))).select("repository_id", "id")
+    at = components(edges).select("repository_id", F.col("node").alias("id"), "component")
+    x = stage(rooted.join(at, ["repository_id", "id"], "left"))
+    reached = few(stage(x.filter(F.col("id") == F.col("root")).select("repository_id", F.col("component").alias("reached"))))  # a row for each root
+    x = x.filter(F.col("id") != F.col("root")).join(reached, "repository_id", "left")
+    return x.filter(~F.coalesce(F.col("component") == F.col("reached"), F.lit(False))).select("repository_id", "id")
 
 
 # Algorithms by name

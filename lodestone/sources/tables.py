@@ -59,6 +59,15 @@ def stage(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a small table that is broadcast.
+FEW = 100_000
+
+
+def few(df: DataFrame) -> DataFrame:
+    """A staged table, broadcast in joins as long as it has up to FEW rows: the other side then isn't shuffled, whatever its keys hold."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def _remove(spark: SparkSession, paths: list[str]) -> int:
     for path in paths:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)
