@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import edge_id, package_name
 from lodestone.operators import lexer
+from lodestone.sources.tables import stage
 
 #: What may follow a relative specifier, in order of preference (fixed values).
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
@@ -82,6 +83,7 @@ def package_nodes(specs: DataFrame) -> DataFrame:
 def import_edges(specs: DataFrame, files: DataFrame) -> DataFrame:
     """(repository_id, id, source, target, type): file to file for resolved relative specifiers, file to package for bare ones; distinct."""
     file = lambda c: F.concat(F.lit("file:"), c)
+    specs = stage(specs)  # files are read once for both kinds
     inner = resolved(specs, files).select("repository_id", file(F.col("path")).alias("source"), file(F.col("target")).alias("target"))
     outer = _packages(specs).select("repository_id", file(F.col("path")).alias("source"), F.concat(F.lit("package:"), "package").alias("target"))
     x = inner.unionByName(outer).distinct()
