@@ -88,7 +88,11 @@ def with_roots(candidates: DataFrame, repositories: DataFrame) -> DataFrame:
 
 def identified(candidates: DataFrame, ends: bool) -> DataFrame:
     """The governed nodes, or edges with both ends, of candidates; those without an identity are left out, see rejected()."""
-    x = edge_ends(candidates) if ends else node_ids(candidates)
+    return _winners((edge_ends if ends else node_ids)(candidates), ends)
+
+
+def _winners(x: DataFrame, ends: bool) -> DataFrame:
+    """identified() of candidates that have their identities."""
     keys = ["repository_id", "id"]
     drop = ["parts", "source_parts", "target_parts", "source_type", "target_type"]
     x = x.filter(F.col("id").isNotNull()).drop(*drop)
@@ -99,31 +103,40 @@ def identified(candidates: DataFrame, ends: bool) -> DataFrame:
 
 def rejected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(repository_id, kind, ordinal, type): candidates without an identity."""
+    return _lost(node_ids(nodes), edge_ends(edges))
+
+
+def _lost(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """rejected() of candidates that have their identities."""
     lost = lambda df, kind: df.filter("id is null").select("repository_id", F.lit(kind).alias("kind"), F.col("ordinal").cast("long").alias("ordinal"), "type")
-    return lost(node_ids(nodes), "node").unionByName(lost(edge_ends(edges), "edge"))
+    return lost(nodes, "node").unionByName(lost(edges, "edge"))
 
 
-def violations(nodes: DataFrame, edges: DataFrame, commits: DataFrame) -> DataFrame:
+def violations(nodes: DataFrame, edges: DataFrame, commits: DataFrame, governed: bool = False) -> DataFrame:
     """(repository_id, invariant, subject) of the eight checks of a graph, for each repository of commits (repository_id, commit_sha).
 
     missing_source and missing_target: an edge without that end; orphan_edge: an edge without one or both; node_certainty and
     edge_certainty: neither deterministic nor inferred, or null; duplicate_node and duplicate_edge: one row for each further
     occurrence of an id; root_count: not one root (subject: how many); commit: a blank or null commit (no subject);
-    orphan_node: a node that the root doesn't reach in either direction, unless there is no root."""
+    orphan_node: a node that the root doesn't reach in either direction, unless there is no root.
+
+    The ends of all edges meet the nodes once, and only ends that are missing go on. governed: nodes and edges come from identified(), so no id occurs again."""
     row = lambda df, name, subject: df.select("repository_id", F.lit(name).alias("invariant"), subject.cast("string").alias("subject"))
-    ids = nodes.select("repository_id", "id").distinct()
-    missing = [row(edges.join(ids.withColumnRenamed("id", c), ["repository_id", c], "left_anti"), f"missing_{c}", F.col("id")) for c in ("source", "target")]
-    lost = edges.select("repository_id", "id", F.explode(F.array("source", "target")).alias("end")).join(ids.withColumnRenamed("id", "end"), ["repository_id", "end"], "left_anti")
-    out = [*missing, row(lost.select("repository_id", "id").distinct(), "orphan_edge", F.col("id"))]
+    ids = nodes.select("repository_id", F.col("id").alias("end"))
+    end = lambda c: F.struct(F.lit(f"missing_{c}").alias("invariant"), F.col(c).alias("end"))
+    ends = edges.select("repository_id", "id", F.explode(F.array(end("source"), end("target"))).alias("x")).select("repository_id", "id", "x.*")
+    lost = stage(ends.join(ids, ["repository_id", "end"], "left_anti").select("repository_id", "invariant", F.col("id").cast("string").alias("subject")))
+    out = [lost, row(lost.select("repository_id", "subject").distinct(), "orphan_edge", F.col("subject"))]
     for df, kind in ((nodes, "node"), (edges, "edge")):
-        extra = df.groupBy("repository_id", "id").count().filter("count > 1").withColumn("nth", F.explode(F.sequence(F.lit(2), F.col("count").cast("int"))))
         unsure = df.filter(~F.coalesce(F.col("certainty").isin(*CERTAINTIES), F.lit(False)))
-        out += [row(extra, f"duplicate_{kind}", F.col("id")), row(unsure, f"{kind}_certainty", F.col("id"))]
-    every = commits.select("repository_id").unionByName(nodes.select("repository_id")).distinct()
-    roots = nodes.groupBy("repository_id").agg(F.count_if(F.col("type") == "repository").alias("n"))
-    roots = every.join(roots, "repository_id", "left").select("repository_id", F.coalesce("n", F.lit(0)).alias("n")).filter("n <> 1")
-    named = commits.filter(F.regexp_like("commit_sha", F.lit(r"\S"))).select("repository_id")
-    out += [row(roots, "root_count", F.col("n")), row(graph.orphans(nodes, edges), "orphan_node", F.col("id")), row(every.join(named, "repository_id", "left_anti"), "commit", F.lit(None))]
+        out.append(row(unsure, f"{kind}_certainty", F.col("id")))
+        if not governed:
+            extra = df.groupBy("repository_id", "id").count().filter("count > 1").withColumn("nth", F.explode(F.sequence(F.lit(2), F.col("count").cast("int"))))
+            out.append(row(extra, f"duplicate_{kind}", F.col("id")))
+    named = commits.select("repository_id", F.lit(0).alias("root"), F.coalesce(F.regexp_like("commit_sha", F.lit(r"\S")), F.lit(False)).alias("named"))
+    roots = nodes.select("repository_id", F.coalesce((F.col("type") == "repository").cast("int"), F.lit(0)).alias("root"), F.lit(False).alias("named"))
+    every = stage(named.unionAll(roots).groupBy("repository_id").agg(F.sum("root").alias("n"), F.max("named").alias("named")))
+    out += [row(every.filter("n <> 1"), "root_count", F.col("n")), row(every.filter("not named"), "commit", F.lit(None)), row(graph.orphans(nodes, edges), "orphan_node", F.col("id"))]
     return reduce(DataFrame.unionByName, out)
 
 
@@ -151,10 +164,10 @@ def publish(repositories: DataFrame, held: DataFrame, nodes: DataFrame, edges: D
     asked = stage(repositories.select(*keys).distinct().join(held.select(*keys).distinct().withColumn("old", F.lit(True)), keys, "left"))
     new = few(asked.filter("old is null").select(*keys))  # a row for each repository
     only = lambda df: df.join(new.select("repository_id"), "repository_id", "left_semi")
-    n, e = stage(only(nodes)), stage(only(edges))  # read several times
-    found_n, found_e = stage(identified(with_roots(n, new), False)), stage(identified(e, True))
-    no_name = rejected(n, e).select("repository_id", F.lit("identity").alias("invariant"), F.concat_ws(" ", "kind", F.col("ordinal").cast("string")).alias("subject"))
-    bad = stage(violations(found_n, found_e, new).unionByName(no_name).join(new, "repository_id"))
+    n, e = stage(node_ids(with_roots(only(nodes), new))), stage(edge_ends(only(edges)))  # read several times
+    found_n, found_e = stage(_winners(n, False)), stage(_winners(e, True))
+    no_name = _lost(n, e).select("repository_id", F.lit("identity").alias("invariant"), F.concat_ws(" ", "kind", F.col("ordinal").cast("string")).alias("subject"))
+    bad = stage(violations(found_n, found_e, new, governed=True).unionByName(no_name).join(new, "repository_id"))
     counts = lambda df, name: df.groupBy("repository_id").agg(F.count("*").alias(name))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     x = asked.join(counts(bad, "v"), "repository_id", "left").join(counts(found_n, "n"), "repository_id", "left").join(counts(found_e, "e"), "repository_id", "left")

@@ -388,12 +388,11 @@ def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     Edges whose ends are no nodes connect as well. Of several roots the first by name counts."""
     roots = few(stage(nodes.filter(F.col("type") == "repository").groupBy("repository_id").agg(F.min("id").alias("root"))))
-    rooted = nodes.join(roots, "repository_id").select("repository_id", "id", "root").distinct()
-    at = components(edges).select("repository_id", F.col("node").alias("id"), "component")
-    x = stage(rooted.join(at, ["repository_id", "id"], "left"))
-    reached = few(stage(x.filter(F.col("id") == F.col("root")).select("repository_id", F.col("component").alias("reached"))))  # a row for each root
+    rooted = nodes.join(roots, "repository_id").select("repository_id", "id", "root", _named("id").alias("node"))
+    x = stage(rooted.join(prepared(edges).labels, "node", "left").select("repository_id", "id", "root", "label"))
+    reached = few(stage(x.filter(F.col("id") == F.col("root")).select("repository_id", F.col("label").alias("reached")).distinct()))  # a row for each root
     x = x.filter(F.col("id") != F.col("root")).join(reached, "repository_id", "left")
-    return x.filter(~F.coalesce(F.col("component") == F.col("reached"), F.lit(False))).select("repository_id", "id")
+    return x.filter(~F.coalesce(F.col("label") == F.col("reached"), F.lit(False))).select("repository_id", "id").distinct()
 
 
 # Algorithms by name
