@@ -3,7 +3,8 @@
 Nodes of different repositories never meet, even if their names are equal; the null repository is one of its own. `edge_type` restricts an algorithm to edges of
 that type. Searches run inside components: connected components are labelled first, and those of up to `LOCAL` edges are
 dealt to tasks, several small ones or a part of the seeds of one at a time, so a task's work is bounded. Larger components
-are searched by rounds of joins, one for each step away from the seeds; both ways give the same rows."""
+are searched by rounds of joins, one for each step away from the seeds; both ways give the same rows. Where only the nodes are
+asked for, not how far they are, cycles of larger components are condensed first, and sets of 64 seeds go along the rest."""
 
 from __future__ import annotations
 
@@ -12,6 +13,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
@@ -23,6 +25,8 @@ from lodestone.sources.tables import few, stage
 LOCAL, CELLS, STARS = 250_000, 1_000_000, 1_000_000
 #: Rounds of a search between two stagings of all that it has found.
 FOLD = 16
+#: Seeds that are numbered together, nodes of a cycle or a component that meet a row together, and seeds that meet those.
+BUCKET, MEMBERS, ASKERS = 4096, 10_000, 100
 #: Between a repository and a node in the name of a node of all repositories.
 MARK = "\u0001"
 #: Stands for the null repository in such a name.
@@ -158,12 +162,16 @@ def labels_of(pairs: DataFrame) -> DataFrame:
             return labels
 
 
+def _placed(g: Prepared) -> DataFrame:
+    """(component, node) of the nodes of edges, by their names of all repositories."""
+    nodes = g.pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return nodes.join(g.labels, "node", "left").select(F.coalesce("label", "node").alias("component"), "node")
+
+
 def components(edges: Edges, edge_type: str | None = None) -> DataFrame:
     """(repository_id, component, node) of the nodes of edges, whatever their direction; named by the smallest node."""
     g = prepared(edges, edge_type)
-    nodes = g.pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    x = nodes.join(g.labels, "node", "left").select(F.coalesce("label", "node").alias("component"), "node")
-    return _split(x, g.kind, ["component", "node"])
+    return _split(_placed(g), g.kind, ["component", "node"])
 
 
 # Searches from seeds
@@ -203,14 +211,18 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Array, list[np.ndarra
 
 
 def _reach_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of reach(), split into repositories and plain names, each name once."""
     t = pa.Table.from_batches(list(batches)).combine_chunks()
     names, (a, b) = local.numbered(t["a"].combine_chunks(), t["b"].combine_chunks())
-    names, edge = names.cast(pa.string()), t["kind"].to_numpy() == 0
+    edge = t["kind"].to_numpy() == 0
+    parts = pc.list_flatten(pc.split_pattern(names.cast(pa.string()), MARK, max_splits=1))
+    repository, plain = parts.take(pa.array(np.arange(0, len(parts), 2))), parts.take(pa.array(np.arange(1, len(parts), 2)))
     found = local.reached(*local.rows_of(len(names), a[edge], b[edge]), np.unique(a[~edge]))
     for seed, node, depth in found:
         for i in range(0, len(seed), 100_000):
             k = slice(i, i + 100_000)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(seed[k])), names.take(pa.array(node[k])), pa.array(depth[k], pa.int32())], names=["seed", "node", "depth"])
+            of = pa.array(seed[k])
+            yield pa.RecordBatch.from_arrays([repository.take(of), plain.take(of), plain.take(pa.array(node[k])), pa.array(depth[k], pa.int32())], names=["repository_id", "seed", "node", "depth"])
 
 
 def _paths_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,17 +287,60 @@ def _alone(asked: DataFrame, pairs: DataFrame) -> DataFrame:
     return asked.join(pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct(), "a", "left_anti")
 
 
+def _closure_far(pairs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(seed, node) of all that seeds reach, themselves included, by rounds of joins over the graph of its cycles.
+
+    A cycle is one node, so no round goes around it. Seeds are numbered in blocks of 64, those of a cycle side by side, and a row says which of a
+    block have reached a node: they share each step over an edge, and pass it on only while it is new."""
+    pairs = stage(pairs.filter("a <> b"))
+    cycle = stage(_cycles_far(pairs).select("node", F.col("cycle_id").alias("g")))
+    at = few(cycle)
+    group = lambda df, c: df.join(at.select(F.col("node").alias(c), F.col("g").alias("__g")), c, "left").withColumn(c, F.coalesce("__g", c)).drop("__g")
+    dag = stage(group(group(pairs, "a"), "b").filter("a <> b").distinct())
+    seeds = asked.select(F.col("a").alias("g"), F.col("a").alias("seed")).distinct()
+    bucket = F.pmod(F.xxhash64("seed"), F.lit(-(-seeds.count() // BUCKET) or 1))
+    row = F.row_number().over(Window.partitionBy("bucket").orderBy("g", "seed")) - 1
+    seeds = group(seeds, "g").withColumn("bucket", bucket).withColumn("row", row)
+    seeds = stage(seeds.select("seed", "g", F.struct("bucket", F.floor(F.col("row") / 64).alias("part")).alias("block"), (F.col("row") % 64).alias("bit")))
+    united = lambda df: df.groupBy("block", "g").agg(F.bit_or("bits").alias("bits"))
+    front = stage(united(seeds.select("block", "g", F.expr("shiftleft(1L, bit)").alias("bits"))))
+    seen, rounds = front, 0
+    while not front.isEmpty():
+        met = united(front.join(dag.withColumnRenamed("a", "g"), "g").select("block", F.col("b").alias("g"), "bits"))
+        new = met.join(united(seen).withColumnRenamed("bits", "had"), ["block", "g"], "left")
+        front = stage(new.select("block", "g", F.expr("bits & ~coalesce(had, 0L)").alias("bits")).filter("bits <> 0"))
+        seen, rounds = seen.unionByName(front), rounds + 1
+        seen = stage(united(seen)) if rounds % FOLD == 0 else seen
+    # the nodes of large cycles are dealt, so no task takes all of one
+    parts = few(stage(cycle.groupBy("g").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")).filter("parts > 1")))
+    members = cycle.join(parts, "g", "left").select("g", "node", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).alias("part"))
+    dealt = united(seen).join(parts, "g", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1)))
+    rows = dealt.join(members, ["g", "part"], "left").select("block", "bits", F.coalesce("node", "g").alias("node"))
+    blocks = seeds.groupBy("block").agg(F.transform(F.sort_array(F.collect_list(F.struct("bit", "seed"))), lambda x: x["seed"]).alias("seeds"))
+    rows = rows.join(few(stage(blocks)), "block")
+    return rows.select(F.explode(F.expr("filter(seeds, (x, i) -> (shiftrightunsigned(bits, i) & 1L) = 1L)")).alias("seed"), "node")
+
+
+def _search(seeds: DataFrame, g: Prepared, far: Callable[[DataFrame, DataFrame], DataFrame], rest: list[str]) -> DataFrame:
+    """Seeds, the nodes that they reach, and the columns of the rest; components that are too large for a task go by `far`."""
+    asked = stage(seeds.select(_named("seed").alias("a"), F.lit(None).cast("string").alias("b")).filter("a is not null").distinct())
+    near, pairs, far_asked = _units(asked, g)
+    found = near.groupBy("g").applyInArrow(_reach_locally, "repository_id string, seed string, node string, depth int")
+    found = found.select(F.nullif("repository_id", F.lit(NO_REPOSITORY)).cast(g.kind).alias("repository_id"), "seed", "node", *rest)
+    alone = _alone(asked, g.pairs).select(F.col("a").alias("seed"), F.col("a").alias("node"), F.lit(0).alias("depth"))
+    found = found.unionByName(_split(alone, g.kind, ["seed", "node"], rest))
+    return found if far_asked.isEmpty() else found.unionByName(_split(far(pairs, far_asked), g.kind, ["seed", "node"], rest))
+
+
 def reach(seeds: DataFrame, edges: Edges, edge_type: str | None = None) -> DataFrame:
     """(repository_id, seed, node, depth): all nodes reached from each seed (repository_id, seed) along edges, with the
     fewest steps; the seed has depth 0, even on a cycle or without an edge."""
-    g = prepared(edges, edge_type)
-    asked = stage(seeds.select(_named("seed").alias("a"), F.lit(None).cast("string").alias("b")).filter("a is not null").distinct())
-    near, far, far_asked = _units(asked, g)
-    found = near.groupBy("g").applyInArrow(_reach_locally, "seed string, node string, depth int")
-    found = found.unionByName(_alone(asked, g.pairs).select(F.col("a").alias("seed"), F.col("a").alias("node"), F.lit(0).alias("depth")))
-    if not far_asked.isEmpty():
-        found = found.unionByName(_reach_far(far, far_asked))
-    return _split(found, g.kind, ["seed", "node"], ["depth"])
+    return _search(seeds, prepared(edges, edge_type), _reach_far, ["depth"])
+
+
+def closure(seeds: DataFrame, edges: Edges, edge_type: str | None = None) -> DataFrame:
+    """(repository_id, seed, node): reach() without the steps, for which cycles of large components needn't be walked."""
+    return _search(seeds, prepared(edges, edge_type), _closure_far, [])
 
 
 def shortest_paths(asked: DataFrame, edges: Edges, edge_type: str | None = None) -> DataFrame:
@@ -411,10 +466,15 @@ def dependencies(edges: Edges, seeds: DataFrame, direction: str = "both", mode:
         near = near if direction == "both" else near.filter(F.col("direction") == direction)
         return near.select("repository_id", "seed", F.col("other").alias("node")).distinct()
     if direction == "both":  # the rest of the component
-        at = components(g)
-        mine = seeds.join(at.withColumnRenamed("node", "seed"), ["repository_id", "seed"])
-        return mine.join(at, ["repository_id", "component"]).filter("seed <> node").select("repository_id", "seed", "node")
-    return reach(seeds, g if direction == "outgoing" else g.turned()).filter("seed <> node").select("repository_id", "seed", "node")
+        at = _placed(g)
+        mine = stage(seeds.select(_named("seed").alias("seed")).filter("seed is not null").join(at.withColumnRenamed("node", "seed"), "seed"))
+        busy = mine.groupBy("component").agg(F.ceil(F.count("*") / ASKERS).cast("int").alias("q")).join(g.sizes, "component")
+        busy = few(stage(busy.select("component", "q", F.ceil(F.col("n_nodes") / MEMBERS).cast("int").alias("p"))))
+        # seeds and nodes of a component are dealt, and each part of one meets each of the other
+        dealt = lambda df, c, mine, other: df.join(busy, "component").withColumns({f"{mine}s": F.pmod(F.xxhash64(c), mine), f"{other}s": F.explode(F.sequence(F.lit(0).cast("long"), F.col(other).cast("long") - 1))}).drop("p", "q")
+        x = dealt(mine, "seed", "q", "p").join(dealt(at, "node", "p", "q"), ["component", "ps", "qs"]).filter("seed <> node")
+        return _split(x, g.kind, ["seed", "node"])
+    return closure(seeds, g if direction == "outgoing" else g.turned()).filter("seed <> node").select("repository_id", "seed", "node")
 
 
 def _dependency_analysis(nodes: DataFrame, edges: DataFrame, params: DataFrame | None = None, mode: str = "direct", direction: str = "both", edge_type: str | None = None) -> DataFrame:

@@ -192,3 +192,29 @@ def test_seeds_searched_together_reach_what_each_reaches(monkeypatch):
             got = [t for part in local.reached(*local.rows_of(n, a, b), np.arange(n)) for t in zip(*(x.tolist() for x in part), strict=True)]
             assert len(got) == len(want) and set(got) == want
     assert list(local.reached(*local.rows_of(2, np.array([], int), np.array([], int)), np.array([], int))) == []
+
+
+def test_what_many_seeds_depend_on(spark, way, monkeypatch):
+    """A cycle, ways into it and out of it, and a component of its own, with more seeds than a block holds; against a search from each."""
+    # blocks, the nodes of a cycle and those of a component are split, and small tables aren't broadcast
+    monkeypatch.setattr(graph, "BUCKET", 70)
+    monkeypatch.setattr(graph, "MEMBERS", 4)
+    monkeypatch.setattr(graph, "ASKERS", 9)
+    monkeypatch.setattr("lodestone.sources.tables.FEW", 0)
+    rng = random.Random(11)
+    pairs = [(f"c{i:03}", f"c{(i + 1) % 9:03}") for i in range(9)] + [(f"in{i:03}", f"c{rng.randrange(9):03}") for i in range(75)]
+    pairs += [(f"c{rng.randrange(9):03}", f"out{i}") for i in range(5)] + [(f"in{i:03}", f"in{i + 1:03}") for i in range(4)] + [("x", "y"), ("y", "x"), ("y", "z"), ("z", "z")]
+    e = edges(spark, pairs).unionByName(edges(spark, [("c000", "only here")], "s")).unionByName(edges(spark, [("c000", "not this")], "r", "contains"))
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+    nodes = sorted({x for p in pairs for x in p})
+    to = {n: closure(after, n) - {n} for n in nodes}
+    seeds = spark.createDataFrame([("r", n) for n in [*nodes, nodes[0], "alone", None]], "repository_id string, seed string")
+    rows = lambda direction: sorted(map(tuple, graph.dependencies(e, seeds, direction, "transitive", "imports").collect()))
+    assert rows("outgoing") == sorted(("r", n, m) for n in nodes for m in to[n])
+    assert rows("incoming") == sorted(("r", m, n) for n in nodes for m in to[n])
+    of = lambda n: n[0] in "xyz"
+    assert rows("both") == sorted(("r", n, m) for n in nodes for m in nodes if n != m and of(n) == of(m))
+    got = sorted(map(tuple, graph.closure(seeds, e, "imports").collect()))
+    assert got == sorted([("r", n, m) for n in nodes for m in to[n] | {n}] + [("r", "alone", "alone")])
