@@ -177,18 +177,20 @@ def components(edges: Edges, edge_type: str | None = None) -> DataFrame:
 # Searches from seeds
 
 
-def _units(asked: DataFrame, graph: Prepared) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _units(asked: DataFrame, graph: Prepared, together: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (g, kind, a, b) of the groups that tasks search: edges (kind 0) and what is asked (kind 1); and the edges and
     the questions of the components that are too large for that. A group has some components, or one and some of its seeds.
 
-    asked: (a, b) seeds and targets, staged; the target is null for a search of everything."""
+    asked: (a, b) seeds and targets, staged; the target is null for a search of everything. together: how many seeds share the steps of a
+    search, so that fewer of them aren't worth a copy of their component's edges."""
     inside, sizes = graph.inside, graph.sizes
     where = inside.select(F.explode(F.array("a", "b")).alias("a"), "component").distinct()
     seeds = stage(asked.join(where, "a"))
     # the rows that a component's searches give, or pass at least
     work = F.greatest(F.col("n_edges"), F.col("n_seeds") * F.col("n_nodes"))
     busy = seeds.select("component", "a").distinct().groupBy("component").agg(F.count("*").alias("n_seeds")).join(sizes, "component")
-    busy = stage(busy.withColumn("chunks", F.ceil(work / CELLS).cast("int")).withColumn("work", work))
+    chunks = F.least(F.ceil(work / CELLS), F.ceil(F.col("n_seeds") / together)).cast("int")
+    busy = stage(busy.withColumn("chunks", chunks).withColumn("work", work))
     total = busy.filter(F.col("n_edges") <= LOCAL).agg(F.sum(F.col("work") + F.col("chunks") * F.col("n_edges"))).first()[0] or 0
     n = int(max(1, total // CELLS))
     group = lambda chunk: F.pmod(F.xxhash64("component", chunk), F.lit(n)).alias("g")
@@ -324,7 +326,7 @@ def _closure_far(pairs: DataFrame, asked: DataFrame) -> DataFrame:
 def _search(seeds: DataFrame, g: Prepared, far: Callable[[DataFrame, DataFrame], DataFrame], rest: list[str]) -> DataFrame:
     """Seeds, the nodes that they reach, and the columns of the rest; components that are too large for a task go by `far`."""
     asked = stage(seeds.select(_named("seed").alias("a"), F.lit(None).cast("string").alias("b")).filter("a is not null").distinct())
-    near, pairs, far_asked = _units(asked, g)
+    near, pairs, far_asked = _units(asked, g, local.TOGETHER)
     found = near.groupBy("g").applyInArrow(_reach_locally, "repository_id string, seed string, node string, depth int")
     found = found.select(F.nullif("repository_id", F.lit(NO_REPOSITORY)).cast(g.kind).alias("repository_id"), "seed", "node", *rest)
     alone = _alone(asked, g.pairs).select(F.col("a").alias("seed"), F.col("a").alias("node"), F.lit(0).alias("depth"))

@@ -132,6 +132,7 @@ def test_long_components_by_rounds(spark, monkeypatch):
 
 def test_many_groups(spark, monkeypatch):
     monkeypatch.setattr(graph, "CELLS", 40)  # the seeds of one component go to several tasks
+    monkeypatch.setattr(local, "TOGETHER", 4)
     pairs = [(f"a{i:02}", f"a{i + 1:02}") for i in range(30)] + [(f"b{i}", f"b{i + 1}") for i in range(5)]
     e = edges(spark, pairs)
     seeds = e.select("repository_id", F.col("source").alias("seed")).distinct()
