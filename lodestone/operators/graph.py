@@ -22,9 +22,11 @@ from lodestone.operators import local
 from lodestone.sources.tables import few, stage
 
 #: Edges of a component that a task takes at most, rows of results for which a task is made, and edges of stars that one task joins.
-LOCAL, CELLS, STARS = 250_000, 1_000_000, 1_000_000
-#: Rounds of a search between two stagings of all that it has found.
-FOLD = 16
+LOCAL, CELLS, STARS = 2_000_000, 1_000_000, 1_000_000
+#: Copies of a component's edges that its seeds are dealt over at most, and edges for which a task is made where no seeds are asked for.
+COPIES, SHARE = 32, 250_000
+#: Rounds of a search between two stagings of all that it has found, and rows of a round that are broadcast.
+FOLD, SMALL = 16, 10_000
 #: Seeds that are numbered together, nodes of a cycle or a component that meet a row together, and seeds that meet those.
 BUCKET, MEMBERS, ASKERS = 4096, 10_000, 100
 #: Between a repository and a node in the name of a node of all repositories.
@@ -134,7 +136,7 @@ def _stars(batches: Iterator[pa.RecordBatch], roots: bool = False) -> Iterator[p
     for b in batches:
         now.append(b)
         n += b.num_rows
-        if n >= max(LOCAL, STARS):
+        if n >= STARS:
             yield done(now)
             now, n = [], 0
     if now:
@@ -144,22 +146,31 @@ def _stars(batches: Iterator[pa.RecordBatch], roots: bool = False) -> Iterator[p
 def labels_of(pairs: DataFrame) -> DataFrame:
     """(node, label): the smallest node of its component, for each node of staged pairs (a, b) with an edge to another.
 
-    Tasks first reduce their edges to stars. If few are left, one task joins them; else labels spread over the stars, and
-    each node also takes the label of its label, so a chain of n nodes takes about log2 n rounds."""
-    stars = stage(pairs.filter("a <> b").select("a", "b").mapInArrow(_stars, "a string, b string"))
-    if stars.limit(STARS + 1).count() <= STARS:
-        one = stars.coalesce(1).mapInArrow(lambda b: _stars(b, True), "a string, b string")
-        return stage(one.select(F.col("a").alias("node"), F.col("b").alias("label")))
-    both = stage(stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select("node", F.least("node", "near").alias("label"))
-    while True:
-        labels = stage(labels)
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hop = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = stage(labels.join(near, "node").join(hop, "label").select("node", F.least("near", "far", "label").alias("new"), "label"))
-        labels = new.select("node", F.col("new").alias("label"))
-        if new.filter("new <> label").isEmpty():
-            return labels
+    Tasks first reduce their edges to stars. While many are left, nodes that come after all their neighbours in the order of a hash follow one of
+    them and leave, so a third of the nodes of a chain leave in a round, and all rounds together cost a few times the first. One task
+    joins what remains, and those that left take the label of the node that they followed."""
+    order = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("name"))
+    stars, left = stage(pairs.filter("a <> b").select("a", "b").mapInArrow(_stars, "a string, b string")), []
+    while stars.limit(STARS + 1).count() > STARS:
+        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = both.groupBy("a").agg(F.min(order("b")).alias("first"), F.max(order("b")).alias("last"))
+        gone = stage(near.filter(order("a") > F.col("last")).select(F.col("a").alias("node"), F.col("first.name").alias("to")))
+        left.append(gone)
+        for c in ("a", "b"):  # one end of an edge leaves at most
+            stars = stars.join(gone.select(F.col("node").alias(c), "to").hint("merge"), c, "left").withColumn(c, F.coalesce("to", c)).drop("to")
+        stars = stage(stars.filter("a <> b").select("a", "b").distinct().mapInArrow(_stars, "a string, b string"))
+    one = stars.coalesce(1).mapInArrow(lambda b: _stars(b, True), "a string, b string")
+    labels = stage(one.select(F.col("a").alias("node"), F.col("b").alias("label")))
+    if not left:
+        return labels
+    for gone in reversed(left):
+        back = stage(gone.join(labels.select(F.col("node").alias("to"), "label").hint("merge"), "to", "left"))
+        # one that was followed may have had no edge left
+        ends = back.filter("label is null").select(F.col("to").alias("node"), F.col("to").alias("label")).distinct()
+        labels = labels.unionByName(back.select("node", F.coalesce("label", "to").alias("label"))).unionByName(ends)
+    labels = stage(labels)
+    least = labels.groupBy("label").agg(F.min("node").alias("least"))
+    return stage(labels.join(least.hint("merge"), "label").select("node", F.col("least").alias("label")))
 
 
 def _placed(g: Prepared) -> DataFrame:
@@ -189,7 +200,8 @@ def _units(asked: DataFrame, graph: Prepared, together: int = 1) -> tuple[DataFr
     # the rows that a component's searches give, or pass at least
     work = F.greatest(F.col("n_edges"), F.col("n_seeds") * F.col("n_nodes"))
     busy = seeds.select("component", "a").distinct().groupBy("component").agg(F.count("*").alias("n_seeds")).join(sizes, "component")
-    chunks = F.least(F.ceil(work / CELLS), F.ceil(F.col("n_seeds") / together)).cast("int")
+    # seeds rarely reach all of their component, so work is far above what they find: a copy of the edges for each CELLS of it would outgrow the searches
+    chunks = F.least(F.ceil(work / CELLS), F.ceil(F.col("n_seeds") / together), F.lit(COPIES)).cast("int")
     busy = stage(busy.withColumn("chunks", chunks).withColumn("work", work))
     total = busy.filter(F.col("n_edges") <= LOCAL).agg(F.sum(F.col("work") + F.col("chunks") * F.col("n_edges"))).first()[0] or 0
     n = int(max(1, total // CELLS))
@@ -204,12 +216,13 @@ def _units(asked: DataFrame, graph: Prepared, together: int = 1) -> tuple[DataFr
     return edges.unionByName(mine), *far
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Array, list[np.ndarray], list[tuple[int, int]]]:
-    """The names of a group, its edges as neighbours, and what is asked."""
+def _tables(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Array, tuple[list[int], list[int]], list[tuple[int, int]]]:
+    """The names of a group, the targets of its edges (see local.rows_of), and what is asked."""
     t = pa.Table.from_batches(list(batches)).combine_chunks()
     names, (a, b) = local.numbered(t["a"].combine_chunks(), t["b"].combine_chunks())
     edge = t["kind"].to_numpy() == 0
-    return names, local.neighbours(len(names), a[edge], b[edge]), list(zip(a[~edge].tolist(), b[~edge].tolist(), strict=True))
+    flat, start = local.rows_of(len(names), a[edge], b[edge])
+    return names, (flat.tolist(), start.tolist()), list(zip(a[~edge].tolist(), b[~edge].tolist(), strict=True))
 
 
 def _reach_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +255,7 @@ def _paths_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         return pa.RecordBatch.from_arrays([flat.take(pa.array(ends[:-1])), flat.take(pa.array(ends[1:] - 1)), path], schema=kind)
 
     for s, targets in by.items():
-        for path in local.shortest(to, s, None if -1 in targets else targets):
+        for path in local.shortest(*to, s, None if -1 in targets else targets):
             now.append(np.array(path))
             n += len(path)
             if n >= 100_000:
@@ -252,14 +265,20 @@ def _paths_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield rows()
 
 
+def _front(df: DataFrame) -> tuple[DataFrame, bool]:
+    """A staged table for a join, and whether it has rows. Spark would broadcast a far larger one, in each round anew and by the driver."""
+    n = df.count()
+    return (F.broadcast(df) if n <= SMALL else df.hint("merge")), n > 0
+
+
 def _reach_far(pairs: DataFrame, asked: DataFrame) -> DataFrame:
     """(seed, node, depth) by rounds of joins."""
     front = stage(asked.select(F.col("a").alias("seed"), F.col("a").alias("node"), F.lit(0).alias("depth")).distinct())
     seen, depth = front, 0
-    while not front.isEmpty():
+    while (met := _front(front))[1]:
         depth += 1
-        new = front.join(pairs.withColumnRenamed("a", "node"), "node").select("seed", F.col("b").alias("node")).distinct()
-        front = stage(new.join(seen, ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        new = pairs.hint("merge").withColumnRenamed("a", "node").join(met[0], "node").select("seed", F.col("b").alias("node")).distinct()
+        front = stage(new.join(seen.hint("merge"), ["seed", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         seen = seen.unionByName(front)
         seen = stage(seen) if depth % FOLD == 0 else seen
     return seen
@@ -376,7 +395,7 @@ def _cycles_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def _spread(labels: DataFrame, pairs: DataFrame) -> DataFrame:
     """The smallest label that reaches each node (node, label) along pairs; labels only fall, so this ends."""
     while True:
-        best = pairs.join(labels.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("got"))
+        best = pairs.join(labels.withColumnRenamed("node", "a").hint("merge"), "a").groupBy(F.col("b").alias("node")).agg(F.min("label").alias("got"))
         new = stage(labels.join(best, "node", "left").select("node", F.least("label", F.coalesce("got", "label")).alias("new"), "label"))
         labels = new.select("node", F.col("new").alias("label"))
         if new.filter("new <> label").isEmpty():
@@ -394,13 +413,18 @@ def _cycles_far(left: DataFrame) -> DataFrame:
     left = stage(left)
     while True:
         n = left.count()
-        while n:  # trimming
-            left = stage(left.join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi"))
+        while n > LOCAL:  # trimming
+            left = stage(left.join(left.select(F.col("a").alias("b")).distinct().hint("merge"), "b", "left_semi").join(left.select(F.col("b").alias("a")).distinct().hint("merge"), "a", "left_semi"))
             n, before = left.count(), n
             if n == before:
                 break
         if not n:
             break
+        if n <= LOCAL:  # a task takes what is left
+            rest = left.coalesce(1).mapInArrow(_cycles_locally, "cycle_id string, node string")
+            rest = rest.select(F.col("cycle_id").alias("seed"), "node")
+            found = rest if found is None else found.unionByName(rest)
+            break
         nodes = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         colour = _spread(nodes.withColumn("label", name("node")), left)
         inside = left.join(colour.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(colour.select(F.col("node").alias("b"), F.col("label").alias("y")), "b").filter("x = y")
@@ -429,7 +453,7 @@ def cycles(edges: Edges, edge_type: str | None = None) -> DataFrame:
     g = prepared(edges, edge_type)
     loops = g.pairs.filter("a = b").select(F.col("a").alias("cycle_id"), F.col("a").alias("node"))
     total, most = g.sizes.agg(F.sum("n_edges"), F.max("n_edges")).first()
-    n = int(max(1, (total or 0) // max(1, LOCAL)))
+    n = int(max(1, (total or 0) // SHARE))
     ways = g.inside.filter("a <> b")
     large = g.sizes.filter(F.col("n_edges") > LOCAL).select("component")
     fits = ways.join(large, "component", "left_anti") if (most or 0) > LOCAL else ways

@@ -33,12 +33,6 @@ def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def neighbours(n: int, a: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
-    """The distinct targets of each node, in order."""
-    pairs = np.unique(a * n + b) if len(a) else np.empty(0, np.int64)
-    return np.split(pairs % n, np.searchsorted(pairs // n, np.arange(1, n))) if n else []
-
-
 def rows_of(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct targets of all nodes in a row, in order, and where those of each begin, and the end."""
     pairs = np.unique(a * n + b) if len(a) else np.empty(0, np.int64)
@@ -47,7 +41,7 @@ def rows_of(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def cyclic(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest node of each node's strongly connected component (Tarjan's algorithm without recursion)."""
-    to = [x.tolist() for x in neighbours(n, a, b)]
+    flat, first = (x.tolist() for x in rows_of(n, a, b))
     index, low, root = [-1] * n, [0] * n, np.full(n, -1)
     open_, count = [], 0
     for start in range(n):
@@ -60,10 +54,10 @@ def cyclic(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
                 index[v] = low[v] = count
                 count += 1
                 open_.append(v)
-            for j in range(i, len(to[v])):
-                w = to[v][j]
+            for j in range(first[v] + i, first[v + 1]):
+                w = flat[j]
                 if index[w] < 0:
-                    todo += [(v, j + 1), (w, 0)]
+                    todo += [(v, j + 1 - first[v]), (w, 0)]
                     break
                 if root[w] < 0:
                     low[v] = min(low[v], index[w])
@@ -87,10 +81,11 @@ def reached(flat: np.ndarray, start: np.ndarray, seeds: np.ndarray) -> Iterator[
 
     Many seeds go together, so they share each step over an edge: a node's set has a bit for each of them, and a step unites the sets
     of those that an edge leads from and keeps what is new."""
+    # one table of sets for all parts; rows that a part has used are emptied after it, so a part costs what it reaches
+    seen = np.zeros((len(start) - 1, -(-min(len(seeds), TOGETHER) // 64)), np.uint64)
     for k in range(0, len(seeds), TOGETHER):
         part = seeds[k : k + TOGETHER]
-        words = -(-len(part) // 64)
-        seen = np.zeros((len(start) - 1, words), np.uint64)
+        used = [part]
         bit = np.arange(len(part))
         seen[part, bit // 64] = np.uint64(1) << (bit % 64).astype(np.uint64)
         front, new, depth = part, seen[part], 0
@@ -109,16 +104,19 @@ def reached(flat: np.ndarray, start: np.ndarray, seeds: np.ndarray) -> Iterator[
             some = met.any(1)
             front, new, depth = nodes[some], met[some], depth + 1
             seen[front] |= new
+            used.append(front)
+        for rows in used:
+            seen[rows] = 0
 
 
-def shortest(to: list[np.ndarray], seed: int, wanted: set[int] | None) -> Iterator[list[int]]:
-    """The first shortest path, in the order of the nodes, from a seed to each wanted node that it reaches (None: to all)."""
+def shortest(flat: list[int], start: list[int], seed: int, wanted: set[int] | None) -> Iterator[list[int]]:
+    """The first shortest path, in the order of the nodes, from a seed to each wanted node that it reaches (None: to all); see rows_of."""
     before, front = {seed: -1}, [seed]
     left = None if wanted is None else wanted - {seed}
     while front and (left is None or left):
         new = []
         for x in front:  # in the order of their paths, so the first to meet a node has the first path to it
-            for y in to[x].tolist():
+            for y in flat[start[x] : start[x + 1]]:
                 if y not in before:
                     before[y] = x
                     new.append(y)

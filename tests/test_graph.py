@@ -219,3 +219,27 @@ def test_what_many_seeds_depend_on(spark, way, monkeypatch):
     assert rows("both") == sorted(("r", n, m) for n in nodes for m in nodes if n != m and of(n) == of(m))
     got = sorted(map(tuple, graph.closure(seeds, e, "imports").collect()))
     assert got == sorted([("r", n, m) for n in nodes for m in to[n] | {n}] + [("r", "alone", "alone")])
+
+
+def test_copies_of_a_component_are_bounded(spark, monkeypatch):
+    """The seeds of a component are dealt over a bounded number of copies of its edges, however many of its nodes they might reach."""
+    monkeypatch.setattr(graph, "CELLS", 20)
+    pairs = [(f"a{i:03}", f"a{i // 3:03}") for i in range(1, 200)]
+    g = graph.prepared(edges(spark, pairs))
+    asked = spark.createDataFrame([(f"r{graph.MARK}{a}", None) for a, _ in pairs], "a string, b string")
+    rows = graph._units(asked, g)[0].groupBy("kind").count()
+    assert {r["kind"]: r["count"] for r in rows.collect()} == {0: graph.COPIES * len(pairs), 1: len(pairs)}
+
+
+def test_labels_of_nodes_that_leave(spark, monkeypatch):
+    """Rounds that leave nodes out, until few edges are left, against plain code."""
+    rng = random.Random(3)
+    pairs = [(f"n{i:03}", f"n{i + 1:03}") for i in range(0, 120)] + [(f"m{rng.randrange(150):03}", f"m{rng.randrange(150):03}") for _ in range(110)] + [("x", "y"), ("z", "z")]
+    names = {x: x for p in pairs for x in p}
+    for _ in names:
+        for a, b in pairs:
+            names[a] = names[b] = min(names[a], names[b])
+    monkeypatch.setattr(graph, "STARS", 30)
+    got = graph.labels_of(spark.createDataFrame(pairs, "a string, b string").repartition(6)).collect()
+    want = {(n, c) for n, c in names.items() if any(n in p and p[0] != p[1] for p in pairs)}
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
