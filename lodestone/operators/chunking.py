@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import language_label
+from lodestone.sources.tables import few, stage
 
 FILE = ["repository_id", "path"]
 
@@ -66,8 +67,9 @@ def ingest_counts(batch: DataFrame, target: DataFrame, keys: list[str], order: l
 
 def with_checkpoint(files: DataFrame, saved: DataFrame, keys: list[str], chunk: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The chunks of all files with `reused`: those saved for their keys if there are any, else chunked anew."""
-    held = saved.select(*keys).distinct()
-    old = saved.join(files.select(*keys).distinct(), keys, "left_semi").withColumn("reused", F.lit(True))
+    # few keys may have very many files, which would meet in a task each if they were shuffled by key
+    held, wanted = few(stage(saved.select(*keys).distinct())), few(stage(files.select(*keys).distinct()))
+    old = saved.join(wanted, keys, "left_semi").withColumn("reused", F.lit(True))
     return old.unionByName(chunk(files.join(held, keys, "left_anti")).withColumn("reused", F.lit(False)))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import scalars
 from lodestone.operators import annotations, answers, chunking, govern, repositories, retrieval, work
 from lodestone.plans.registry import FIXTURES, ORACLE_SQL, fixture, query
-from lodestone.sources.tables import table
+from lodestone.sources.tables import few, stage, table
 from lodestone.streaming import jobs
 
 FIXTURES.update({
@@ -111,7 +111,7 @@ def repository_names(spark, sf_dir):
   select repository_id, path, content_hash, repository_id in (select repository_id from held) as reused from c""")
 def checkpoint_reuse(spark, sf_dir):
     files = fixture(spark, sf_dir, "files")
-    held = files.join(files.filter("size > 15000").select("repository_id").distinct(), "repository_id", "left_semi")
+    held = files.join(few(stage(files.filter("size > 15000").select("repository_id").distinct())), "repository_id", "left_semi")
     saved = held.filter(F.col("content").rlike(r"\S")).select("repository_id", "path", F.sha2("content", 256).alias("content_hash"))
     out = chunking.with_checkpoint(files, saved, ["repository_id"], lambda f: f.filter(F.col("content").rlike(r"\S")).select("repository_id", "path", F.sha2("content", 256).alias("content_hash")))
     return out.select("repository_id", "path", "content_hash", "reused")

@@ -143,3 +143,14 @@ def test_scalars_and_checkpoint(spark):
     saved = spark.createDataFrame([("r", "old"), ("gone", "z")], "repository_id string, path string")
     got = chunking.with_checkpoint(files, saved, ["repository_id"], lambda f: f)
     assert {tuple(r) for r in got.collect()} == {("r", "old", True), ("s", "b", False)}
+
+
+def test_checkpoints_of_few_keys_shuffle_no_files(spark):
+    files = spark.createDataFrame([("r", "a"), ("s", "b")], "repository_id string, path string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = chunking.with_checkpoint(files, files.filter("repository_id = 'r'"), ["repository_id"], lambda f: f)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and {tuple(r) for r in got.collect()} == {("r", "a", True), ("s", "b", False)}
