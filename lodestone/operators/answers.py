@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.scalars import question_class
 from lodestone.operators import graph
 from lodestone.operators.evaluation import entities
-from lodestone.sources.tables import stage
+from lodestone.sources.tables import few, stage
 
 #: Questions suggested for a node of each type, and for any other type (fixed values).
 SUGGESTIONS = {
@@ -26,6 +26,8 @@ SUGGESTIONS_ELSE = ["Explain this component.", "What does this depend on?", "Wha
 NO_PATH, NONE_FOUND = "No path exists between these components.", "None found."
 #: Characters of the pieces that hints are looked up by, and what bounds the entries of one that aren't split.
 GRAM, FREQUENT = 3, 10_000
+#: Questions about cycles that a copy of their repository's text is made for.
+SHARED = 100
 
 
 def suggestions(nodes: DataFrame) -> DataFrame:
@@ -141,20 +143,39 @@ def answer_texts(questions: DataFrame, edges: graph.Edges, labels: DataFrame, ed
     labels: repository_id, node, label; a node without a label shows its id. A path is joined by arrows, other nodes by commas in
     the order of their ids, and each cycle is a line in the order of its ids; cycles come by their smallest node. A text is one
     value, so an answer is as long as what it lists; answer_rows has the same as rows."""
-    x = classified(questions).filter("category in ('pure_graph', 'intelligence')")
-    shown = lambda df: df.join(labels, ["repository_id", "node"], "left").withColumn("label", F.coalesce("label", "node"))
-    edges = graph.prepared(edges, edge_type)
-    rows = shown(answer_rows(questions, edges)).groupBy(*QUESTION, "mode").agg(F.array_sort(F.collect_list(F.struct("position", "node", "label"))).alias("x"))
+    x, edges = classified(questions), graph.prepared(edges, edge_type)
+    told = _beside_cycles(x.filter("category = 'intelligence'").select(*QUESTION), edges, labels)
+    return _dependency_texts(x, edges, labels).unionByName(told)
+
+
+def _shown(df: DataFrame, labels: DataFrame) -> DataFrame:
+    return df.join(labels, ["repository_id", "node"], "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _dependency_texts(x: DataFrame, edges: graph.Edges, labels: DataFrame) -> DataFrame:
+    """answer_texts() of the classified questions about dependencies."""
+    rows = _shown(answer_rows(x, edges), labels).groupBy(*QUESTION, "mode").agg(F.array_sort(F.collect_list(F.struct("position", "node", "label"))).alias("x"))
     joined = F.transform("x", lambda s: s["label"])
     rows = rows.select(*QUESTION, F.when(F.col("mode") == "path", F.array_join(joined, " → ")).otherwise(F.array_join(joined, ", ")).alias("found"))
-    lines = shown(graph.cycles(edges)).groupBy("repository_id", "cycle_id").agg(F.array_sort(F.collect_list(F.struct("node", "label"))).alias("x"))
+    nothing = F.when(F.col("mode") == "path", NO_PATH).otherwise(NONE_FOUND)
+    return x.filter("category = 'pure_graph'").join(rows, QUESTION, "left").select(*QUESTION, F.coalesce("found", nothing).alias("answer"))
+
+
+def _beside_cycles(x: DataFrame, edges: graph.Edges, labels: DataFrame) -> DataFrame:
+    """Questions with the answer about the cycles of their repository.
+
+    The questions of a repository are dealt over tasks and its text is copied for each part of them; a text beside a question isn't shuffled again."""
+    joined = F.transform("x", lambda s: s["label"])
+    lines = _shown(graph.cycles(edges), labels).groupBy("repository_id", "cycle_id").agg(F.array_sort(F.collect_list(F.struct("node", "label"))).alias("x"))
     lines = lines.select("repository_id", "cycle_id", F.array_join(joined, " → ").alias("line"))
     lines = lines.groupBy("repository_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("cycle_id", "line"))).alias("x"))
     lines = lines.select("repository_id", "n", F.array_join(F.transform("x", lambda s: s["line"]), "\n").alias("lines"))
-    x = x.join(rows, QUESTION, "left").join(lines, "repository_id", "left")
-    nothing = F.when(F.col("mode") == "path", NO_PATH).otherwise(NONE_FOUND)
-    cycles = cycle_text(F.coalesce("n", F.lit(0)), F.coalesce("lines", F.lit("")))
-    return x.select(*QUESTION, F.when(F.col("category") == "intelligence", cycles).otherwise(F.coalesce("found", nothing)).alias("answer"))
+    parts = stage(x.groupBy("repository_id").agg(F.ceil(F.count("*") / SHARED).cast("int").alias("parts")))
+    tasks = int(min(1000, max(1, parts.agg(F.sum("parts")).first()[0] or 0)))
+    dealt = lines.join(few(parts), "repository_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    mine = x.join(few(parts), "repository_id", "left").withColumn("part", F.pmod(F.xxhash64("question_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    both = mine.repartition(tasks, "repository_id", "part").join(dealt.hint("merge"), ["repository_id", "part"], "left").drop("part")
+    return both.withColumn("answer", cycle_text(F.coalesce("n", F.lit(0)), F.coalesce("lines", F.lit("")))).drop("n", "lines")
 
 
 def graph_facts(questions: DataFrame, edges: graph.Edges, edge_type: str | None = None) -> DataFrame:
@@ -197,12 +218,17 @@ def evaluation_run(questions: DataFrame, repositories: DataFrame, nodes: DataFra
     asked = stage(asked.select(*QUESTION, "text", "node", "target"))
     kinds = classified(asked).select(*QUESTION, "category")
     told = hybrid.select(*QUESTION, "answer").join(kinds.filter("category = 'hybrid'"), QUESTION, "left_semi")
-    texts = answer_texts(asked, edges, labels).unionByName(told)
-    x = questions.join(kinds, QUESTION, "left").join(texts, QUESTION, "left")
-    x = x.withColumn("actual", F.when(F.col("answer").isNotNull(), F.col("category")).otherwise("error"))
+    edges = graph.prepared(edges)
+    x = questions.join(kinds, QUESTION, "left")
     names = F.coalesce("entities", F.array().cast("array<string>"))
     found, missing = entities(F.coalesce("answer", F.lit("")), names)
-    return x.select(*QUESTION, "expected", "actual", found.alias("found"), missing.alias("missing"))
+    scored = lambda df, actual: df.select(*QUESTION, "expected", actual.alias("actual"), found.alias("found"), missing.alias("missing"))
+    # the long texts about cycles are made beside their questions, and not at all where the caller leaves those out
+    about = x.filter("category = 'intelligence'")
+    texts = _dependency_texts(classified(asked), edges, labels).unionByName(told)
+    rest = x.filter("category is null or category <> 'intelligence'").join(texts, QUESTION, "left")
+    rest = scored(rest, F.when(F.col("answer").isNotNull(), F.col("category")).otherwise("error"))
+    return rest.unionByName(scored(_beside_cycles(about, edges, labels), F.lit("intelligence")))
 
 
 def display_flags(nodes: DataFrame, edges: DataFrame, selected: DataFrame) -> DataFrame:

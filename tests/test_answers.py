@@ -145,6 +145,20 @@ def test_scalars_and_checkpoint(spark):
     assert {tuple(r) for r in got.collect()} == {("r", "old", True), ("s", "b", False)}
 
 
+def test_texts_about_cycles_are_made_beside_their_questions(spark, edges, monkeypatch):
+    """A text is copied for parts of the questions, and isn't made where the caller leaves those questions out."""
+    monkeypatch.setattr(answers, "SHARED", 3)
+    q = spark.createDataFrame([(g, i, "cycles?", "intelligence", None, ["z", "no"]) for g in "srt" for i in range(8)], "repository_id string, question_id int, text string, expected string, hint string, entities array<string>")
+    names = edges.select("repository_id", F.col("source").alias("node"), F.upper("source").alias("label")).distinct()
+    texts = answers.answer_texts(q.withColumns({"node": F.lit(None).cast("string"), "target": F.lit(None).cast("string")}), edges, names).collect()
+    assert len(texts) == 24 and {(r[0], r[2]) for r in texts} == {("s", "1 circular dependency found:\nA → Z"), *((g, "No circular dependencies found in this repository.") for g in "rt")}
+    states = spark.createDataFrame([("r", "ready"), ("s", "ready")], "repository_id string, status string")
+    nodes = spark.createDataFrame([("r", 0, "file", "a", "a.ts")], "repository_id string, ordinal int, type string, id string, label string")
+    run = answers.evaluation_run(q, states, nodes, edges, names, spark.createDataFrame([], "repository_id string, question_id int, answer string"))
+    assert {(r[0], r[3], tuple(r[4])) for r in run.collect()} == {("s", "intelligence", ("z",)), ("r", "intelligence", ("no",)), ("t", "error", ())}
+    assert "circular dependenc" not in run.filter("actual <> 'intelligence'")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_checkpoints_of_few_keys_shuffle_no_files(spark):
     files = spark.createDataFrame([("r", "a"), ("s", "b")], "repository_id string, path string")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
