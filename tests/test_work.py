@@ -9,6 +9,7 @@ from lodestone.operators import chunking, repositories, work
 from lodestone.sources import trees
 from lodestone.sources.tables import release, scope, stage
 from lodestone.streaming import jobs
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 
@@ -248,3 +249,69 @@ def test_streams_of_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     for run in (jobs.stale_job_stream, jobs.job_state_stream, jobs.quota_stream, jobs.token_stream, jobs.ingest_stream):
         assert run(spark, str(tmp_path)).collect() == []
+
+
+class _Calls:
+    """The state of one key, which counts how often it is asked for or changed."""
+
+    def __init__(self):
+        self.n, self.timers, self.held = 0, set(), {}
+
+    def getListState(self, name, schema):  # noqa: N802
+        return _Held(self, name)
+
+    getValueState = getListState  # noqa: N815
+
+    def listTimers(self):  # noqa: N802
+        self.n += 1
+        return list(self.timers)
+
+    def deleteTimer(self, t):  # noqa: N802
+        self.timers.discard(t)
+
+    def registerTimer(self, t):  # noqa: N802
+        self.timers.add(t)
+
+
+class _Held:
+    def __init__(self, calls, name):
+        self.calls, self.name = calls, name
+
+    def _set(self, v):
+        self.calls.n += 1
+        self.calls.held[self.name] = v
+
+    def exists(self):
+        self.calls.n += 1
+        return bool(self.calls.held.get(self.name))
+
+    def get(self):
+        self.calls.n += 1
+        return self.calls.held.get(self.name) or []
+
+    def clear(self):
+        self._set(None)
+
+    update = put = _set
+
+    def appendList(self, v):  # noqa: N802
+        self._set([*(self.calls.held.get(self.name) or []), *v])
+
+    def appendValue(self, v):  # noqa: N802
+        self.appendList([v])
+
+
+def test_answers_ask_the_state_a_bounded_number_of_times():
+    calls, times = _Calls(), type("T", (), {"getCurrentWatermarkInMs": lambda self: self.ms})()
+    p = jobs.AnswerProcessor(60_000)
+    p.init(calls)
+    times.ms = 0
+    rows = [Row(seq=i, at=1_000_000 * i, kind=jobs.DONE if i % 50 == 0 else jobs.TOKEN, text=f"t{i} ") for i in range(1, 121)]
+    assert list(p.handleInputRows(("a",), iter(rows), times)) == []
+    times.ms = 70_000  # events 1 to 70
+    first = list(p.handleExpiredTimer(("a",), times, None))
+    times.ms = 1_000_000
+    rest = list(p.handleExpiredTimer(("a",), times, None))
+    assert [(r.n_tokens, r.state, r.session_start.second + 60 * r.session_start.minute) for r in first + rest] == [(49, "done", 1), (49, "done", 51), (20, "open", 101)]
+    assert rest[0].text == "".join(f"t{i} " for i in range(51, 100)) and not any(calls.held.values()) and not calls.timers
+    assert calls.n < 40
