@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import edge_id, package_name
 from lodestone.operators import lexer
-from lodestone.sources.tables import stage
+from lodestone.sources.tables import dealt, stage
 
 #: What may follow a relative specifier, in order of preference (fixed values).
 SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
@@ -40,6 +40,7 @@ def specifiers(files: DataFrame) -> DataFrame:
         return pa.array(out, pa.list_(pa.string()))
 
     x = files.select(*FILE, extension(F.col("path")).alias("ext"), "content").filter(F.col("ext").isin(".py", *SCRIPTS))
+    x = dealt(x, *FILE)  # a file's lexing costs far more than moving it
     return x.select(*FILE, "ext", F.posexplode(found("content", "ext")).alias("ordinal", "specifier"))
 
 

@@ -73,3 +73,10 @@ def test_structure(spark):
     nodes, edges = govern.symbols(got)
     assert {r["id"] for r in nodes.filter("path in ('a.py', 'b.ts')").collect()} == {"function:a.py#f", "method:a.py#A.m", "class:a.py#B", "method:b.ts#A.constructor", "method:b.ts#A.run", "class:b.ts#E", "function:b.ts#g"}
     assert edges.filter("source = 'file:b.ts' and type = 'contains'").count() == 4
+
+
+def test_files_of_one_partition_are_dealt(spark):
+    files = spark.createDataFrame([("r", f"src/m{i}.{e}", text) for i in range(50) for e, text in (("py", "import x"), ("ts", 'import "x"'))], "repository_id string, path string, content string").coalesce(1)
+    for found in (imports.specifiers(files), structure.chunks(files)):
+        assert found.count() == 100
+        assert found.select(F.spark_partition_id().alias("p")).distinct().count() > 1
