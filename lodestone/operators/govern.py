@@ -6,6 +6,7 @@ Ordinals order the candidates of a repository; tiers() gives them to several tab
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,13 +121,9 @@ def violations(nodes: DataFrame, edges: DataFrame, commits: DataFrame, governed:
     occurrence of an id; root_count: not one root (subject: how many); commit: a blank or null commit (no subject);
     orphan_node: a node that the root doesn't reach in either direction, unless there is no root.
 
-    The ends of all edges meet the nodes once, and only ends that are missing go on. governed: nodes and edges come from identified(), so no id occurs again."""
+    Ends and ways to the root are checked by repository, see graph.checked(). governed: nodes and edges come from identified(), so no id occurs again."""
     row = lambda df, name, subject: df.select("repository_id", F.lit(name).alias("invariant"), subject.cast("string").alias("subject"))
-    ids = nodes.select("repository_id", F.col("id").alias("end"))
-    end = lambda c: F.struct(F.lit(f"missing_{c}").alias("invariant"), F.col(c).alias("end"))
-    ends = edges.select("repository_id", "id", F.explode(F.array(end("source"), end("target"))).alias("x")).select("repository_id", "id", "x.*")
-    lost = stage(ends.join(ids, ["repository_id", "end"], "left_anti").select("repository_id", "invariant", F.col("id").cast("string").alias("subject")))
-    out = [lost, row(lost.select("repository_id", "subject").distinct(), "orphan_edge", F.col("subject"))]
+    out = [graph.checked(nodes, edges)]
     for df, kind in ((nodes, "node"), (edges, "edge")):
         unsure = df.filter(~F.coalesce(F.col("certainty").isin(*CERTAINTIES), F.lit(False)))
         out.append(row(unsure, f"{kind}_certainty", F.col("id")))
@@ -136,7 +133,7 @@ def violations(nodes: DataFrame, edges: DataFrame, commits: DataFrame, governed:
     named = commits.select("repository_id", F.lit(0).alias("root"), F.coalesce(F.regexp_like("commit_sha", F.lit(r"\S")), F.lit(False)).alias("named"))
     roots = nodes.select("repository_id", F.coalesce((F.col("type") == "repository").cast("int"), F.lit(0)).alias("root"), F.lit(False).alias("named"))
     every = stage(named.unionAll(roots).groupBy("repository_id").agg(F.sum("root").alias("n"), F.max("named").alias("named")))
-    out += [row(every.filter("n <> 1"), "root_count", F.col("n")), row(every.filter("not named"), "commit", F.lit(None)), row(graph.orphans(nodes, edges), "orphan_node", F.col("id"))]
+    out += [row(every.filter("n <> 1"), "root_count", F.col("n")), row(every.filter("not named"), "commit", F.lit(None))]
     return reduce(DataFrame.unionByName, out)
 
 
@@ -153,6 +150,19 @@ def message(invariant: Column, subject: Column) -> Column:
     return out
 
 
+#: Repositories whose hashes are broadcast at most, 8 bytes each.
+HASHES = 10_000_000
+
+
+def _chosen(new: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Leaves the candidates of other repositories than those in new out before any shuffle. A repository whose hash is that of one in new may
+    stay; what is made of it is joined with new, or with what came of it, later."""
+    if new.count() > HASHES:
+        return lambda df: df.join(new.select("repository_id"), "repository_id", "left_semi")
+    hashes = F.broadcast(new.select(F.xxhash64("repository_id").alias("__hash")).distinct())
+    return lambda df: df.filter("repository_id is not null").join(hashes, F.xxhash64("repository_id") == F.col("__hash"), "left_semi")
+
+
 def publish(repositories: DataFrame, held: DataFrame, nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The versions (repository_id, commit_sha, status, n_nodes, n_edges, n_violations), the nodes and edges of ready
     ones, and the violations (repository_id, commit_sha, invariant, subject, message) of failed ones.
@@ -163,7 +173,7 @@ def publish(repositories: DataFrame, held: DataFrame, nodes: DataFrame, edges: D
     keys = ["repository_id", "commit_sha"]
     asked = stage(repositories.select(*keys).distinct().join(held.select(*keys).distinct().withColumn("old", F.lit(True)), keys, "left"))
     new = few(asked.filter("old is null").select(*keys))  # a row for each repository
-    only = lambda df: df.join(new.select("repository_id"), "repository_id", "left_semi")
+    only = _chosen(new)
     n, e = stage(node_ids(with_roots(only(nodes), new))), stage(edge_ends(only(edges)))  # read several times
     found_n, found_e = stage(_winners(n, False)), stage(_winners(e, True))
     no_name = _lost(n, e).select("repository_id", F.lit("identity").alias("invariant"), F.concat_ws(" ", "kind", F.col("ordinal").cast("string")).alias("subject"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from lodestone.operators import local
 from lodestone.sources.tables import few, stage
@@ -464,10 +464,93 @@ def cycles(edges: Edges, edge_type: str | None = None) -> DataFrame:
     return _split(found.unionByName(loops.join(found, "node", "left_anti").select("cycle_id", "node")), g.kind, ["cycle_id", "node"])
 
 
-def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(repository_id, id): nodes that the root doesn't reach in either direction; a repository without a root has none.
-
-    Edges whose ends are no nodes connect as well. Of several roots the first by name counts."""
+#: Nodes and edges of a repository that a task checks as a whole at most, and those of several for which a task is made.
+WHOLE = 500_000
+
+
+def _checked_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of checked() of whole repositories, from rows (repository_id, kind, a, b, id): nodes (kind 0), roots (1) and edges (2)."""
+    parts = list(batches)
+    if not parts:
+        return
+    t = pa.Table.from_batches(parts).combine_chunks()
+    of = t["repository_id"].combine_chunks().dictionary_encode()
+    repo, kind = of.indices.to_numpy().astype(np.int64), t["kind"].to_numpy()
+    names = pa.concat_arrays([t[c].combine_chunks().cast(pa.large_string()) for c in "ab"]).dictionary_encode()
+    code = pc.fill_null(names.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    known, placed = np.unique(np.tile(repo, 2)[code >= 0] * max(len(names.dictionary), 1) + code[code >= 0], return_inverse=True)
+    at = np.full(2 * len(repo), -1)
+    at[code >= 0] = placed
+    a, b = at[: len(repo)], at[len(repo) :]
+    edge = kind == 2
+    node = ~edge & (a >= 0)
+    there = np.zeros(len(known) + 1, bool)  # the last stands for null
+    there[a[node]] = True
+    lacks = {"missing_source": edge & ~there[a], "missing_target": edge & ~there[b]}
+    both = edge & (a >= 0) & (b >= 0)
+    label = local.least_labels(len(known), a[both], b[both])
+    least: dict[int, tuple[str, int]] = {}
+    roots = np.flatnonzero(node & (kind == 1))
+    for r, name, i in zip(repo[roots].tolist(), t["a"].combine_chunks().take(pa.array(roots)).to_pylist(), a[roots].tolist(), strict=True):
+        least[r] = min(least.get(r, (name, i)), (name, i))
+    reached = np.full(len(of.dictionary), -1)
+    reached[list(least)] = label[[i for _, i in least.values()]] if least else -1
+    loose = np.flatnonzero(node & (reached[repo] >= 0))
+    loose = loose[label[a[loose]] != reached[repo[loose]]]
+    loose = loose[np.unique(a[loose], return_index=True)[1]]
+    lost = np.flatnonzero(lacks["missing_source"] | lacks["missing_target"])
+    ids = t["id"].combine_chunks().take(pa.array(lost)).dictionary_encode()
+    each = repo[lost] * (len(ids.dictionary) + 1) + pc.fill_null(ids.indices, -1).to_numpy(zero_copy_only=False) + 1
+    found = [(name, "id", np.flatnonzero(x)) for name, x in lacks.items()] + [("orphan_edge", "id", lost[np.unique(each, return_index=True)[1]]), ("orphan_node", "a", loose)]
+    for name, column, rows in found:
+        for k in range(0, len(rows), 100_000):
+            i = pa.array(rows[k : k + 100_000])
+            values = [t["repository_id"].combine_chunks().take(i), pa.array([name] * len(i)), t[column].combine_chunks().take(i).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(values, names=["repository_id", "invariant", "subject"])
+
+
+def checked(nodes: DataFrame, edges: Edges) -> DataFrame:
+    """(repository_id, invariant, subject) of what a repository's nodes (repository_id, id, type) and edges (repository_id, id, source, target) lack.
+
+    missing_source and missing_target: an edge without that end; orphan_edge: an edge without one or both, once for each id; orphan_node: a node that
+    the root doesn't reach in either direction, once; edges whose ends are no nodes connect as well, and of several roots the first by name counts.
+
+    Repositories of up to `WHOLE` nodes and edges are shuffled once and checked as a whole, many in a task; larger ones by joins."""
+    edges = prepared(edges).edges
+    edges = edges.select("repository_id", F.col("id").cast("string").alias("id") if "id" in edges.columns else F.lit(None).cast("string").alias("id"), "source", "target")
+    none = F.lit(None).cast("string")
+    points = nodes.select("repository_id", F.when(F.col("type") == "repository", 1).otherwise(0).alias("kind"), F.col("id").alias("a"), none.alias("b"), none.alias("id"))
+    rows = points.unionByName(edges.select("repository_id", F.lit(2).alias("kind"), F.col("source").alias("a"), F.col("target").alias("b"), "id")).filter("repository_id is not null")
+    sizes = stage(rows.groupBy("repository_id").agg(F.count("*").alias("n")))
+    total, most = sizes.agg(F.sum("n"), F.max("n")).first()
+    large = F.broadcast(sizes.filter(F.col("n") > WHOLE).select("repository_id"))  # fewer than all rows / WHOLE
+    far = (most or 0) > WHOLE
+    small = rows.join(large, "repository_id", "left_anti") if far else rows
+    kind = StructType([StructField("repository_id", rows.schema["repository_id"].dataType), StructField("invariant", StringType()), StructField("subject", StringType())])
+    found = small.repartition(int(max(1, (total or 0) // WHOLE)), "repository_id").mapInArrow(_checked_locally, kind)
+    found = found.unionByName(_lacking(nodes.limit(0), edges.filter("repository_id is null")))  # it has no nodes
+    if not far:
+        return found
+    of = lambda df: df.join(large, "repository_id", "left_semi")
+    lost = _lacking(of(nodes), of(edges))
+    return found.unionByName(lost).unionByName(_orphans_far(of(nodes), of(edges)).select("repository_id", F.lit("orphan_node").alias("invariant"), F.col("id").alias("subject")))
+
+
+def _lacking(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows of checked() about edges, by a join of their ends with the nodes."""
+    end = lambda c: F.struct(F.lit(f"missing_{c}").alias("invariant"), F.col(c).alias("end"))
+    ends = edges.select("repository_id", "id", F.explode(F.array(end("source"), end("target"))).alias("x")).select("repository_id", "id", "x.*")
+    lost = stage(ends.join(nodes.select("repository_id", F.col("id").alias("end")), ["repository_id", "end"], "left_anti").select("repository_id", "invariant", F.col("id").alias("subject")))
+    return lost.unionByName(lost.select("repository_id", F.lit("orphan_edge").alias("invariant"), "subject").distinct())
+
+
+def orphans(nodes: DataFrame, edges: Edges) -> DataFrame:
+    """(repository_id, id): nodes that the root doesn't reach in either direction; a repository without a root has none. See checked()."""
+    return checked(nodes, edges).filter("invariant = 'orphan_node'").select("repository_id", F.col("subject").alias("id"))
+
+
+def _orphans_far(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """orphans() by the components of all edges."""
     roots = few(stage(nodes.filter(F.col("type") == "repository").groupBy("repository_id").agg(F.min("id").alias("root"))))
     rooted = nodes.join(roots, "repository_id").select("repository_id", "id", "root", _named("id").alias("node"))
     x = stage(rooted.join(prepared(edges).labels, "node", "left").select("repository_id", "id", "root", "label"))

@@ -2,7 +2,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from lodestone.functions import scalars
-from lodestone.operators import evaluation, govern
+from lodestone.operators import evaluation, govern, graph
 from lodestone.sources import commits
 from pyspark.sql import functions as F
 
@@ -98,3 +98,29 @@ def test_sanitised(spark):
     good, kept, counts = evaluation.sanitised(n, e)
     assert {r["id"] for r in good.filter("repository_id = 'r'").collect()} == {"a", "d"} and {r["id"] for r in kept.collect()} == {"1", "6"}
     assert {tuple(r) for r in counts.collect()} == {("r", 2, 2, 1, 3, 4), ("s", 1, 0, 0, 0, 0)}
+
+
+def test_small_repositories_are_checked_without_rounds(spark, monkeypatch):
+    """Whole repositories meet in tasks, whatever they hold; larger ones go by joins, with the same rows."""
+    nodes = [(r, r, "repository") for r in range(6)] + [(r, r * 100 + i, "file") for r in range(7) for i in range(1, 8)] + [(1, 103, "file"), (2, None, "file"), (3, 1, "repository"), (None, 5, "file"), (4, 9, None)]
+    edges = [(r, f"e{r}-{i}", r if i == 1 else r * 100 + i - 1, r * 100 + i) for r in range(7) for i in range(1, 5)] + [(1, "x", 1, 77), (1, "x", 78, 77), (2, "y", None, 207), (None, "z", 5, 5), (0, None, 8, 8), (5, "t", 505, 999), (5, "u", 999, 501)]
+    n = spark.createDataFrame(nodes, "repository_id long, id string, type string")
+    e = spark.createDataFrame(edges, "repository_id long, id string, source string, target string")
+    rows = lambda: sorted((tuple(r) for r in graph.checked(n, e).collect()), key=str)
+    with monkeypatch.context() as m:
+        m.setattr(graph, "WHOLE", 1)
+        far = rows()
+    monkeypatch.setattr(graph, "labels_of", lambda pairs: pytest.fail("labelled by rounds"))
+    near = rows()
+    assert near == far and {r[1] for r in near} == {"missing_source", "missing_target", "orphan_edge", "orphan_node"}
+    assert (2, "orphan_node", "207") in near and (5, "orphan_node", "505") not in near and (None, "orphan_edge", "z") in near
+    c = spark.createDataFrame([(0, "c")], "repository_id long, commit_sha string")
+    assert govern.violations(n.withColumn("certainty", F.lit(D)), e.withColumn("certainty", F.lit(D)), c).count() > len(near)
+
+
+def test_only_asked_repositories_are_looked_at(spark, monkeypatch):
+    df = spark.createDataFrame([(r, i) for r in ("a", "b", None) for i in range(3)], "repository_id string, n int")
+    new = spark.createDataFrame([("b", "c1")], "repository_id string, commit_sha string")
+    for most in (0, 10):
+        monkeypatch.setattr(govern, "HASHES", most)
+        assert sorted(map(tuple, govern._chosen(new)(df).collect())) == [("b", 0), ("b", 1), ("b", 2)]
