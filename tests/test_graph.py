@@ -243,3 +243,19 @@ def test_labels_of_nodes_that_leave(spark, monkeypatch):
     got = graph.labels_of(spark.createDataFrame(pairs, "a string, b string").repartition(6)).collect()
     want = {(n, c) for n, c in names.items() if any(n in p and p[0] != p[1] for p in pairs)}
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_cycles_label_only_what_is_left_after_trimming(spark, monkeypatch):
+    """Chains and trees leave before components are labelled; cycles between them, and loops, stay."""
+    rows = [("r", f"n{i}", f"n{i // 3}") for i in range(1, 90)] + [("r", "n1", "n4"), ("r", "n30", "n30"), ("s", "a", "b"), ("s", "b", "a"), ("s", "b", "c"), ("t", "x", "y")]
+    e = spark.createDataFrame(rows, "repository_id string, source string, target string")
+    want = {("r", "n1", "n1"), ("r", "n1", "n4"), ("r", "n30", "n30"), ("s", "a", "a"), ("s", "a", "b")}
+    assert set(map(tuple, graph.cycles(e).collect())) == want
+    labelled = []
+    monkeypatch.setattr(graph, "SHARE", 5)
+    whole = graph.labels_of
+    monkeypatch.setattr(graph, "labels_of", lambda pairs: labelled.append(pairs.count()) or whole(pairs))
+    assert set(map(tuple, graph.cycles(e).collect())) == want
+    assert labelled and max(labelled) < 20
+    shared = graph.prepared(e)
+    assert shared.labels.count() and set(map(tuple, graph.cycles(shared).collect())) == want
