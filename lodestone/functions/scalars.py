@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -70,10 +72,10 @@ CATEGORIES = ("pure_graph", "pure_semantic", "intelligence", "hybrid")
 
 
 def _has(text: Column, pattern: str, whole: bool = True) -> Column:
-    """Whether a text holds the pattern; the boundaries of Java's patterns are Unicode's, so they are spelled out."""
+    """Whether a text holds the pattern; the boundaries of Java's patterns are Unicode's, so they are spelled out. Patterns have them beside word
+    characters only, so one look back or ahead will do."""
     pattern = rf"\b{pattern}\b" if whole else pattern
-    edge = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-    return text.rlike(pattern.replace(r"\b", edge))
+    return text.rlike(re.sub(r"\\b(?=[(\w])", "(?<![A-Za-z0-9_])", pattern).replace(r"\b", "(?![A-Za-z0-9_])"))
 
 
 def question_class(text: Column) -> Column:

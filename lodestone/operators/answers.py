@@ -184,6 +184,7 @@ def graph_facts(questions: DataFrame, edges: graph.Edges, edge_type: str | None
 
     Facts are neighbours and path; neighbours have no position. A question without a node, or whose node is unknown, has no facts."""
     edges = graph.prepared(edges, edge_type)
+    edges = graph.prepared(stage(edges.edges.select("repository_id", "source", "target"))) if "pairs" not in vars(edges) else edges  # both searches read them
     x = stage(classified(questions).filter("category = 'hybrid' and node is not null").select(*QUESTION, F.col("node").alias("seed"), "target"))
     near = x.select(*QUESTION, "seed").join(graph.dependencies(edges, x), ["repository_id", "seed"])
     near = near.select(*QUESTION, F.lit("neighbours").alias("fact"), F.lit(None).cast("int").alias("position"), "node")

@@ -9,7 +9,7 @@ asked for, not how far they are, cycles of larger components are condensed first
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,9 @@ LOCAL, CELLS, STARS = 2_000_000, 1_000_000, 1_000_000
 COPIES, SHARE = 32, 250_000
 #: Rounds of a search between two stagings of all that it has found, and rows of a round that are broadcast.
 FOLD, SMALL = 16, 10_000
+#: Edges of a graph from which paths between two nodes go by rounds first, how many of those there are, and rows that a round may have for each
+#: edge and question; what they leave open is searched inside components.
+FIRST, ROUNDS, WIDE = 250_000, 24, 2
 #: Seeds that are numbered together, nodes of a cycle or a component that meet a row together, and seeds that meet those.
 BUCKET, MEMBERS, ASKERS = 4096, 10_000, 100
 #: Between a repository and a node in the name of a node of all repositories.
@@ -303,6 +306,43 @@ def _paths_far(pairs: DataFrame, asked: DataFrame) -> DataFrame:
     return seen.join(asked.filter("node is null").select("seed").distinct(), "seed", "left_semi").unionByName(seen.join(some, ["seed", "node"], "left_semi")).distinct()
 
 
+def _leaner(pairs: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """The n pairs without those that begin where none ends, and their number: after k calls, the ones that a k-th step may have led to."""
+    out = stage(pairs.join(pairs.select(F.col("b").alias("a")).distinct().hint("merge"), "a", "left_semi").select("a", "b"))
+    return out, out.count()
+
+
+def _paths_first(pairs: DataFrame, n: int, asked: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(seed, node, path) of what is asked of n pairs, by rounds of joins without components, and the questions (a, b) that are left open, if any.
+
+    Most paths that are asked for are short or end soon, so no task needs a whole component for them. A round is one step of all seeds that still
+    miss a target; pairs that later steps can't use leave meanwhile. A round that grows too wide, or one after `ROUNDS`, isn't taken."""
+    pairs = pairs.filter("a <> b").select("a", "b")
+    found = asked.filter("a = b").select(F.col("a").alias("seed"), F.col("b").alias("node"), F.array("a").alias("path"))
+    open_ = stage(asked.filter("a <> b").select(F.col("a").alias("seed"), F.col("b").alias("node")))
+    front = stage(open_.select("seed", F.col("seed").alias("node"), F.array("seed").alias("path")).distinct())
+    seen, most, rounds, last = front, WIDE * (n + open_.count()), 0, 0
+    rows = lambda df, path, old, wanted: df.select("seed", "node", path.alias("path"), F.lit(old).alias("old"), F.lit(wanted).alias("wanted"))
+    none = F.lit(None).cast("array<string>")
+    while (size := front.count()) and size <= most and rounds < ROUNDS:
+        front = F.broadcast(front) if size <= SMALL else front.hint("merge")
+        met = pairs.join(front.withColumnRenamed("node", "a"), "a").select("seed", F.col("b").alias("node"), "path")
+        # one shuffle tells what is new, what was met before and what is asked for
+        every = rows(met, F.col("path"), False, False).unionAll(rows(seen, none, True, False)).unionAll(rows(open_, none, False, True))
+        every = every.groupBy("seed", "node").agg(F.min("path").alias("path"), F.max("old").alias("old"), F.max("wanted").alias("wanted"))
+        at = stage(every.select("seed", "node", F.when(~F.col("old"), F.concat("path", F.array("node"))).alias("path"), "old", "wanted"))
+        found = found.unionByName(at.filter("wanted and path is not null").select("seed", "node", "path"))
+        open_ = at.filter("wanted and path is null").select("seed", "node")
+        live = open_.select("seed").distinct()
+        front = stage(at.filter("path is not null").select("seed", "node", "path").join(live, "seed", "left_semi"))
+        seen = at.filter("old or path is not null").select("seed", "node").join(live, "seed", "left_semi")
+        rounds += 1
+        if n > SHARE and (not last or n < 0.8 * last):
+            last = n
+            pairs, n = _leaner(pairs, n)
+    return found, open_.join(front.select("seed").distinct(), "seed", "left_semi").select(F.col("seed").alias("a"), F.col("node").alias("b")) if size else None
+
+
 def _alone(asked: DataFrame, pairs: DataFrame) -> DataFrame:
     """What is asked of seeds without an edge."""
     return asked.join(pairs.select(F.explode(F.array("a", "b")).alias("a")).distinct(), "a", "left_anti")
@@ -367,17 +407,26 @@ def closure(seeds: DataFrame, edges: Edges, edge_type: str | None = None) -> Dat
 def shortest_paths(asked: DataFrame, edges: Edges, edge_type: str | None = None) -> DataFrame:
     """(repository_id, seed, node, path): the nodes of a shortest path, both ends included, for each row of asked
     (repository_id, seed, node) whose node the seed reaches; a null node stands for all nodes. Of several shortest
-    paths the first in the order of the nodes counts. A node's path to itself is itself."""
+    paths the first in the order of the nodes counts. A node's path to itself is itself.
+
+    In graphs of over `FIRST` edges, paths to a node are searched by rounds first; components are labelled only for what is open then."""
     g = prepared(edges, edge_type)
     named = stage(asked.select(_named("seed").alias("a"), _named("node").alias("b")).filter("a is not null").distinct())
-    near, far, far_asked = _units(named, g)
-    found = near.groupBy("g").applyInArrow(_paths_locally, "seed string, node string, path array<string>")
-    single = _alone(named, g.pairs).filter("b is null or a = b").select(F.col("a").alias("seed"), F.col("a").alias("node"), F.array("a").alias("path")).distinct()
-    found = found.unionByName(single)
-    if not far_asked.isEmpty():
-        found = found.unionByName(_paths_far(far, far_asked))
+    n, found = g.pairs.count(), []
+    if n > FIRST:
+        every = named.filter("b is null")
+        some = stage(named.filter("b is not null").join(every.select("a"), "a", "left_anti"))
+        if not some.isEmpty():
+            done, left = _paths_first(g.pairs, n, some)
+            found, named = [done], every if left is None else stage(every.unionByName(left))
+    if not found or not named.isEmpty():
+        near, far, far_asked = _units(named, g)
+        found.append(near.groupBy("g").applyInArrow(_paths_locally, "seed string, node string, path array<string>"))
+        found.append(_alone(named, g.pairs).filter("b is null or a = b").select(F.col("a").alias("seed"), F.col("a").alias("node"), F.array("a").alias("path")).distinct())
+        if not far_asked.isEmpty():
+            found.append(_paths_far(far, far_asked))
     plain = F.transform("path", lambda x: F.element_at(F.split(x, MARK, 2), 2)).alias("path")
-    return _split(found, g.kind, ["seed", "node"], [plain])
+    return _split(reduce(DataFrame.unionByName, found), g.kind, ["seed", "node"], [plain])
 
 
 # Cycles
@@ -586,9 +635,10 @@ def dependencies(edges: Edges, seeds: DataFrame, direction: str = "both", mode:
         raise ValueError(f"direction must be one of {DIRECTIONS} and mode one of {MODES}")
     seeds, g = seeds.select("repository_id", "seed").filter("seed is not null").distinct(), prepared(edges, edge_type)
     if mode == "direct":
-        near = direct(g).withColumnRenamed("node", "seed").join(seeds, ["repository_id", "seed"])
-        near = near if direction == "both" else near.filter(F.col("direction") == direction)
-        return near.select("repository_id", "seed", F.col("other").alias("node")).distinct()
+        # the neighbours of seeds alone are made distinct
+        ways = {"outgoing": ("source", "target"), "incoming": ("target", "source")}
+        ways = [g.edges.select("repository_id", F.col(a).alias("seed"), F.col(b).alias("node")) for way, (a, b) in ways.items() if direction in ("both", way)]
+        return reduce(DataFrame.unionByName, ways).join(seeds, ["repository_id", "seed"]).distinct()
     if direction == "both":  # the rest of the component
         at = _placed(g)
         mine = stage(seeds.select(_named("seed").alias("seed")).filter("seed is not null").join(at.withColumnRenamed("node", "seed"), "seed"))

@@ -187,7 +187,9 @@ def hybrid_prompts(spark, sf_dir):
     w = retrieval.Window.partitionBy("conv_id").orderBy("turn", "text")
     blocks = x.select(F.col("conv_id").alias("question_id"), F.row_number().over(w).alias("rank"), scalars.location_label(F.lit("chat"), F.col("turn"), F.col("turn") + 1).alias("location"), scalars.symbol_label(F.lit(None).cast("string"), F.coalesce("role", F.lit(""))).alias("label"), F.coalesce("text", F.lit("")).alias("content"))
     key = ["repository_id", "question_id"]
-    hybrid = answers.classified(asked).filter("category = 'hybrid'").select(*key)
+    # the patterns cost more than the scan, so only these are classified again
+    asked = stage(answers.classified(asked).filter("category = 'hybrid'").select(*key, "text", "node", "target"))
+    hybrid = asked.select(*key)
     facts = answers.fact_lines(asked, answers.graph_facts(asked, edges, "imports"))
     return retrieval.hybrid_prompts(hybrid, blocks.join(hybrid, "question_id"), facts, key)
 

@@ -259,3 +259,32 @@ def test_cycles_label_only_what_is_left_after_trimming(spark, monkeypatch):
     assert labelled and max(labelled) < 20
     shared = graph.prepared(e)
     assert shared.labels.count() and set(map(tuple, graph.cycles(shared).collect())) == want
+
+
+@pytest.mark.parametrize("bounds", [{"SHARE": 5}, {"ROUNDS": 2}])
+def test_asked_paths_need_no_components(spark, monkeypatch, bounds):
+    r = random.Random(5)
+    pairs = {(f"n{r.randrange(9):02}", f"n{r.randrange(9):02}") for _ in range(16)} | {(f"c{i:02}", f"c{i + 1:02}") for i in range(4)}
+    e = edges(spark, sorted(pairs)).unionByName(edges(spark, [("n01", "n02"), ("n02", "n01"), ("n01", None)], None)).unionByName(edges(spark, [("n03", "n04")], "s"))
+    names = sorted({x for p in pairs for x in p})
+    rows = [("r", r.choice(names), r.choice(names)) for _ in range(60)] + [("r", "c00", "c04"), ("r", "n05", "n05"), ("r", "none", "none"), ("r", "none", "n01"), ("s", "n03", "n04"), ("s", "n04", "n03"), (None, "n01", "n02"), ("r", None, "n01")]
+    asked = spark.createDataFrame(rows, "repository_id string, seed string, node string")
+    of = lambda a: sorted((str(x["repository_id"]), x["seed"], x["node"], *x["path"]) for x in graph.shortest_paths(a, e).collect())
+    every = asked.unionByName(spark.createDataFrame([("r", "c02", None), ("r", "c02", "c03")], asked.schema))
+    want, want_every = of(asked), of(every)
+    assert ("r", "c00", "c04", *[f"c{i:02}" for i in range(5)]) in want and ("None", "n01", "n02", "n01", "n02") in want and len(want) > 20
+    monkeypatch.setattr(graph, "FIRST", 0, raising=False)
+    for k, v in bounds.items():
+        monkeypatch.setattr(graph, k, v, raising=False)
+    if "ROUNDS" in bounds:  # what is left open goes on inside components
+        assert of(every) == want_every
+        return
+    monkeypatch.setattr(graph, "labels_of", lambda pairs: pytest.fail("components were labelled"))
+    assert of(asked) == want
+
+
+def test_neighbours_are_made_distinct_for_seeds_alone(spark):
+    e = edges(spark, [("a", "b"), ("b", "a"), ("c", "a"), ("a", "a"), ("d", "e"), ("a", None)]).unionByName(edges(spark, [("a", "b")], kind="contains"))
+    seeds = spark.createDataFrame([("r", "a"), ("r", "a"), ("r", "none"), ("s", "a")], "repository_id string, seed string")
+    got = {way: sorted(str(x["node"]) for x in graph.dependencies(e, seeds, way).collect()) for way in graph.DIRECTIONS}
+    assert got == {"outgoing": ["None", "a", "b"], "incoming": ["a", "b", "c"], "both": ["None", "a", "b", "c"]}
