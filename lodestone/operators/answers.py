@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.scalars import question_class
 from lodestone.operators import graph
-from lodestone.operators.evaluation import entities
+from lodestone.operators.evaluation import contained, entities
 from lodestone.sources.tables import few, stage
 
 #: Questions suggested for a node of each type, and for any other type (fixed values).
@@ -178,6 +178,36 @@ def _beside_cycles(x: DataFrame, edges: graph.Edges, labels: DataFrame) -> DataF
     return both.withColumn("answer", cycle_text(F.coalesce("n", F.lit(0)), F.coalesce("lines", F.lit("")))).drop("n", "lines")
 
 
+def _cycle_pieces(repositories: DataFrame, edges: graph.Edges, labels: DataFrame) -> DataFrame:
+    """(repository_id, at, piece): the answer about the cycles of each repository in lower case, cut after its first line and after each label; at counts its bytes."""
+    shown = _shown(graph.cycles(edges), labels).join(repositories, "repository_id", "left_semi").select("repository_id", "cycle_id", "node", "label")
+    shown = stage(shown)
+    n = shown.groupBy("repository_id").agg(F.count_distinct("cycle_id").alias("n"))
+    none = F.lit(None).cast("string")
+    heads = repositories.join(n, "repository_id", "left").select("repository_id", none.alias("cycle_id"), none.alias("node"), cycle_text(F.coalesce("n", F.lit(0)), F.lit("")).alias("label"))
+    w = Window.partitionBy("repository_id").orderBy("cycle_id", "node", "label")  # the head comes first
+    before = F.lag("cycle_id").over(w)
+    piece = F.lower(F.concat(F.when(before.isNull(), "").when(before == F.col("cycle_id"), " → ").otherwise("\n"), "label"))
+    cut = heads.unionByName(shown).select("*", piece.alias("piece"))
+    at = F.sum(F.octet_length("piece")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return cut.select("repository_id", F.coalesce(at, F.lit(0)).alias("at"), "piece")
+
+
+def _named_in_cycles(x: DataFrame, edges: graph.Edges, labels: DataFrame) -> DataFrame:
+    """Questions with the names (found) that the answer about the cycles of their repository contains, whatever the case, and those it doesn't (missing).
+
+    x: repository_id, question_id, expected, names. No question gets a copy of the text, which is searched once for the distinct names of all."""
+    x = stage(x.withColumn("row", F.monotonically_increasing_id()))
+    each = x.select("row", *QUESTION, "expected", F.posexplode_outer("names").alias("place", "name")).withColumn("low", F.lower("name"))
+    wanted = stage(each.filter("low is not null").select("repository_id", F.col("low").alias("name")).distinct())
+    pieces = stage(_cycle_pieces(wanted.select("repository_id").distinct(), edges, labels))
+    hits = few(stage(contained(wanted, pieces).select("repository_id", F.col("name").alias("low"), F.lit(True).alias("hit"))))
+    told = each.join(hits, ["repository_id", "low"], "left").withColumn("hit", F.when(F.col("low").isNotNull(), F.coalesce("hit", F.lit(False))))
+    told = told.groupBy("row", *QUESTION, "expected").agg(F.array_sort(F.collect_list(F.struct("place", "name", "hit"))).alias("x"))
+    those = lambda keep: F.transform(F.filter("x", keep), lambda s: s["name"])
+    return told.select(*QUESTION, "expected", those(lambda s: s["hit"]).alias("found"), those(lambda s: ~s["hit"]).alias("missing"))
+
+
 def graph_facts(questions: DataFrame, edges: graph.Edges, edge_type: str | None = None) -> DataFrame:
     """(repository_id, question_id, fact, position, node): the neighbours of the node of each hybrid question and, if it has a
     target, the path there.
@@ -224,12 +254,12 @@ def evaluation_run(questions: DataFrame, repositories: DataFrame, nodes: DataFra
     names = F.coalesce("entities", F.array().cast("array<string>"))
     found, missing = entities(F.coalesce("answer", F.lit("")), names)
     scored = lambda df, actual: df.select(*QUESTION, "expected", actual.alias("actual"), found.alias("found"), missing.alias("missing"))
-    # the long texts about cycles are made beside their questions, and not at all where the caller leaves those out
-    about = x.filter("category = 'intelligence'")
+    # the long texts about cycles are searched once for all names, and never stand beside their questions
+    about = _named_in_cycles(x.filter("category = 'intelligence'").select(*QUESTION, "expected", names.alias("names")), edges, labels)
     texts = _dependency_texts(classified(asked), edges, labels).unionByName(told)
     rest = x.filter("category is null or category <> 'intelligence'").join(texts, QUESTION, "left")
     rest = scored(rest, F.when(F.col("answer").isNotNull(), F.col("category")).otherwise("error"))
-    return rest.unionByName(scored(_beside_cycles(about, edges, labels), F.lit("intelligence")))
+    return rest.unionByName(about.select(*QUESTION, "expected", F.lit("intelligence").alias("actual"), "found", "missing"))
 
 
 def display_flags(nodes: DataFrame, edges: DataFrame, selected: DataFrame) -> DataFrame:

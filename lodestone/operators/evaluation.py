@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from lodestone.functions.scalars import normal_url
+from lodestone.sources.tables import dealt, few, stage
+
+#: Bytes of a long text that are searched at once, and names that they are searched for together.
+BLOCK, NAMES = 1_000_000, 200_000
 
 
 def entities(answer: Column, expected: Column) -> tuple[Column, Column]:
@@ -16,6 +23,54 @@ def entities(answer: Column, expected: Column) -> tuple[Column, Column]:
     return F.filter(expected, lambda e: low.contains(F.lower(e))), F.filter(expected, lambda e: ~low.contains(F.lower(e)))
 
 
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(repository_id, name) of the names that a block of text holds, from rows (repository_id, block, part, at, value) in this order: the names of
+    a block come first, without a place, then the pieces of its text."""
+    unit, names, text = None, {}, []
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        whole = b"".join(text)
+        found = sorted({w for n, some in names.items() for i in range(len(whole) - n + 1) if (w := whole[i : i + n]) in some})
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([unit[0]] * len(found), kind), pa.array(found, pa.binary())], names=["repository_id", "name"])
+
+    for batch in batches:
+        kind = batch.schema.field("repository_id").type
+        for *key, at, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != unit:
+                yield from rows()
+                unit, names, text = key, {}, []
+            if at is None:
+                names.setdefault(len(value), set()).add(value)
+            else:
+                text.append(value)
+    yield from rows()
+
+
+def contained(names: DataFrame, pieces: DataFrame) -> DataFrame:
+    """names (repository_id, name), distinct, that the text of their repository contains, as they are written.
+
+    pieces: (repository_id, at, piece), a text cut anywhere, with the place of each piece's first byte. Both are staged. A text is searched in blocks of
+    `BLOCK` bytes, which share an end as long as the longest name, for `NAMES` names at a time: a window of each length that names have moves along
+    it, so work grows with the texts and not with texts times names."""
+    sized = names.select("repository_id", F.col("name").cast("binary").alias("value"))
+    longest = sized.agg(F.max(F.octet_length("value"))).first()[0] or 0
+    step, end = max(BLOCK, longest), F.col("at") + F.octet_length("piece") - 1
+    first, last = F.greatest(F.floor((F.col("at") - longest + 1) / step), F.lit(0)), F.floor(end / step)
+    cut = pieces.filter(F.octet_length("piece") > 0)
+    blocks = few(stage(cut.groupBy("repository_id").agg((F.max(last) + 1).alias("blocks"))))
+    parts = few(stage(sized.groupBy("repository_id").agg(F.ceil(F.count("*") / NAMES).alias("parts"))))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    cut = cut.join(parts, "repository_id").withColumn("block", F.explode(F.sequence(first, last))).withColumn("part", each("parts"))
+    unit = ["repository_id", "block", "part", "at"]
+    text = cut.select(*unit[:3], F.col("at").cast("long").alias("at"), F.col("piece").cast("binary").alias("value"))
+    wanted = sized.join(blocks, "repository_id").join(parts, "repository_id").withColumn("part", F.pmod(F.xxhash64("value"), "parts")).withColumn("block", each("blocks"))
+    wanted = wanted.select(*unit[:3], F.lit(None).cast("long").alias("at"), "value")
+    kind = StructType([StructField("repository_id", names.schema["repository_id"].dataType), StructField("name", BinaryType())])
+    found = dealt(text.unionByName(wanted), *unit[:3]).sortWithinPartitions(*unit).mapInArrow(_found, kind)
+    return found.select("repository_id", F.col("name").cast("string").alias("name")).distinct()
+
+
 def report(results: DataFrame) -> DataFrame:
     """One row: n, routing_accuracy and entity_recall (0 without rows, or without names), of results (correct, found, missing)."""
     n = F.size("found") + F.size("missing")

@@ -168,3 +168,46 @@ def test_checkpoints_of_few_keys_shuffle_no_files(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" not in plan and {tuple(r) for r in got.collect()} == {("r", "a", True), ("s", "b", False)}
+
+
+def test_evaluation_covers_questions_about_cycles(spark, tmp_path):
+    """The registered query has a row for each question; those about cycles are scored by the names in the list of cycles."""
+    import __spark_entry__
+
+    part = [(i, f"part {i}", "Brand#1", "SMALL", 1 if i == 9 else 10 if i in (3, 5, 7, 9, 10, 11, 12) else 20, 1.0) for i in range(13)]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    spark.createDataFrame([(1,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r["question_id"]: (r["repository_id"], r["actual"], r["n_found"]) for r in __spark_entry__.queries()["evaluation_run"](spark, str(tmp_path)).collect()}
+    # r1 has the cycles p/0 and p/3 with p/9, r2 has p/0
+    assert len(got) == 13
+    assert {i: got[i] for i in (3, 5, 7, 10, 11, 12)} == {3: ("r1", "intelligence", 1), 5: ("r3", "error", 0), 7: ("r1", "intelligence", 0), 10: ("r1", "intelligence", 1), 11: ("r1", "intelligence", 1), 12: ("r2", "intelligence", 0)}
+
+
+def test_names_in_long_texts(spark, monkeypatch):
+    """Against plain code: texts cut into blocks, names that cross pieces and blocks, and names dealt into parts."""
+    rng = random.Random(9)
+    texts = {r: [rng.choice(["é", "", "b\n", " → a", "ab", "cab "]) for _ in range(n)] for r, n in (("r", 60), ("s", 7), ("t", 1))}
+    whole = {r: "".join(p) for r, p in texts.items()}
+    names = {(r, t) for r in (*texts, "none") for t in ("", "a", "x", "é → ", "b\nb", whole["r"][20:60], whole["s"], whole["r"] + "x")}
+    names |= {(r, "".join(rng.choices("ab é\n", k=rng.randint(1, 5)))) for r in texts for _ in range(30)}
+    pieces = [(r, sum(len(x.encode()) for x in p[:i]), x) for r, p in texts.items() for i, x in enumerate(p)]
+    n = spark.createDataFrame(sorted(names), "repository_id string, name string")
+    p = spark.createDataFrame(pieces, "repository_id string, at long, piece string")
+    want = {(r, t) for r, t in names if t in whole.get(r, "")} - {(r, "") for r in ("none", *(r for r in texts if not whole[r]))}
+    for block, together in ((1_000_000, 200_000), (10, 7)):
+        monkeypatch.setattr(evaluation, "BLOCK", block)
+        monkeypatch.setattr(evaluation, "NAMES", together)
+        assert {tuple(r) for r in evaluation.contained(n, p).collect()} == want
+    assert evaluation.contained(n.limit(0), p).count() == evaluation.contained(n, p.limit(0)).count() == 0
+
+
+def test_questions_about_cycles_name_several(spark, edges):
+    """Names in any case, twice, null, across lines and in the first line; equal questions stay two."""
+    more = edges.unionByName(spark.createDataFrame([("s", "b", "b"), ("r", "d", "c")], KIND))
+    names = ["A → Z", "z\nB", "CIRCULAR", "2 circular dependencies found:\na", "zb", None, "b", "b", ""]
+    q = spark.createDataFrame([(g, 1, "cycles?", "intelligence", None, e) for g, e in (("s", names), ("s", names), ("r", names), ("s", None))], "repository_id string, question_id int, text string, expected string, hint string, entities array<string>")
+    x = q.select("repository_id", "question_id", "expected", F.coalesce("entities", F.array().cast("array<string>")).alias("names"))
+    labels = spark.createDataFrame([("s", "a", "A")], "repository_id string, node string, label string")
+    got = sorted((r["repository_id"], r["found"], r["missing"]) for r in answers._named_in_cycles(x, more, labels).collect())
+    all_of_s = [n for n in names if n not in ("zb", None)]
+    assert got == [("r", ["CIRCULAR", ""], ["A → Z", "z\nB", "2 circular dependencies found:\na", "zb", "b", "b"]), ("s", [], []), ("s", all_of_s, ["zb"]), ("s", all_of_s, ["zb"])]
