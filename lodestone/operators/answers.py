@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.scalars import question_class
 from lodestone.operators import graph
 from lodestone.operators.evaluation import contained, entities
-from lodestone.sources.tables import few, stage
+from lodestone.sources.tables import few, lean_pages, stage
 
 #: Questions suggested for a node of each type, and for any other type (fixed values).
 SUGGESTIONS = {
@@ -26,8 +26,8 @@ SUGGESTIONS_ELSE = ["Explain this component.", "What does this depend on?", "Wha
 NO_PATH, NONE_FOUND = "No path exists between these components.", "None found."
 #: Characters of the pieces that hints are looked up by, and what bounds the entries of one that aren't split.
 GRAM, FREQUENT = 3, 10_000
-#: Questions about cycles that a copy of their repository's text is made for.
-SHARED = 100
+#: Questions about cycles that are one part of their repository's, parts of a repository and tasks at most, and bytes of texts that are broadcast.
+SHARED, PARTS, TEXTS = 100, 1000, 64_000_000
 
 
 def suggestions(nodes: DataFrame) -> DataFrame:
@@ -164,18 +164,26 @@ def _dependency_texts(x: DataFrame, edges: graph.Edges, labels: DataFrame) -> Da
 def _beside_cycles(x: DataFrame, edges: graph.Edges, labels: DataFrame) -> DataFrame:
     """Questions with the answer about the cycles of their repository.
 
-    The questions of a repository are dealt over tasks and its text is copied for each part of them; a text beside a question isn't shuffled again."""
+    The questions of a repository are dealt over tasks. Texts of up to `TEXTS` bytes in all are broadcast, so a text is copied only into its rows; others are
+    copied for each part of the questions. A text beside a question isn't shuffled again."""
     joined = F.transform("x", lambda s: s["label"])
     lines = _shown(graph.cycles(edges), labels).groupBy("repository_id", "cycle_id").agg(F.array_sort(F.collect_list(F.struct("node", "label"))).alias("x"))
-    lines = lines.select("repository_id", "cycle_id", F.array_join(joined, " → ").alias("line"))
-    lines = lines.groupBy("repository_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("cycle_id", "line"))).alias("x"))
-    lines = lines.select("repository_id", "n", F.array_join(F.transform("x", lambda s: s["line"]), "\n").alias("lines"))
-    parts = stage(x.groupBy("repository_id").agg(F.ceil(F.count("*") / SHARED).cast("int").alias("parts")))
-    tasks = int(min(1000, max(1, parts.agg(F.sum("parts")).first()[0] or 0)))
-    dealt = lines.join(few(parts), "repository_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    lines = stage(lines.select("repository_id", "cycle_id", F.array_join(joined, " → ").alias("line")))
+    total, longest = lines.groupBy("repository_id").agg(F.sum(F.octet_length("line") + 1).alias("n")).agg(F.sum("n"), F.max("n")).first()
+    lean_pages(lines.sparkSession, "answer", longest or 0)
+    texts = lines.groupBy("repository_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("cycle_id", "line"))).alias("x"))
+    texts = texts.select("repository_id", cycle_text(F.col("n"), F.array_join(F.transform("x", lambda s: s["line"]), "\n")).alias("answer"))
+    parts = stage(x.groupBy("repository_id").agg(F.least(F.ceil(F.count("*") / SHARED), F.lit(PARTS)).cast("int").alias("parts")))
+    tasks = int(min(PARTS, max(1, parts.agg(F.sum("parts")).first()[0] or 0)))
     mine = x.join(few(parts), "repository_id", "left").withColumn("part", F.pmod(F.xxhash64("question_id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    both = mine.repartition(tasks, "repository_id", "part").join(dealt.hint("merge"), ["repository_id", "part"], "left").drop("part")
-    return both.withColumn("answer", cycle_text(F.coalesce("n", F.lit(0)), F.coalesce("lines", F.lit("")))).drop("n", "lines")
+    mine = mine.repartition(tasks, "repository_id", "part")
+    if (total or 0) <= TEXTS:
+        # equal texts in a row: a writer keeps them once
+        both = mine.drop("part").sortWithinPartitions("repository_id").join(F.broadcast(texts), "repository_id", "left")
+    else:
+        dealt = texts.join(few(parts), "repository_id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        both = mine.join(dealt.hint("merge"), ["repository_id", "part"], "left").drop("part")
+    return both.withColumn("answer", F.coalesce("answer", cycle_text(F.lit(0), F.lit(""))))
 
 
 def _cycle_pieces(repositories: DataFrame, edges: graph.Edges, labels: DataFrame) -> DataFrame:

@@ -211,3 +211,30 @@ def test_questions_about_cycles_name_several(spark, edges):
     got = sorted((r["repository_id"], r["found"], r["missing"]) for r in answers._named_in_cycles(x, more, labels).collect())
     all_of_s = [n for n in names if n not in ("zb", None)]
     assert got == [("r", ["CIRCULAR", ""], ["A → Z", "z\nB", "2 circular dependencies found:\na", "zb", "b", "b"]), ("s", [], []), ("s", all_of_s, ["zb"]), ("s", all_of_s, ["zb"])]
+
+
+def test_long_texts_about_cycles_are_written_once(spark, monkeypatch, tmp_path):
+    """Texts are broadcast or, where they are too many, copied for parts of the questions; a writer looks at a page's size early and keeps equal texts once."""
+    keys = ["parquet.page.size.row.check.min", "parquet.dictionary.page.size", "parquet.column.statistics.enabled#answer"]
+    pair = spark.range(20_000).select(F.lit("s").alias("repository_id"), F.concat(F.lit("some/long/folder/of/files/a"), "id").alias("a"), F.concat(F.lit("some/long/folder/of/files/b"), "id").alias("b"))
+    loops = pair.select("repository_id", F.col("a").alias("source"), F.col("b").alias("target")).unionByName(pair.select("repository_id", F.col("b").alias("source"), F.col("a").alias("target")))
+    q = spark.range(300).select(F.element_at(F.array(F.lit("s"), F.lit("t")), (F.col("id") % 2 + 1).cast("int")).alias("repository_id"), F.col("id").alias("question_id"), F.lit("cycles?").alias("text"), F.lit(None).cast("string").alias("node"), F.lit(None).cast("string").alias("target"))
+    names = spark.createDataFrame([], "repository_id string, node string, label string")
+    try:
+        got = answers.answer_texts(q, loops, names)
+        assert "BroadcastHashJoin" in got.filter("answer like '%circular%'")._jdf.queryExecution().executedPlan().toString()
+        assert [spark.conf.get(k, None) for k in keys][::2] == ["10", "false"]
+        got.write.parquet(str(tmp_path / "out"))
+        sizes = [p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")]
+        back = spark.read.parquet(str(tmp_path / "out"))
+        text = back.filter("question_id = 0").first()["answer"]
+        assert len(text) > 1_200_000 and text.startswith("20000 circular dependencies found:\nsome/long/folder/of/files/a0 → some/long/folder/of/files/b0\n")
+        assert sum(sizes) < 5 * len(text)  # 150 copies before
+        counts = {(r[0], r[1]): r[2] for r in back.groupBy("repository_id", F.crc32("answer")).count().collect()}
+        assert sorted(counts.values()) == [150, 150]
+        monkeypatch.setattr(answers, "TEXTS", 0)
+        dealt = answers.answer_texts(q, loops, names)
+        assert {(r[0], r[1]): r[2] for r in dealt.groupBy("repository_id", F.crc32("answer")).count().collect()} == counts
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
